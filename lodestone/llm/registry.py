@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.llm import op1_decontaminate, op2_simhash, op3_mix, op4_lines, op7_quality
+from lodestone.llm import op1_decontaminate, op2_simhash, op3_mix, op4_lines, op5_tokens, op7_quality
 
-_MODULES = [op1_decontaminate, op2_simhash, op3_mix, op4_lines, op7_quality]
+_MODULES = [op1_decontaminate, op2_simhash, op3_mix, op4_lines, op5_tokens, op7_quality]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: x for m in _MODULES for k, x in m.ORACLES.items()}
