@@ -3,7 +3,7 @@
 A text is its words, lower-cased, a blank between two and a line feed at the end; before it stand line feeds. The model is a
 trie of the contexts of up to ORDER bytes with the counts of the byte that follows, over all training texts. A byte is
 predicted from the longest context that training has seen; where the byte never followed it, the escape probability is paid
-(method C: distinct followers over their number plus occurrences) and the next shorter context is asked, with the followers
+(method D: distinct followers over twice the occurrences) and the next shorter context is asked, with the followers
 of the longer one excluded from its counts. Last comes the uniform distribution over the bytes that are left.
 
 All symbols that followed a context also followed its suffix, so what is excluded depends on the longer context alone. The
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut, held_out, table
 from lodestone.llm.terms import HEAD, sums, term_counts
 
-ORDER = 3
+ORDER = 5
+#: The most grams that are broadcast, at 16 bytes each.
+GRAMS = 1 << 22
 END = b"\n"
 
 
@@ -36,22 +38,16 @@ def _words(text: bytes) -> Counter:
     return Counter(tokens(text))
 
 
-def grams(text: bytes, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+def grams(order: int, text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The distinct grams of order + 1 bytes as numbers, first byte highest, and their counts."""
     line = b" ".join(text.lower().split()) + END
-    x = np.frombuffer(END * order + line, np.uint8).astype(np.uint32)
-    key = np.zeros(len(line), np.uint32)
+    x = np.frombuffer(END * order + line, np.uint8).astype(np.int64)
+    key = np.zeros(len(line), np.int64)
     for k in range(order + 1):
-        key = (key << np.uint32(8)) | x[k : k + len(line)]
+        key = (key << 8) | x[k : k + len(line)]
     return np.unique(key, return_counts=True)
 
 
-def _grams(order: int, text: bytes) -> dict:
-    key, n = grams(text, order)
-    raw = key.astype(">u4").tobytes()
-    return dict(zip([raw[i : i + 4] for i in range(0, len(raw), 4)], n.tolist()))
-
-
 def trie(seen: DataFrame, order: int = ORDER) -> DataFrame:
     """seen: (gram, n_train), each gram once. Adds log10 of the probability of the gram's last byte after the others: `ppm`."""
     train = cut(seen.where("n_train > 0").select(F.col("gram").alias("g"), F.col("n_train").alias("n")))
@@ -79,11 +75,11 @@ def trie(seen: DataFrame, order: int = ORDER) -> DataFrame:
     for k in range(order + 1):
         t, d = zero(f"t{k}") - zero(f"xt{k}"), zero(f"d{k}") - zero(f"xd{k}")
         # An unseen context, or one without a byte left, passes the byte on at no cost.
-        p = F.when(zero(f"t{k}") == 0, p).when(F.col(f"n{k}").isNotNull(), F.log10(F.col(f"n{k}") / (t + d))).when(d > 0, F.log10(d / (t + d)) + p).otherwise(p)
+        p = F.when(zero(f"t{k}") == 0, p).when(F.col(f"n{k}").isNotNull(), F.log10((2 * F.col(f"n{k}") - 1) / (2 * t))).when(d > 0, F.log10(d / (2 * t)) + p).otherwise(p)
     return out.select("gram", *(c for c in seen.columns if c != "gram"), p.alias("ppm"))
 
 
-def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, head: int = HEAD) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, head: int = HEAD, gram_head: int = GRAMS) -> DataFrame:
     """One row per row of docs: the id, n_tokens, n_known, train_tokens, base_score and score.
 
     train: a column of docs, true for the rows that are learned from; null counts as false. base_score is the log10
@@ -91,9 +87,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     end alone. Null ids and repeated rows stay; repeated rows count as often as they occur. Without a training row score is
     that of uniform bytes. Only the named columns are read. An empty table gives no rows. Texts of any length are read whole.
     """
-    if not 0 <= order <= 3:
-        raise ValueError("order must be 0 to 3: a gram is a number of 32 bits")
-    spark = docs.sparkSession
+    if not 0 <= order <= 6:
+        raise ValueError("order must be 0 to 6: a gram is a number of 56 bits")
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     # size: tokens, the end included.
     n = F.size(F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")) + 1
@@ -104,10 +99,9 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     valued = words.withColumns({"base_score": base, "n_known": (F.col("n_train") > 0).cast("double")})
     first = sums(rows, _words, valued, {"base_score": F.lit(0.0), "n_known": F.lit(0.0)}, head)
 
-    seen = cut(term_counts(rows, partial(_grams, order), train=F.col("train")))
-    number = F.conv(F.hex("term"), 16, 10).cast("long")
-    model = trie(seen.select(number.alias("gram"), "term", "n", "n_train"), order)
-    second = sums(rows, partial(_grams, order), cut(model.select("term", "n", "ppm")), {"ppm": F.lit(0.0)}, head)
+    seen = term_counts(rows, partial(grams, order), train=F.col("train"), numeric=True)
+    model = trie(cut(seen.withColumnRenamed("term", "gram")), order)
+    second = sums(rows, partial(grams, order), cut(model.select(F.col("gram").alias("term"), "n", "ppm")), {"ppm": F.lit(0.0)}, gram_head)
     # Both hold as many rows of a text as docs does, and equal ones: one row of each suffices.
     second = second.groupBy("id", "rid").agg(F.first("ppm").alias("score")).select(F.col("id").alias("id_"), F.col("rid").alias("rid_"), "score")
     out = first.join(second, (F.col("rid") == F.col("rid_")) & F.col("id").eqNullSafe(F.col("id_")))

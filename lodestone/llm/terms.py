@@ -2,6 +2,9 @@
 
 Terms are counted once over all documents. The most frequent ones, up to a fixed number, are broadcast with their values; the
 occurrences of all others, a small share in any language, are joined to theirs by a shuffle. No term is left out.
+
+Terms are byte strings, which `extract` gives as a Counter of a text, or numbers from 0 on (numeric), which it gives as
+ascending distinct int64 and their counts.
 """
 
 from __future__ import annotations
@@ -45,13 +48,39 @@ def _counted(extract: Callable[[bytes], Counter], batches):
     yield out()
 
 
-def term_counts(docs: DataFrame, extract: Callable[[bytes], Counter], text: str = "text", train: Column | None = None) -> DataFrame:
+def _merged(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows (term, n, n_train), terms ascending and distinct."""
+    rows = np.concatenate([np.empty((0, 3), np.int64), *parts])
+    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+    if not len(rows):
+        return rows
+    first = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+    return np.column_stack([rows[first, 0], np.add.reduceat(rows[:, 1], first), np.add.reduceat(rows[:, 2], first)])
+
+
+def _counted_numbers(extract: Callable[[bytes], tuple], batches):
+    out = lambda x: pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, k])) for k in range(3)], ["term", "n", "n_train"])
+    whole, parts, size = np.empty((0, 3), np.int64), [], 0
+    for b in batches:
+        for train, text in zip(b.column(0).to_pylist(), b.column(1)):
+            key, n = extract(text.as_py() or b"")
+            parts.append(np.column_stack([key, n, n * train]))
+            if (size := size + len(key)) >= 4 * HELD:
+                whole, parts, size = _merged([whole, *parts]), [], 0
+                if len(whole) >= 8 * HELD:
+                    yield out(whole)
+                    whole = whole[:0]
+    yield out(_merged([whole, *parts]))
+
+
+def term_counts(docs: DataFrame, extract: Callable, text: str = "text", train: Column | None = None, numeric: bool = False) -> DataFrame:
     """(term, n, n_train): how often each term occurs in all rows and in those where `train` holds. Counted in each task first."""
     rows = docs.select((F.lit(True) if train is None else train).alias("train"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(partial(_counted, extract), "term binary, n long, n_train long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train"))
+    counted, kind = (_counted_numbers, "long") if numeric else (_counted, "binary")
+    return rows.mapInArrow(partial(counted, extract), f"term {kind}, n long, n_train long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train"))
 
 
-def frequent(values: DataFrame, names: list[str], limit: int = HEAD) -> tuple[list[bytes], np.ndarray]:
+def frequent(values: DataFrame, names: list[str], limit: int = HEAD) -> tuple[list[bytes] | np.ndarray, np.ndarray]:
     """values: (term, n, *names). The terms above a frequency, at most `limit`, and a row of values for each. All terms of one
     step of frequency come or none, so the choice doesn't depend on any order."""
     step = F.floor(8 * F.log2("n"))
@@ -61,9 +90,14 @@ def frequent(values: DataFrame, names: list[str], limit: int = HEAD) -> tuple[li
         if total > limit:
             break
         least = row["step"]
+    numeric = values.schema["term"].dataType.simpleString() == "bigint"
     if least == math.inf:
-        return [], np.empty((0, len(names)))
+        return np.empty(0, np.int64) if numeric else [], np.empty((0, len(names)))
     got = values.where(step >= least).select("term", *names).toArrow()
+    if numeric:
+        key = got.column(0).to_numpy()
+        order = np.argsort(key)
+        return key[order], np.stack([got.column(n).to_numpy().astype(np.float64)[order] for n in names], axis=1)
     return got.column(0).to_pylist(), np.stack([got.column(n).to_numpy().astype(np.float64) for n in names], axis=1)
 
 
@@ -102,7 +136,23 @@ def _summed(shared, extract, names, batches):
         yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("id", "rid", "size")), pa.array(term, pa.binary()), pa.array(freq, pa.int64()), *(pa.array(np.ascontiguousarray(part[:, k])) for k in range(len(names)))], ["id", "rid", "size", "term", "freq", *(f"part_{n}" for n in names)])
 
 
-def sums(docs: DataFrame, extract: Callable[[bytes], Counter], values: DataFrame, missing: dict[str, Column], limit: int = HEAD) -> DataFrame:
+def _summed_numbers(shared, extract, names, batches):
+    keys, values = shared.value
+    for b in batches:
+        row, term, freq, part = [], [], [], []
+        for i, text in enumerate(b.column("text")):
+            key, n = extract(text.as_py() or b"")
+            at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+            known = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+            own = np.zeros((1 + len(key) - int(known.sum()), len(names)))
+            own[0] = n[known] @ values[at[known]]
+            row.append(np.full(len(own), i, np.int32)), term.append(np.r_[np.int64(-1 - i), key[~known]]), freq.append(np.r_[np.int64(0), n[~known]]), part.append(own)
+        if row:
+            take, part = pa.array(np.concatenate(row)), np.concatenate(part)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("id", "rid", "size")), pa.array(np.concatenate(term)), pa.array(np.concatenate(freq)), *(pa.array(np.ascontiguousarray(part[:, k])) for k in range(len(names)))], ["id", "rid", "size", "term", "freq", *(f"part_{n}" for n in names)])
+
+
+def sums(docs: DataFrame, extract: Callable, values: DataFrame, missing: dict[str, Column], limit: int = HEAD) -> DataFrame:
     """docs: (id, rid, size, text binary), rid a hash of the text. values: (term, n, *names), names being those of `missing`.
     One row per row of docs: id, rid, size, *names, the sums of the values over all terms of the text, repeats counted.
 
@@ -110,8 +160,9 @@ def sums(docs: DataFrame, extract: Callable[[bytes], Counter], values: DataFrame
     """
     names = list(missing)
     shared = docs.sparkSession.sparkContext.broadcast(frequent(values, names, limit))
-    kind = f"id {docs.schema['id'].dataType.simpleString()}, rid long, size long, term binary, freq long, " + ", ".join(f"part_{n} double" for n in names)
-    rows = docs.select("id", "rid", "size", "text").mapInArrow(partial(_summed, shared, extract, names), kind)
+    term = values.schema["term"].dataType.simpleString()
+    kind = f"id {docs.schema['id'].dataType.simpleString()}, rid long, size long, term {term}, freq long, " + ", ".join(f"part_{n} double" for n in names)
+    rows = docs.select("id", "rid", "size", "text").mapInArrow(partial(_summed_numbers if term == "bigint" else _summed, shared, extract, names), kind)
     # A document's own row has a term that no text has; its place in the batch spreads these rows over the join's partitions.
     rows = rows.join(values.select("term", *names), "term", "left")
     total = {n: F.sum(F.col(f"part_{n}") + F.when(F.col("freq") > 0, F.col("freq") * F.coalesce(F.col(n), m)).otherwise(0.0)) for n, m in missing.items()}
