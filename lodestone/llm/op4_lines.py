@@ -36,9 +36,12 @@ def line_keys(text: bytes | None, min_chars: int) -> list[tuple[int, bytes]]:
     return out
 
 
-def places(keys: list[bytes], bits: int) -> np.ndarray:
-    """Two bit numbers for each key."""
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
+def hashes(keys: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
+
+
+def places(h: np.ndarray, bits: int) -> np.ndarray:
+    """Two bit numbers for each hash."""
     return np.stack([h & np.uint64(bits - 1), mixed(h) & np.uint64(bits - 1)]).astype(np.int64)
 
 
@@ -55,23 +58,20 @@ class Seen:
     def _put(self, which: np.ndarray, at: np.ndarray) -> None:
         np.bitwise_or.at(which, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
 
-    def add(self, keys: list[bytes]) -> None:
-        """keys may repeat within a call: then they count as seen twice."""
-        if not keys:
-            return
-        a, b = places(keys, self.bits)
+    def add(self, h: np.ndarray) -> None:
+        """Hashes may repeat within a call: then they count as seen twice."""
+        a, b = places(h, self.bits)
         old = self._has(self.once, a) & self._has(self.once, b)
-        both = a * self.bits + b if self.bits <= 1 << 31 else mixed(a.view(np.uint64)).view(np.int64) ^ b
-        order = np.argsort(both, kind="stable")
-        again = np.zeros(len(keys), bool)
-        again[order[1:]] = both[order[1:]] == both[order[:-1]]
+        order = np.argsort(h, kind="stable")
+        again = np.zeros(len(h), bool)
+        again[order[1:]] = h[order[1:]] == h[order[:-1]]
         again |= old
         for at in (a, b):
             self._put(self.twice, at[again])
             self._put(self.once, at)
 
-    def has_twice(self, keys: list[bytes]) -> np.ndarray:
-        a, b = places(keys, self.bits)
+    def has_twice(self, h: np.ndarray) -> np.ndarray:
+        a, b = places(h, self.bits)
         return self._has(self.twice, a) & self._has(self.twice, b)
 
 
@@ -79,7 +79,7 @@ def _build(bits: int, min_chars: int, batches):
     seen = Seen(bits)
     for b in batches:
         for i in range(0, b.num_rows, 512):
-            seen.add([k for t in b.column(0)[i : i + 512] for k in {k for _, k in line_keys(t.as_py(), min_chars)}])
+            seen.add(hashes([k for t in b.column(0)[i : i + 512] for k in {k for _, k in line_keys(t.as_py(), min_chars)}]))
     size = min(SEGMENT, bits // 8)
     for i in range(0, bits // 8, size):
         once, twice = seen.once[i : i + size], seen.twice[i : i + size]
@@ -116,7 +116,7 @@ def _suspects(shared, bits: int, min_chars: int, batches):
         rid, ids, at, keys = [], [], [], []
         for r, d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             if found := line_keys(t.as_py(), min_chars):
-                for (i, k), yes in zip(found, seen.has_twice([k for _, k in found])):
+                for (i, k), yes in zip(found, seen.has_twice(hashes([k for _, k in found]))):
                     if yes:
                         rid.append(r), ids.append(d), at.append(i), keys.append(k)
         yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(ids, b.schema.field(1).type), pa.array(at, pa.int32()), pa.array(keys, pa.binary())], ["rid", "id", "line", "key"])
