@@ -136,7 +136,7 @@ def _drop(batches):
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int = BITS) -> DataFrame:
-    """One row per row of docs: id, n_lines, n_dropped, kept_text (string).
+    """One row per row of docs: id, row_hash (xxhash64 of id and text), n_lines, n_dropped, kept_text (string).
 
     A line's key is the line stripped of white space and with A-Z lower-cased; keys of at least min_chars code points in at
     least min_docs documents (ids) go, but in the document with the largest id that holds them. Repeated rows of an id count as
@@ -150,8 +150,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     suspects = cut(got.mapInArrow(partial(_suspects, shared, bits, min_chars), f"rid long, id {kind}, line int, key binary"))
     repeated = suspects.select("key", "id").distinct().groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
     gone = suspects.join(repeated, "key").where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("rid", F.col("id").alias("of")).agg(F.collect_set("line").alias("gone"))
-    out = got.join(gone, (got.rid == gone.rid) & got.id.eqNullSafe(gone.of), "left").select("id", "text", "gone").mapInArrow(_drop, f"id {kind}, n_lines long, n_dropped long, kept binary")
-    return out.select(F.col("id").alias(id_col), "n_lines", "n_dropped", F.col("kept").cast("string").alias("kept_text"))
+    out = got.join(gone, (got.rid == gone.rid) & got.id.eqNullSafe(gone.of), "left").select("id", got.rid, "text", "gone").mapInArrow(_drop, f"id {kind}, rid long, n_lines long, n_dropped long, kept binary")
+    return out.select(F.col("id").alias(id_col), F.col("rid").alias("row_hash"), "n_lines", "n_dropped", F.col("kept").cast("string").alias("kept_text"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_texts: int = LINE_TEXTS, line_share: float = LINE_SHARE, kept_share: float = KEPT_SHARE
 ) -> DataFrame:
-    """One row per row of docs: rid, the id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_common_words,
+    """One row per row of docs: rid, the id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_common_words,
     base_failed, kept and text_hash.
 
     Line frequency counts distinct texts of a host, so copies of one text count once and don't condemn it; the smallest id of
@@ -76,12 +76,12 @@ def quality_rules(
     left = F.col("n_words") - F.col("n_common_words")
     depleted = (F.col("n_common_words") > 0) & ((left < kept_share * F.col("n_words")) | (left < MIN_WORDS))
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted).select(
-        "rid", F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_common_words", "text_hash"
+        "rid", F.col("id").alias(id_col), "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_common_words", "text_hash"
     )
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents")).drop("rid", "text_hash")
+    return quality_rules(table(spark, sf_dir, "documents")).drop("rid", "host", "text_hash")
 
 
 QUERIES = {"op7_quality": op7_quality}
