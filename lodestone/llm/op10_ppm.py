@@ -13,7 +13,6 @@ made by grouped sums and joins, and a document's code length is the sum over its
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import partial
 
 import numpy as np
@@ -25,7 +24,7 @@ from lodestone.llm.terms import HEAD, sums, term_counts
 
 ORDER = 5
 #: The most grams that are broadcast, at 16 bytes each.
-GRAMS = 1 << 22
+GRAMS = 1 << 20
 END = b"\n"
 
 
@@ -34,18 +33,14 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-def _words(text: bytes) -> Counter:
-    return Counter(tokens(text))
-
-
-def grams(order: int, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct grams of order + 1 bytes as numbers, first byte highest, and their counts."""
+def grams(order: int, text: bytes) -> np.ndarray:
+    """The grams of order + 1 bytes as numbers, first byte highest, one for each byte."""
     line = b" ".join(text.lower().split()) + END
     x = np.frombuffer(END * order + line, np.uint8).astype(np.int64)
     key = np.zeros(len(line), np.int64)
     for k in range(order + 1):
         key = (key << 8) | x[k : k + len(line)]
-    return np.unique(key, return_counts=True)
+    return key
 
 
 def trie(seen: DataFrame, order: int = ORDER) -> DataFrame:
@@ -93,13 +88,13 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     # size: tokens, the end included.
     n = F.size(F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")) + 1
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("rid"), n.cast("long").alias("size"), text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    words = cut(term_counts(rows, _words, train=F.col("train")))
+    words = cut(term_counts(rows, tokens, train=F.col("train")))
     total = words.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("tokens"), F.count(F.when(F.col("n_train") > 0, 1)).alias("kinds")).first()
     base = F.log10((F.col("n_train") + 1) / F.lit(float(total.tokens + total.kinds + 1)))
     valued = words.withColumns({"base_score": base, "n_known": (F.col("n_train") > 0).cast("double")})
-    first = sums(rows, _words, valued, {"base_score": F.lit(0.0), "n_known": F.lit(0.0)}, head)
+    first = sums(rows, tokens, valued, {"base_score": F.lit(0.0), "n_known": F.lit(0.0)}, head)
 
-    seen = term_counts(rows, partial(grams, order), train=F.col("train"), numeric=True)
+    seen = term_counts(rows, partial(grams, order), train=F.col("train"), kind="long")
     model = trie(cut(seen.withColumnRenamed("term", "gram")), order)
     second = sums(rows, partial(grams, order), cut(model.select(F.col("gram").alias("term"), "n", "ppm")), {"ppm": F.lit(0.0)}, gram_head)
     # Both hold as many rows of a text as docs does, and equal ones: one row of each suffices.

@@ -8,7 +8,6 @@ summed.
 from __future__ import annotations
 
 import json
-from collections import Counter
 from functools import lru_cache, partial
 
 import pyarrow as pa
@@ -64,17 +63,15 @@ class Splitter:
             text = self.tokenizer.normalizer.normalize_str(text)
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
-    def count(self, text: str) -> Counter:
-        """How often each pre-token occurs. A special token is a pre-token of its own, after a zero byte."""
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text. A special token is a pre-token of its own, after a zero byte."""
         if self.special is None or not self.special.search(text):
-            return Counter(self.pieces(text))
-        out, at = Counter(), 0
+            return self.pieces(text)
+        out, at = [], 0
         for m in self.special.finditer(text):
-            out.update(self.pieces(text[at : m.start()]))
-            out["\x00" + m[0]] += 1
+            out += [*self.pieces(text[at : m.start()]), "\x00" + m[0]]
             at = m.end()
-        out.update(self.pieces(text[at:]))
-        return out
+        return out + self.pieces(text[at:])
 
     def tokens(self, piece: str) -> int:
         """How many tokens a pre-token gives."""
@@ -88,14 +85,14 @@ def splitter(path: str) -> Splitter:
     return Splitter(path)
 
 
-def _extract(path: str, text: bytes) -> dict:
-    return {k.encode(): n for k, n in splitter(path).count(text.decode("utf8", "replace")).items()}
+def _extract(path: str, text: bytes) -> list[str]:
+    return splitter(path).split(text.decode("utf8", "replace"))
 
 
 def _tokens(path: str, batches):
     own = splitter(path)
     for b in batches:
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([own.tokens(t.as_py().decode()) for t in b.column(0)], pa.int64())], ["term", "n", "tokens"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([own.tokens(t.as_py()) for t in b.column(0)], pa.int64())], ["term", "n", "tokens"])
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, head: int = HEAD) -> DataFrame:
@@ -108,8 +105,8 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("rid"), F.octet_length(text).cast("long").alias("size"), text.alias("text"))
-    counts = term_counts(rows, partial(_extract, tokenizer)).select("term", "n")
-    values = cut(counts.mapInArrow(partial(_tokens, tokenizer), "term binary, n long, tokens long"))
+    counts = term_counts(rows, partial(_extract, tokenizer), kind="string").select("term", "n")
+    values = cut(counts.mapInArrow(partial(_tokens, tokenizer), "term string, n long, tokens long"))
     total = sums(rows, partial(_extract, tokenizer), values, {"tokens": F.lit(0)}, head)
     n = F.col("tokens").cast("long")
     return total.select(F.col("id").alias(id_col), F.col("size").alias("n_bytes"), n.alias("n_tokens"), (n > limit).alias("over_limit"))

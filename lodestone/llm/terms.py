@@ -3,8 +3,8 @@
 Terms are counted once over all documents. The most frequent ones, up to a fixed number, are broadcast with their values; the
 occurrences of all others, a small share in any language, are joined to theirs by a shuffle. No term is left out.
 
-Terms are byte strings, which `extract` gives as a Counter of a text, or numbers from 0 on (numeric), which it gives as
-ascending distinct int64 and their counts.
+`extract` gives the terms of a text, repeats included: a list of str (kind string) or bytes (binary), or an array of int64
+from 0 on (long).
 """
 
 from __future__ import annotations
@@ -20,64 +20,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The most terms that are broadcast.
-HEAD = 1 << 19
+HEAD = 1 << 18
 #: A task sends its counts on when it holds so many terms.
 HELD = 1 << 18
 
 
-def _counted(extract: Callable[[bytes], Counter], batches):
-    """Counts of terms, a flag for training rows apart. Columns: train, text."""
-    sums: dict = {}
+def _binary(kind: str) -> pa.DataType:
+    return pa.string() if kind == "string" else pa.binary()
+
+
+def _counted(extract: Callable[[bytes], list], kind: str, batches):
+    """Counts of terms, those of training rows apart. Columns: train, text."""
+    held: dict[bool, Counter] = {True: Counter(), False: Counter()}
 
     def out():
-        terms = list(sums)
-        got = np.array(list(sums.values()), np.int64).reshape(-1, 2)
-        sums.clear()
-        return pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array(got[:, 0]), pa.array(got[:, 1])], ["term", "n", "n_train"])
+        for train, found in held.items():
+            n = pa.array(list(found.values()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), _binary(kind)), n, n if train else pa.array(np.zeros(len(found), np.int64))], ["term", "n", "n_train"])
+            found.clear()
 
     for b in batches:
         for train, text in zip(b.column(0).to_pylist(), b.column(1)):
-            for term, n in extract(text.as_py() or b"").items():
-                if (x := sums.get(term)) is None:
-                    sums[term] = [n, n * train]
-                else:
-                    x[0] += n
-                    x[1] += n * train
-            if len(sums) >= HELD:
-                yield out()
-    yield out()
+            held[train].update(extract(text.as_py() or b""))
+            if len(held[True]) + len(held[False]) >= HELD:
+                yield from out()
+    yield from out()
 
 
-def _merged(parts: list[np.ndarray]) -> np.ndarray:
+def _merged(rows: list[np.ndarray]) -> np.ndarray:
     """Rows (term, n, n_train), terms ascending and distinct."""
-    rows = np.concatenate([np.empty((0, 3), np.int64), *parts])
-    rows = rows[np.argsort(rows[:, 0], kind="stable")]
-    if not len(rows):
-        return rows
-    first = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
-    return np.column_stack([rows[first, 0], np.add.reduceat(rows[:, 1], first), np.add.reduceat(rows[:, 2], first)])
+    whole = np.concatenate([np.empty((0, 3), np.int64), *rows])
+    whole = whole[np.argsort(whole[:, 0], kind="stable")]
+    if not len(whole):
+        return whole
+    first = np.flatnonzero(np.r_[True, whole[1:, 0] != whole[:-1, 0]])
+    return np.column_stack([whole[first, 0], np.add.reduceat(whole[:, 1], first), np.add.reduceat(whole[:, 2], first)])
+
 
+def _counted_numbers(extract: Callable[[bytes], np.ndarray], kind: str, batches):
+    whole, raw, size = np.empty((0, 3), np.int64), {True: [], False: []}, 0
+
+    def taken_in():
+        parts = [whole]
+        for train, keys in raw.items():
+            key, n = np.unique(np.concatenate([np.empty(0, np.int64), *keys]), return_counts=True)
+            parts.append(np.column_stack([key, n, n * train]))
+            keys.clear()
+        return _merged(parts)
 
-def _counted_numbers(extract: Callable[[bytes], tuple], batches):
     out = lambda x: pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, k])) for k in range(3)], ["term", "n", "n_train"])
-    whole, parts, size = np.empty((0, 3), np.int64), [], 0
     for b in batches:
         for train, text in zip(b.column(0).to_pylist(), b.column(1)):
-            key, n = extract(text.as_py() or b"")
-            parts.append(np.column_stack([key, n, n * train]))
-            if (size := size + len(key)) >= 4 * HELD:
-                whole, parts, size = _merged([whole, *parts]), [], 0
+            raw[train].append(key := extract(text.as_py() or b""))
+            if (size := size + len(key)) >= 8 * HELD:
+                whole, size = taken_in(), 0
                 if len(whole) >= 8 * HELD:
                     yield out(whole)
                     whole = whole[:0]
-    yield out(_merged([whole, *parts]))
+    yield out(taken_in())
 
 
-def term_counts(docs: DataFrame, extract: Callable, text: str = "text", train: Column | None = None, numeric: bool = False) -> DataFrame:
+def term_counts(docs: DataFrame, extract: Callable, text: str = "text", train: Column | None = None, kind: str = "binary") -> DataFrame:
     """(term, n, n_train): how often each term occurs in all rows and in those where `train` holds. Counted in each task first."""
     rows = docs.select((F.lit(True) if train is None else train).alias("train"), F.col(text).cast("binary").alias("text"))
-    counted, kind = (_counted_numbers, "long") if numeric else (_counted, "binary")
-    return rows.mapInArrow(partial(counted, extract), f"term {kind}, n long, n_train long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train"))
+    counted = _counted_numbers if kind == "long" else _counted
+    return rows.mapInArrow(partial(counted, extract, kind), f"term {kind}, n long, n_train long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train"))
 
 
 def frequent(values: DataFrame, names: list[str], limit: int = HEAD) -> tuple[list[bytes] | np.ndarray, np.ndarray]:
@@ -112,16 +119,16 @@ def _head(shared) -> tuple[dict, np.ndarray]:
     return _built["at"], values
 
 
-def _summed(shared, extract, names, batches):
+def _summed(shared, extract, names, kind, batches):
     """One row for each document with what the broadcast terms give, and one for each other term that it holds."""
     at, values = _head(shared)
     get = at.get
     for b in batches:
         row, term, freq, own, first = [], [], [], np.zeros((b.num_rows, len(names))), np.zeros(b.num_rows, np.int64)
         for i, text in enumerate(b.column("text")):
-            found = extract(text.as_py() or b"")
+            found = Counter(extract(text.as_py() or b""))
             first[i] = len(row)
-            row.append(i), term.append(b"\x00 %d" % i), freq.append(0)
+            row.append(i), term.append(f"\x00 {i}" if kind == "string" else b"\x00 %d" % i), freq.append(0)
             place, count = [], []
             for w, n in found.items():
                 if (k := get(w)) is None:
@@ -133,15 +140,15 @@ def _summed(shared, extract, names, batches):
         part = np.zeros((len(row), len(names)))
         part[first] = own
         take = pa.array(row, pa.int32())
-        yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("id", "rid", "size")), pa.array(term, pa.binary()), pa.array(freq, pa.int64()), *(pa.array(np.ascontiguousarray(part[:, k])) for k in range(len(names)))], ["id", "rid", "size", "term", "freq", *(f"part_{n}" for n in names)])
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("id", "rid", "size")), pa.array(term, _binary(kind)), pa.array(freq, pa.int64()), *(pa.array(np.ascontiguousarray(part[:, k])) for k in range(len(names)))], ["id", "rid", "size", "term", "freq", *(f"part_{n}" for n in names)])
 
 
-def _summed_numbers(shared, extract, names, batches):
+def _summed_numbers(shared, extract, names, kind, batches):
     keys, values = shared.value
     for b in batches:
         row, term, freq, part = [], [], [], []
         for i, text in enumerate(b.column("text")):
-            key, n = extract(text.as_py() or b"")
+            key, n = np.unique(extract(text.as_py() or b""), return_counts=True)
             at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
             known = keys[at] == key if len(keys) else np.zeros(len(key), bool)
             own = np.zeros((1 + len(key) - int(known.sum()), len(names)))
@@ -162,7 +169,7 @@ def sums(docs: DataFrame, extract: Callable, values: DataFrame, missing: dict[st
     shared = docs.sparkSession.sparkContext.broadcast(frequent(values, names, limit))
     term = values.schema["term"].dataType.simpleString()
     kind = f"id {docs.schema['id'].dataType.simpleString()}, rid long, size long, term {term}, freq long, " + ", ".join(f"part_{n} double" for n in names)
-    rows = docs.select("id", "rid", "size", "text").mapInArrow(partial(_summed_numbers if term == "bigint" else _summed, shared, extract, names), kind)
+    rows = docs.select("id", "rid", "size", "text").mapInArrow(partial(_summed_numbers if term == "bigint" else _summed, shared, extract, names, term), kind)
     # A document's own row has a term that no text has; its place in the batch spreads these rows over the join's partitions.
     rows = rows.join(values.select("term", *names), "term", "left")
     total = {n: F.sum(F.col(f"part_{n}") + F.when(F.col("freq") > 0, F.col("freq") * F.coalesce(F.col(n), m)).otherwise(0.0)) for n, m in missing.items()}
