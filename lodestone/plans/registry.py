@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lodestone.plans import kb, kb_sql
+
+QUERIES: dict = {**kb.QUERIES}
+ORACLES: dict[str, str] = {**kb_sql.ORACLES}
