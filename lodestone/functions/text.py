@@ -94,11 +94,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def let(value: Column, of) -> Column:
+    """of(value), with value computed once per row: a lambda over it would compute it for each element."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def shingles(norm: Column, k: int = 3) -> Column:
     """Distinct runs of k words; a shorter text is one; none for an empty text."""
-    w = words(norm)
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(runs))
+
+    def of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(runs))
+
+    return let(words(norm), of)
 
 
 def unigrams(norm: Column) -> Column:
@@ -140,7 +148,7 @@ def title_path(title: Column, headings: Column) -> Column:
 
 def clip(text: Column, most: int = 420) -> Column:
     """At most so many characters, cut at a blank."""
-    return F.when(F.length(text) <= most, text).otherwise(F.regexp_replace(F.substring(text, 1, most), r"\s\S*$", ""))
+    return F.when(F.length(text) <= most, text).otherwise(F.regexp_replace(F.substring(text, 1, most), r"\s\S*\z", ""))
 
 
 def contains_any(text: Column, phrases: list[str]) -> Column:

@@ -160,4 +160,4 @@ def first_per(records: DataFrame, by: str, order: list[str]) -> DataFrame:
 def tail(log: DataFrame, position: str, n: int, value: str, schema: str) -> DataFrame:
     """The last n lines, those that are no JSON dropped after, latest first."""
     last = log.orderBy(F.col(position).desc()).limit(n)
-    return last.withColumn("parsed", F.from_json(value, schema)).where(F.col("parsed").isNotNull()).orderBy(F.col(position).desc())
+    return last.withColumn("parsed", F.from_json(value, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})).where(F.col("parsed._bad").isNull() & F.col(value).isNotNull()).orderBy(F.col(position).desc())

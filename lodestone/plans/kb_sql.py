@@ -113,6 +113,9 @@ cu AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM xu a JOIN xu b ON a.lang
 p AS (SELECT coalesce(cs.a, cu.a) AS a, coalesce(cs.b, cu.b) AS b, coalesce(cs.c, 0) AS c, coalesce(cu.c, 0) AS u FROM cs FULL JOIN cu ON cs.a = cu.a AND cs.b = cu.b),
 j AS (SELECT p.a, p.b, p.c / (len(x.sh) + len(y.sh) - p.c) AS js, CASE WHEN p.u = 0 THEN 0 ELSE p.u / (len(x.un) + len(y.un) - p.u) END AS ju, least(x.k, y.k) / greatest(x.k, y.k) AS r FROM p JOIN s x ON x.id = p.a JOIN s y ON y.id = p.b)
 SELECT a, b, round(CASE WHEN r < 0.5 THEN js ELSE greatest(js, 0.9 * ju) END, 6) AS similarity FROM j WHERE round(CASE WHEN r < 0.5 THEN js ELSE greatest(js, 0.9 * ju) END, 6) >= 0.55""",
+    "pii_counts": r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[\w.+-]+@[\w-]+\.[\w.-]+'))::BIGINT AS emails, list_transform(regexp_extract_all(text, '\b(?:[0-9][ -]?){12,15}[0-9]\b'), lambda r: reverse(regexp_replace(r, '[^0-9]', '', 'g'))) AS runs FROM documents),
+l AS (SELECT doc_id, emails, len(list_filter(runs, lambda r: list_sum(list_transform(range(1, length(r) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(r, i, 1)::INT ELSE substr(r, i, 1)::INT * 2 - CASE WHEN substr(r, i, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0))::BIGINT AS cards FROM c)
+SELECT * FROM l WHERE emails > 0 OR cards > 0""",
     "quality_flags": f"SELECT doc_id, ltrim(f, ',') AS flags FROM (SELECT doc_id, {_FLAG} AS f FROM documents) WHERE f <> ''",
     "fact_conflicts": f"""WITH f AS (SELECT DISTINCT * FROM ({_facts()})), m AS (SELECT fact FROM f GROUP BY fact HAVING count(DISTINCT value) > 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY fact, value ORDER BY doc_id) AS nth, count(*) OVER (PARTITION BY fact, value) AS n FROM f)
@@ -133,7 +136,7 @@ SELECT t.*, CASE WHEN old <> content_hash THEN '1.1' ELSE '1.0' END AS version F
 (SELECT string_agg(source || '=' || c, ',' ORDER BY source) FROM (SELECT source, count(*) AS c FROM documents GROUP BY source)) AS by_category""",
     "sample_per_category": "SELECT doc_id, source, lang, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1",
     "normalized_text": f"""SELECT doc_id, md5({_rewrites(_SPACE)}) AS text_md5, floor(len({_words("text")}) * 1.3)::BIGINT AS token_estimate,
-md5(CASE WHEN length(text) <= 420 THEN text ELSE regexp_replace(left(text, 420), '\\s\\S*$', '') END) AS clip_md5 FROM documents""",
+md5(CASE WHEN length(text) <= 420 THEN text ELSE regexp_replace(left(text, 420), '\\s\\S*\\z', '') END) AS clip_md5 FROM documents""",
     "text_shape": f"""WITH d AS (SELECT *, {_NORM} AS n FROM documents), w AS (SELECT *, list_filter(string_split(n, ' '), lambda x: x <> '') AS w FROM d)
 SELECT doc_id, trim(regexp_replace(lower(source || '/' || lang), '[^a-z0-9]+', '_', 'g'), '_') AS slug,
 CASE WHEN len(w) = 0 THEN 0 WHEN len(w) < 3 THEN 1 ELSE len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END::BIGINT AS n_shingles,

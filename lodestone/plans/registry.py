@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import kb, kb_sql
+from lodestone.plans import kb, kb_sql, live
 
-QUERIES: dict = {**kb.QUERIES}
-ORACLES: dict[str, str] = {**kb_sql.ORACLES}
+QUERIES: dict = {**kb.QUERIES, **live.QUERIES}
+ORACLES: dict[str, str] = {**kb_sql.ORACLES, **live.ORACLES}

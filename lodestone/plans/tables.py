@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 #: Terminology rewrites, in order.
-REWRITES = [(r"(?i)\bthe\b", "the"), (r"(?i)\bthe of\b", "of the"), (r"(?i)\bder die\b", "die der"), (r"\b(\d+)\s?%", "$1%"), (r"(?i)\btoken\s*=", "token:")]
+REWRITES = [(r" [Tt]he ", " the "), (r" the of ", " of the "), (r" of the ", " of that "), (r" der die ", " die der "), (r"([0-9]) %", "$1%"), (r"token =", "token:")]
 #: Categories and their keywords, lower case.
 CATEGORIES = {"ing": ["thing", "ring"], "tion": ["tion", "ation"], "heit": ["heit", "keit"], "ment": ["ment", "eaux"], "cion": ["ción", "mente"], "mail": ["@"]}
 INTENTS = {"ing": ["product"], "tion": ["product", "faq"], "heit": ["qualification"], "ment": ["objection"], "cion": ["compliance"], "mail": ["faq"]}

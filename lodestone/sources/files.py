@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SECTION = "struct<headings array<string>, text string, locator string, kind string>"
 DOCUMENT = f"path string, source_type string, status string, error string, title string, sections array<{SECTION}>, fingerprint string"
@@ -229,7 +230,7 @@ def read_documents(spark: SparkSession, roots: list[tuple[str, str, str]], skip:
     return found.withColumn("fp", F.substring(F.sha1("content"), 1, 12)).mapInPandas(parsed, f"{DOCUMENT}, market string, language string")
 
 
-@F.pandas_udf("struct<title string, text string, n_sections int, n_lists int, n_tables int>")
+@F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("n_sections", "n_lists", "n_tables"))]))
 def html_text(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """A page's title and its text, one section a line."""
     for s in pages:
