@@ -232,9 +232,13 @@ def training_sample(docs: DataFrame, text_col: str, lang_col: str, texts: int =
     """At most `texts` distinct texts of each language, those with the least hashes; bounded by languages x texts x bytes."""
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where((F.octet_length("text") <= text_bytes) & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    share = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.least(F.lit(1.0), F.lit(2.0 * texts) / F.col("n")).alias("share"))
-    # A third filter before the ranking keeps it to about twice the rows that it returns, for any number of documents.
-    drawn = rows.join(share, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).dropDuplicates(["lang", "h"])
+    # One number for each language, as the model has. Before anything is shuffled, hashes are cut so that about twice the
+    # texts asked for remain, for any number of documents.
+    share = {r["lang"]: min(1.0, 2.0 * texts / r["count"]) for r in rows.groupBy("lang").count().collect()}
+    if not share:
+        return []
+    limit = F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, int(v * (1 << 30)))))
+    drawn = rows.where(F.pmod("h", F.lit(1 << 30)) < limit[F.col("lang")]).dropDuplicates(["lang", "h"])
     ranked = drawn.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(F.col("nth") <= texts)
     return sorted((r.text, r.lang) for r in ranked.select("text", "lang").collect())
 

@@ -1,0 +1,368 @@
+"""Each operator against a brute-force version, and on nulls, empty and repeated rows, ties, empty tables and clashing names."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lodestone.llm import op1_decontaminate as op1
+from lodestone.llm import op2_simhash as op2
+from lodestone.llm import op3_mix as op3
+from lodestone.llm import op4_lines as op4
+from lodestone.llm import op5_tokens as op5
+from lodestone.llm import op6_language as op6
+from lodestone.llm import op7_quality as op7
+from lodestone.llm import op8_passages as op8
+from lodestone.llm import op9_urls as op9
+from lodestone.llm import op10_ppm as op10
+from lodestone.llm.components import connected_components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, copies int, id string"
+
+
+def words(rng, n, kinds=400):
+    return " ".join(f"w{int(rng.paretovariate(0.7)) % kinds}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Documents with copies, near copies, shared lines, nulls, empty and repeated rows and one long text."""
+    rng = random.Random(11)
+    line = words(rng, 12)
+    out = []
+    for i in range(60):
+        lines = [words(rng, rng.randint(5, 40)) for _ in range(rng.randint(1, 5))]
+        if i % 4 == 0:
+            lines.insert(rng.randrange(len(lines) + 1), f"  {line.upper() if i % 8 else line}\t")
+        out.append((i, "\n".join(lines), "en", "src0" if i % 3 else "src1"))
+    base = words(rng, 300)
+    out += [(100 + i, base if i < 6 else base + f" extra{i}", "en", "src0") for i in range(10)]
+    out += [(200, None, None, None), (201, "", "en", "src2"), (202, " \t\n", "en", "src2"), (203, "--- 12 ***", "en", "src1"), (204, words(rng, 9000), "en", "src1")]
+    out += [out[0], out[0], (None, out[1][1], "en", "src0"), (None, None, None, None)]
+    return [(*x, len(x[1] or ""), "f", 1, "i") for x in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def multiset(df):
+    return Counter(map(tuple, df.collect()))
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(110)] + [(i, i + 1) for i in range(300, 340)] + [(400, 400 + i) for i in range(1, 50)]
+    least = {}
+    for u, v in edges:
+        least.setdefault(u, u), least.setdefault(v, v)
+    for _ in range(400):
+        for u, v in edges:
+            least[u] = least[v] = min(least[u], least[v])
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {k: v for k, v in least.items() if any(k in e for e in edges if e[0] != e[1])}
+
+
+def simhash(text):
+    w = (text or "").encode().lower().split()
+    sh = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    ones = [0] * 64
+    for s in sh:
+        h = xxhash.xxh64_intdigest(s, 42)
+        for b in range(64):
+            ones[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * ones[b] > len(sh))
+
+
+def test_simhash(docs, empty, rows):
+    prints = [(r[0], simhash(r[1])) for r in rows]
+    label = list(range(len(prints)))
+    for _ in range(5):
+        for i, (_, a) in enumerate(prints):
+            for j, (_, b) in enumerate(prints):
+                if (a ^ b).bit_count() <= 3:
+                    label[i] = label[j] = min(label[i], label[j])
+    least = {}
+    for (d, _), c in zip(prints, label):
+        least[c] = min([x for x in (least.get(c), d) if x is not None], default=None)
+    want = Counter((d, f"{f:016x}", least[c]) for (d, f), c in zip(prints, label))
+    assert multiset(op2.simhash_near_dedup(docs)) == want
+    assert op2.simhash_near_dedup(empty).count() == 0
+
+
+def test_covering_masks_miss_no_pair():
+    rng, masks = random.Random(4), op2.covering_masks()
+    for _ in range(2000):
+        diff = sum(1 << b for b in rng.sample(range(64), 3))
+        hit = [m for m in masks if not diff & m]
+        assert hit and all(any(not diff & f for f in op2.finer_masks(m)) for m in hit)
+
+
+def test_simhash_deals_out_large_buckets(spark):
+    rng = random.Random(6)
+    fps = sorted({sum(1 << b for b in rng.sample(range(12), rng.randint(0, 6))) for _ in range(400)})
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    found = {r.component for r in connected_components(op2.near_links(df, bucket=64)).collect()}
+    assert found == {min(fps)}
+
+
+def lines_brute(rows):
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({i: i + 32 for i in range(65, 91)})
+    held = defaultdict(set)
+    for r in rows:
+        for x in (r[1] or "").split("\n"):
+            if len(key(x)) >= 40:
+                held[key(x)].add(r[0])
+    top = {k: max(v, key=lambda d: (d is not None, d or 0)) for k, v in held.items() if len(v) >= 5}
+    for r in rows:
+        ls = (r[1] or "").split("\n")
+        kept = [x for x in ls if key(x) not in top or top[key(x)] == r[0]]
+        yield r[0], len(ls), len(ls) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("bits", [op4.BITS, 1 << 10])
+def test_line_dedup(docs, rows, empty, bits):
+    out = op4.line_dedup(docs, bits=bits).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256))
+    assert multiset(out) == Counter(lines_brute(rows))
+    assert op4.line_dedup(empty).count() == 0
+
+
+def test_quality(docs, rows, empty):
+    got = op7.quality_rules(docs)
+    for r in got.collect():
+        text = next(x[1] for x in rows if x[0] == r.doc_id and len([w for w in (x[1] or "").encode().split()]) == r.n_words) or ""
+        w = text.encode().split()
+        sh = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        covered = {i + k for i in range(len(w) - 2) if sh[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        ls = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        assert (r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (sum(len(x.decode()) for x in w), sum(text.count(c) for c in "#*$%&|<>"), len(ls) - len(set(ls)), len(covered))
+        assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r.base_failed and r.kept)
+    assert got.count() == len(rows) and op7.quality_rules(empty).count() == 0
+
+
+def test_quality_drops_furniture_and_keeps_one(spark):
+    rng = random.Random(1)
+    menu = words(rng, 100)
+    docs = spark.createDataFrame([(i, menu + f"\nown {i} " + words(rng, 20), "h") for i in range(20)] + [(50 + i, words(rng, 80), "h") for i in range(20)], "doc_id long, text string, source string")
+    assert {r.doc_id for r in op7.quality_rules(docs).where("kept").collect()} == {0, *range(50, 70)}
+
+
+def test_mixture(docs, rows, empty):
+    out = op3.mix_sources(docs).collect()
+    assert Counter((r.doc_id, r.size) for r in out) == Counter((r[0], len((r[1] or "").encode().split())) for r in rows)
+    assert all(r.taken <= 2 * r.size for r in out)
+    by = defaultdict(list)
+    for r in out:
+        by[r.source].append(r)
+    total = sum(r.size for r in out)
+    assert sum(v[0].target for v in by.values()) == pytest.approx(1.5 * total)
+    for v in by.values():
+        assert v[0].target <= 2 * v[0].source_size and abs(sum(r.taken for r in v) - v[0].target) <= max(r.size for r in v)
+    again = op3.mix_sources(docs.repartition(7))
+    assert multiset(again.drop("rid")) == Counter(tuple(v for k, v in r.asDict().items() if k != "rid") for r in out)
+    assert op3.mix_sources(empty).count() == 0
+
+
+def test_tokens(docs, rows, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    want = Counter((r[0], len((r[1] or "").encode()), n := len(tok.encode(r[1] or "", add_special_tokens=False).ids), n > 2048) for r in rows)
+    assert multiset(op5.token_counts(docs, path)) == want
+    # All terms by the join, none broadcast.
+    assert multiset(op5.token_counts(docs, path, head=0)) == want
+    assert op5.token_counts(empty, path).count() == 0
+
+
+def test_tokens_of_odd_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, own = Tokenizer.from_file(path), op5.Splitter(path)
+    for t in ["a<|endoftext|>b <|startoftext|>", "ΑΣ İ ǅ e\u0301", "中文'll '’s½²\x00", "\x00<|endoftext|>", "don't  DON'T 12's", ""]:
+        assert sum(own.tokens(p) for p in own.split(t)) == len(tok.encode(t, add_special_tokens=False).ids), t
+
+
+def test_language(spark):
+    rng = random.Random(3)
+    make = {"xx": lambda: "".join(rng.choice("abc") + rng.choice("ou") for _ in range(3)), "yy": lambda: "".join(rng.choice("klm") + rng.choice("ei") for _ in range(3))}
+    rows = [(i, " ".join(make[lang]() for _ in range(rng.randint(20, 60))), lang) for i, lang in enumerate(["xx", "yy"] * 60)]
+    mixed = " ".join([make["xx"]() for _ in range(30)] + [make["yy"]() for _ in range(70)])
+    odd = [(1000, None, "xx"), (1001, "12 - 34", "xx"), (1002, "", None), (1003, mixed, None), (1003, mixed, None)]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    got = op6.identify_languages(df, F.col("doc_id") % 4 != 2)
+    by = {r.doc_id: r for r in got.collect()}
+    held = [r for r in rows if r[0] % 4 == 2]
+    assert sum(by[i].lang_pred == lang for i, _, lang in held) >= 0.97 * len(held)
+    assert [by[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and by[1003].lang_pred == "yy" and 0.6 < by[1003].score < 0.8
+    assert got.count() == len(rows) + len(odd)
+    assert {r.lang_pred for r in op6.identify_languages(df, F.lit(False)).collect()} == {"und"}
+
+
+def test_forward_backward_matches_enumeration():
+    rng = np.random.default_rng(0)
+    scores, start, step = rng.normal(size=(1, 4, 3)), rng.normal(size=3), rng.normal(size=(3, 3))
+    post, _ = op6.forward_backward(scores, np.array([4]), start, step)
+    want, z = np.zeros((4, 3)), 0.0
+    for path in np.ndindex(3, 3, 3, 3):
+        p = math.exp(start[path[0]] + sum(scores[0, i, y] for i, y in enumerate(path)) + sum(step[a, b] for a, b in zip(path, path[1:])))
+        z += p
+        for i, y in enumerate(path):
+            want[i, y] += p
+    assert np.allclose(post[0], want / z)
+
+
+def test_leaks_also_reordered(spark, docs, empty):
+    rng = random.Random(9)
+    item = words(rng, 40).split()
+    tests = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (2, "too short"), (3, None), (4, "a " * 30)], "item_id long, text string")
+    text = lambda *p: words(rng, 80) + " " + " ".join(p) + " " + words(rng, 80)
+    rows = [(1, text(*item)), (2, text(*item[20:], "gap", *item[:20]).upper()), (3, text(*item[:15])), (4, None), (5, ""), (6, text(*item)), (6, text("a " * 30)), (None, text(*item))]
+    got = op1.leaks(spark.createDataFrame(rows, "doc_id long, text string"), tests)
+    assert {(r.doc_id, r.item_id, r.n_tiles) for r in got.collect()} == {(1, 1, 1), (2, 1, 2), (6, 1, 1), (6, 4, 1), (None, 1, 1)}
+    left = op1.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), tests)
+    assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5]
+    assert op1.leaks(empty, tests).count() == 0 and op1.leaks(docs, tests.limit(0)).count() == 0
+
+
+def test_tiles_match_plain_greedy():
+    rng = random.Random(8)
+    for _ in range(60):
+        p, t = [rng.choice("abc") for _ in range(rng.randint(0, 25))], [rng.choice("abc") for _ in range(rng.randint(0, 40))]
+        covered = lambda found: sum(n for _, _, n in found)
+        fp, ft, plain = set(), set(), []
+        while True:
+            best = (0, 0, 0)
+            for i in range(len(p)):
+                for j in range(len(t)):
+                    n = 0
+                    while i + n < len(p) and j + n < len(t) and p[i + n] == t[j + n] and i + n not in fp and j + n not in ft:
+                        n += 1
+                    best = max(best, (n, -i, -j))
+            if best[0] < 3:
+                break
+            n, i, j = best[0], -best[1], -best[2]
+            fp |= set(range(i, i + n))
+            ft |= set(range(j, j + n))
+            plain.append((i, j, n))
+        found = op1.tiles(p, t, 3)
+        assert all(p[i : i + n] == t[j : j + n] for i, j, n in found)
+        assert len({x for i, _, n in found for x in range(i, i + n)}) == covered(found) and max((n for *_, n in found), default=0) == max((n for *_, n in plain), default=0)
+
+
+def test_compact_windows():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n, width = int(rng.integers(1, 60)), int(rng.integers(1, 8))
+        h, want = rng.integers(0, 15, n).astype(np.uint64), []
+        for c in np.flatnonzero(h):
+            l = r = int(c)
+            while l > 0 and h[l - 1] > h[c]:
+                l -= 1
+            while r + 1 < n and h[r + 1] >= h[c]:
+                r += 1
+            if r - l + 1 >= width:
+                want.append((l, int(c), r))
+        assert list(zip(*(x.tolist() for x in op8.compact_windows(h, width)))) == want
+
+
+def test_passages(spark, docs, rows, empty):
+    rng = random.Random(12)
+    shared = words(rng, 70, 5000)
+    near = shared.split()
+    near[35] = "changed"
+    more = [(500 + i, f"{words(rng, 60 + i, 5000)} {shared if i % 2 else ' '.join(near)} {words(rng, 50, 5000)}") for i in range(8)] + [(600 + i, words(rng, 200, 5000)) for i in range(8)]
+    got = {r.doc_id: r for r in op8.repeated_passages(docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))).collect()}
+    assert {500 + i for i in range(8)} <= set(got) and not {600 + i for i in range(8)} & set(got)
+    assert {got[500 + i].class_id for i in range(8)} == {500}
+    for i in range(8):
+        assert any(p.start <= 61 + i and p.end >= 60 + i + 69 for p in got[500 + i].passages)
+    assert {100 + i for i in range(10)} <= set(got) and {got[100 + i].class_id for i in range(10)} == {100} and got[100].n_copies == 6
+    assert op8.repeated_passages(empty).count() == 0
+
+
+def test_urls(spark):
+    page = lambda i, url, *links: (i, url, "<p>" + "".join(f'<a class=x href="{u}">x</a>' for u in links))
+    rows = [
+        page(1, "https://Good.ORG/a?x#y", "http://friend.net/1", "/own"), page(2, "http://bad.com/de/1"), page(3, "http://friend.net"), page(4, "http://spam.net/x", "http://bad.com/q", "//bad.com"),
+        page(5, "http://www.example.org/en/12"), page(6, "http://x.example.org/es/"), page(7, None), page(8, "no url"), page(9, "http://bad.com/fr/1"), page(10, "http://lone.net/?a://b"), (11, "http://org/", None), (11, "http://org/", None), (None, "http://bad.com/en", ""),
+    ]
+    got = op9.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    by = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()}
+    assert by[1] == ("good.org", "/a", "org/", "allow") and by[2] == ("bad.com", "/de/1", "com/de/", "block") and by[3][2:] == (None, "allow") and by[4] == ("spam.net", "/x", None, "block")
+    assert by[5] == ("www.example.org", "/en/12", "example.org/en/1", "block") and by[6][2:] == ("example.org/es/", "block") and by[7] == by[8] == ("", "", None, "allow")
+    assert by[9][2:] == ("com/fr/", "allow") and by[10] == ("lone.net", "/", None, "allow") and got.count() == len(rows)
+    assert op9.url_filter(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_pagerank_matches_power_iteration(spark):
+    edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 1), ("d", "c", 4)]
+    seeds = {"a": 0.5, "d": 0.5}
+    got = {r.host: r.score for r in op9.propagate(spark.createDataFrame(edges, "u string, v string, n long"), spark.createDataFrame(list(seeds.items()), "host string, mass double"), rounds=60, tolerance=1e-10).collect()}
+    p, out = {**dict.fromkeys("abcd", 0.0), **seeds}, Counter()
+    for u, _, n in edges:
+        out[u] += n
+    for _ in range(200):
+        new = {h: 0.15 * seeds.get(h, 0.0) for h in p}
+        for u, v, n in edges:
+            new[v] += 0.85 * p[u] * n / out[u]
+        p = new
+    assert all(abs(got.get(h, 0.0) - x) < 1e-6 for h, x in p.items())
+
+
+@pytest.mark.parametrize("heads", [{}, {"head": 0, "gram_head": 0}])
+def test_ppm(spark, docs, rows, empty, heads):
+    learned = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 != 2
+    k, ctx, count = op10.ORDER, [defaultdict(Counter) for _ in range(op10.ORDER + 1)], Counter()
+    line = lambda t: b"\n" * k + b" ".join((t or "").encode().lower().split()) + b"\n"
+    for r in rows:
+        if learned(r[0]):
+            count.update(op10.tokens((r[1] or "").encode()))
+            x = line(r[1])
+            for p in range(k, len(x)):
+                for j in range(k + 1):
+                    ctx[j][x[p - j : p]][x[p]] += 1
+    n, v = sum(count.values()), len(count)
+
+    def score(t):
+        x, s = line(t), 0.0
+        for p in range(k, len(x)):
+            gone = set()
+            for j in range(k, -1, -1):
+                c = {b: m for b, m in ctx[j].get(x[p - j : p], {}).items() if b not in gone}
+                if x[p] in c:
+                    s += math.log10((2 * c[x[p]] - 1) / (2 * sum(c.values())))
+                    break
+                if c:
+                    s += math.log10(len(c) / (2 * sum(c.values())))
+                gone |= set(ctx[j].get(x[p - j : p], {}))
+            else:
+                s -= math.log10(256 - len(gone))
+        return s
+
+    train = F.col("doc_id").isNotNull() & ~op10.held_out(F.col("doc_id"), 7)
+    got = op10.score_texts(docs, train, **heads).collect()
+    assert len(got) == len(rows)
+    want = defaultdict(list)
+    for r in rows[:20] + rows[70:]:
+        t = op10.tokens((r[1] or "").encode())
+        want[r[0]].append((len(t), sum(count[w] > 0 for w in t), n, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t), score(r[1])))
+    for r in got:
+        if r.doc_id in want:
+            assert any(tuple(r)[1:] == pytest.approx(w, rel=1e-9) for w in want[r.doc_id]), r
+    assert op10.score_texts(empty, F.lit(True)).count() == 0
