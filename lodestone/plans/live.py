@@ -23,7 +23,7 @@ def _lines(spark, d):
 def _events(spark, d):
     """Signals of a kind per user: seconds since the epoch and a confidence."""
     e = _t(spark, d, "events")
-    return e.select("event_id", F.col("user_id").alias("call"), F.col("event_type").alias("kind"), F.unix_micros("ts").alias("us"), F.round(F.least(F.lit(1.0), F.col("value") / 100), 6).alias("confidence")).withColumn("t", F.col("us") / 1e6)
+    return e.select("event_id", F.col("user_id").alias("call"), F.col("event_type").alias("kind"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("us"), F.round(F.least(F.lit(1.0), F.col("value") / 100), 6).alias("confidence")).withColumn("t", F.col("us") / 1e6)
 
 
 def turn_clock(spark, d):
