@@ -36,6 +36,6 @@ def test_tokens_and_shingles(spark):
 def test_pii_precedence_and_mask():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     text = "mail a.b@c.org, card 4111 1111 1111 1111, policy POL-123456, Dr. Ann Lee"
-    assert pii.masked(text) == ("mail [EMAIL] card [CARD], policy [POLICY_NO], [NAME]".replace("[EMAIL] card", "[EMAIL], card"), ["CARD", "EMAIL", "NAME", "POLICY_NO"])
+    assert pii.masked(text) == ("mail [EMAIL], card [CARD], [POLICY_NO], [NAME]", ["CARD", "EMAIL", "NAME", "POLICY_NO"])
     assert pii.masked(None) == (None, []) and pii.masked("") == ("", [])
     assert pii.find("2024-01-15 and 15-01-2024") == []
