@@ -162,6 +162,8 @@ class Labeller:
     def documents(self, texts: list[str]) -> np.ndarray:
         """For each text the summed posteriors of its words with a letter, (texts, labels)."""
         out = np.zeros((len(texts), self.k))
+        if not self.k:
+            return out
         if self.n > KEPT:
             self._clear()
         words = [t.lower().split() for t in texts]
@@ -221,7 +223,7 @@ def _predict(shared, batches):
                 j += 1
             for row in own.documents(texts[i:j]):
                 total = row.sum()
-                best = int(row.argmax()) if total > 0 else -1
+                best = int(row.argmax()) if len(row) and total > 0 else -1
                 langs.append(labels[best] if best >= 0 else UNKNOWN)
                 scores.append(min(1.0, float(row[best] / total)) if best >= 0 else 0.0)
             i = j

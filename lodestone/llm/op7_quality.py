@@ -43,7 +43,7 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": _n(F.col("_l")) - _n(F.array_distinct("_l")),
             "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-            "lines": F.transform("_l", lambda x: F.struct(F.xxhash64(lower_ascii(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D\d]+", " ")))).alias("h"), F.size(word_array(x)).alias("words"))),
+            "lines": F.transform("_l", lambda x: F.struct(F.xxhash64(lower_ascii(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))).alias("h"), F.size(word_array(x)).alias("words"))),
         }
     )
     return out.drop("_w", "_l", "_s", "_h", "_p")
@@ -98,7 +98,7 @@ r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_i
 rw AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
 lines AS (SELECT doc_id, host, text, unnest(l) AS line FROM d),
 keyed AS (
-  SELECT doc_id, host, text, translate(trim(regexp_replace(line, '[\x20\x09-\x0D0-9]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k,
+  SELECT doc_id, host, text, translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k,
          len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words
   FROM lines),
 hosts AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY host),
