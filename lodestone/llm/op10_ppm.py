@@ -16,7 +16,7 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, held_out, table
@@ -44,34 +44,36 @@ def grams(order: int, text: bytes) -> np.ndarray:
 
 
 def trie(seen: DataFrame, order: int = ORDER) -> DataFrame:
-    """seen: (gram, n_train), each gram once. Adds log10 of the probability of the gram's last byte after the others: `ppm`."""
-    train = cut(seen.where("n_train > 0").select(F.col("gram").alias("g"), F.col("n_train").alias("n")))
-
-    def low(c: Column, k: int) -> Column:
-        """The last k bytes of a gram; -1 for none, as a key."""
-        return c.bitwiseAND(F.lit((1 << 8 * k) - 1))
-
-    out, escapes = seen, []
-    # One table of followers for each order, with the longest first: (context, byte, n), then its sums.
-    for k in range(order, -1, -1):
-        follow = train.groupBy(low(F.col("g"), k + 1).alias("f")).agg(F.sum("n").alias("n"))
-        context = follow.groupBy(F.shiftright("f", 8).alias("c")).agg(F.sum("n").alias("t"), F.count("*").alias("d"))
-        if k < order:
-            # What the next longer context excludes here: the counts of the bytes that followed it.
-            longer = train.groupBy(low(F.col("g"), k + 2).alias("lf")).agg(F.lit(1).alias("one")).select(F.shiftright("lf", 8).alias("lc"), low(F.col("lf"), k + 1).alias("f"))
-            gone = longer.join(follow, "f").groupBy("lc").agg(F.sum("n").alias("xt"), F.count("*").alias("xd"))
-            out = out.join(gone.select(F.col("lc").alias(f"lc{k}"), F.col("xt").alias(f"xt{k}"), F.col("xd").alias(f"xd{k}")), F.shiftright(low(F.col("gram"), k + 2), 8) == F.col(f"lc{k}"), "left").drop(f"lc{k}")
-        else:
-            out = out.withColumns({f"xt{k}": F.lit(0).cast("long"), f"xd{k}": F.lit(0).cast("long")})
-        out = out.join(follow.select(F.col("f").alias(f"f{k}"), F.col("n").alias(f"n{k}")), low(F.col("gram"), k + 1) == F.col(f"f{k}"), "left").drop(f"f{k}")
-        out = out.join(context.select(F.col("c").alias(f"c{k}"), F.col("t").alias(f"t{k}"), F.col("d").alias(f"d{k}")), F.shiftright(low(F.col("gram"), k + 1), 8) == F.col(f"c{k}"), "left").drop(f"c{k}")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    p = -F.log10(F.lit(256) - zero("d0"))
-    for k in range(order + 1):
-        t, d = zero(f"t{k}") - zero(f"xt{k}"), zero(f"d{k}") - zero(f"xd{k}")
+    """seen: (gram, n, n_train), each gram once. (gram, n, ppm): log10 of the probability of the gram's last byte after the others.
+
+    The grams' endings are counted once for each length, long to short, then valued short to long: each length joins the next
+    shorter one and sums over the followers of a context, 256 rows at most. Each step is written down, so no plan holds two.
+    """
+
+    def low(c: str, k: int) -> Column:
+        """The last k bytes of a gram, as a number."""
+        return F.col(c).bitwiseAND(F.lit((1 << 8 * k) - 1))
+
+    # levels[k]: the distinct endings of k + 1 bytes with their counts in training, zero for those seen elsewhere alone.
+    levels = [cut(seen.select(F.col("gram").alias("g"), F.col("n").alias("all"), F.col("n_train").alias("n")))]
+    for k in range(order, 0, -1):
+        levels.insert(0, cut(levels[0].groupBy(low("g", k).alias("g")).agg(F.sum("n").alias("n"))))
+    # t, d: how often the context was seen in training and how many bytes followed it. w: log10 of the byte's probability in
+    # all shorter contexts when the followers of this one are excluded; used where the byte is not one of them.
+    root = levels[0].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t"), F.count_if(F.col("n") > 0).alias("d")).first()
+    valued = levels[0].withColumns({"t": F.lit(root.t).cast("long"), "d": F.lit(root.d).cast("long"), "w": -F.log10(F.lit(256.0 - min(root.d, 255)))})
+    for k in range(1, order + 1):
+        shorter = cut(valued).select(F.col("g").alias("g_"), F.col("n").alias("n_"), F.col("t").alias("t_"), F.col("d").alias("d_"), F.col("w").alias("w_"))
+        context = Window.partitionBy(F.shiftright("g", 8))
+        row = levels[k].join(shorter, low("g", k) == F.col("g_"))
+        row = row.withColumns({"t": F.sum("n").over(context), "d": F.count_if(F.col("n") > 0).over(context), "xt": F.sum(F.when(F.col("n") > 0, F.col("n_")).otherwise(0)).over(context)})
+        # All followers of a context follow the shorter one too: d of its followers are excluded there, with counts of xt.
+        t, d = F.col("t_") - F.col("xt"), F.col("d_") - F.col("d")
         # An unseen context, or one without a byte left, passes the byte on at no cost.
-        p = F.when(zero(f"t{k}") == 0, p).when(F.col(f"n{k}").isNotNull(), F.log10((2 * F.col(f"n{k}") - 1) / (2 * t))).when(d > 0, F.log10(d / (2 * t)) + p).otherwise(p)
-    return out.select("gram", *(c for c in seen.columns if c != "gram"), p.alias("ppm"))
+        w = F.when(F.col("n") > 0, None).when(F.col("n_") > 0, F.log10((2 * F.col("n_") - 1) / (2 * t))).when((F.col("t_") > 0) & (d > 0), F.log10(d / (2 * t)) + F.col("w_")).otherwise(F.col("w_"))
+        valued = row.select(*levels[k].columns, "t", "d", w.alias("w"))
+    p = F.when(F.col("n") > 0, F.log10((2 * F.col("n") - 1) / (2 * F.col("t")))).when(F.col("t") > 0, F.log10(F.col("d") / (2 * F.col("t"))) + F.col("w")).otherwise(F.col("w"))
+    return valued.select(F.col("g").alias("gram"), F.col("all").alias("n"), p.alias("ppm"))
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, head: int = HEAD, gram_head: int = GRAMS) -> DataFrame:
@@ -95,8 +97,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     first = sums(rows, tokens, valued, {"base_score": F.lit(0.0), "n_known": F.lit(0.0)}, head)
 
     seen = term_counts(rows, partial(grams, order), train=F.col("train"), kind="long")
-    model = trie(cut(seen.withColumnRenamed("term", "gram")), order)
-    second = sums(rows, partial(grams, order), cut(model.select(F.col("gram").alias("term"), "n", "ppm")), {"ppm": F.lit(0.0)}, gram_head)
+    model = cut(trie(seen.withColumnRenamed("term", "gram"), order).withColumnRenamed("gram", "term"))
+    second = sums(rows, partial(grams, order), model, {"ppm": F.lit(0.0)}, gram_head)
     # Both hold as many rows of a text as docs does, and equal ones: one row of each suffices.
     second = second.groupBy("id", "rid").agg(F.first("ppm").alias("score")).select(F.col("id").alias("id_"), F.col("rid").alias("rid_"), "score")
     out = first.join(second, (F.col("rid") == F.col("rid_")) & F.col("id").eqNullSafe(F.col("id_")))
