@@ -69,17 +69,19 @@ def compact_windows(h: np.ndarray, width: int, longest: int | None = None) -> tu
     return left[wide], c[wide], right[wide]
 
 
-def keys_of(texts: list[np.ndarray], width: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the text, key) for the texts' shingle hashes, distinct."""
+def keys_of(texts: list[np.ndarray], width: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, key, first and last place in the text that the key is of) for the texts' shingle hashes, distinct
+    by text and key: the places are one occurrence's."""
     parts, owner = [], []
     for i, s in enumerate(texts):
         if len(s) >= width:
             parts += [s, np.zeros(1, np.uint64)]
             owner.append(np.full(len(s) + 1, i, np.int32))
     if not parts:
-        return np.empty(0, np.int32), np.empty(0, np.int64)
+        return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
     flat, owner = np.concatenate(parts), np.concatenate(owner)
-    out_i, out_k = [], []
+    out_i, out_k, out_first, out_last = [], [], [], []
+    base = np.repeat(np.cumsum([0] + [len(p) + 1 for p in parts[::2]])[:-1], [len(p) + 1 for p in parts[::2]])
     ends, longest = np.cumsum([len(p) for p in parts])[1::2] - 1, max(map(len, parts))
     for band in range(bands):
         found = []
@@ -99,8 +101,10 @@ def keys_of(texts: list[np.ndarray], width: int, bands: int) -> tuple[np.ndarray
         a, b = c1[a[ok]], c2[b[ok]]
         key = mixed(flat[a] + np.uint64(band + 1) + mixed(flat[b]))
         _, first = np.unique(key ^ mixed(owner[a].astype(np.uint64) + np.uint64(1)), return_index=True)
-        out_i.append(owner[a[first]]), out_k.append(key[first].view(np.int64))
-    return np.concatenate(out_i), np.concatenate(out_k)
+        a, b = a[first], b[first]
+        out_i.append(owner[a]), out_k.append(key[first].view(np.int64))
+        out_first.append((np.minimum(a, b) - base[a]).astype(np.int32)), out_last.append((np.maximum(a, b) - base[a]).astype(np.int32))
+    return np.concatenate(out_i), np.concatenate(out_k), np.concatenate(out_first), np.concatenate(out_last)
 
 
 def _in_batches(batches, k: int):
@@ -119,8 +123,8 @@ def _in_batches(batches, k: int):
 
 def _keys(width: int, bands: int, k: int, batches):
     for ids, parts in _in_batches(batches, k):
-        i, key = keys_of(parts, width, bands)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.asarray(ids, np.int64)[i])], ["key", "th"])
+        i, key, first, last = keys_of(parts, width, bands)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.asarray(ids, np.int64)[i]), pa.array(first), pa.array(last)], ["key", "th", "first", "last"])
 
 
 def _build(bits: int, batches):
@@ -231,36 +235,55 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     same text), n_links (other texts linked to this one), passages (start and end in words, merged, end exclusive).
 
     Copies of a text are one text here, and are told apart again at the end. In a bucket of texts that share a key each is
-    compared to the least; those that fail form the next round's bucket, for `rounds` rounds in all. Null and empty texts and
+    compared to the least; those with a passage around the key are its star, and the others form the next round's bucket, for
+    `rounds` rounds, after which each that is left is a star of its own. Then all pairs of texts of different stars are
+    compared: only two texts of one star, which a passage around the key links by its head, may not meet. Null and empty texts and
     texts under `words` words have no passage. Null ids keep their rows; they are no class_id. Repeated rows count as copies.
     Only the named columns are read. An empty table gives no rows. Texts of any length are read whole.
     """
     spark, width = docs.sparkSession, words - shingle + 1
     got = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text")).where("text IS NOT NULL")
-    keys = cut(got.select("th", "text").mapInArrow(partial(_keys, width, bands, shingle), "key long, th long"))
+    keys = cut(got.select("th", "text").mapInArrow(partial(_keys, width, bands, shingle), "key long, th long, first int, last int"))
     parts = keys.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(partial(_build, bits), "segment long, once binary, twice binary")
     whole, size = np.zeros(bits // 8, np.uint8), min(SEGMENT, bits // 8)
     for row in parts.groupBy("segment").applyInArrow(_merge, "segment long, twice binary").collect():
         whole[row.segment * size : row.segment * size + size] = np.frombuffer(row.twice, np.uint8)
     shared = spark.sparkContext.broadcast(whole.tobytes())
-    rows = keys.mapInArrow(partial(_suspects, shared, bits), "key long, th long").distinct()
-    least = rows.groupBy("key").agg(F.min("th").alias("a"), F.max("th").alias("z")).where("a < z").drop("z")
-    rest = cut(rows.join(least, "key").where("th <> a"))
+    rows = keys.mapInArrow(partial(_suspects, shared, bits), "key long, th long, first int, last int").distinct()
     texts = lambda ids, name: got.join(ids, "th", "left_semi").dropDuplicates(["th"]).select(F.col("th").alias(name), F.col("text").alias("t" + name))
-    links = tested = None
-    for n in range(rounds):
-        pairs = rest.select("a", F.col("th").alias("b")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+    links = tested = stars = None
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        """The passages of pairs (a, b), a < b, that were not compared before."""
+        nonlocal links, tested
+        pairs = cut(pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.union(pairs)
         both = pairs.join(texts(pairs.select(F.col("b").alias("th")).distinct(), "b"), "b").join(texts(pairs.select(F.col("a").alias("th")).distinct(), "a"), "a")
         found = cut(both.mapInArrow(partial(_verify, width, similarity, shingle), "a long, b long, a_start int, a_end int, b_start int, b_end int"))
         links = found if links is None else links.union(found)
-        if n + 1 < rounds:
-            failed = rest.join(found.select("a", F.col("b").alias("th")).distinct(), ["a", "th"], "left_anti").select("key", "th")
-            least = failed.groupBy("key").agg(F.min("th").alias("a"), F.max("th").alias("z")).where("a < z").drop("z")
-            rest = cut(failed.join(least, "key").where("th <> a"))
-            if rest.isEmpty():
-                break
+        return links
+
+    rest = rows
+    for n in range(rounds):
+        heads = rest.groupBy("key").agg(F.min(F.struct("th", "first", "last")).alias("head"), F.max("th").alias("z"))
+        # Alone in its bucket at first, a text has no partner; later it is a star of its own.
+        heads = heads.where(F.col("head.th") < F.col("z")) if n == 0 else heads
+        now = cut(rest.join(heads.select("key", F.col("head.th").alias("a"), F.col("head.first").alias("a_first"), F.col("head.last").alias("a_last")), "key"))
+        found = compare(now.where("th <> a").select("a", F.col("th").alias("b"))).withColumnRenamed("a", "la")
+        around = (F.col("la") == F.col("a")) & (F.col("b") == F.col("th")) & (F.col("a_start") <= F.col("a_first")) & (F.col("a_last") < F.col("a_end")) & (F.col("b_start") <= F.col("first")) & (F.col("last") < F.col("b_end"))
+        rest = cut(now.where("th <> a").join(found, around, "left_anti").select("key", "th", "first", "last"))
+        # Only buckets with more than one star are looked at again.
+        own = now.join(rest.select("key").distinct(), "key", "left_semi") if n == 0 else now
+        own = own.join(rest.select("key", "th"), ["key", "th"], "left_anti").select("key", "th", F.col("a").alias("star"))
+        stars = own if stars is None else stars.union(own)
+        if rest.isEmpty():
+            break
+    stars = cut(stars.union(rest.select("key", "th", F.col("th").alias("star"))))
+    # By way of the stars, so that no two texts of one star are paired.
+    kinds = stars.select("key", "star").distinct()
+    apart = kinds.join(kinds.select("key", F.col("star").alias("other")), "key").where("star < other")
+    across = apart.join(stars, ["key", "star"]).select("key", "other", F.col("th").alias("x")).join(stars.select("key", F.col("star").alias("other"), F.col("th").alias("y")), ["key", "other"])
+    links = compare(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
     spans = links.select(F.col("a").alias("th"), F.col("b").alias("other"), F.col("a_start").alias("start"), (F.col("a_end") + shingle - 1).alias("end")).union(links.select("b", "a", "b_start", F.col("b_end") + shingle - 1))
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", "end"))),

@@ -366,3 +366,29 @@ def test_ppm(spark, docs, rows, empty, heads):
         if r.doc_id in want:
             assert any(tuple(r)[1:] == pytest.approx(w, rel=1e-9) for w in want[r.doc_id]), r
     assert op10.score_texts(empty, F.lit(True)).count() == 0
+
+
+def test_passages_of_all_that_share_a_key(spark):
+    """Copies edited step by step: the ends of a chain differ, and its links go through the middle."""
+    rng, rows = random.Random(21), []
+    for c in range(12):
+        now = words(rng, 60, 5000).split()
+        for i in range(9):
+            rows.append((100 * c + i, " ".join(now)))
+            now[(7 * i + 3) % 60] = f"edit{c}x{i}"
+    rng.shuffle(rows)
+    th = {r.doc_id: r.th for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("th")).collect()}
+    width = op8.WORDS - op8.SHINGLE + 1
+    sh = {d: op8.shingles(t.encode()) for d, t in rows}
+    held = defaultdict(set)
+    for d, s in sh.items():
+        for k in op8.keys_of([s], width, op8.BANDS)[1].tolist():
+            held[k].add(d)
+    pairs = {tuple(sorted((x, y), key=th.get)) for v in held.values() for x in v for y in v if x < y}
+    edges = [(x, y) for x, y in pairs if op8.passages(sh[x], sh[y], width, op8.SIMILARITY)]
+    least = {d: d for e in edges for d in e}
+    for _ in range(20):
+        for x, y in edges:
+            least[x] = least[y] = min(least[x], least[y])
+    got = {r.doc_id: r.class_id for r in op8.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(least.values())) < len(least) / 3 and got == least
