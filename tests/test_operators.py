@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunk, clean, dedup, dialogue, live, search
+from lodestone.plans import kb
 from lodestone.sources import files
 
 
@@ -134,3 +135,24 @@ def test_queries_match_their_sql(spark, name):
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     assert sorted(map(tuple, got.select(cols).collect()), key=str) == sorted(db.sql(registry.ORACLES[name]).df()[cols].itertuples(index=False, name=None), key=str)
+
+
+def test_cosine_topk_takes_every_hundredth_row(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(450, 8)).astype("float32")
+    v[200:230] = v[7]  # ties
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(1000, None)], "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = v.astype(float) / (np.linalg.norm(v.astype(float), axis=1) + 1e-9)[:, None]
+    want = {}
+    for q in range(0, 450, 100):
+        cos = np.round(unit @ unit[q], 6)
+        for rank, i in enumerate([i for i in sorted(range(450), key=lambda i: (-cos[i], i)) if i != q][:5]):
+            want[q, rank + 1] = (i, cos[i])
+    got = {(r.query_id, r.rank): (r.vec_id, r.cosine) for r in kb.cosine_topk(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-6 for x in want)
+    rows = spark.read.parquet(f"{tmp_path}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    q = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    key = lambda df: sorted(tuple(r) for r in search.ranked(df.withColumn("cosine", F.round("cosine", 6)), "query_id", "cosine", 5).collect())
+    assert key(search.cosines(q, rows, 5, block=2)) == key(search.cosines(q, rows, 5))
