@@ -53,11 +53,14 @@ def cosine_topk(spark, d):
 
 
 def hybrid_fusion(spark, d):
-    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    scores = search.max_normalised(_index(spark, d).scores(_t(spark, d, "benchmark"), "item_id", F.col("text")).withColumn("bm25", F.round("bm25", 6)), "item_id", "bm25")
-    q = e.select(F.col("id").alias("item_id"), F.col("embedding").alias("q"))
-    rows = scores.join(e, "id").join(q, "item_id").withColumn("cosine", search.cosine(F.col("q"), F.col("embedding")))
-    return rows.select("item_id", F.col("id").alias("doc_id"), F.round(search.fused(F.col("bm25_norm"), F.col("cosine")), 5).alias("score"))
+    """All documents that share a term with the item or have a positive cosine; what is missing on one side counts 0."""
+    e, items = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), _t(spark, d, "benchmark")
+    scores = search.max_normalised(_index(spark, d).scores(items, "item_id", F.col("text")).withColumn("bm25", F.round("bm25", 6)), "item_id", "bm25")
+    q = e.join(items.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    records = e.join(_t(spark, d, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    rows = scores.join(search.cosines(q, records).withColumnRenamed("query_id", "item_id"), ["item_id", "id"], "full")
+    score = search.fused(F.coalesce("bm25_norm", F.lit(0.0)), F.coalesce("cosine", F.lit(0.0)))
+    return rows.select("item_id", F.col("id").alias("doc_id"), F.round(score, 5).alias("score"))
 
 
 def repeated_lines(spark, d):

@@ -156,3 +156,16 @@ def test_cosine_topk_takes_every_hundredth_row(spark, tmp_path):
     q = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
     key = lambda df: sorted(tuple(r) for r in search.ranked(df.withColumn("cosine", F.round("cosine", 6)), "query_id", "cosine", 5).collect())
     assert key(search.cosines(q, rows, 5, block=2)) == key(search.cosines(q, rows, 5))
+
+
+def test_fusion_keeps_documents_of_one_side(spark, tmp_path):
+    texts = ["alpha beta", "gamma delta", "alpha gamma", "omega", "alpha"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "alpha"), (9, "gamma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    vectors = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.0]), (3, [1.0, 0.0]), (50, [1.0, 0.0])]  # 4 and item 9 have none, 50 is no document
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.item_id, r.doc_id): r.score for r in kb.hybrid_fusion(spark, str(tmp_path)).collect()}
+    bm25 = {(r.item_id, r.id): r.bm25_norm for r in search.max_normalised(kb._index(spark, str(tmp_path)).scores(spark.read.parquet(f"{tmp_path}/benchmark.parquet"), "item_id", F.col("text")), "item_id", "bm25").collect()}
+    cos = {(0, 0): 1.0, (0, 1): 0.5**0.5, (0, 3): 1.0}
+    assert set(bm25) == {(0, 0), (0, 2), (0, 4), (9, 1), (9, 2)}
+    assert got == {k: pytest.approx(0.5 * bm25.get(k, 0.0) + 0.5 * cos.get(k, 0.0), abs=1e-5) for k in bm25.keys() | cos.keys()}
