@@ -192,8 +192,8 @@ def table_to_text(spark, d):
 
 
 def csv_grouped(spark, d):
-    p = _t(spark, d, "part").where("p_partkey <= 200").select((F.col("p_partkey") - 1).alias("n"), "p_brand", "p_name", F.col("p_size").cast("string").alias("p_size"))
-    return chunk.csv_sections(p, "n", "p_brand", ["p_brand", "p_name", "p_size"]).select("heading", F.md5("text").alias("text_md5"))
+    p = _t(spark, d, "part").select((F.col("p_partkey") - 1).alias("n"), "p_brand", "p_name", F.col("p_size").cast("string").alias("p_size"))
+    return chunk.csv_sections(p, "n", "p_brand", ["p_brand", "p_name", "p_size"]).select("heading", "section", F.md5("text").alias("text_md5"))
 
 
 def tail_leads(spark, d):

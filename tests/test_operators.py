@@ -169,3 +169,15 @@ def test_fusion_keeps_documents_of_one_side(spark, tmp_path):
     cos = {(0, 0): 1.0, (0, 1): 0.5**0.5, (0, 3): 1.0}
     assert set(bm25) == {(0, 0), (0, 2), (0, 4), (9, 1), (9, 2)}
     assert got == {k: pytest.approx(0.5 * bm25.get(k, 0.0) + 0.5 * cos.get(k, 0.0), abs=1e-5) for k in bm25.keys() | cos.keys()}
+
+
+def test_csv_sections_hold_all_rows_in_bounded_texts(spark, tmp_path):
+    rows = [(i + 1, "hot" if i % 3 else f"b{i % 2}", f"part {i}", i % 50) for i in range(2500)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    want = {}
+    for k, b, name, size in rows:
+        want.setdefault((b, (k - 1) // 1000), []).append(f"(row {k + 1}) p brand: {b}; p name: {name}; p size: {size}.")
+    import hashlib
+
+    got = {(r.heading, r.section): r.text_md5 for r in kb.csv_grouped(spark, str(tmp_path)).collect()}
+    assert got == {k: hashlib.md5("\n".join(v).encode()).hexdigest() for k, v in want.items()}
