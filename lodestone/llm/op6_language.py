@@ -25,13 +25,15 @@ UNKNOWN = "und"
 TEXTS, TEXT_BYTES = 400, 20_000
 #: Hashed features; words of a training sequence; words that are labelled in one sequence; gradient steps.
 FEATURES, TRAIN_WORDS, WORDS, STEPS = 1 << 16, 32, 64, 40
+#: Characters of a word; longer ones are pieces that are words of the same sequence.
+PIECE = 40
 #: Words whose scores a worker keeps.
 KEPT = 1 << 18
 
 
 def features(word: str, lexicon: frozenset, size: int = FEATURES) -> list[int]:
     """Numbers of the features of a lower-cased word: affixes of 1 to 4, n-grams of 2 and 3 characters, the word if known."""
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     found = [f"p{w[:n]}" for n in (2, 3, 4)] + [f"s{w[-n:]}" for n in (2, 3, 4, 5)]
     found += [w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
     if word in lexicon:
@@ -39,6 +41,14 @@ def features(word: str, lexicon: frozenset, size: int = FEATURES) -> list[int]:
     return [crc32(f.encode("utf8", "surrogatepass")) % size for f in found]
 
 
+def words_of(text: str) -> list[str]:
+    """The lower-cased words; one of more than PIECE characters, as text without blanks has, in pieces of that size."""
+    words = text.lower().split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
+
+
 def has_letter(word: str) -> bool:
     return any(c.isalpha() for c in word)
 
@@ -75,7 +85,7 @@ def training_sequences(texts: list[tuple[str, str]], labels: list[str], seed: in
     rng = random.Random(seed)
     runs: dict[int, list[list[str]]] = {i: [] for i in range(len(labels))}
     for text, lang in texts:
-        words = text.lower().split()
+        words = words_of(text)
         runs[labels.index(lang)] += [words[i : i + TRAIN_WORDS] for i in range(0, len(words), TRAIN_WORDS)]
     most = 1600
     out = []
@@ -166,7 +176,7 @@ class Labeller:
             return out
         if self.n > KEPT:
             self._clear()
-        words = [t.lower().split() for t in texts]
+        words = [words_of(t) for t in texts]
         flat = self.ids([w for x in words for w in x])
         count = np.array([len(x) for x in words])
         pieces = -(-count // WORDS)

@@ -392,3 +392,13 @@ def test_passages_of_all_that_share_a_key(spark):
             least[x] = least[y] = min(least[x], least[y])
     got = {r.doc_id: r.class_id for r in op8.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(set(least.values())) < len(least) / 3 and got == least
+
+
+def test_language_reads_text_without_blanks_whole(spark):
+    rng = random.Random(4)
+    make = {"xx": lambda: "".join(rng.choice("abc") + rng.choice("ou") for _ in range(3)), "yy": lambda: "".join(rng.choice("klm") + rng.choice("ei") for _ in range(3))}
+    rows = [(i, " ".join(make[lang]() for _ in range(40)), lang) for i, lang in enumerate(["xx", "yy"] * 40)]
+    run = "".join(make["xx"]() for _ in range(7)) + "".join(make["yy"]() for _ in range(60))
+    df = spark.createDataFrame(rows + [(500, run, None), (501, "".join(make["xx"]() for _ in range(70)), None)], "doc_id long, text string, lang string")
+    by = {r.doc_id: r for r in op6.identify_languages(df, F.col("doc_id") < 500).collect()}
+    assert by[500].lang_pred == "yy" and 0.7 < by[500].score < 0.98 and by[501].lang_pred == "xx"
