@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import held_out, table
 
 UNKNOWN = "und"
-#: The classifier is fitted on at most so many distinct texts of each language, of at most so many bytes each, drawn by hash.
-TEXTS, TEXT_BYTES = 400, 20_000
+#: The classifier is fitted on at most so many distinct texts of each language, drawn by hash, of a longer one on a run of so many
+#: bytes at most, and on RUNS runs of TRAIN_WORDS words of each language.
+TEXTS, TEXT_BYTES, RUNS = 400, 20_000, 1600
 #: Hashed features; words of a training sequence; words that are labelled in one sequence; gradient steps.
 FEATURES, TRAIN_WORDS, WORDS, STEPS = 1 << 16, 32, 64, 40
 #: Characters of a word; longer ones are pieces that are words of the same sequence.
@@ -87,11 +88,10 @@ def training_sequences(texts: list[tuple[str, str]], labels: list[str], seed: in
     for text, lang in texts:
         words = words_of(text)
         runs[labels.index(lang)] += [words[i : i + TRAIN_WORDS] for i in range(0, len(words), TRAIN_WORDS)]
-    most = 1600
     out = []
     for i, mine in runs.items():
         rng.shuffle(mine)
-        runs[i] = mine = mine[:most]
+        runs[i] = mine = mine[:RUNS]
         out += [(r, [i] * len(r)) for r in mine]
     usable = [i for i, r in runs.items() if r]
     for _ in range(len(out) if len(usable) > 1 else 0):
@@ -241,18 +241,24 @@ def _predict(shared, batches):
 
 
 def training_sample(docs: DataFrame, text_col: str, lang_col: str, texts: int = TEXTS, text_bytes: int = TEXT_BYTES) -> list[tuple[str, str]]:
-    """At most `texts` distinct texts of each language, those with the least hashes; bounded by languages x texts x bytes."""
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where((F.octet_length("text") <= text_bytes) & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
+    """At most `texts` distinct texts of each language, those with the least hashes, a run of words drawn by hash of those over
+    `text_bytes`; bounded by languages x texts x bytes."""
+    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
     rows = rows.withColumn("h", F.xxhash64("text"))
+    # A character has four bytes at most; words that the run's ends cut are left out.
+    even, chars = F.regexp_replace("text", r"\s+", " "), max(1, text_bytes // 4)
+    run = F.substring(even, F.pmod("h", F.greatest(F.length(even) - chars, F.lit(0)) + 1).cast("int") + 1, F.lit(chars))
+    run = F.regexp_replace(F.regexp_replace(run, r"^\S{1,40}\s", ""), r"\s\S{1,40}$", "")
     # One number for each language, as the model has. Before anything is shuffled, hashes are cut so that about twice the
     # texts asked for remain, for any number of documents.
-    share = {r["lang"]: min(1.0, 2.0 * texts / r["count"]) for r in rows.groupBy("lang").count().collect()}
+    share = {r["lang"]: min(1.0, 2.0 * texts / r["count"]) for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()}
     if not share:
         return []
     limit = F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, int(v * (1 << 30)))))
     drawn = rows.where(F.pmod("h", F.lit(1 << 30)) < limit[F.col("lang")]).dropDuplicates(["lang", "h"])
     ranked = drawn.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(F.col("nth") <= texts)
-    return sorted((r.text, r.lang) for r in ranked.select("text", "lang").collect())
+    text = F.when(F.octet_length("text") <= text_bytes, F.col("text")).otherwise(run)
+    return sorted((r.text, r.lang) for r in ranked.select(text.alias("text"), "lang").collect())
 
 
 def identify_languages(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = TEXTS) -> DataFrame:

@@ -402,3 +402,12 @@ def test_language_reads_text_without_blanks_whole(spark):
     df = spark.createDataFrame(rows + [(500, run, None), (501, "".join(make["xx"]() for _ in range(70)), None)], "doc_id long, text string, lang string")
     by = {r.doc_id: r for r in op6.identify_languages(df, F.col("doc_id") < 500).collect()}
     assert by[500].lang_pred == "yy" and 0.7 < by[500].score < 0.98 and by[501].lang_pred == "xx"
+
+
+def test_language_sample_counts_distinct_texts_and_takes_long_ones(spark):
+    rng = random.Random(5)
+    rows = [("copy of one text", "xx")] * 3000 + [(words(rng, 20), "xx") for _ in range(40)] + [(words(rng, 9000), "zz"), ("長" * 30000, "yy")]
+    got = op6.training_sample(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", 10)
+    count = Counter(lang for _, lang in got)
+    assert count == {"xx": 10, "zz": 1, "yy": 1} and all(1000 < len(t.encode()) <= op6.TEXT_BYTES for t, lang in got if lang != "xx")
+    assert set(next(t for t, lang in got if lang == "zz").split()) <= {f"w{i}" for i in range(400)}
