@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.text import words
 
@@ -65,16 +67,24 @@ def with_priority(rows: DataFrame, table: dict[str, int] = PRIORITY) -> DataFram
 def cooldown(events: DataFrame, keys: list[str], t: str, seconds: float, tie: str) -> DataFrame:
     """Adds `emitted`: the first of each key, then each that comes at least `seconds` after the last emitted one.
 
-    A fold over the sorted times of a key, in one pass. A key's times are held by one task as an array of numbers, as state
-    would be; keys with a very long history belong in the streaming operator, which holds the last time only.
+    Sorted within keys by Spark and folded row by row, so a task holds the last time of a key and not its rows.
     """
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(tie).alias("i")))),
-        F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<bigint>").alias("out")),
-        lambda a, x: F.when(a["last"].isNull() | (x.t - a["last"] >= seconds), F.struct(x.t.alias("last"), F.concat(a["out"], F.array(x.i)).alias("out"))).otherwise(a),
-    )
-    out = events.groupBy(*keys).agg(fold.getField("out").alias("_ids")).select(F.explode("_ids").alias(tie)).withColumn("_e", F.lit(True))
-    return events.join(out, tie, "left").withColumn("emitted", F.coalesce("_e", F.lit(False))).drop("_e")
+    rows = events.repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys, t, tie)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for b in batches:
+            out = []
+            for x in zip(b.column(t).to_pylist(), *(b.column(k).to_pylist() for k in keys)):
+                if x[1:] != now:
+                    now, last, first = x[1:], None, True
+                else:
+                    first = last is None
+                out.append(first or (x[0] is not None and x[0] - last >= seconds))
+                last = x[0] if out[-1] else last
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], [*b.schema.names, "emitted"])
+
+    return rows.mapInArrow(fold, T.StructType([*events.schema.fields, T.StructField("emitted", T.BooleanType(), False)]))
 
 
 def overlap(a: set[str], b: set[str]) -> float:

@@ -181,3 +181,32 @@ def test_csv_sections_hold_all_rows_in_bounded_texts(spark, tmp_path):
 
     got = {(r.heading, r.section): r.text_md5 for r in kb.csv_grouped(spark, str(tmp_path)).collect()}
     assert got == {k: hashlib.md5("\n".join(v).encode()).hexdigest() for k, v in want.items()}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_cooldown_streams_a_hot_key(spark):
+    rng = random.Random(2)
+    rows = [(i, "hot" if i % 3 else f"c{i % 7}", None if i % 11 == 0 else "k", float(rng.randrange(40000))) for i in range(20000)]
+    want, last = {}, {}
+    for i, c, k, t in sorted(rows, key=lambda x: (x[3], x[0])):
+        want[i] = (c, k) not in last or t - last[c, k] >= 45.0
+        last[c, k] = t if want[i] else last[c, k]
+    got = live.cooldown(spark.createDataFrame(rows, "i long, call string, kind string, t double"), ["call", "kind"], "t", 45.0, "i")
+    assert {r.i: r.emitted for r in got.collect()} == want and "collect_list" not in _plan(got)
+
+
+def test_keepers_stream_a_large_group(spark):
+    rng = random.Random(3)
+    when = {i: f"2020-{rng.randrange(1, 13):02d}" for i in range(120)}
+    pairs = [(a, b) for a in range(120) for b in range(a + 1, 120) if rng.random() < 0.5] + [(200, 201), (201, 202)]
+    when |= {200: "2020-01", 201: "2020-01", 202: "2020-02"}
+    gone = {}
+    for a, b in sorted(pairs):
+        if not (a in gone and b in gone):
+            loser, keeper = (a, b) if a in gone or (b not in gone and when[b] > when[a]) else (b, a)
+            gone.setdefault(loser, keeper)
+    got = dedup.resolve_near(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(list(when.items()), "id long, d string"), "id", ["d"])
+    assert {r.id: r.superseded_by for r in got.collect()} == gone and "flatmapgroups" not in _plan(got)
