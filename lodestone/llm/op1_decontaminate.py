@@ -6,6 +6,7 @@ seeds (of a fixed size) enter it. Each pair that may reach the threshold is tile
 are marked again and again, found by running Karp-Rabin, so that reordered passages count in full.
 """
 
+import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -38,7 +39,8 @@ def tiles(pattern: list, text: list, min_match: int = MIN_MATCH) -> list[tuple[i
     """Greedy string tiling: (start in pattern, start in text, length), longest first.
 
     Each round looks for matches of at least `length` unmarked words; matches of over twice that restart the round with their
-    length, as running Karp-Rabin does, and those found are marked from the longest down, each only where nothing is marked.
+    length, as running Karp-Rabin does, and those found are marked from the longest down. Where a part of one is marked, what is
+    left of it waits for its turn, so that the tiles are those of plain greedy tiling.
     """
     ids: dict = {}
     p = np.array([ids.setdefault(w, len(ids)) for w in pattern], np.uint64)
@@ -51,10 +53,19 @@ def tiles(pattern: list, text: list, min_match: int = MIN_MATCH) -> list[tuple[i
         if longest > 2 * length:
             length = longest
             continue
-        for n, i, j in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if free_p[i : i + n].all() and free_t[j : j + n].all():
-                free_p[i : i + n] = free_t[j : j + n] = False
-                out.append((i, j, n))
+        waiting = [(-n, i, j) for n, i, j in found]
+        heapq.heapify(waiting)
+        while waiting:
+            n, i, j = heapq.heappop(waiting)
+            free = free_p[i : i - n] & free_t[j : j - n]
+            if free.all():
+                free_p[i : i - n] = free_t[j : j - n] = False
+                out.append((i, j, -n))
+            elif free.any():
+                edges = np.flatnonzero(np.diff(np.r_[False, free, False].astype(np.int8))).tolist()
+                for x, y in zip(edges[::2], edges[1::2]):
+                    if y - x >= length:
+                        heapq.heappush(waiting, (x - y, i + x, j + x))
         if length == min_match:
             return out
         length = max(min_match, length // 2)

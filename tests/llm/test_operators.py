@@ -411,3 +411,28 @@ def test_language_sample_counts_distinct_texts_and_takes_long_ones(spark):
     count = Counter(lang for _, lang in got)
     assert count == {"xx": 10, "zz": 1, "yy": 1} and all(1000 < len(t.encode()) <= op6.TEXT_BYTES for t, lang in got if lang != "xx")
     assert set(next(t for t, lang in got if lang == "zz").split()) <= {f"w{i}" for i in range(400)}
+
+
+def test_tiles_cover_what_plain_greedy_covers():
+    item = [f"i{n}" for n in range(20)]
+    text = ["x", *item[:9], "y", *item[5:14], "z"]
+    assert sum(n for *_, n in op1.tiles(item, text, 5)) == 14
+    rng = random.Random(18)
+    for _ in range(300):
+        p, t = [rng.choice("ab") for _ in range(rng.randint(0, 25))], [rng.choice("ab") for _ in range(rng.randint(0, 40))]
+        fp, ft, plain = set(), set(), []
+        while True:
+            best = (0, 0, 0)
+            for i in range(len(p)):
+                for j in range(len(t)):
+                    n = 0
+                    while i + n < len(p) and j + n < len(t) and p[i + n] == t[j + n] and i + n not in fp and j + n not in ft:
+                        n += 1
+                    best = max(best, (n, -i, -j))
+            if best[0] < 3:
+                break
+            n, i, j = best[0], -best[1], -best[2]
+            fp |= set(range(i, i + n))
+            ft |= set(range(j, j + n))
+            plain.append((i, j, n))
+        assert op1.tiles(p, t, 3) == plain
