@@ -436,3 +436,94 @@ def test_tiles_cover_what_plain_greedy_covers():
             ft |= set(range(j, j + n))
             plain.append((i, j, n))
         assert op1.tiles(p, t, 3) == plain
+
+
+def test_keys_are_those_of_all_stretches():
+    rng = np.random.default_rng(7)
+    for _ in range(150):
+        width, texts = int(rng.integers(2, 9)), [rng.integers(1, 9 if rng.random() < 0.5 else 2**60, int(rng.integers(0, 60))).astype(np.uint64) for _ in range(3)]
+        want = set()
+        for t, s in enumerate(texts):
+            for i in range(len(s) - width + 1):
+                part = s[i : i + width]
+                h = [(op8.mixed(part ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> np.uint64(32)).astype(np.uint32) for k in (0, 1)]
+                a, b = (part[int(np.maximum(x, 1).argmin())] for x in h)
+                want.add((t, int(op8.mixed(np.array([a]) + np.uint64(1) + op8.mixed(np.array([b]))).view(np.int64)[0])))
+        i, key = op8.keys_of(texts, width, 1)
+        assert set(zip(i.tolist(), key.tolist())) == want and len(i) == len(want)
+        # A long text in parts has the keys of the whole.
+        long = np.concatenate(texts)
+        parts = [long[i : i + 11 + width - 1] for i in range(0, max(1, len(long) - width + 1), 11)]
+        assert {x for p in parts for x in op8.keys_of([p], width, 1)[1].tolist()} == set(op8.keys_of([long], width, 1)[1].tolist())
+
+
+def test_near_passages_against_brute_force(spark):
+    """Passages of 60 to 120 words, some of whose words are changed, in texts of their own: links of all pairs, compared word by word."""
+    rng, rows = random.Random(31), []
+    for c in range(40):
+        base = words(rng, rng.randint(60, 120), 9000).split()
+        for i in range(4):
+            now = [w if rng.random() > 0.012 else f"new{c}x{i}x{j}" for j, w in enumerate(base)]
+            rows.append((10 * c + i, " ".join([words(rng, rng.randint(20, 80), 9000), *now, words(rng, rng.randint(20, 80), 9000)])))
+    rows += [(5000 + i, words(rng, 150, 9000)) for i in range(60)]
+    width = op8.WORDS - op8.SHINGLE + 1
+    sh = {d: op8.shingles(t.encode()) for d, t in rows}
+
+    def similar(a, b):
+        """Whether any stretch of `width` shingles of each has the similarity, both sliding along one offset."""
+        for shift in range(-len(a) + width, len(b) - width + 1):
+            lo, hi = max(0, -shift), min(len(a), len(b) - shift)
+            same = a[lo:hi] == b[lo + shift : hi + shift]
+            if same.sum() >= 0.6 * width:
+                for i in range(lo, hi - width + 1):
+                    x, y = set(a[i : i + width].tolist()), set(b[i + shift : i + shift + width].tolist())
+                    if len(x & y) >= op8.SIMILARITY * len(x | y):
+                        return True
+        return False
+
+    want = {d for c in range(40) for d in range(10 * c, 10 * c + 4) for e in range(10 * c, 10 * c + 4) if d != e and similar(sh[d], sh[e])}
+    got = {r.doc_id: r.class_id for r in op8.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 120 and not set(got) - {d for d, _ in rows if d < 5000}
+    assert len(want & set(got)) >= 0.95 * len(want) and all(got[d] // 10 == d // 10 for d in got)
+
+
+def test_passages_in_blocks_and_of_repetitive_texts(spark):
+    """A bucket that is dealt out in blocks gives the classes of one block; texts of one word over and over stay cheap."""
+    rng, rows = random.Random(33), []
+    line = words(rng, 20, 9000)
+    for c in range(60):
+        own = words(rng, 60, 9000)
+        rows += [(10 * c, f"{own} {line} {words(rng, 40, 9000)}"), (10 * c + 1, f"{words(rng, 30, 9000)} {own} {line}")]
+    rows += [(9000, "again " * 60000), (9001, "again " * 200 + words(rng, 40, 9000)), (9002, "b c " * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: r.class_id for r in op8.repeated_passages(df).collect()}
+    parts = {r.doc_id: r.class_id for r in op8.repeated_passages(df, block=7).collect()}
+    assert whole == parts == {**{10 * c + i: 10 * c for c in range(60) for i in (0, 1)}, 9000: 9000, 9001: 9000}
+
+
+def test_blocks_lose_no_link():
+    """All pairs of different components that exact comparison links are joined, whatever is dealt where."""
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        base, rows = rng.integers(1, 2**60, 60).astype(np.uint64), []
+        for i in range(30):
+            held = base.copy()
+            held[rng.integers(0, 60, int(rng.integers(0, 14)))] = rng.integers(1, 2**60, 1).astype(np.uint64)[0]
+            rows.append((i, i if i > 8 else 0, i > 8, i > 8, 0, held))
+        joined = {}
+
+        def root(x, up):
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        want = {}
+        for i in range(30):
+            for j in range(i):
+                if op8.passages(rows[i][5], rows[j][5], 46, 0.8) or rows[i][1] == rows[j][1]:
+                    x, y = root(i, want), root(j, want)
+                    want[max(x, y)] = min(x, y)
+        for a, b, *_ in op8.links_between(rows, 46, 0.8) + [(i, 0) for i in range(1, 9)]:
+            x, y = root(a, joined), root(b, joined)
+            joined[max(x, y)] = min(x, y)
+        assert [root(i, joined) for i in range(30)] == [root(i, want) for i in range(30)]
