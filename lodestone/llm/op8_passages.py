@@ -86,25 +86,36 @@ def starts_of(windows: tuple[np.ndarray, np.ndarray, np.ndarray], width: int) ->
     return first[some], c[some]
 
 
-def _band_keys(flat: np.ndarray, ends: np.ndarray, width: int, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first start, key) of the stretches of `width` shingles that have a pair of min-hashes in common, ascending; texts end
-    before the places `ends`."""
+def _band_keys(flat: np.ndarray, ends: np.ndarray, width: int, bands: int, apart: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each band (first start, key) of the stretches of `width` shingles that have a pair of min-hashes in common,
+    ascending; texts end before the places `ends`.
+
+    Two min-hashes under `apart` places apart share words and say little more than one: then those of the next band's functions
+    take the second's place, if they lie further off.
+    """
     found = []
-    for k in (2 * band, 2 * band + 1):
+    for k in range(2 * bands):
         # 32 bits order the tokens; keys are made of all 64.
         h = np.zeros(max(len(flat), int(ends[-1]) + 1), np.uint32)
         h[: len(flat)] = mixed(flat ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> np.uint64(32)
         h[h == 0] = 1
         h[ends] = 0
         found.append(starts_of(compact_windows(h, width, width - 1), width))
-    (s1, c1), (s2, c2) = found
-    # Both functions' windows stand for the same stretches: at each start the windows that hold it meet.
-    start = np.union1d(s1, s2)
-    a, b = c1[np.searchsorted(s1, start, "right") - 1], c2[np.searchsorted(s2, start, "right") - 1]
-    return start, mixed(flat[a] + np.uint64(band + 1) + mixed(flat[b]))
-
-
-def keys_of(texts: list[np.ndarray], width: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    for band in range(bands):
+        own = [found[(2 * band + i) % (2 * bands)] for i in range(4)]
+        # All functions' windows stand for the same stretches: at each start the windows that hold it meet.
+        start = np.unique(np.concatenate([s for s, _ in own]))
+        a, b, *others = (c[np.searchsorted(s, start, "right") - 1] for s, c in own)
+        second = b
+        for c in others[::-1]:
+            second = np.where(np.abs(c - a) >= apart, c, second)
+        b = np.where(np.abs(b - a) >= apart, b, second)
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(start)]
+        start, a, b = start[new], a[new], b[new]
+        yield start, mixed(flat[a] + np.uint64(band + 1) + mixed(flat[b]))
+
+
+def keys_of(texts: list[np.ndarray], width: int, bands: int, apart: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(number of the text, key) for the texts' shingle hashes, distinct."""
     parts, owner = [], []
     for i, s in enumerate(texts):
@@ -116,8 +127,7 @@ def keys_of(texts: list[np.ndarray], width: int, bands: int) -> tuple[np.ndarray
     flat, owner = np.concatenate(parts), np.concatenate(owner)
     out_i, out_k = [], []
     ends = np.cumsum([len(p) for p in parts])[1::2] - 1
-    for band in range(bands):
-        start, key = _band_keys(flat, ends, width, band)
+    for start, key in _band_keys(flat, ends, width, bands, apart):
         _, first = np.unique(key ^ mixed(owner[start].astype(np.uint64) + np.uint64(1)), return_index=True)
         out_i.append(owner[start[first]]), out_k.append(key[first].view(np.int64))
     return np.concatenate(out_i), np.concatenate(out_k)
@@ -141,7 +151,7 @@ def _in_batches(batches, k: int, width: int):
 
 def _keys(width: int, bands: int, k: int, batches):
     for ids, parts in _in_batches(batches, k, width):
-        i, key = keys_of(parts, width, bands)
+        i, key = keys_of(parts, width, bands, k)
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.asarray(ids, np.int64)[i])], ["key", "th"])
 
 
@@ -263,14 +273,13 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64() if i < 2 else pa.int32()) for i in range(6)], ["a", "b", "a_start", "a_end", "b_start", "b_end"])
 
 
-def stretches_of(s: np.ndarray, wanted: set[int], width: int, bands: int) -> list[tuple[int, int, np.ndarray]]:
+def stretches_of(s: np.ndarray, wanted: set[int], width: int, bands: int, apart: int = SHINGLE) -> list[tuple[int, int, np.ndarray]]:
     """(key, first place, shingles) of the stretches of a text's shingles s that its windows with a wanted key cover, those of
     equal shingles once."""
     out: dict = {}
     for i in range(0, max(1, len(s) - width + 1), BATCH):
         part = s[i : i + BATCH + width - 1]
-        for band in range(bands):
-            start, key = _band_keys(part, np.array([len(part)]), width, band)
+        for start, key in _band_keys(part, np.array([len(part)]), width, bands, apart):
             last = np.r_[start[1:], len(part) - width + 1]
             for x, y, k in zip(start.tolist(), last.tolist(), key.view(np.int64).tolist()):
                 if k in wanted:
@@ -283,7 +292,7 @@ def _contexts(width: int, bands: int, k: int, batches):
     """Columns: th, keys, text."""
     for b in batches:
         for th, keys, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            found = stretches_of(shingles(text.as_py(), k), set(keys), width, bands)
+            found = stretches_of(shingles(text.as_py(), k), set(keys), width, bands, k)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([th] * len(found), pa.int64()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2].view(np.int64) for x in found], pa.list_(pa.int64()))], ["key", "th", "at", "held"])
 
 
@@ -298,6 +307,7 @@ def links_between(rows: list[tuple], width: int, similarity: float) -> list[tupl
         has[i, n] = 1
     has[:, -1] = 0
     plain = np.array([len(np.unique(r[5])) == len(r[5]) for r in rows])
+    least = np.array([width if x else min(len(np.unique(r[5][i : i + width])) for i in range(len(r[5]) - width + 1)) for r, x in zip(rows, plain)])
     need = int(np.ceil(2 * similarity / (1 + similarity) * width - 1e-9))
     comp = np.array([x[1] for x in rows])
     outside, left = np.array([x[2] for x in rows]), np.array([x[3] for x in rows])
@@ -314,7 +324,9 @@ def links_between(rows: list[tuple], width: int, similarity: float) -> list[tupl
         # Stretches without a repeated shingle are as similar only if so many of one's places are held by the other.
         hits = np.cumsum(has[:, number[i]], axis=1, dtype=np.int32)
         best = (hits[:, width - 1 :] - np.concatenate([np.zeros((len(rows), 1), np.int32), hits[:, :-width]], axis=1)).max(axis=1)
-        near = ((best >= need) | ~plain[i] | ~plain) & (th != th[i]) & (~outside | (th > th[i]))
+        common = has[:, np.unique(number[i])].sum(axis=1)
+        enough = np.where(plain & plain[i], best >= need, common >= similarity / (1 + similarity) * (least + least[i]) - 1e-9)
+        near = enough & (th != th[i]) & (~outside | (th > th[i]))
         for j in np.flatnonzero(near).tolist():
             x, y = root(int(comp[i])), root(int(comp[j]))
             if x == y and (int(th[i]) in linked and (not outside[j] or int(th[j]) in linked)):
@@ -382,6 +394,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         mine = list(zip(*(group.column(c).to_pylist() for c in names), (np.array(x.as_py(), np.int64).view(np.uint64) for x in group.column("held"))))
         return pa.Table.from_batches([_spans(links_between(mine, width, similarity) if any(r[3] for r in mine) else [])])
 
+    # As many partitions as asked for: rows are few next to the work that they make.
+    dealt = dealt.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "key", "i", "j")
     links = cut(links.union(dealt.groupBy("key", "i", "j").applyInArrow(meet, kind)))
     spans = links.select(F.col("a").alias("th"), F.col("a_start").alias("start"), (F.col("a_end") + shingle - 1).alias("end")).union(links.select("b", "b_start", F.col("b_end") + shingle - 1))
     n_words = F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+"))

@@ -449,12 +449,12 @@ def test_keys_are_those_of_all_stretches():
                 h = [(op8.mixed(part ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> np.uint64(32)).astype(np.uint32) for k in (0, 1)]
                 a, b = (part[int(np.maximum(x, 1).argmin())] for x in h)
                 want.add((t, int(op8.mixed(np.array([a]) + np.uint64(1) + op8.mixed(np.array([b]))).view(np.int64)[0])))
-        i, key = op8.keys_of(texts, width, 1)
+        i, key = op8.keys_of(texts, width, 1, 0)
         assert set(zip(i.tolist(), key.tolist())) == want and len(i) == len(want)
         # A long text in parts has the keys of the whole.
         long = np.concatenate(texts)
         parts = [long[i : i + 11 + width - 1] for i in range(0, max(1, len(long) - width + 1), 11)]
-        assert {x for p in parts for x in op8.keys_of([p], width, 1)[1].tolist()} == set(op8.keys_of([long], width, 1)[1].tolist())
+        assert {x for p in parts for x in op8.keys_of([p], width, 3, 2)[1].tolist()} == set(op8.keys_of([long], width, 3, 2)[1].tolist())
 
 
 def test_near_passages_against_brute_force(spark):
