@@ -16,16 +16,17 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     """(node, component) for every node of an edge, component being the smallest node that can be reached.
 
     Nodes are of one orderable type. Null ends and loops are left out; repeated edges change nothing; no edges give no rows.
-    Each round is written to the shared folder, so plans stay short and a lost executor costs one round at most.
+    Each step is written to the shared folder, so plans stay short, a lost executor costs one step at most, and the joins are
+    of written tables: Spark broadcasts a small one by its size and splits a node with most edges where it is skewed.
     """
     now = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = cut(now)
     while True:
         # Large star: of u's neighbours those above u move to the least neighbour.
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_minima(both), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(both.join(cut(_minima(both)), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # Small star: u and its neighbours below move to the least of them. Now v < u holds for every pair.
-        least = _minima(large)
+        least = cut(_minima(large))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         # A forest of stars: no centre hangs on another node, no node on two centres.

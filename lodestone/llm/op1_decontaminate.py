@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, rolling, table, word_hashes
+from lodestone.llm.common import cut, fresh, rolling, table, word_hashes
 
 MIN_MATCH = 5
 #: Share of an item's words that tiles in one document cover.
@@ -155,8 +155,9 @@ def leaks(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: s
 
     Null and empty texts match nothing, nor do items under min_match words. Rows of equal id and text count once, as do rows of
     equal item and item text; null ids and items are kept as they are. Only the named columns are read. Empty tables give no
-    rows. Texts of any length are read whole. Any number of documents may hold an item: seeds meet in a join that Spark
-    splits where skewed, and no pair of documents is made.
+    rows. Texts of any length are read whole. Any number of documents may hold an item: seeds meet in a join
+    that Spark splits where skewed, and no pair of documents is made. A seed that many documents hold meets each item that has
+    it once: what the join gives is bounded by the documents' seeds times the items that share one.
     """
     spark = docs.sparkSession
     got = docs.select(F.xxhash64(id_col, text_col).alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -176,8 +177,9 @@ def leaks(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: s
 
 def decontaminate(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the rows that leak a test item; a row with a null id goes only with its own text."""
-    found = leaks(docs.select(F.xxhash64(id_col, text_col).alias("_rid"), F.col(text_col).alias("_text")), tests, "_rid", "_text", **options).select("_rid").distinct()
-    return docs.join(found, F.xxhash64(id_col, text_col) == F.col("_rid"), "left_anti")
+    row = fresh(docs, "row")
+    found = leaks(docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text")), tests, "row", "text", **options).select(F.col("row").alias(row)).distinct()
+    return docs.join(cut(found), F.xxhash64(id_col, text_col) == F.col(row), "left_anti")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,8 +127,9 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = cut(prints.groupBy("fp").agg(F.min("id").alias("first")))
     found = connected_components(near_links(classes.select("fp"), radius, bucket)).select(F.col("node").alias("fp"), "component")
     classes = classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_class = classes.join(least, "component").select("fp", "component_id")
+    classes = cut(classes)
+    least = cut(classes.groupBy("component").agg(F.min("first").alias("component_id")))
+    of_class = cut(classes.join(least, "component").select("fp", "component_id"))
     return prints.join(of_class, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

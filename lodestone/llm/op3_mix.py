@@ -48,17 +48,27 @@ def _cum(by: list[str], order: str) -> Column:
     return F.sum("words").over(W.partitionBy(*by).orderBy(order))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS, share: float = SHARE, max_copies: float = MAX_COPIES, seed: int = SEED) -> DataFrame:
-    """One row per row of docs: rid (docs' own column, where it has one), the id, source, size, source_size, target, copies, taken.
-
-    A null text has size 0; a null source is a source, the last. Repeated rows stay and are sampled apart; which of equal rows
-    is taken makes no difference. Null ids are sampled like others. A source without a word has target 0, and documents
-    without a word are never taken. An empty table gives no rows. Only the named columns are read, so others may have any name.
-    A source may hold most rows: no step gathers the rows of a source; the cut is found by summing words in bins of ranks, and
-    only the last bin's rows, about a millionth of the source, are put in order.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS, share: float = SHARE, max_copies: float = MAX_COPIES, seed: int = SEED, row_col: str | None = None) -> DataFrame:
+    """One row per row of docs: rid (row_col, a number of its own for each row, where docs has one; else a new one), the id,
+    source, size, source_size, target, copies, taken.
+
+    A null text has size 0; a null source is a source, the last. Rows are drawn by id and size; those that agree in both are
+    numbered, by text, and drawn apart, so repeated rows and null ids are sampled like others. Which of equal rows is taken
+    makes no difference. A source without a word has target 0, and documents without a word are never taken. An empty table
+    gives no rows. Only the named columns are read, so others may have any name. A source may hold most rows: no step gathers
+    the rows of a source; the cut is found by summing words in bins of ranks, and only the last bin's rows, about a millionth
+    of the source, are put in order. What goes through one task is one row for each source, and a sort of the (narrow) rows
+    that agree in id and size.
     """
-    rid = F.col("rid") if "rid" in docs.columns else F.monotonically_increasing_id()
-    sized = cut(docs.select(rid.alias("rid"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.size(word_array(F.col(text_col))).cast("long").alias("size")))
+    rid = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    text = F.col(text_col)
+    sized = docs.select(rid.alias("rid"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.size(word_array(text)).cast("long").alias("size"), F.xxhash64(text).alias("th"))
+    # Null ids are spread by their text before they are numbered.
+    alike = W.partitionBy("id", "size", F.when(F.col("id").isNull(), F.col("th"))).orderBy("th", "rid")
+    name = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("~"), F.col("th").cast("string")))
+    nth = F.row_number().over(alike)
+    key = F.concat_ws(":", name, F.col("size"), F.lit(seed), F.when(nth > 1, nth))
+    sized = cut(sized.withColumn("key", key).drop("th"))
     # Sources join on a key that is never null.
     sized = sized.withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     sized = sized.withColumn("w", F.when((F.col("size") < SCRAP) | (F.col("size") >= HUGE), 0.5).otherwise(1.0))
@@ -69,10 +79,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     classes = cut(classes.withColumn("m", expected).withColumn("sure", F.floor("m")).withColumn("p", F.col("m") - F.col("sure")))
     rest = classes.groupBy("s").agg((F.first("target") - F.sum(F.col("sure") * F.col("class_size"))).alias("rest"))
     docs_ = sized.join(classes.select("s", "w", "source_size", "target", "sure", "p"), ["s", "w"])
-    draw = (F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("size"), F.lit(seed))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    draw = (F.conv(F.substring(F.md5("key"), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     ranked = docs_.withColumn("u", draw).withColumn("q", F.when((F.col("p") > 0) & (F.col("size") > 0), odds))
-    ranked = cut(ranked.withColumn("r", F.col("q") / (1 + F.col("q"))).withColumns({"b1": F.floor(F.col("r") * BINS).cast("int"), "b2": (F.floor(F.col("r") * BINS * BINS) % BINS).cast("int")}).drop("u", "q", "w"))
+    ranked = cut(ranked.withColumn("r", F.col("q") / (1 + F.col("q"))).withColumns({"b1": F.floor(F.col("r") * BINS).cast("int"), "b2": (F.floor(F.col("r") * BINS * BINS) % BINS).cast("int")}).drop("u", "q", "w", "key"))
     drawn = ranked.where("r IS NOT NULL")
     # The first bin that overfills a source, then the first bin within it, then the rows of that one.
     first = drawn.groupBy("s", "b1").agg(F.sum("size").alias("words")).withColumn("cum", _cum(["s"], "b1")).join(rest, "s").where("cum > rest")

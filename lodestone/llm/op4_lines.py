@@ -3,7 +3,8 @@
 A first pass notes in one filter the keys seen once and in another those seen twice. Each task builds both for its own rows;
 merged, a bit pattern that two tasks hold counts as seen twice. Only lines whose key passes the second filter are shuffled,
 grouped by the key itself, counted exactly and given the document that keeps them. A false positive costs a shuffled row and
-never changes the result. The filters have a fixed number of bits, so what is sent to the tasks is bounded for any input.
+never changes the result. The filters have bits in proportion to the text, up to a number, so what is sent to the tasks is
+bounded for any input; beyond it more lines are shuffled. Of the texts only those that lose a line are shuffled.
 """
 
 from collections.abc import Iterator
@@ -11,14 +12,18 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import SPACES, cut, mixed, table
+from lodestone.llm.op1_decontaminate import seed_filter
 
-#: Bits of a filter, a power of two: 2**26 are 8 MB. Once they fill up, more lines are shuffled.
-BITS = 1 << 26
+#: The most bits of a filter, a power of two: 2**28 are 32 MB. Once they fill up, more lines are shuffled.
+BITS = 1 << 28
+#: Bytes of text for each bit of a filter.
+BIT_BYTES = 8
 #: Bytes of a filter that are merged at once.
 SEGMENT = 1 << 16
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -97,7 +102,7 @@ def _merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Ite
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([twice.tobytes()])], ["segment", "twice"])
 
 
-def twice_filter(docs: DataFrame, bits: int = BITS, min_chars: int = MIN_CHARS) -> bytes:
+def twice_filter(docs: DataFrame, bits: int, min_chars: int = MIN_CHARS) -> bytes:
     """The merged filter of keys seen twice: bits / 8 bytes on the driver, however large docs is.
 
     As many tasks as the cluster has cores read docs, so what they send to be merged follows the cluster and not the input.
@@ -122,6 +127,22 @@ def _suspects(shared, bits: int, min_chars: int, batches):
         yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(ids, b.schema.field(1).type), pa.array(at, pa.int32()), pa.array(keys, pa.binary())], ["rid", "id", "line", "key"])
 
 
+def _passed(shared, bits: int, changed: bool, batches):
+    """The rows whose document may lose lines, or those that certainly lose none. Columns: id, rid, text."""
+    mask = np.frombuffer(shared.value, np.uint8)
+    for b in batches:
+        at = b.column(1).to_numpy().view(np.uint64) & np.uint64(bits - 1)
+        may = (mask[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        yield b.filter(pa.array(may == changed))
+
+
+def _whole(shared, bits: int, batches):
+    for b in _passed(shared, bits, False, batches):
+        total = [((t.as_py() or b"").count(b"\n") + 1) for t in b.column(2)]
+        kept = pc.fill_null(b.column(2), b"")
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total, pa.int64()), pa.array(np.zeros(b.num_rows, np.int64)), kept], ["id", "rid", "n_lines", "n_dropped", "kept"])
+
+
 def _drop(batches):
     for b in batches:
         total, dropped, kept = [], [], []
@@ -135,22 +156,35 @@ def _drop(batches):
         yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary())], [*names, "n_lines", "n_dropped", "kept"])
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int = BITS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int | None = None, changed_only: bool = False) -> DataFrame:
     """One row per row of docs: id, row_hash (xxhash64 of id and text), n_lines, n_dropped, kept_text (string).
 
     A line's key is the line stripped of white space and with A-Z lower-cased; keys of at least min_chars code points in at
     least min_docs documents (ids) go, but in the document with the largest id that holds them. Repeated rows of an id count as
     one document and fare alike. All null ids count as one document, smaller than all others. A null or empty text is one empty line. Other columns aren't read. An
-    empty table gives no rows. A document of any length is one row; its lines are cut once.
+    empty table gives no rows. A document of any length is one row; its lines are cut once. bits: of the filters, by the size
+    of the text if None. changed_only: only the rows that lose a line.
     """
     spark = docs.sparkSession
     got = docs.select(F.xxhash64(id_col, text_col).alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    if bits is None:
+        size = got.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        bits = min(BITS, 1 << max(16, (size // BIT_BYTES).bit_length()))
     shared = spark.sparkContext.broadcast(twice_filter(got, bits, min_chars))
     kind = got.schema["id"].dataType.simpleString()
     suspects = cut(got.mapInArrow(partial(_suspects, shared, bits, min_chars), f"rid long, id {kind}, line int, key binary"))
-    repeated = suspects.select("key", "id").distinct().groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
+    # Written before it is joined: Spark broadcasts it by its size, or splits a line with most rows.
+    repeated = cut(suspects.select("key", "id").distinct().groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs))
     gone = suspects.join(repeated, "key").where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("rid", F.col("id").alias("of")).agg(F.collect_set("line").alias("gone"))
-    out = got.join(gone, (got.rid == gone.rid) & got.id.eqNullSafe(gone.of), "left").select("id", got.rid, "text", "gone").mapInArrow(_drop, f"id {kind}, rid long, n_lines long, n_dropped long, kept binary")
+    gone = cut(gone)
+    few = min(1 << 26, 1 << max(16, (16 * gone.count()).bit_length()))
+    mask = spark.sparkContext.broadcast(seed_filter(gone.select(F.col("rid").alias("seed")), few))
+    schema = f"id {kind}, rid long, n_lines long, n_dropped long, kept binary"
+    rows = got.select("id", "rid", "text")
+    may = rows.mapInArrow(partial(_passed, mask, few, True), f"id {kind}, rid long, text binary").join(gone.withColumnRenamed("rid", "own"), (F.col("rid") == F.col("own")) & F.col("id").eqNullSafe(F.col("of")), "inner" if changed_only else "left")
+    out = may.select("id", "rid", "text", "gone").mapInArrow(_drop, schema)
+    if not changed_only:
+        out = out.union(rows.mapInArrow(partial(_whole, mask, few), schema))
     return out.select(F.col("id").alias(id_col), F.col("rid").alias("row_hash"), "n_lines", "n_dropped", F.col("kept").cast("string").alias("kept_text"))
 
 

@@ -24,8 +24,10 @@ UNKNOWN = "und"
 #: The classifier is fitted on at most so many distinct texts of each language, drawn by hash, of a longer one on a run of so many
 #: bytes at most, and on RUNS runs of TRAIN_WORDS words of each language.
 TEXTS, TEXT_BYTES, RUNS = 400, 20_000, 1600
-#: Hashed features; words of a training sequence; words that are labelled in one sequence; gradient steps.
-FEATURES, TRAIN_WORDS, WORDS, STEPS = 1 << 16, 32, 64, 40
+#: Hashed features; words of a training sequence; gradient steps.
+FEATURES, TRAIN_WORDS, STEPS = 1 << 16, 32, 40
+#: The most languages of a model.
+LANGUAGES = 1000
 #: Characters of a word; longer ones are pieces that are words of the same sequence.
 PIECE = 40
 #: Words whose scores a worker keeps.
@@ -147,7 +149,7 @@ def fit(texts: list[tuple[str, str]], steps: int = STEPS, size: int = FEATURES)
 
 
 class Labeller:
-    """A model with the scores of the words it has met lately."""
+    """A model with the factors exp(score) of the words it has met lately, by label, the greatest 1."""
 
     def __init__(self, model: dict):
         self.model, self.k = model, len(model["labels"])
@@ -155,64 +157,81 @@ class Labeller:
 
     def _clear(self):
         self.number, self.n = {}, 0
-        self.scores, self.letters = np.zeros((1024, self.k), np.float32), np.zeros(1024, bool)
+        self.emit, self.letters = np.ones((1024, self.k)), np.zeros(1024, bool)
 
     def ids(self, words: list[str]) -> np.ndarray:
         get = self.number.get
         for w in set(words).difference(self.number):
-            if self.n == len(self.scores):
-                self.scores, self.letters = np.concatenate([self.scores, np.zeros_like(self.scores)]), np.concatenate([self.letters, np.zeros_like(self.letters)])
+            if self.n == len(self.emit):
+                self.emit, self.letters = np.concatenate([self.emit, np.ones_like(self.emit)]), np.concatenate([self.letters, np.zeros_like(self.letters)])
             if has_letter(w):
                 self.letters[self.n] = True
-                self.scores[self.n] = self.model["weights"][features(w, self.model["lexicon"], len(self.model["weights"]))].sum(axis=0)
+                score = self.model["weights"][features(w, self.model["lexicon"], len(self.model["weights"]))].sum(axis=0).astype(np.float64)
+                self.emit[self.n] = np.exp(score - score.max())
             self.number[w] = self.n
             self.n += 1
         return np.fromiter(map(get, words), np.int64, len(words))
 
-    def documents(self, texts: list[str]) -> np.ndarray:
-        """For each text the summed posteriors of its words with a letter, (texts, labels)."""
-        out = np.zeros((len(texts), self.k))
-        if not self.k:
-            return out
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words of each text, posteriors of the labels of every word in turn, whether it has a letter)."""
         if self.n > KEPT:
             self._clear()
         words = [words_of(t) for t in texts]
-        flat = self.ids([w for x in words for w in x])
-        count = np.array([len(x) for x in words])
-        pieces = -(-count // WORDS)
-        owner = np.repeat(np.arange(len(texts)), pieces)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        first = np.repeat(np.cumsum(count) - count, pieces) + nth * WORDS
-        lengths = np.minimum(WORDS, np.repeat(count, pieces) - nth * WORDS)
-        order = np.argsort(-lengths, kind="stable")
-        for i in range(0, len(order), 2048):
-            part = order[i : i + 2048]
-            t = int(lengths[part].max())
-            at = np.minimum(first[part][:, None] + np.arange(t)[None, :], len(flat) - 1)
-            own = flat[at]
-            post, _ = self.posteriors(self.scores[own].astype(np.float64), lengths[part])
-            np.add.at(out, owner[part], (post * self.letters[own][:, :, None]).sum(axis=1))
+        flat, count = self.ids([w for x in words for w in x]), np.array([len(x) for x in words], np.int64)
+        return count, posteriors(self.emit[flat], count, np.exp(self.model["start"]), np.exp(self.model["step"])), self.letters[flat]
+
+    def documents(self, texts: list[str]) -> np.ndarray:
+        """For each text the summed posteriors of its words with a letter, (texts, labels)."""
+        out = np.zeros((len(texts), self.k))
+        if self.k:
+            count, post, letters = self.words(texts)
+            np.add.at(out, np.repeat(np.arange(len(texts)), count)[letters], post[letters])
         return out
 
-    def posteriors(self, scores: np.ndarray, lengths: np.ndarray):
-        """As forward_backward(), without the neighbours."""
-        start, move = np.exp(self.model["start"]), np.exp(self.model["step"])
-        emit = np.exp(scores - scores.max(axis=2, keepdims=True))
-        b, t, _ = emit.shape
-        live = np.arange(t)[None, :] < lengths[:, None]
-        alpha = np.empty_like(emit)
-        x = emit[:, 0] * start
-        alpha[:, 0] = x / x.sum(axis=1, keepdims=True)
-        for i in range(1, t):
-            x = (alpha[:, i - 1] @ move) * emit[:, i]
-            alpha[:, i] = x / x.sum(axis=1, keepdims=True)
-        beta = np.ones_like(emit[:, 0])
-        for i in range(t - 2, -1, -1):
-            x = (emit[:, i + 1] * beta) @ move.T
-            beta = np.where(live[:, i + 1, None], x / x.sum(axis=1, keepdims=True), 1.0)
-            alpha[:, i] *= beta
-        alpha /= alpha.sum(axis=2, keepdims=True)
-        return alpha * live[:, :, None], None
+
+def posteriors(emit: np.ndarray, count: np.ndarray, start: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Forward-backward over whole sequences. emit: (words, labels), sequence after sequence, `count` words each.
+
+    All sequences take each step together, the longest first, so that those that still go on are the first ones.
+    """
+    order = np.argsort(-count, kind="stable")
+    order = order[count[order] > 0]
+    if not len(order):
+        return np.zeros_like(emit)
+    length, first = count[order], (np.cumsum(count) - count)[order]
+    # live[i]: how many sequences have a word i; at[i]: where these words' rows begin in the order of steps.
+    live = len(order) - np.searchsorted(length[::-1], np.arange(length[0]), "right")
+    at = np.r_[0, np.cumsum(live)]
+    place = np.concatenate([first[:n] + i for i, n in enumerate(live.tolist())])
+    x = emit[place]
+    alpha = np.empty_like(x)
+    now = x[: at[1]] * start
+    alpha[: at[1]] = now = now / now.sum(axis=1, keepdims=True)
+    bounds = at.tolist()
+    for i in range(1, len(live)):
+        lo, hi = bounds[i], bounds[i + 1]
+        now = (now[: hi - lo] @ move) * x[lo:hi]
+        now /= now.sum(axis=1, keepdims=True)
+        alpha[lo:hi] = now
+    beta, back = np.ones((live[-1], emit.shape[1])), move.T
+    for i in range(len(live) - 2, -1, -1):
+        lo, hi, end = bounds[i], bounds[i + 1], bounds[i + 2]
+        ahead = (x[hi:end] * beta) @ back
+        ahead /= ahead.sum(axis=1, keepdims=True)
+        beta = np.ones((hi - lo, emit.shape[1]))
+        beta[: end - hi] = ahead
+        alpha[lo:hi] *= beta
+    alpha /= alpha.sum(axis=1, keepdims=True)
+    out = np.empty_like(emit)
+    out[place] = alpha
+    return out
+
+
+def runs_of(words: list[str], post: np.ndarray, labels: list[str]) -> list[dict]:
+    """Runs of words with the same likeliest label: start and end (exclusive) in words, and the language."""
+    best = post.argmax(axis=1)
+    edge = np.r_[0, np.flatnonzero(best[1:] != best[:-1]) + 1, len(best)].tolist() if len(best) else []
+    return [{"start": i, "end": j, "lang": labels[best[i]]} for i, j in zip(edge, edge[1:])]
 
 
 _labeller: dict = {}
@@ -251,7 +270,10 @@ def training_sample(docs: DataFrame, text_col: str, lang_col: str, texts: int =
     run = F.regexp_replace(F.regexp_replace(run, r"^\S{1,40}\s", ""), r"\s\S{1,40}$", "")
     # One number for each language, as the model has. Before anything is shuffled, hashes are cut so that about twice the
     # texts asked for remain, for any number of documents.
-    share = {r["lang"]: min(1.0, 2.0 * texts / r["count"]) for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()}
+    counts = rows.select("lang", "h").distinct().groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"a model has at most {LANGUAGES} languages")
+    share = {r["lang"]: min(1.0, 2.0 * texts / r["count"]) for r in counts}
     if not share:
         return []
     limit = F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, int(v * (1 << 30)))))
@@ -267,7 +289,7 @@ def identify_languages(docs: DataFrame, train: Column, id_col: str = "doc_id", t
     train: a column of docs, true for the rows to learn from; a null or false one, a null language or a null text teaches
     nothing. A null text, one without a letter, or any text where nothing was learned, is `und` with score 0. Only the text
     enters a prediction. Null ids and repeated rows stay. Other columns aren't read. An empty table gives no rows. Texts of any
-    length are labelled whole, in sequences of WORDS words.
+    length are labelled whole, as one sequence. label_words() gives the words' labels.
     """
     model = fit(training_sample(docs.where(train), text_col, lang_col, texts))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -276,6 +298,27 @@ def identify_languages(docs: DataFrame, train: Column, id_col: str = "doc_id", t
     return out.withColumnRenamed("id", id_col)
 
 
+def label_words(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = TEXTS) -> DataFrame:
+    """One row per row of docs: the id and runs, the stretches of words of one language in the order of the text (start, end
+    exclusive, lang). Words as words_of() gives them; learned from as in identify_languages(). No words, or nothing learned, is
+    an empty array."""
+    model = fit(training_sample(docs.where(train), text_col, lang_col, texts))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+
+    def label(batches):
+        own = Labeller(shared.value)
+        for b in batches:
+            found = []
+            for t in b.column(1).to_pylist():
+                found.append(runs_of(words_of(t or ""), own.words([t or ""])[1], own.model["labels"]) if own.k else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], ["id", "runs"])
+
+    out = rows.mapInArrow(label, f"id {rows.schema['id'].dataType.simpleString()}, runs array<struct<start:int,end:int,lang:string>>")
+    return out.withColumnRenamed("id", id_col)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out(F.col("doc_id"), 4)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

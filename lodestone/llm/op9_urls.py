@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, lower_ascii, table
 
-DAMPING, ROUNDS, TOLERANCE = 0.85, 30, 1e-6
+DAMPING, TOLERANCE = 0.85, 1e-6
 #: A host is blocked if its distrust is over so many times its trust.
 OUTWEIGHS = 1.0
 #: (verdict, rule): host, then path from the first slash on.
@@ -49,13 +49,16 @@ def host_links(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("host").alias("u"), target.alias("v")).where("u <> v AND u <> '' AND v <> ''").groupBy("u", "v").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """edges: (u, v, n). seeds: (host, mass), masses of 1 in all. (host, score): personalised PageRank, by power iteration until
-    it changes by less than the tolerance in all. What hosts without links hold goes back to the seeds."""
+    it changes by less than the tolerance in all, as it must: each round's change is at most `damping` times the last one's.
+    What hosts without links hold goes back to the seeds."""
+    if not 0 <= damping < 1:
+        raise ValueError("damping must be below 1")
     out_n = edges.groupBy("u").agg(F.sum("n").alias("whole"))
     share = cut(edges.join(out_n, "u").select("u", "v", (F.col("n") / F.col("whole")).alias("w")))
     now = seeds.select("host", F.col("mass").alias("score"))
-    for _ in range(rounds):
+    while True:
         flow = now.join(share, now.host == share.u)
         moved = flow.groupBy(F.col("v").alias("host")).agg(F.sum(F.col("score") * F.col("w")).alias("come"))
         sent = flow.agg(F.coalesce(F.sum(F.col("score") * F.col("w")), F.lit(0.0)).alias("sent")).first()["sent"]
@@ -65,8 +68,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
         off = new.join(now.withColumnRenamed("score", "old"), "host", "full").agg(F.coalesce(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))), F.lit(0.0)).alias("off")).first()["off"]
         now = new
         if off < tolerance:
-            break
-    return now
+            return now
 
 
 def _seeds(counts: DataFrame, column: str) -> DataFrame:
@@ -74,7 +76,7 @@ def _seeds(counts: DataFrame, column: str) -> DataFrame:
     return counts.where(F.col(column) > 0).select("host", (F.col(column) / F.lit(float(max(1, total)))).alias("mass"))
 
 
-def url_filter(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", outweighs: float = OUTWEIGHS, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def url_filter(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", outweighs: float = OUTWEIGHS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """One row per row of pages: the id, host, path, rule, verdict, trust and distrust (of the host).
 
     A url without :// or null has an empty host and path: no rule fits, it has no links, and it is allowed. A null html has no
@@ -88,9 +90,10 @@ def url_filter(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     judged = cut(read.select("id", "host", "path").join(ruled, ["host", "path"], "left"))
     counts = cut(judged.where("host <> ''").groupBy("host").agg(*(F.sum((F.col("verdict") == v).cast("long")).alias(v) for v in ("allow", "block"))))
     edges = cut(host_links(read))
-    trust = propagate(edges, cut(_seeds(counts, "allow")), damping, rounds)
-    distrust = propagate(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "n"), cut(_seeds(counts, "block")), damping, rounds)
-    of_host = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full")
+    trust = propagate(edges, cut(_seeds(counts, "allow")), damping, tolerance)
+    distrust = propagate(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "n"), cut(_seeds(counts, "block")), damping, tolerance)
+    # Written, so that Spark broadcasts it by its size or splits a host with most pages.
+    of_host = cut(trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full"))
     out = judged.join(of_host, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
     method = F.when(F.col("distrust") > outweighs * F.col("trust"), "block").otherwise("allow")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), "trust", "distrust")

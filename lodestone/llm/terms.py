@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The most terms that are broadcast.
-HEAD = 1 << 18
+#: The most terms that are broadcast, and their most bytes.
+HEAD, HEAD_BYTES = 1 << 18, 1 << 25
 #: A task sends its counts on when it holds so many terms.
 HELD = 1 << 18
 
@@ -87,14 +87,17 @@ def term_counts(docs: DataFrame, extract: Callable, text: str = "text", train: C
     return rows.mapInArrow(partial(counted, extract, kind), f"term {kind}, n long, n_train long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train"))
 
 
-def frequent(values: DataFrame, names: list[str], limit: int = HEAD) -> tuple[list[bytes] | np.ndarray, np.ndarray]:
-    """values: (term, n, *names). The terms above a frequency, at most `limit`, and a row of values for each. All terms of one
-    step of frequency come or none, so the choice doesn't depend on any order."""
+def frequent(values: DataFrame, names: list[str], limit: int = HEAD, most_bytes: int = HEAD_BYTES) -> tuple[list[bytes] | np.ndarray, np.ndarray]:
+    """values: (term, n, *names). The terms above a frequency, at most `limit` of `most_bytes` bytes, and a row of values for
+    each. All terms of one step of frequency come or none, so the choice doesn't depend on any order. Terms of over 256 bytes
+    are left to the join."""
+    long = F.octet_length(F.col("term").cast("string")) > 256
+    values = values.where(~long)
     step = F.floor(8 * F.log2("n"))
-    total, least = 0, math.inf
-    for row in sorted(values.groupBy(step.alias("step")).count().collect(), key=lambda x: -x["step"]):
-        total += row["count"]
-        if total > limit:
+    total, size, least = 0, 0, math.inf
+    for row in sorted(values.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col("term").cast("string"))).alias("size")).collect(), key=lambda x: -x["step"]):
+        total, size = total + row["n"], size + row["size"]
+        if total > limit or size > most_bytes:
             break
         least = row["step"]
     numeric = values.schema["term"].dataType.simpleString() == "bigint"
