@@ -368,20 +368,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     least = cut(rows.groupBy("key").agg(F.min("th").alias("a"), F.max("th").alias("z")).where("a < z").select("key", "a"))
     rows = cut(rows.join(least, "key"))
 
-    def texts(ids: DataFrame, name: str) -> DataFrame:
-        return got.join(ids.select(F.col(name).alias("th")).distinct(), "th", "left_semi").dropDuplicates(["th"]).select(F.col("th").alias(name), F.col("text").alias("t" + name))
-
+    # The texts that share a key, each once. All tables that meet below are written: Spark knows their sizes.
+    names = cut(rows.select("th").distinct())
+    texts = cut(got.select("th", "text").join(names, "th", "left_semi").dropDuplicates(["th"]))
     pairs = cut(rows.where("th <> a").select("a", F.col("th").alias("b")).distinct())
-    both = pairs.join(texts(pairs, "b"), "b").join(texts(pairs, "a"), "a")
+    heads = texts.join(cut(least.select(F.col("a").alias("th")).distinct()), "th", "left_semi")
+    both = pairs.join(texts.select(F.col("th").alias("b"), F.col("text").alias("tb")), "b").join(heads.select(F.col("th").alias("a"), F.col("text").alias("ta")), "a")
     links = cut(both.mapInArrow(partial(_verify, width, similarity, shingle), kind))
-    component = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("th"), "component")
+    component = cut(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("th"), "component"))
     # Buckets with more than one component, and what is outside the largest.
     rows = cut(rows.join(component, "th", "left").select("key", "th", F.coalesce("component", "th").alias("component")))
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
     sizes = cut(sizes.select("key", F.col("most.component").alias("largest"), F.ceil((F.col("n") - F.col("most.n")) / block).cast("int").alias("n_left"), F.ceil(F.col("n") / block).cast("int").alias("n_right")))
     rows = cut(rows.join(sizes, "key").withColumn("outside", F.col("component") != F.col("largest")).drop("largest"))
-    wanted = rows.groupBy("th").agg(F.collect_set("key").alias("keys"))
-    held = wanted.join(texts(wanted, "th"), "th").select("th", "keys", "tth").mapInArrow(partial(_contexts, width, bands, shingle), "key long, th long, at int, held array<long>")
+    wanted = cut(rows.groupBy("th").agg(F.collect_set("key").alias("keys")))
+    open_texts = texts.join(wanted.select("th"), "th", "left_semi")
+    held = wanted.join(open_texts, "th").select("th", "keys", "text").mapInArrow(partial(_contexts, width, bands, shingle), "key long, th long, at int, held array<long>")
     held = cut(rows.join(held, ["key", "th"]))
     left, right = F.pmod(F.xxhash64("th"), F.col("n_left")), F.pmod(F.xxhash64("th"), F.col("n_right"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
