@@ -11,10 +11,13 @@ _LOCAL: dict[str, str] = {}
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as Parquet in the folder that spark.checkpoint.dir names (a temporary one where that is unset), read again."""
+    """df as Parquet in the folder that spark.checkpoint.dir names, read again. Where that is unset it is a temporary folder, if
+    all runs in one process (local tests)."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         folder = _LOCAL[app] = _LOCAL.get(app) or tempfile.mkdtemp(prefix="lodestone-")
     path = f"{folder}/lodestone-{uuid.uuid4().hex}"

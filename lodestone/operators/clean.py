@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.functions.store import cut
 
 # Lines that are furniture of a page, anywhere in the line.
 BOILERPLATE = [r"cookie", r"all rights reserved", r"terms (?:of use|and conditions)", r"privacy policy", r"skip to (?:main )?content", r"back to top", r"share this", r"©|\(c\) \d{4}", r"^page \d+ of \d+$"]
@@ -34,11 +38,13 @@ def clean_lines(lines: DataFrame, threshold: int = 2, min_chars: int = 25, boile
     most documents hold is counted in each task first.
     """
     furniture = any_of(F.col("line"), boilerplate)
-    flagged = lines.withColumn("own", F.when(furniture, "boilerplate").when(any_of(F.col("line"), irrelevant), "irrelevant"))
+    flagged = cut(lines.withColumn("own", F.when(furniture, "boilerplate").when(any_of(F.col("line"), irrelevant), "irrelevant")))
     # Repeats are counted over all lines; the first occurrence only over those that no pattern drops.
     firsts = flagged.where("own IS NULL").groupBy("norm").agg(F.min(F.struct("id", "line_no")).alias("first"))
-    often = repeated_lines(lines, threshold, min_chars).join(firsts, "norm").select("norm", "first")
-    out = flagged.join(often, "norm", "left")
+    often = cut(repeated_lines(flagged, threshold, min_chars).join(firsts, "norm").select("norm", "first"))
+    # Short and blank lines are never repeated ones and take no part in the join.
+    long = F.length("norm") > min_chars
+    out = flagged.where(long).join(often, "norm", "left").unionByName(flagged.where(~F.coalesce(long, F.lit(False))).withColumn("first", F.lit(None).cast(often.schema["first"].dataType)))
     repeat = F.col("first").isNotNull() & (F.struct("id", "line_no") != F.col("first"))
     return out.withColumn("status", F.coalesce("own", F.when(repeat, "repeated"), F.lit("kept"))).drop("own", "first")
 
@@ -56,9 +62,16 @@ def cleaning_stats(lines: DataFrame) -> DataFrame:
 
 
 def record_ids(records: DataFrame, market: str, category: str, order: list[str]) -> DataFrame:
-    """Adds record_id kb_<market>_<category>_<nnn>, numbered within market and category in document order."""
-    n = F.row_number().over(W.partitionBy(market, category).orderBy(*order))
-    return records.withColumn("record_id", F.format_string("kb_%s_%s_%03d", F.col(market), F.col(category), n))
+    """Adds record_id kb_<market>_<category>_<nnn>, numbered within market and category in document order. Records are dealt by
+    ranges of that order and numbered within each, after those of the ranges before, so that a large category takes many tasks."""
+    dealt = cut(records.repartitionByRange(market, category, *order).withColumn("_range", F.spark_partition_id()))
+    group = [F.col(market).alias("_m"), F.col(category).alias("_c"), F.col("_range").alias("_r")]
+    before = F.sum("count").over(W.partitionBy("_m", "_c").orderBy("_r").rowsBetween(W.unboundedPreceding, -1))
+    counts = cut(dealt.groupBy(*group).count().withColumn("_before", F.coalesce(before, F.lit(0))).drop("count"))
+    own = dealt.withColumn("_n", F.row_number().over(W.partitionBy(market, category, "_range").orderBy(*order)))
+    same = F.col(market).eqNullSafe(F.col("_m")) & F.col(category).eqNullSafe(F.col("_c")) & (F.col("_range") == F.col("_r"))
+    n = F.col("_n") + F.col("_before")
+    return own.join(counts, same).withColumn("record_id", F.format_string("kb_%s_%s_%03d", F.col(market), F.col(category), n)).select(*records.columns, "record_id")
 
 
 def versioned(records: DataFrame, previous: DataFrame, id_col: str = "record_id", hash_col: str = "content_hash") -> DataFrame:
@@ -115,27 +128,48 @@ def facts(records: DataFrame, id_col: str, text: Column, patterns: dict[str, tup
 
 def conflicts(found: DataFrame, shown: int = 3) -> DataFrame:
     """(fact, value, n_records, first_ids) of the facts with more than one value. Ids are kept to the smallest few by value."""
-    w = W.partitionBy("fact", "value").orderBy("id")
-    by_value = found.distinct().withColumn("n_records", F.count("*").over(W.partitionBy("fact", "value"))).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= shown)
-    by_value = by_value.groupBy("fact", "value", "n_records").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "id"))), lambda x: x.id.cast("string")), ", ").alias("first_ids"))
-    many = found.groupBy("fact", "value").agg(F.lit(1)).groupBy("fact").agg(F.count("*").alias("values")).where("values > 1").select("fact")
+    rows = cut(found.distinct().withColumn("part", F.pmod(F.xxhash64("id"), F.lit(256))))
+    sizes = rows.groupBy("fact", "value").agg(F.count("*").alias("n_records"))
+    # The smallest ids of each part of a value's records, then of all: no task needs all records of a value.
+    some = rows.withColumn("nth", F.row_number().over(W.partitionBy("fact", "value", "part").orderBy("id"))).where(F.col("nth") <= shown)
+    some = some.withColumn("nth", F.row_number().over(W.partitionBy("fact", "value").orderBy("id"))).where(F.col("nth") <= shown)
+    by_value = some.join(sizes, ["fact", "value"]).groupBy("fact", "value", "n_records").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "id"))), lambda x: x.id.cast("string")), ", ").alias("first_ids"))
+    many = rows.groupBy("fact", "value").agg(F.lit(1)).groupBy("fact").agg(F.count("*").alias("values")).where("values > 1").select("fact")
     return by_value.join(many, "fact", "left_semi")
 
 
 def keyword_score(title: Column, text: Column, keywords: list[str]) -> Column:
     """Counts keywords in title and text: the first occurrence 1, each of four more 0.3, twice that if the title has it."""
-    whole, head = F.lower(F.concat(title, F.lit("\n"), text)), F.lower(title)
-    out = F.lit(0.0)
-    for k in keywords:
-        n = (F.length(whole) - F.length(F.replace(whole, F.lit(k), F.lit("")))) / len(k)
-        out = out + F.when(n > 0, (1.0 + 0.3 * F.least(n - 1, F.lit(4.0))) * F.when(F.contains(head, F.lit(k)), 2.0).otherwise(1.0)).otherwise(0.0)
-    return out
+    return _keyword_score(F.lower(F.concat(title, F.lit("\n"), text)), F.lower(title), keywords)
+
+
+def _keyword_score(whole: Column, head: Column, keywords: list[str]) -> Column:
+    """As keyword_score(), of lower-cased text that has the title in it."""
+
+    def score(k: str) -> Column:
+        weight = F.when(F.contains(head, F.lit(k)), 2.0).otherwise(1.0)
+        return X.let(F.regexp_count(whole, F.lit(re.escape(k))), lambda n: F.when(n > 0, (1.0 + 0.3 * F.least(n - 1, F.lit(4.0))) * weight).otherwise(0.0))
+
+    return reduce(lambda a, b: a + b, map(score, keywords), F.lit(0.0))
+
+
+def classify(records: DataFrame, title: Column, text: Column, categories: dict[str, list[str]], fallback: str, damp: dict[str, float] | None = None, file: Column | None = None, priors: list[tuple[str, str, float]] = ()) -> DataFrame:
+    """Adds category, subcategory and category_score. Ties go to the category named first; without a hit it is `fallback`.
+    priors: (pattern, category, weight) in turn add the weight to the category of a record whose file has the pattern."""
 
+    def scores(x: Column) -> Column:
+        out = []
+        for i, (c, kws) in enumerate(categories.items()):
+            score = _keyword_score(x["whole"], x["head"], kws)
+            for pattern, category, weight in priors if file is not None else ():
+                if category == c:
+                    score = score + F.when(F.coalesce(file, F.lit("")).rlike(pattern), weight).otherwise(0.0)
+            out.append(F.struct((-F.round(score * (damp or {}).get(c, 1.0), 6)).alias("neg"), F.lit(i).alias("ord"), F.lit(c).alias("name")))
+        return F.array_sort(F.array(*out))
 
-def classify(records: DataFrame, title: Column, text: Column, categories: dict[str, list[str]], fallback: str, damp: dict[str, float] | None = None) -> DataFrame:
-    """Adds category, subcategory and category_score. Ties go to the category named first; without a hit it is `fallback`."""
-    scores = [F.struct((-F.round(keyword_score(title, text, kws) * (damp or {}).get(c, 1.0), 6)).alias("neg"), F.lit(i).alias("ord"), F.lit(c).alias("name")) for i, (c, kws) in enumerate(categories.items())]
-    out = records.withColumn("_s", F.array_sort(F.array(*scores)))
+    # Lower-cased once for each record, not for each keyword.
+    base = F.struct(F.lower(F.concat(title, F.lit("\n"), text)).alias("whole"), F.lower(title).alias("head"))
+    out = records.withColumn("_s", X.let(base, scores))
     best, second = F.get("_s", F.lit(0)), F.get("_s", F.lit(1))
     sub = F.when((-second.neg >= 0.6 * -best.neg) & (-second.neg > 1), second["name"])
     return out.withColumn("category", F.when(best.neg < 0, best["name"]).otherwise(fallback)).withColumn("subcategory", sub).withColumn("category_score", -best.neg + 0.0).drop("_s")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import pii
 from lodestone.functions import text as X
+from lodestone.functions.store import cut
 from lodestone.operators import chunk, clean, dedup, search
 from lodestone.plans import tables as T
 from lodestone.sources import files
@@ -38,7 +39,7 @@ def search_confidence(spark, d):
 def filter_fallback(spark, d):
     """Candidates of the item's wanted language (fr for even items, none for odd ones, so these fall back)."""
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
-    scores = _index(spark, d).scores(_t(spark, d, "benchmark"), "item_id", F.col("text")).withColumn("bm25", F.round("bm25", 6)).join(docs, "id")
+    scores = cut(_index(spark, d).scores(_t(spark, d, "benchmark"), "item_id", F.col("text")).withColumn("bm25", F.round("bm25", 6)).join(docs, "id"))
     wanted = F.when(F.col("item_id") % 2 == 0, "fr").otherwise("xx")
     out = search.max_normalised(search.with_fallback(scores, ["item_id"], F.col("lang") == wanted), "item_id", "bm25")
     return search.ranked(out, "item_id", "bm25", 3).select("item_id", F.col("id").alias("doc_id"), "lang", "rank", F.round("bm25_norm", 6).alias("bm25_norm"))
@@ -55,7 +56,7 @@ def cosine_topk(spark, d):
 def hybrid_fusion(spark, d):
     """All documents that share a term with the item or have a positive cosine; what is missing on one side counts 0."""
     e, items = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), _t(spark, d, "benchmark")
-    scores = search.max_normalised(_index(spark, d).scores(items, "item_id", F.col("text")).withColumn("bm25", F.round("bm25", 6)), "item_id", "bm25")
+    scores = search.max_normalised(cut(_index(spark, d).scores(items, "item_id", F.col("text")).withColumn("bm25", F.round("bm25", 6))), "item_id", "bm25")
     q = e.join(items.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
     records = e.join(_t(spark, d, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
     rows = scores.join(search.cosines(q, records).withColumnRenamed("query_id", "item_id"), ["item_id", "id"], "full")
@@ -63,6 +64,41 @@ def hybrid_fusion(spark, d):
     return rows.select("item_id", F.col("id").alias("doc_id"), F.round(score, 5).alias("score"))
 
 
+def boosted_topk(spark, d):
+    """The best of the English documents of any source but src2, with boosts for a source that the item's number names, and for
+    documents with a table where the item begins like a question."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("market"), F.col("source").alias("category"), F.contains("text", F.lit("|")).alias("faq"))
+    items = _t(spark, d, "benchmark")
+    asked = items.select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("named"), F.lower("text").rlike(r"^(the|is|in)\b").alias("question"))
+    scores = _index(spark, d).scores(items, "item_id", F.col("text")).withColumn("bm25", F.round("bm25", 6)).join(docs, "id").join(asked, "item_id")
+    kept = cut(search.with_fallback(cut(scores), ["item_id"], search.passes(market="en", exclude=["src2"])))
+    out = search.top_hits(kept, "item_id", 3, F.col("category") == F.col("named"), F.col("question") & F.col("faq"))
+    return out.select("item_id", F.col("id").alias("doc_id"), "rank", "score")
+
+
+def verdict_tally(spark, d):
+    return search.tally(retrieval_verdict(spark, d))
+
+
+def citations(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.citation(F.col("lang"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("part "), F.col("doc_id").cast("string")))).alias("citation"), X.title_path(F.col("lang"), F.array("lang", "source", F.lit(""))).alias("path"))
+
+
+def cleaning_counts(spark, d):
+    return clean.cleaning_stats(clean.clean_lines(clean.lines_of(_t(spark, d, "documents"), "doc_id", "text")))
+
+
+def tagged_docs(spark, d):
+    tags = {"mail": r"[A-Za-z0-9_.+-]+@", "secret": r"(?i)(?:token|key|secret)\s*=", "table": r"\|"}
+    return _t(spark, d, "documents").select("doc_id", F.array_join(clean.tags(F.col("text"), tags), ",").alias("tags")).where("tags <> ''")
+
+
+def outdated_docs(spark, d):
+    t = _t(spark, d, "documents").select("doc_id", "text", F.concat("source", F.lit("_2023.txt")).alias("file"), F.concat(F.lit("20"), (20 + F.col("doc_id") % 7).cast("string"), F.lit("-01-31")).alias("date"))
+    out = clean.document_flags(t, "text", "file", "date", old_file="src1_2023")
+    return out.select("doc_id", F.array_join("flags", ",").alias("flags"), "superseded")
+
+
 def repeated_lines(spark, d):
     return clean.repeated_lines(clean.lines_of(_t(spark, d, "documents"), "doc_id", "text")).select("norm", "n_docs")
 
@@ -231,7 +267,7 @@ def explained_hits(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, search_confidence, filter_fallback, cosine_topk, hybrid_fusion, repeated_lines, clean_lines, cleaned_documents, exact_dups, near_dups, near_dup_keepers, pii_counts, pii_mask,
+        bm25_topk, search_confidence, filter_fallback, boosted_topk, verdict_tally, citations, cleaning_counts, tagged_docs, outdated_docs, cosine_topk, hybrid_fusion, repeated_lines, clean_lines, cleaned_documents, exact_dups, near_dups, near_dup_keepers, pii_counts, pii_mask,
         pii_kinds, quality_flags, fact_conflicts, classify_docs, record_ids, content_digest, version_bump, manifest_counts, manifest, sample_per_category, normalized_text, text_shape, html_text,
         html_boilerplate, sentence_chunks, sentence_counts, table_to_text, csv_grouped, tail_leads, retrieval_verdict, query_expansion, embedding_cache, explained_hits,
     )

@@ -90,14 +90,15 @@ n AS (SELECT *, bm25 / max(bm25) OVER (PARTITION BY item_id) AS bm25_norm, row_n
 SELECT item_id, doc_id, lang, rank::INT AS rank, round(bm25_norm, 6) AS bm25_norm FROM n WHERE rank <= 3""",
     "cosine_topk": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) + 1e-9 AS n FROM e),
-p AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_sum(list_transform(list_zip(q.v, e.v), lambda x: x[1] * x[2])) / (q.n * e.n), 6) AS cosine FROM n q JOIN n e ON q.vec_id < 20 AND q.vec_id <> e.vec_id),
+p AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_sum(list_transform(list_zip(q.v, e.v), lambda x: x[1] * x[2])) / (q.n * e.n), 6) AS cosine FROM n q JOIN n e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM p)
 SELECT query_id, vec_id, rank::INT AS rank, cosine FROM r WHERE rank <= 5 AND cosine > 0""",
     "hybrid_fusion": f"""WITH {_INDEX},
 e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) + 1e-9 AS n FROM e),
-m AS (SELECT *, bm25 / max(bm25) OVER (PARTITION BY item_id) AS bn FROM scores)
-SELECT item_id, doc_id, round(0.5 * bn + 0.5 * least(1.0, greatest(0.0, list_sum(list_transform(list_zip(q.v, d.v), lambda x: x[1] * x[2])) / (q.n * d.n))), 5) AS score
-FROM m JOIN n d ON d.vec_id = doc_id JOIN n q ON q.vec_id = item_id""",
+m AS (SELECT item_id, doc_id, CASE WHEN max(bm25) OVER (PARTITION BY item_id) > 0 THEN bm25 / max(bm25) OVER (PARTITION BY item_id) ELSE 0 END AS bn FROM scores),
+c AS (SELECT q.vec_id AS item_id, d.vec_id AS doc_id, list_sum(list_transform(list_zip(q.v, d.v), lambda x: x[1] * x[2])) / (q.n * d.n) AS cos
+      FROM n q JOIN n d ON q.vec_id IN (SELECT item_id FROM benchmark) AND d.vec_id IN (SELECT doc_id FROM documents))
+SELECT item_id, doc_id, round(0.5 * coalesce(bn, 0) + 0.5 * least(1.0, greatest(0.0, coalesce(cos, 0))), 5) AS score FROM m FULL JOIN (SELECT * FROM c WHERE cos > 0) USING (item_id, doc_id)""",
     "repeated_lines": f"WITH {_LINES} SELECT norm, count(DISTINCT doc_id)::BIGINT AS n_docs FROM lines WHERE length(norm) > 25 GROUP BY norm HAVING count(DISTINCT doc_id) >= 2",
     "clean_lines": f"WITH {_LINES} SELECT doc_id, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("kept", "repeated", "boilerplate", "irrelevant")) + " FROM marked GROUP BY doc_id",
     "cleaned_documents": f"""WITH {_LINES} SELECT doc_id, md5(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (status = 'kept'), '')) AS text_md5,
@@ -144,8 +145,8 @@ len(list_distinct(list_filter(w, lambda x: length(x) > 2)))::BIGINT AS n_unigram
     "html_boilerplate": """WITH b AS (SELECT page_id, html, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style|nav|header|footer|aside)\\b.*?</(script|style|nav|header|footer|aside)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'), ' ') AS t FROM pages)
 SELECT page_id, length(html) AS html_chars, length(t) AS text_chars, md5(t) AS text_md5, trim(split_part(regexp_extract(html, '<title>([^<]*)', 1), '|', 1), ' ') AS title FROM b""",
     "table_to_text": "SELECT p_partkey, p_name || ' - brand: ' || p_brand || '; type: ' || p_type || '; size: ' || p_size || '.' AS line FROM part",
-    "csv_grouped": """SELECT p_brand AS heading, md5(string_agg('(row ' || (p_partkey + 1) || ') p brand: ' || p_brand || '; p name: ' || p_name || '; p size: ' || p_size || '.', chr(10) ORDER BY p_partkey)) AS text_md5
-FROM part WHERE p_partkey <= 200 GROUP BY p_brand""",
+    "csv_grouped": """SELECT p_brand AS heading, floor((p_partkey - 1) / 1000)::BIGINT AS section, md5(string_agg('(row ' || (p_partkey + 1) || ') p brand: ' || p_brand || '; p name: ' || p_name || '; p size: ' || p_size || '.', chr(10) ORDER BY p_partkey)) AS text_md5
+FROM part GROUP BY ALL""",
     "tail_leads": "SELECT o_orderkey, o_orderstatus FROM (SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 50) WHERE o_orderkey % 7 <> 0",
     "retrieval_verdict": f"""{_TOP}, c AS (SELECT item_id, {_words("lower(text)")}[1:2] AS kw, item_id % 5 = 0 AS oos FROM benchmark),
 h AS (SELECT r.item_id, r.rank, len(list_filter(c.kw, lambda k: NOT contains(lower(d.text), k))) = 0 AS ok FROM ranked r JOIN c USING (item_id) JOIN documents d USING (doc_id) WHERE r.rank <= 3),
@@ -155,7 +156,21 @@ SELECT item_id, CASE WHEN oos THEN CASE WHEN coalesce(tier, 'low') = 'low' THEN
 FROM (SELECT *, array_to_string(list_filter([CASE WHEN t OR o THEN 'article' END, CASE WHEN o THEN 'genitive' END, CASE WHEN i THEN 'place' END], lambda x: x IS NOT NULL), ' ') AS e
 FROM (SELECT *, regexp_matches(lower(text), '\\bthe\\b') AS t, regexp_matches(lower(text), '\\bof\\b') AS o, regexp_matches(lower(text), '\\bin\\b') AS i FROM benchmark))""",
     "embedding_cache": "SELECT DISTINCT sha1('m::' || text) AS k FROM documents WHERE sha1('m::' || text) NOT IN (SELECT sha1('m::' || text) FROM documents WHERE doc_id % 2 = 0)",
-    "explained_hits": f"""WITH {_INDEX}, m AS (SELECT r.item_id, r.doc_id, list_filter(list_distinct({_tokens("b.text")}), lambda x: list_contains(t.tokens, x)) AS m, {_tokens("b.text")} AS q FROM ranked r JOIN benchmark b USING (item_id) JOIN tok t USING (doc_id) WHERE rank = 1)
-SELECT item_id, doc_id, 'matched terms: ' || array_to_string(list_sort(m, 'ASC'), ', ') AS explanation FROM (SELECT item_id, doc_id, m FROM m) WHERE false""",
 }
-del ORACLES["explained_hits"]
+ORACLES |= {
+    "boosted_topk": f"""WITH {_INDEX},
+c AS (SELECT s.*, source, lang, contains(d.text, '|') AS faq, regexp_matches(lower(b.text), '^(the|is|in)\\b') AS question, coalesce(lang = 'en' AND source <> 'src2', false) AS ok
+      FROM scores s JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)),
+k AS (SELECT *, bool_or(ok) OVER (PARTITION BY item_id) AS has_any FROM c),
+n AS (SELECT *, CASE WHEN max(bm25) OVER (PARTITION BY item_id) > 0 THEN bm25 / max(bm25) OVER (PARTITION BY item_id) ELSE 0 END AS bn FROM k WHERE ok OR NOT has_any),
+f AS (SELECT *, round(bn + CASE WHEN source = 'src' || (item_id % 20) THEN 0.08 ELSE 0 END + CASE WHEN question AND faq THEN 0.05 ELSE 0 END, 6) AS score FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f)
+SELECT item_id, doc_id, rank::INT AS rank, score FROM r WHERE rank <= 3 AND score > 0""",
+    "verdict_tally": f"SELECT verdict, count(*) AS n FROM ({ORACLES['retrieval_verdict']}) GROUP BY verdict",
+    "citations": "SELECT doc_id, '[' || lang || '] ' || source || CASE WHEN doc_id % 2 = 0 THEN ', part ' || doc_id ELSE '' END AS citation, lang || ' > ' || source AS path FROM documents",
+    "cleaning_counts": f"WITH {_LINES} SELECT count(*) AS lines, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("boilerplate", "irrelevant", "repeated", "kept")) + " FROM marked",
+    "tagged_docs": """SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '[A-Za-z0-9_.+-]+@') THEN 'mail' END, CASE WHEN regexp_matches(text, '(?i)(?:token|key|secret)\\s*=') THEN 'secret' END,
+CASE WHEN contains(text, '|') THEN 'table' END], lambda x: x IS NOT NULL), ',') AS tags FROM documents WHERE tags <> ''""",
+    "outdated_docs": """WITH t AS (SELECT doc_id, regexp_matches(text, '(?i)superseded by|retained for reference|outdated') AS stale, source = 'src1' OR '20' || (20 + doc_id % 7) || '-01-31' < '2024-01-01' AS older FROM documents)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN stale THEN 'contains_outdated_text' END, CASE WHEN older THEN 'older_edition' END], lambda x: x IS NOT NULL), ',') AS flags, older AS superseded FROM t""",
+}

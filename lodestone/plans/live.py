@@ -86,8 +86,10 @@ def qualification(spark, d):
     age = F.when(k % 17 == 0, F.lit(None).cast("string")).otherwise((15 + F.abs(F.floor(F.col("c_acctbal") / 100)) % 75).cast("string"))
     slots = F.map_from_arrays(F.array(*map(F.lit, ("name", "age", "city", "members", "conditions", "sum_insured"))), F.array("c_name", age, F.when(k % 2 == 0, "Pune").otherwise("Agra"), F.col("c_mktsegment"), cond, F.when(k % 5 == 0, "25 lakh").otherwise("5 lakh")))
     market = F.when(k % 3 == 0, "PH").when(k % 3 == 1, "ID").otherwise("IN")
-    q = _t(spark, d, "customer").select("c_custkey", market.alias("market"), dialogue.qualify(slots, market).alias("q"))
-    return q.select("c_custkey", "market", "q.status", "q.plan", "q.zone", "q.medical", F.array_join("q.reasons", "|").alias("reasons"))
+    # inline() makes the slots, and then the outcome, once for each row.
+    rows = _t(spark, d, "customer").select("c_custkey", F.inline(F.array(F.struct(market.alias("market"), slots.alias("slots")))))
+    q = rows.select("c_custkey", "market", F.inline(F.array(dialogue.qualify(F.col("slots"), F.col("market")))))
+    return q.select("c_custkey", "market", "status", "plan", "zone", "medical", F.array_join("reasons", "|").alias("reasons"))
 
 
 def turn_routes(spark, d):
