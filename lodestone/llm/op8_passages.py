@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, mixed, rolling, table, word_hashes
 from lodestone.llm.components import connected_components
+from lodestone.llm.op1_decontaminate import seed_filter
 from lodestone.llm.op4_lines import SEGMENT, Seen, _merge
 
 SHINGLE, WORDS, SIMILARITY, BANDS = 5, 50, 0.8, 3
@@ -186,6 +187,14 @@ def _repeated(spark: SparkSession, keys: DataFrame, bits: int) -> DataFrame:
     return keys.mapInArrow(partial(_suspects, shared, bits), "key long, th long")
 
 
+def _named(shared, bits: int, batches):
+    """The rows whose first column the filter has."""
+    mask = np.frombuffer(shared.value, np.uint8)
+    for b in batches:
+        at = b.column(0).to_numpy().view(np.uint64) & np.uint64(bits - 1)
+        yield b.filter(pa.array((mask[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)))
+
+
 def passages(a: np.ndarray, b: np.ndarray, width: int, similarity: float) -> list[tuple[int, int, int, int]]:
     """Spans of shingles, (start, end) in a and in b, end exclusive, at least `width` long, whose sets have the similarity.
 
@@ -364,16 +373,25 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = "a long, b long, a_start int, a_end int, b_start int, b_end int"
     got = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text")).where("text IS NOT NULL")
     keys = cut(got.select("th", "text").mapInArrow(partial(_keys, width, bands, shingle), "key long, th long"))
-    rows = cut(_repeated(spark, keys, bits).distinct())
-    least = cut(rows.groupBy("key").agg(F.min("th").alias("a"), F.max("th").alias("z")).where("a < z").select("key", "a"))
-    rows = cut(rows.join(least, "key"))
+    suspects = cut(_repeated(spark, keys, bits))
+    least = cut(suspects.groupBy("key").agg(F.min("th").alias("a"), F.max("th").alias("z")).where("a < z").select("key", "a"))
+
+    def chosen(rows: DataFrame, names: DataFrame, schema: str) -> DataFrame:
+        """The rows whose first column names has, and a few others, chosen by a filter of a bounded size: only they are shuffled."""
+        few = min(1 << 26, 1 << max(16, (16 * names.count()).bit_length()))
+        mask = spark.sparkContext.broadcast(seed_filter(names, few))
+        return rows.mapInArrow(partial(_named, mask, few), schema)
+
+    def texts(names: DataFrame, name: str) -> DataFrame:
+        """The texts named, and a few others, each once."""
+        some = chosen(got.select("th", "text"), cut(names.select(F.col(name).alias("seed")).distinct()), "th long, text binary")
+        return some.dropDuplicates(["th"]).select(F.col("th").alias(name), F.col("text").alias("t" + name))
+
+    rows = cut(chosen(suspects, least.select(F.col("key").alias("seed")), "key long, th long").join(least, "key").distinct())
 
-    # The texts that share a key, each once. All tables that meet below are written: Spark knows their sizes.
-    names = cut(rows.select("th").distinct())
-    texts = cut(got.select("th", "text").join(names, "th", "left_semi").dropDuplicates(["th"]))
     pairs = cut(rows.where("th <> a").select("a", F.col("th").alias("b")).distinct())
-    heads = texts.join(cut(least.select(F.col("a").alias("th")).distinct()), "th", "left_semi")
-    both = pairs.join(texts.select(F.col("th").alias("b"), F.col("text").alias("tb")), "b").join(heads.select(F.col("th").alias("a"), F.col("text").alias("ta")), "a")
+    # The heads' texts are written, so that Spark splits one that most pairs have.
+    both = pairs.join(texts(pairs, "b"), "b").join(cut(texts(pairs, "a")), "a")
     links = cut(both.mapInArrow(partial(_verify, width, similarity, shingle), kind))
     component = cut(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("th"), "component"))
     # Buckets with more than one component, and what is outside the largest.
@@ -382,8 +400,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sizes = cut(sizes.select("key", F.col("most.component").alias("largest"), F.ceil((F.col("n") - F.col("most.n")) / block).cast("int").alias("n_left"), F.ceil(F.col("n") / block).cast("int").alias("n_right")))
     rows = cut(rows.join(sizes, "key").withColumn("outside", F.col("component") != F.col("largest")).drop("largest"))
     wanted = cut(rows.groupBy("th").agg(F.collect_set("key").alias("keys")))
-    open_texts = texts.join(wanted.select("th"), "th", "left_semi")
-    held = wanted.join(open_texts, "th").select("th", "keys", "text").mapInArrow(partial(_contexts, width, bands, shingle), "key long, th long, at int, held array<long>")
+    held = wanted.join(texts(wanted, "th"), "th").select("th", "keys", "tth").mapInArrow(partial(_contexts, width, bands, shingle), "key long, th long, at int, held array<long>")
     held = cut(rows.join(held, ["key", "th"]))
     left, right = F.pmod(F.xxhash64("th"), F.col("n_left")), F.pmod(F.xxhash64("th"), F.col("n_right"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
