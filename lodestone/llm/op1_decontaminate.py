@@ -179,7 +179,7 @@ def decontaminate(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", tex
     """docs without the rows that leak a test item; a row with a null id goes only with its own text."""
     row = fresh(docs, "row")
     found = leaks(docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text")), tests, "row", "text", **options).select(F.col("row").alias(row)).distinct()
-    return docs.join(cut(found), F.xxhash64(id_col, text_col) == F.col(row), "left_anti")
+    return docs.join(found, F.xxhash64(id_col, text_col) == F.col(row), "left_anti")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,7 +94,7 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = {c: fresh(docs, f"{c}_") for c in ("id", "hash", "host", "kept", "gone")}
     verdict = verdict.select(F.col(id_col).alias(names["id"]), F.col("text_hash").alias(names["hash"]), F.col("host").alias(names["host"]), F.col("kept").alias(names["kept"]), F.col("gone").alias(names["gone"]))
     # Equal rows fare alike: one verdict for each.
-    verdict = cut(verdict.dropDuplicates([names["id"], names["hash"], names["host"]]))
+    verdict = verdict.dropDuplicates([names["id"], names["hash"], names["host"]])
     same = F.col(id_col).eqNullSafe(F.col(names["id"])) & (F.xxhash64(text_col) == F.col(names["hash"])) & F.col(host_col).cast("string").eqNullSafe(F.col(names["host"]))
     out = docs.join(verdict, same, "left").where(F.coalesce(names["kept"], F.lit(True)))
     left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains(names["gone"], line_hash(x))), "\n")
