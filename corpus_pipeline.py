@@ -43,7 +43,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, but for one document each; n_chars follows the text. Documents left without a line stay, empty."""
     kept = line_dedup(docs.select("doc_id", "text"), changed_only=True).where("n_dropped > 0")
     own, row, text = (fresh(docs, x) for x in ("own", "row", "kept"))
-    kept = cut(kept.select(F.col("doc_id").alias(own), F.col("row_hash").alias(row), F.col("kept_text").alias(text)).dropDuplicates([own, row]))
+    kept = kept.select(F.col("doc_id").alias(own), F.col("row_hash").alias(row), F.col("kept_text").alias(text)).dropDuplicates([own, row])
     out = docs.join(kept, (F.xxhash64("doc_id", "text") == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(own)), "left")
     changed = F.col(row).isNotNull()
     out = out.withColumn("text", F.when(changed, F.col(text)).otherwise(F.col("text")))
@@ -54,7 +54,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest doc_id."""
     rows, row = _numbered(docs)
     found = simhash_near_dedup(rows.select(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col(row).alias("row")).alias("key"), "text"), "key")
-    kept = cut(found.where("key = component_id").select(F.col("key.row").alias(row)))
+    kept = found.where("key = component_id").select(F.col("key.row").alias(row))
     return rows.join(kept, row, "left_semi").select(docs.columns)
 
 
@@ -73,7 +73,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = fresh(rows, "own")
     mix = mix_sources(rows.select("doc_id", "source", "text", row), row_col=row).where("copies > 0").select(F.col("rid").alias(own), *ADDED)
     theirs = [c for c in docs.columns if c.lower() not in ADDED]
-    return rows.select(row, *theirs).join(cut(mix), F.col(row) == F.col(own)).select(*theirs, *ADDED)
+    return rows.select(row, *theirs).join(mix, F.col(row) == F.col(own)).select(*theirs, *ADDED)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixture", mixture)]
