@@ -10,7 +10,7 @@ import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ MIN_MATCH = 5
 COVERAGE = 0.5
 #: Bits of the filter, a power of two: 2**25 are 4 MB.
 BITS = 1 << 25
+#: Bytes of a filter that are merged at once.
+SEGMENT = 1 << 16
 _WORD = re.compile(r"\w+")
 
 
@@ -107,21 +109,31 @@ def _item_seeds(k: int, batches):
 
 
 def _bits(bits: int, batches):
-    """The filter of a task's seeds, as the places of its bits that are set, by bytes."""
-    mask = np.zeros(bits // 8, np.uint8)
+    """The filter of a task's seeds, in segments; those without a bit are left out."""
+    mask, size = np.zeros(bits // 8, np.uint8), min(SEGMENT, bits // 8)
     for b in batches:
         at = b.column(0).to_numpy().view(np.uint64) & np.uint64(bits - 1)
         np.bitwise_or.at(mask, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-    at = np.flatnonzero(mask)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mask[at].astype(np.int64))], ["byte", "bits"])
+    for i in range(0, bits // 8, size):
+        part = mask[i : i + size]
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([i // size]), pa.array([part.tobytes()])], ["segment", "bits"])
+
+
+def _either(group: pa.Table) -> pa.Table:
+    """Of one segment: the bits that any task has."""
+    whole = reduce(np.bitwise_or, (np.frombuffer(x.as_py(), np.uint8) for x in group.column("bits")))
+    return pa.table({"segment": group.column("segment").slice(0, 1), "bits": pa.array([whole.tobytes()])})
 
 
 def seed_filter(item_seeds: DataFrame, bits: int = BITS) -> bytes:
-    """A Bloom filter of the seeds with one hash function; bits / 8 bytes on the driver, however many items there are."""
-    parts = item_seeds.select("seed").mapInArrow(partial(_bits, bits), "byte long, bits long").groupBy("byte").agg(F.bit_or("bits").alias("bits"))
-    mask = np.zeros(bits // 8, np.uint8)
-    got = parts.toPandas()
-    mask[got["byte"].to_numpy(np.int64)] = got["bits"].to_numpy(np.uint8)
+    """A Bloom filter, with one hash function, of the seeds in the only column: bits / 8 bytes on the driver, however many there
+    are, made by as many tasks as the cluster has cores."""
+    cores = item_seeds.sparkSession.sparkContext.defaultParallelism
+    parts = item_seeds.coalesce(cores).mapInArrow(partial(_bits, bits), "segment long, bits binary").groupBy("segment").applyInArrow(_either, "segment long, bits binary")
+    mask, size = np.zeros(bits // 8, np.uint8), min(SEGMENT, bits // 8)
+    for row in parts.toLocalIterator():
+        mask[row.segment * size : row.segment * size + size] = np.frombuffer(row.bits, np.uint8)
     return mask.tobytes()
 
 
@@ -163,7 +175,7 @@ def leaks(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: s
     got = docs.select(F.xxhash64(id_col, text_col).alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     items = cut(tests.select(F.xxhash64(item_col, item_text_col).alias("iid"), F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("item_text")).dropDuplicates(["iid"]))
     item_seeds = cut(items.select("iid", "item_text").mapInArrow(partial(_item_seeds, min_match), "item long, seed long, times long, item_words int"))
-    shared = spark.sparkContext.broadcast(seed_filter(item_seeds, bits))
+    shared = spark.sparkContext.broadcast(seed_filter(item_seeds.select("seed"), bits))
     suspects = got.select("rid", "text").mapInArrow(partial(_suspects, shared, bits, min_match), "rid long, seed long")
     # A tile of n words starts n - min_match + 1 seeds in the item, at least n / min_match: no pair that may reach the threshold is lost.
     pairs = suspects.join(item_seeds, "seed").groupBy("rid", "item", "item_words").agg(F.sum("times").alias("seeds")).where(F.col("seeds") * min_match >= coverage * F.col("item_words"))
