@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,6 +24,38 @@ FIELD_NAMES = {
     "mobile": "mobile_number", "phone": "mobile_number", "emailid": "email", "email": "email", "pincode": "pin_code", "pin": "pin_code", "policyterm": "policy_term",
     "suminsured": "sum_insured", "suminsuredrs": "sum_insured", "annualpremiumrsexclgst": "annual_premium_excl_gst",
 }
+# Terminology rewrites, in order.
+TERMS = [
+    (r"(?i)\bcash[\s-]?less hospitali[sz]ation\b", "cashless hospitalisation"),
+    (r"(?i)\bhospitalization\b", "hospitalisation"),
+    (r"(?i)\bhospitalized\b", "hospitalised"),
+    (r"(?i)\bco[\s-]?pay(?:ment)?s?\b", "co-payment"),
+    (r"(?i)\bcopayment\b", "co-payment"),
+    (r"(?i)\bpre[\s-]?existing (?:disease|condition)s?\b", "pre-existing disease"),
+    (r"\bPEDs?\b", "pre-existing disease"),
+    (r"(?i)\bno[\s-]?claim bonus\b", "no-claim bonus"),
+    (r"(?i)\bupto\b", "up to"),
+    (r"(?i)\blife[\s-]?time renewab", "lifetime renewab"),
+    (r"(?i)\bhealth check[\s-]?ups?\b", "health check-up"),
+    (r"(?i)\bsum assured\b", "sum insured"),
+    (r"(?i)\bRs\.?\s?(\d[\d,.]*)\s?(?:lacs?|lakhs?|L)\b", "Rs $1 lakh"),
+    (r"(?i)\b(\d[\d,.]*)\s?lacs?\b", "$1 lakh"),
+    (r"\b(\d+)\s?%", "$1%"),
+    (r"(?i)\byrs?\b", "years"),
+    (r"(?i)\bu/s\s+80D\b", "under Section 80D"),
+    (r"\bTAT\b", "turnaround time"),
+    (r"\bPPME\b", "pre-policy medical examination"),
+]
+_NAMED = "((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]{0,6})"
+# Forms of a document's date, with the groups of year, month and day (0: the first of the month).
+DATE_FORMS = [
+    (r"\b(\d{4})-(\d{2})-(\d{2})\b", 1, 2, 3),
+    (r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", 3, 2, 1),
+    (r"(?i)\b(\d{1,2})-(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)-(\d{4})\b", 3, 2, 1),
+    (rf"\b{_NAMED}\s+(\d{{1,2}}),\s+(\d{{4}})\b", 3, 1, 2),
+    (rf"\b(\d{{1,2}})\s+{_NAMED}\s+(\d{{4}})\b", 3, 2, 1),
+    (rf"\b{_NAMED}[\s-](\d{{4}})\b", 2, 1, 0),
+]
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -49,6 +82,16 @@ def rewrite(text: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules, text)
 
 
+def normalize_terms(text: Column, rules: list[tuple[str, str]] = TERMS, names: list[str] = ()) -> Column:
+    """One term for each thing; of `names`, those written in capitals get their usual form."""
+    return rewrite(text, [*rules, *((rf"\b{re.escape(n.upper())}\b", n) for n in names)])
+
+
+def normalize_text(text: Column, rules: list[tuple[str, str]] = TERMS, names: list[str] = ()) -> Column:
+    """White space, then dates, then terms."""
+    return normalize_terms(normalize_dates(normalize_whitespace(text)), rules, names)
+
+
 def standardize_heading(h: Column) -> Column:
     """Without number or section prefix; capitals become title case, other words a capital first, short acronyms stay."""
     h = F.regexp_replace(normalize_whitespace(h), r"(?i)^section\s+[a-z]\s*-\s*", "")
@@ -75,9 +118,28 @@ def version_of(text: Column) -> Column:
 
 
 def first_date(text: Column) -> Column:
-    """The first date, ISO, in the first 600 characters; null without one."""
-    d = F.regexp_extract(normalize_dates(F.substring(text, 1, 600)), r"\b(\d{4}-\d{2}-\d{2})\b", 1)
-    return F.nullif(d, F.lit(""))
+    """The date, ISO, that stands first in the first 600 characters, in any of the forms; at the same place the earlier form's.
+    Null without one."""
+
+    def found(head: Column) -> Column:
+        rows = []
+        for i, (p, year, month, day) in enumerate(DATE_FORMS):
+            part = lambda g: F.regexp_extract(head, p, g)  # noqa: B023, E731
+            at = F.array_position(F.array(*(F.lit(m) for m in MONTHS)), F.lower(F.substring(part(month), 1, 3)))
+            number = F.when(at > 0, at.cast("string")).otherwise(part(month))
+            iso = F.concat_ws("-", part(year), F.lpad(number, 2, "0"), F.lpad(part(day), 2, "0") if day else F.lit("01"))
+            place = F.regexp_instr(head, F.lit(p))
+            rows.append(F.when(place > 0, F.struct(place.alias("place"), F.lit(i).alias("form"), iso.alias("iso"))))
+        return F.array_min(F.array(*rows)).getField("iso")
+
+    return let(F.substring(text, 1, 600), found)
+
+
+def page_date(html: Column, text: Column) -> Column:
+    """The day of "last updated on 31/12/2024" where the page says so, else the text's first date."""
+    said = r"last updated on (\d{2})/(\d{2})/(\d{4})"
+    day = F.concat_ws("-", *(F.regexp_extract(html, said, g) for g in (3, 2, 1)))
+    return F.when(html.rlike(said), day).otherwise(first_date(text))
 
 
 def norm_line(line: Column) -> Column:

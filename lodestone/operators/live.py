@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +40,23 @@ def with_clock(turns: DataFrame, call: str, turn: str, text: str, per_word: floa
     return timed.withColumn("t_end", end).withColumn("t_start", F.round(F.col("t_end") - F.col("_dur"), 6)).drop("_dur")
 
 
+def scripted(spark: SparkSession, scenarios: dict[str, list[tuple[str, float, str]]]) -> DataFrame:
+    """scenarios: name to (speaker, seconds, text) in turn. (call, turn, speaker, text, t_start, t_end), one turn after another."""
+    rows = [(name, i, s, t, float(d)) for name, turns in scenarios.items() for i, (s, d, t) in enumerate(turns)]
+    said = spark.createDataFrame(rows, "call string, turn int, speaker string, text string, seconds double")
+    end = F.sum("seconds").over(W.partitionBy("call").orderBy("turn").rowsBetween(W.unboundedPreceding, 0))
+    return said.withColumn("t_end", end).withColumn("t_start", F.col("t_end") - F.col("seconds")).drop("seconds")
+
+
+def outcomes(shown: DataFrame, expected: DataFrame) -> DataFrame:
+    """shown: nudges; expected: (call, kinds). (call, kinds, emitted, passed): all expected kinds were emitted, and none at all
+    where none is expected."""
+    got = shown.where(~F.col("suppressed")).groupBy("call").agg(F.array_sort(F.collect_set("kind")).alias("emitted"))
+    out = expected.join(got, "call", "left").withColumn("emitted", F.coalesce("emitted", F.array().cast("array<string>")))
+    missed = F.size(F.array_except("kinds", "emitted"))
+    return out.withColumn("passed", F.when(F.size("kinds") == 0, F.size("emitted") == 0).otherwise(missed == 0))
+
+
 def signals(lines: DataFrame, call: str, order: str, text: str, rules=RULES, disclosed: str = DISCLOSED, disclose_by: float = DISCLOSE_BY) -> DataFrame:
     """lines: call, order, text, speaker, t_end. (call, order, seq, kind, confidence, evidence, t_end, speaker), one row a signal,
     in the order in which they are considered: the rules of the line, then a missing disclosure."""

@@ -193,6 +193,27 @@ def normalized_text(spark, d):
     return t.select("doc_id", F.md5(text).alias("text_md5"), X.token_estimate(F.col("text")).alias("token_estimate"), F.md5(X.clip(F.col("text"))).alias("clip_md5"))
 
 
+def normalized_terms(spark, d):
+    """Each text behind a phrase with dates and terms in other forms."""
+    return _t(spark, d, "documents").select("doc_id", F.md5(X.normalize_text(F.expr(T.PHRASED), names=T.PLANS)).alias("text_md5"))
+
+
+def document_dates(spark, d):
+    """The first of the dates of each text, behind two dates of changing forms."""
+    return _t(spark, d, "documents").select("doc_id", X.first_date(F.expr(T.DATED_TEXT)).alias("date"))
+
+
+def page_dates(spark, d):
+    """The day of the last update of every third page, of others the first date of its text."""
+    p = _t(spark, d, "pages").select("page_id", F.expr(T.DATED_PAGE).alias("html"))
+    return p.select("page_id", X.page_date(F.col("html"), F.regexp_replace("html", "<[^>]*>", " ")).alias("date"))
+
+
+def record_lookup(spark, d):
+    """A record by its id; the lookup of one is the feature."""
+    return search.by_id(_t(spark, d, "documents"), "doc_id", 17).select("doc_id", "lang", "source", F.md5("text").alias("text_md5"))
+
+
 def text_shape(spark, d):
     norm = X.norm_text(F.col("text"))
     t = _t(spark, d, "documents")
@@ -269,6 +290,6 @@ QUERIES = {
     for f in (
         bm25_topk, search_confidence, filter_fallback, boosted_topk, verdict_tally, citations, cleaning_counts, tagged_docs, outdated_docs, cosine_topk, hybrid_fusion, repeated_lines, clean_lines, cleaned_documents, exact_dups, near_dups, near_dup_keepers, pii_counts, pii_mask,
         pii_kinds, quality_flags, fact_conflicts, classify_docs, record_ids, content_digest, version_bump, manifest_counts, manifest, sample_per_category, normalized_text, text_shape, html_text,
-        html_boilerplate, sentence_chunks, sentence_counts, table_to_text, csv_grouped, tail_leads, retrieval_verdict, query_expansion, embedding_cache, explained_hits,
+        html_boilerplate, normalized_terms, document_dates, page_dates, record_lookup, sentence_chunks, sentence_counts, table_to_text, csv_grouped, tail_leads, retrieval_verdict, query_expansion, embedding_cache, explained_hits,
     )
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.functions.text import STOP_WORDS
+from lodestone.functions.text import DATE_FORMS, MONTHS, STOP_WORDS, TERMS
 from lodestone.operators.clean import BOILERPLATE, IRRELEVANT
 from lodestone.plans import tables as T
 
@@ -72,12 +72,33 @@ _INTENT = " ".join(f"WHEN '{c}' THEN '{','.join(sorted(v))}'" for c, v in T.INTE
 _FLAG = " || ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN ',{n}' ELSE '' END" for n, p in T.FLAGS.items())
 
 
-def _rewrites(text: str) -> str:
-    for p, r in T.REWRITES:
-        text = f"regexp_replace({text}, '{p}', '{r.replace('$1', chr(92) + '1')}', 'g')"
+def _rewrites(text: str, rules=T.REWRITES) -> str:
+    for p, r in rules:
+        text = f"regexp_replace({text}, '{p}', '{r.replace('$', chr(92))}', 'g')"
     return text
 
 
+def _date_rules() -> list[tuple[str, str]]:
+    """Dates to ISO: numbers get a zero in front, those of two digits lose it again."""
+    rules = [(r"\b(0?[1-9]|[12]\d|3[01])/(0?[1-9]|1[0-2])/(\d{4})\b", "$3-0$2-0$1")]
+    for i, m in enumerate(MONTHS, 1):
+        rules.append((rf"\b{m.capitalize()}[a-z]*\s+(\d{{1,2}}),\s+(\d{{4}})\b", f"$2-{i:02d}-0$1"))
+        rules.append((rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?[ -]{m}[a-z]*,?[ -](\d{{4}})\b", f"$2-{i:02d}-0$1"))
+    return [*rules, (r"\b(\d{4})-0?(\d{2})-0?(\d{2})\b", "$1-$2-$3")]
+
+
+def _first_date(table: str, key: str, text: str) -> str:
+    """Of each form the place of its first match, marked by a character that no text has, and its date."""
+    rows = []
+    for i, (p, year, month, day) in enumerate(DATE_FORMS):
+        part = lambda g: f"regexp_extract(h, '{p}', {g})"  # noqa: B023, E731
+        at = f"strpos('{''.join(MONTHS)}', lower(left({part(month)}, 3)))"
+        number = part(month) if i < 2 else f"(({at} + 2) // 3)::VARCHAR"
+        last = f"lpad({part(day)}, 2, '0')" if day else "'01'"
+        rows.append(f"{{'p': strpos(regexp_replace(h, '{p}', chr(1)), chr(1)), 'f': {i}, 'd': {part(year)} || '-' || lpad({number}, 2, '0') || '-' || {last}}}")
+    return f"SELECT {key}, list_sort(list_filter([{', '.join(rows)}], lambda x: x.p > 0))[1].d AS date FROM (SELECT {key}, left({text}, 600) AS h FROM {table})"
+
+
 _SPACE = "trim(regexp_replace(regexp_replace(translate(text, ' ’–—', ' ''--'), '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), ' ')"
 
 ORACLES = {
@@ -174,3 +195,11 @@ CASE WHEN contains(text, '|') THEN 'table' END], lambda x: x IS NOT NULL), ',')
     "outdated_docs": """WITH t AS (SELECT doc_id, regexp_matches(text, '(?i)superseded by|retained for reference|outdated') AS stale, source = 'src1' OR '20' || (20 + doc_id % 7) || '-01-31' < '2024-01-01' AS older FROM documents)
 SELECT doc_id, array_to_string(list_filter([CASE WHEN stale THEN 'contains_outdated_text' END, CASE WHEN older THEN 'older_edition' END], lambda x: x IS NOT NULL), ',') AS flags, older AS superseded FROM t""",
 }
+ORACLES |= {
+    "normalized_terms": f"""SELECT doc_id, md5({_rewrites("t", [*_date_rules(), *TERMS, ("ACME PLUS", "Acme Plus")])}) AS text_md5
+FROM (SELECT doc_id, {_SPACE.replace("translate(text,", f"translate({T.PHRASED},")} AS t FROM documents)""",
+    "document_dates": _first_date("documents", "doc_id", T.DATED_TEXT),
+    "page_dates": f"""WITH p AS (SELECT page_id, {T.DATED_PAGE} AS html FROM pages), f AS ({_first_date("p", "page_id", "regexp_replace(html, '<[^>]*>', ' ', 'g')")})
+SELECT page_id, CASE WHEN contains(html, 'last updated on ') THEN regexp_replace(regexp_extract(html, 'last updated on (\\d{{2}}/\\d{{2}}/\\d{{4}})', 1), '(..)/(..)/(....)', '\\3-\\2-\\1') ELSE date END AS date FROM p JOIN f USING (page_id)""",
+    "record_lookup": "SELECT doc_id, lang, source, md5(text) AS text_md5 FROM documents WHERE doc_id = 17",
+}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.operators import dialogue, live
 from lodestone.plans import tables as T
+from lodestone.sources import files
 
 _DAY = 86400.0
 
@@ -107,7 +108,21 @@ def call_flags(spark, d):
     return dialogue.call_flags(c, "conv_id", {"has_system": F.col("role") == "system", "long_turn": F.length("text") > 500})
 
 
-QUERIES = {f.__name__: f for f in (turn_clock, live_signals, call_nudges, nudge_cooldown, active_nudges, latency_summary, controller_stats, precision_proxy, signal_dedup, slot_fill, qualification, turn_routes, call_history, call_flags)}
+def scenario_outcomes(spark, d):
+    """The scripted calls under the default rules."""
+    s = live.signals(live.scripted(spark, T.SCENARIOS), "call", "turn", "text")
+    expected = spark.createDataFrame(list(T.EXPECTED.items()), "call string, kinds array<string>")
+    out = live.outcomes(live.nudges(s, "call", ["turn", "seq"]), expected)
+    return out.select("call", F.array_join("kinds", ",").alias("kinds"), F.array_join("emitted", ",").alias("emitted"), "passed")
+
+
+def masked_turns(spark, d):
+    """Every turn as masked JSON and as a masked line."""
+    m = files.masked_transcripts(_t(spark, d, "conversations"), "conv_id", "turn", "role", "text")
+    return m.select(F.col("call").alias("conv_id"), "turn", F.md5("json").alias("json_md5"), F.md5("line").alias("line_md5"), F.array_join("kinds", ",").alias("kinds"))
+
+
+QUERIES = {f.__name__: f for f in (scenario_outcomes, masked_turns, turn_clock, live_signals, call_nudges, nudge_cooldown, active_nudges, latency_summary, controller_stats, precision_proxy, signal_dedup, slot_fill, qualification, turn_routes, call_history, call_flags)}
 
 _CLOCK = r"""
 c AS (SELECT *, round(least(12.0, greatest(2.0, len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '')) * 0.38::DOUBLE)), 6) AS dur, CASE WHEN lower(role) IN ('customer', 'cust', 'user') THEN 'customer' ELSE 'agent' END AS speaker FROM conversations),
@@ -156,3 +171,5 @@ SELECT c_custkey, market,
     "call_history": "SELECT conv_id, turn, md5(concat_ws(chr(10), lag(text, 2) OVER w, lag(text, 1) OVER w, text)) AS history_md5 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "call_flags": "SELECT conv_id, bool_or(role = 'system') AS has_system, bool_or(length(text) > 500) AS long_turn FROM conversations GROUP BY conv_id",
 }
+_EXPECTED = ", ".join(f"('{k}', '{','.join(v)}')" for k, v in T.EXPECTED.items())
+ORACLES["scenario_outcomes"] = f"SELECT call, kinds, kinds AS emitted, true AS passed FROM (VALUES {_EXPECTED}) v(call, kinds)"

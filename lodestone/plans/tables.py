@@ -20,3 +20,34 @@ LIVE = [
     ("agent", "compliance_gap", 0.93, _WORD % "thing|nicht|pour"),
 ]
 DISCLOSED = _WORD % "this|sich|avec"
+#: Scripted calls: (speaker, seconds, text) in turn, and the kinds of nudge that each should give.
+SCENARIOS = {
+    "second_car": [("agent", 6, "Good day, this call is being recorded."), ("customer", 5, "It is for me alone."), ("customer", 6, "There is a second car in the family, too.")],
+    "undisclosed": [("agent", 5, "Good day, approval is guaranteed with us."), ("customer", 4, "Is that so?"), ("agent", 4, "It is.")],
+    "upset": [("agent", 5, "Good day, this call is being recorded."), ("customer", 4, "I am 42 years old."), ("agent", 3, "How old are you?"), ("customer", 5, "This is ridiculous.")],
+    "noise": [("agent", 5, "Good day, this call is being recorded."), ("customer", 4, "hm, well, one moment"), ("customer", 4, "perhaps next year")],
+    "salary": [("agent", 5, "Selamat siang, panggilan ini direkam."), ("customer", 5, "Mahal banget, gaji belum ada."), ("customer", 4, "Today is not a good time.")],
+}
+EXPECTED = {"second_car": ["missed_cross_sell"], "undisclosed": ["compliance_gap"], "upset": ["rising_frustration"], "noise": [], "salary": ["callback_need", "payment_difficulty"]}
+_M = "'January,February,March,April,May,June,July,August,September,October,November,December'"
+
+
+def dated(n: str) -> str:
+    """SQL of both engines: a date in one of six forms, or none, by the number n."""
+    text = lambda x: f"CAST({x} AS STRING)"
+    day, month, year = f"({n} % 28 + 1)", f"({n} % 12 + 1)", text(f"(2000 + {n} % 25)")
+    name, two = f"split_part({_M}, ',', CAST({month} AS INT))", lambda x: f"lpad({text(x)}, 2, '0')"
+    forms = [f"{year}, '-', {two(month)}, '-', {two(day)}", f"{text(day)}, '/', {text(month)}, '/', {year}", f"{two(day)}, '-', substr({name}, 1, 3), '-', {year}", f"{name}, ' ', {text(day)}, ', ', {year}", f"{text(day)}, ' ', {name}, ' ', {year}", f"{name}, ' ', {year}"]
+    return f"CASE {n} % 7 " + " ".join(f"WHEN {i} THEN concat({x})" for i, x in enumerate(forms)) + " ELSE 'Smarch 12, 2020' END"
+
+
+#: A text with two dates before it, and a page with the day of its last update, by number.
+DATED_TEXT = f"concat('Notes of ', {dated('doc_id')}, ', seen ', {dated('(doc_id * 3 + 1)')}, '. ', text)"
+DATED_PAGE = f"concat('<p>', {dated('page_id')}, '</p>', html, CASE WHEN page_id % 3 = 0 THEN concat('last updated on ', lpad(CAST(page_id % 28 + 1 AS STRING), 2, '0'), '/07/2021') ELSE '' END)"
+#: Terms in their many forms, put before a text by its number.
+PHRASES = [
+    "Cash-less hospitalization upto Rs. 5 lacs, 3 lac more for 10 % of members", "copayments, co payments and a co-pay; PEDs or pre existing conditions of 2 yrs", "TAT of the PPME and u/s 80D; hospitalized on 3/4/2024",
+    "ACME PLUS with no claim bonus, life-time renewability, health check ups on Mar 7, 2024", "sum assured of Rs 2,50,000 L on 21st March 2024", "upto 1 yr",
+]
+PHRASED = "concat(CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PHRASES)) + " END, ' ', text)"
+PLANS = ["Acme Plus"]

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.functions import pii
+from lodestone.functions.store import cut
+
 SECTION = "struct<headings array<string>, text string, locator string, kind string>"
 DOCUMENT = f"path string, source_type string, status string, error string, title string, sections array<{SECTION}>, fingerprint string"
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -211,23 +214,34 @@ def load(path: str, raw: bytes) -> dict:
     return row
 
 
-def read_documents(spark: SparkSession, roots: list[tuple[str, str, str]], skip: list[str] = ()) -> DataFrame:
-    """roots: (path, market, language). One row per file in any folder below; names that start with . or _ and those in skip
-    are left out. Each task reads and parses its own files."""
+def discover(spark: SparkSession, roots: list[tuple[str, str, str]], skip: list[str] = ()) -> DataFrame:
+    """(path, content, market, language, root) of every file in any folder below the roots; names that start with . or _ and
+    those in skip are left out. root is the place in the list."""
     found = None
-    for root, market, language in roots:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content", F.lit(market).alias("market"), F.lit(language).alias("language"))
+    for i, (root, market, language) in enumerate(roots):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        files = files.select("path", "content", F.lit(market).alias("market"), F.lit(language).alias("language"), F.lit(i).alias("root"))
         found = files if found is None else found.unionByName(files)
     found = found.where(~F.col("path").rlike(r"/[._][^/]*(?:/|$)"))
-    if skip:
-        found = found.where(~F.element_at(F.split("path", "/"), -1).isin(list(skip)))
+    return found.where(~F.element_at(F.split("path", "/"), -1).isin(list(skip))) if skip else found
+
+
+def in_file_order(found: DataFrame) -> DataFrame:
+    """Files by root, then by the parts of their paths: the order in which records are numbered. Select what is needed first;
+    without `content` no file is read."""
+    return found.orderBy("root", F.split("path", "/"))
+
+
+def read_documents(spark: SparkSession, roots: list[tuple[str, str, str]], skip: list[str] = ()) -> DataFrame:
+    """roots: (path, market, language). One row per file that discover() finds. Each task reads and parses its own files."""
+    found = discover(spark, roots, skip)
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = pd.DataFrame([load(p, bytes(c)) for p, c in zip(b["path"], b["content"])], columns=["path", "source_type", "status", "error", "title", "sections"])
-            yield rows.assign(fingerprint=b["fp"].to_numpy(), market=b["market"].to_numpy(), language=b["language"].to_numpy())
+            yield rows.assign(fingerprint=b["fp"].to_numpy(), **{c: b[c].to_numpy() for c in ("market", "language", "root")})
 
-    return found.withColumn("fp", F.substring(F.sha1("content"), 1, 12)).mapInPandas(parsed, f"{DOCUMENT}, market string, language string")
+    return found.withColumn("fp", F.substring(F.sha1("content"), 1, 12)).mapInPandas(parsed, f"{DOCUMENT}, market string, language string, root int")
 
 
 @F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("n_sections", "n_lists", "n_tables"))]))
@@ -253,10 +267,25 @@ def write_records(df: DataFrame, path: str, mode: str = "overwrite", partition_b
     (w.partitionBy(*partition_by) if partition_by else w).json(path)
 
 
+def masked_transcripts(turns: DataFrame, call: str, turn: str, role: str, text: str, more: list[str] = ()) -> DataFrame:
+    """(call, turn, json, line, kinds): each turn as JSON and as a line `role: text`, personal data masked in the serialised
+    values of both; kinds are those of the JSON. A row a turn, so a call of any length is never held whole."""
+    rows = turns.select(F.col(call).alias("call"), F.col(turn).alias("turn"), F.to_json(F.struct(call, turn, role, text, *more)).alias("j"), F.concat(F.coalesce(role, F.lit("")), F.lit(": "), F.coalesce(text, F.lit(""))).alias("l"))
+    masked = rows.select("call", "turn", pii.mask("j").alias("j"), pii.mask("l").alias("l"))
+    return masked.select("call", "turn", F.col("j.masked").alias("json"), F.col("l.masked").alias("line"), F.col("j.kinds").alias("kinds"))
+
+
+def write_transcripts(masked: DataFrame, path: str) -> None:
+    """Two folders of text files, json and txt, a folder a call in each, turns in order."""
+    rows = cut(masked.select("call", "turn", "json", "line")).repartition("call").sortWithinPartitions("call", "turn")
+    for column, name in (("json", "json"), ("line", "txt")):
+        rows.select("call", F.col(column).alias("value")).write.mode("overwrite").partitionBy("call").text(f"{path}/{name}")
+
+
 def wav_chunks(spark: SparkSession, path: str, seconds: float = 3.0) -> DataFrame:
     """(path, chunk, t_start, t_end, rate, pcm) of 16-bit WAV files: tumbling windows of the first channel, the last one short."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import wave
 
         for b in batches:
@@ -270,7 +299,7 @@ def wav_chunks(spark: SparkSession, path: str, seconds: float = 3.0) -> DataFram
                 rows += [(p, n, i / width / rate, min(i + step, len(mono)) / width / rate, rate, mono[i : i + step]) for n, i in enumerate(range(0, len(mono), step))]
             yield pd.DataFrame(rows, columns=["path", "chunk", "t_start", "t_end", "rate", "pcm"])
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(cut, "path string, chunk int, t_start double, t_end double, rate int, pcm binary")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(windows, "path string, chunk int, t_start double, t_end double, rate int, pcm binary")
 
 
 def markdown_report(rows: DataFrame, title: str, limit: int = 1000) -> str:

@@ -112,6 +112,46 @@ def test_loaders_never_raise(tmp_path, spark):
     assert got["b.md"].sections[1].text == "a - v: 1."
 
 
+def test_files_come_in_order_of_root_and_path(tmp_path, spark):
+    for name in ("a/z.txt", "a/b/x.txt", "a-c/y.txt", ".h/n.txt", "b.txt", "skip.md"):
+        (tmp_path / "one" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "one" / name).write_text("t")
+    (tmp_path / "none").mkdir()
+    (tmp_path / "zero.txt").write_text("t")
+    roots = [(str(tmp_path / "one"), "M", "en"), (str(tmp_path / "zero.txt"), "N", "de"), (str(tmp_path / "none"), "O", "fr")]
+    found = files.in_file_order(files.discover(spark, roots, ["skip.md"]).select("path", "market", "root"))
+    assert [(r.path.rpartition(str(tmp_path) + "/")[2], r.market) for r in found.collect()] == [("one/a/b/x.txt", "M"), ("one/a/z.txt", "M"), ("one/a-c/y.txt", "M"), ("one/b.txt", "M"), ("zero.txt", "N")]
+
+
+def test_transcripts_are_masked_in_both_forms(tmp_path, spark):
+    import json
+
+    from lodestone.functions import pii
+
+    turns = spark.createDataFrame([("c", 1, "agent", "Mail me at a.b@example.org"), ("c", 0, None, None), ("d", 0, "user", "")], "conv string, turn int, role string, text string")
+    masked = files.masked_transcripts(turns, "conv", "turn", "role", "text")
+    got = {(r.call, r.turn): r for r in masked.collect()}
+    plain = json.dumps({"conv": "c", "turn": 1, "role": "agent", "text": "Mail me at a.b@example.org"}, separators=(",", ":"))
+    assert got["c", 1].json == pii.masked(plain)[0] and "a.b@" not in got["c", 1].json + got["c", 1].line and got["c", 1].line.startswith("agent: ")
+    assert got["c", 0].line == ": " and got["d", 0].line == "user: "
+    files.write_transcripts(masked, str(tmp_path / "out"))
+    lines = [x for f in sorted((tmp_path / "out" / "txt" / "call=c").glob("*.txt")) for x in f.read_text().splitlines()]
+    assert lines == [got["c", 0].line, got["c", 1].line] and (tmp_path / "out" / "json" / "call=d").is_dir()
+
+
+def test_scripts_and_outcomes(spark):
+    turns = live.scripted(spark, {"s": [("agent", 2, "a"), ("customer", 3.5, "b")]}).orderBy("turn").collect()
+    assert [(r.t_start, r.t_end) for r in turns] == [(0.0, 2.0), (2.0, 5.5)]
+    shown = spark.createDataFrame([("s", "x", False), ("s", "y", True), ("q", "x", False)], "call string, kind string, suppressed boolean")
+    expected = spark.createDataFrame([("s", ["x"]), ("t", ["x"]), ("q", []), ("r", [])], "call string, kinds array<string>")
+    assert {r.call: r.passed for r in live.outcomes(shown, expected).collect()} == {"s": True, "t": False, "q": False, "r": True}
+
+
+def test_record_by_id(spark):
+    records = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "record_id string, n int")
+    assert [r.n for r in search.by_id(records, "record_id", "b").collect()] == [2] and search.by_id(records, "record_id", "z").isEmpty()
+
+
 def test_qualification_and_version(spark):
     q = lambda s, m: spark.createDataFrame([(s,)], "s map<string,string>").select(dialogue.qualify(F.col("s"), F.lit(m)).alias("q")).first()["q"]
     assert q({"name": "x"}, "IN").status == "Incomplete"
@@ -122,14 +162,14 @@ def test_qualification_and_version(spark):
     assert s["name"] == "Ann Lee" and s["age"] == "45" and "age_conflict" in s
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "turn_clock", "table_to_text"])
+@pytest.mark.parametrize("name", ["bm25_topk", "turn_clock", "table_to_text", "normalized_terms", "document_dates", "page_dates", "scenario_outcomes"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
 
     from lodestone.plans import registry
 
     d, db = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "part"):
+    for t in ("documents", "benchmark", "conversations", "part", "pages"):
         db.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
     got, want = registry.QUERIES[name](spark, d), db.sql(registry.ORACLES[name])
     cols = sorted(got.columns)

@@ -14,6 +14,24 @@ def test_dates_become_iso(spark):
     assert one(spark, "from 31/12/2023 to 1/1/2024", X.first_date) == "2023-12-31"
 
 
+def test_first_date_is_the_earliest(spark):
+    assert one(spark, "in October 2023, since 2020-01-02", X.first_date) == "2023-10-01"
+    assert one(spark, "Smarch 12, 2020; 07-feb-2021, 3/4/2019", X.first_date) == "2021-02-07"
+    assert one(spark, "5 May 2019", X.first_date) == "2019-05-05"
+    assert one(spark, "x" * 600 + " 2020-01-02", X.first_date) is None and one(spark, None, X.first_date) is None and one(spark, "", X.first_date) is None
+
+
+def test_page_says_when_it_was_updated(spark):
+    of = lambda t: X.page_date(t, F.lit("2020-01-02"))
+    assert one(spark, "<i>last updated on 31/12/2024</i>", of) == "2024-12-31" and one(spark, "updated 31/12/2024", of) == "2020-01-02"
+
+
+def test_terms(spark):
+    of = lambda t: X.normalize_text(t, names=["Acme Plus"])
+    assert one(spark, "Co payments  upto Rs. 5 lacs on 5/3/2024, ACME PLUS", of) == "co-payment up to Rs 5 lakh on 2024-03-05, Acme Plus"
+    assert one(spark, "PEDs of 2 yrs, peds", X.normalize_terms) == "pre-existing disease of 2 years, peds" and one(spark, None, of) is None
+
+
 def test_rules_apply_in_order(spark):
     assert one(spark, "a b", lambda t: X.rewrite(t, [("a", "b"), ("b b", "c")])) == "c"
 
