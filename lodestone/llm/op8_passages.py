@@ -394,8 +394,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     both = pairs.join(texts(pairs, "b"), "b").join(cut(texts(pairs, "a")), "a")
     links = cut(both.mapInArrow(partial(_verify, width, similarity, shingle), kind))
     component = cut(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("th"), "component"))
-    # Buckets with more than one component, and what is outside the largest.
+    # Buckets with more than one component are those with a text of another component than the least text's. They are found by
+    # the pairs, of which there are few next to the rows, and only their rows are shuffled.
+    of = lambda name, own: component.select(F.col("th").alias(name), F.col("component").alias(own))
+    apart = pairs.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    apart = cut(apart.select(F.col("b").alias("th"), "a"))
+    split = chosen(rows.select("th", "key", "a"), apart.select(F.col("th").alias("seed")), "th long, key long, a long")
+    split = cut(split.join(apart, ["th", "a"]).select("key").distinct())
+    rows = chosen(rows.select("key", "th"), split.select(F.col("key").alias("seed")), "key long, th long").join(split, "key")
     rows = cut(rows.join(component, "th", "left").select("key", "th", F.coalesce("component", "th").alias("component")))
+    # What is outside the largest.
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
     sizes = cut(sizes.select("key", F.col("most.component").alias("largest"), F.ceil((F.col("n") - F.col("most.n")) / block).cast("int").alias("n_left"), F.ceil(F.col("n") / block).cast("int").alias("n_right")))
     rows = cut(rows.join(sizes, "key").withColumn("outside", F.col("component") != F.col("largest")).drop("largest"))
