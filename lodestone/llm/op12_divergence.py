@@ -32,7 +32,7 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_LETTERS).split()
 
 
-def _counted(batches):
+def _counted(most: int, batches):
     """Columns: lang, source, text. Occurrences of each term and the rows that hold it, summed over what the task has read."""
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
@@ -51,7 +51,7 @@ def _counted(batches):
             n.update(words)
             docs.update(set(words))
             size += len(n)
-            if size >= HELD:
+            if size >= most:
                 yield from out()
                 size = 0
     yield from out()
@@ -113,7 +113,7 @@ def source_divergence(docs: DataFrame, lang_col: str = "lang", source_col: str =
     as many as a group of the result has rows. No pair of sources is emitted for a vector, only the sums of a block.
     """
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"))), F.col(text_col).cast("binary").alias("text"))
-    found = rows.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
+    found = rows.mapInArrow(partial(_counted, HELD), "lang string, source string, term string, n long, docs long")
     # One shuffle, by (lang, term), serves both sums.
     found = found.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     kept = found.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("vec"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)

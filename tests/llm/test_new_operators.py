@@ -8,7 +8,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from lodestone.llm import op12_divergence, op13_whiten
+from lodestone.llm import op11_jaccard, op12_divergence, op13_whiten
+from lodestone.llm.op11_jaccard import jaccard_join, near_in_block, ngram_set, prefix_length, sketch_of
 from lodestone.llm.op12_divergence import source_divergence
 from lodestone.llm.op13_whiten import jacobi, whiten
 
@@ -150,3 +151,102 @@ def test_whitening_beyond_long_and_with_other_columns(spark):
     clash = docs.selectExpr("*", "1 as id", "2 as x", "3 as ok", "4 as n", "5 as component", "6 as d")
     told = lambda df: sorted((r.vec_id, r.component, r.n, r.deviation, abs(round(r.whitened, 9)), round(r.explained, 9)) for r in whiten(df).collect())
     assert told(clash) == told(docs) and len(told(docs)) == 18
+
+
+def joined(texts, k=3, percent=90):
+    """(number of n-grams, component) of each text, all compared with all. The component is the least index."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    up = list(range(len(sets)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    return [(len(s), root(i)) for i, s in enumerate(sets)]
+
+
+def changed(rnd, base, n):
+    out = base[:]
+    for _ in range(n):
+        out[rnd.randrange(len(out))] = f"n{rnd.randrange(10**6)}"
+    return " ".join(out)
+
+
+def near_texts(seed):
+    """Clusters about the threshold, chains, boilerplate that most share, copies, short, empty and null texts."""
+    rnd = random.Random(seed)
+    word = lambda n, kinds: [f"w{rnd.randrange(kinds)}" for _ in range(n)]
+    texts: list = []
+    for size, count, most in ((300, 60, 10), (60, 40, 3), (1500, 12, 60), (25, 30, 1)):
+        base = word(size, 5000)
+        texts += [changed(rnd, base, rnd.randint(0, most)) for _ in range(count)]
+    chain = word(200, 5000)
+    for _ in range(40):
+        texts.append(" ".join(chain))
+        at = rnd.randrange(195)
+        chain = chain[:at] + [f"c{rnd.randrange(10**6)}"] + chain[at + 1 :]
+    hot = word(80, 5000)
+    texts += [" ".join(hot + word(rnd.randint(1, 12), 50)) for _ in range(60)]
+    texts += [" ".join(word(rnd.randint(1, 12), 3)) for _ in range(80)]
+    texts += [" ".join(word(rnd.randint(20, 200), 60)) for _ in range(60)]
+    texts += ["same Text here " * 9, "SAME text here " * 9, "same text here  \n" * 12] * 20
+    texts += [None, "", " \t\n", "one", "ONE", "one two", "one\x0btwo", "one two three", "\u00c9a b c", "\u00e9a b c", " ".join(word(20_000, 10**6))]
+    rnd.shuffle(texts)
+    return texts
+
+
+def components_of(rows):
+    return [(r.doc_id, r.n_shingles, r.component_id) for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+@pytest.mark.parametrize("seed,block,stars,nearest", [(1, 2048, 2, (2, 64, None)), (2, 3, 1, (1, 2, None)), (3, 7, 3, (1, None))])
+def test_jaccard_join_against_brute_force(spark, monkeypatch, seed, block, stars, nearest):
+    for name, x in (("BLOCK", block), ("STARS", stars), ("NEAREST", nearest)):
+        monkeypatch.setattr(op11_jaccard, name, x)
+    texts = near_texts(seed)
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], DOCS).repartition(5)
+    got = components_of(jaccard_join(docs, counters=1 << 12).collect())
+    assert got == [(i, n, c) for i, (n, c) in enumerate(joined(texts))]
+    assert len({c for _, _, c in got}) < 0.7 * len(texts)
+
+
+def test_jaccard_join_of_other_sizes_and_thresholds(spark):
+    texts = near_texts(9)[:200]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], DOCS)
+    got = components_of(jaccard_join(docs, shingle=2, percent=60).collect())
+    assert got == [(i, n, c) for i, (n, c) in enumerate(joined(texts, 2, 60))]
+
+
+def test_jaccard_join_of_nothing_null_ids_and_other_columns(spark):
+    assert jaccard_join(spark.createDataFrame([], DOCS)).count() == 0
+    assert jaccard_join(spark.createDataFrame([(5, None, None, None), (None, "", None, None)], DOCS)).collect() == [(5, 0, 5), (None, 0, None)]
+    a = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, a, "en", "s"), (9, a + " more", "en", "s"), (4, a + " more still", "en", "s"), (4, a + " more still", "en", "s"), (None, "alone here now", "en", "s"), (None, "alone here now", "en", "s"), (7, "other", "en", "s")]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as th", "2 as digest", "3 as n", "4 as grp", "5 as token", "6 as id", "7 as c", "8 as component_id")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join(docs).collect())
+    assert got == {(None, 98, 4): 1, (9, 99, 4): 1, (4, 100, 4): 2, (None, 1, None): 2, (7, 1, 7): 1}
+
+
+def test_filters_of_the_join_lose_nothing():
+    rnd = random.Random(4)
+    for _ in range(300):
+        base = [f"w{rnd.randrange(500)}" for _ in range(rnd.randint(1, 150))]
+        a, b = (ngram_set(changed(rnd, base, rnd.randint(0, 4)).encode()) for _ in range(2))
+        common = len(np.intersect1d(a, b))
+        x, y = (np.frombuffer(sketch_of(s), np.uint64) for s in (a, b))
+        assert int(np.bitwise_count(x ^ y).sum()) <= len(a) + len(b) - 2 * common
+        if 100 * common >= 90 * (len(a) + len(b) - common):
+            assert np.intersect1d(a[: prefix_length(len(a))], b[: prefix_length(len(b))]).size  # the order is that of the hashes
+            n, pos = np.array([len(a), len(b)]), np.array([0, 0])
+            i, j, more = near_in_block(n, pos, np.array([0, 1]), np.array([1, 0]), np.stack([x, y]), 90, 1)
+            assert (i.tolist(), j.tolist(), more) == ([0], [1], False)
