@@ -18,12 +18,18 @@ STOP_WORDS = (
 ).split()
 TOKEN = r"[a-z0-9]+(?:[-'][a-z0-9]+)?"
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-# Field names that mean the same, without underscores.
+# Field names that mean the same, as they are looked up: without underscores first, then with them.
 FIELD_NAMES = {
-    "dob": "date_of_birth", "dateofbirth": "date_of_birth", "fullname": "full_name", "name": "full_name", "membername": "member_name", "mobileno": "mobile_number",
-    "mobile": "mobile_number", "phone": "mobile_number", "emailid": "email", "email": "email", "pincode": "pin_code", "pin": "pin_code", "policyterm": "policy_term",
-    "suminsured": "sum_insured", "suminsuredrs": "sum_insured", "annualpremiumrsexclgst": "annual_premium_excl_gst",
+    "dob": "date_of_birth", "dateofbirth": "date_of_birth", "date_of_birth": "date_of_birth",
+    "fullname": "full_name", "name": "full_name", "member_name": "member_name",
+    "mobile_no": "mobile_number", "mobile": "mobile_number", "phone": "mobile_number",
+    "emailid": "email", "email": "email", "pincode": "pin_code", "pin": "pin_code",
+    "policyterm": "policy_term", "sum_insured": "sum_insured", "sum_insured_rs": "sum_insured",
+    "annual_premium_rs_excl_gst": "annual_premium_excl_gst",
 }
+# How a question begins, and how one begins on a call.
+QUESTION = "what how can is do does who when why will are".split()
+ASKED = [*QUESTION, *"magkano ano pwede boleh berapa apakah".split()]
 # Terminology rewrites, in order.
 TERMS = [
     (r"(?i)\bcash[\s-]?less hospitali[sz]ation\b", "cashless hospitalisation"),
@@ -58,23 +64,54 @@ DATE_FORMS = [
 ]
 
 
+def replace_each(text: Column, pattern: str, of) -> Column:
+    """The text with each match of the pattern replaced by of(match), in one pass from the left."""
+
+    def joined(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), of)
+        return F.array_join(F.zip_with(F.split(t, pattern, -1), F.concat(found, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+    return F.when(text.rlike(pattern), joined(text)).otherwise(text)
+
+
 def normalize_whitespace(text: Column) -> Column:
-    """One kind of blank, apostrophe and dash; no blanks in a row or around a line end."""
-    one = F.translate(text, " ’–—", " '--")
-    return F.trim(F.regexp_replace(F.regexp_replace(one, r"[ \t]+", " "), r" ?\n ?", "\n"))
+    """One kind of blank, apostrophe and dash; no blanks in a row or around a line end, no white space at either end."""
+    one = F.translate(text, "\u00a0\u2019\u2013\u2014", " '--")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(one, r"[ \t]+", " "), r" ?\n ?", "\n"), r"\A\s+|\s+\z", "")
+
+
+def _iso(year: Column, month: Column, day: Column) -> Column:
+    return F.concat_ws("-", year, F.lpad(month.cast("int").cast("string"), 2, "0"), F.lpad(day.cast("int").cast("string"), 2, "0"))
+
+
+def _month(name: Column) -> Column:
+    """1 to 12 by the first three letters, else 0."""
+    return F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(name, 1, 3)))
+
+
+# Dates that are rewritten, one form after the other: 31/12/2024, Dec 31, 2024 and 31st Dec 2024.
+_DAY_MONTH_YEAR = r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b"
+_NAME_DAY_YEAR = r"\b([A-Z][a-z]{2,8})\s+(\d{1,2}),\s+(\d{4})\b"
+_DAY_NAME_YEAR = r"\b(\d{1,2})(?:st|nd|rd|th)?[\s-]([A-Za-z]{3,9}),?[\s-](\d{4})\b"
 
 
 def normalize_dates(text: Column) -> Column:
-    """Dates as 31/12/2024, Dec 31, 2024 and 31 Dec 2024 become 2024-12-31; impossible days and unknown months stay."""
-    ddmm = r"\b(0?[1-9]|[12]\d|3[01])/(0?[1-9]|1[0-2])/(\d{4})\b"
-    out = F.regexp_replace(text, ddmm, "$3-0$2-0$1")
-    for i, m in enumerate(MONTHS, 1):
-        name = f"{m.capitalize()}[a-z]*"
-        out = F.regexp_replace(out, rf"\b{name}\s+(\d{{1,2}}),\s+(\d{{4}})\b", f"$2-{i:02d}-0$1")
-        out = F.regexp_replace(out, rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?[ -]{m}[a-z]*,?[ -](\d{{4}})\b", f"$2-{i:02d}-0$1")
-    # Every part got a zero in front; those of two digits lose it again.
-    out = F.regexp_replace(out, r"\b(\d{4})-0?(\d{2})-0?(\d{2})\b", "$1-$2-$3")
-    return out
+    """Dates become 2024-12-31; a day over 31 or a month over 12 in numbers, and unknown month names, stay as they are."""
+
+    def numbers(m: Column) -> Column:
+        day, month, year = (F.regexp_extract(m, _DAY_MONTH_YEAR, i) for i in (1, 2, 3))
+        return F.when(day.cast("int").between(1, 31) & month.cast("int").between(1, 12), _iso(year, month, day)).otherwise(m)
+
+    def named(pattern: str, name: int, day: int):
+        def of(m: Column) -> Column:
+            n = _month(F.regexp_extract(m, pattern, name))
+            return F.when(n > 0, _iso(F.regexp_extract(m, pattern, 3), n, F.regexp_extract(m, pattern, day))).otherwise(m)
+
+        return of
+
+    out = replace_each(text, _DAY_MONTH_YEAR, numbers)
+    out = replace_each(out, _NAME_DAY_YEAR, named(_NAME_DAY_YEAR, 1, 2))
+    return replace_each(out, _DAY_NAME_YEAR, named(_DAY_NAME_YEAR, 2, 1))
 
 
 def rewrite(text: Column, rules: list[tuple[str, str]]) -> Column:
@@ -92,19 +129,29 @@ def normalize_text(text: Column, rules: list[tuple[str, str]] = TERMS, names: li
     return normalize_terms(normalize_dates(normalize_whitespace(text)), rules, names)
 
 
+def title_case(text: Column) -> Column:
+    """Each run of letters with a capital first and small letters after."""
+    return replace_each(F.lower(text), r"\p{L}+", lambda m: F.initcap(m))
+
+
+def _capitals(text: Column) -> Column:
+    return (F.upper(text) == text) & (F.lower(text) != text)
+
+
 def standardize_heading(h: Column) -> Column:
     """Without number or section prefix; capitals become title case, other words a capital first, short acronyms stay."""
     h = F.regexp_replace(normalize_whitespace(h), r"(?i)^section\s+[a-z]\s*-\s*", "")
-    h = F.regexp_replace(h, r"^(?:[A-Za-z]|\d+)(?:\.\d+)*[.)\s-]+\s*", "")
-    h = F.regexp_replace(h, r"^[ :-]+|[ :-]+$", "")
-    words = F.transform(F.split(h, " "), lambda w: F.when((F.upper(w) == w) & (F.length(w) <= 5), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000000))))
-    return F.when((F.upper(h) == h) & (F.lower(h) != h), F.initcap(h)).otherwise(F.array_join(words, " "))
+    # Only a capital or a number counts as a prefix; what goes with it is looked for without regard to case.
+    bare = F.regexp_replace(h, r"(?i)^(?:section\s+)?(?:[a-z]|\d+)(?:\.\d+)*[.)\s-]+\s*", "")
+    h = F.regexp_replace(F.when(h.rlike(r"^(?:[A-Z]|\d+)(?:\.\d+)*[.)\s-]"), bare).otherwise(h), r"^[ :-]+|[ :-]+$", "")
+    words = F.transform(F.split(h, " "), lambda w: F.when(_capitals(w) & (F.length(w) <= 5), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000000))))
+    return F.when(_capitals(h), title_case(h)).otherwise(F.array_join(words, " "))
 
 
 def standardize_field_name(name: Column) -> Column:
     snake = F.regexp_replace(F.lower(F.regexp_replace(name, r"(?<!^)(?=[A-Z])", "_")), r"[-_ ]+", "_")
     known = F.create_map(*(F.lit(x) for kv in FIELD_NAMES.items() for x in kv))
-    return F.coalesce(known[F.regexp_replace(snake, "_", "")], snake)
+    return F.coalesce(known[F.regexp_replace(snake, "_", "")], known[snake], snake)
 
 
 def slug(path: Column) -> Column:
@@ -112,8 +159,8 @@ def slug(path: Column) -> Column:
 
 
 def version_of(text: Column) -> Column:
-    """The first version number in the first 800 characters; 1.0 without one."""
-    v = F.regexp_extract(F.substring(text, 1, 800), r"(?i)\bversion\s*:?\s*(\d+(?:\.\d+)*)", 1)
+    """The first version number (2.1 or 2024.3, after "version" or "v") in the first 800 characters; 1.0 without one."""
+    v = F.regexp_extract(F.substring(text, 1, 800), r"(?i)\b(?:version|v)\s*([0-9]+(?:\.[0-9]+)+|[0-9]{4}\.[0-9]+)\b", 1)
     return F.when(v == "", "1.0").otherwise(v)
 
 
@@ -125,7 +172,7 @@ def first_date(text: Column) -> Column:
         rows = []
         for i, (p, year, month, day) in enumerate(DATE_FORMS):
             part = lambda g: F.regexp_extract(head, p, g)  # noqa: B023, E731
-            at = F.array_position(F.array(*(F.lit(m) for m in MONTHS)), F.lower(F.substring(part(month), 1, 3)))
+            at = _month(part(month))
             number = F.when(at > 0, at.cast("string")).otherwise(part(month))
             iso = F.concat_ws("-", part(year), F.lpad(number, 2, "0"), F.lpad(part(day), 2, "0") if day else F.lit("01"))
             place = F.regexp_instr(head, F.lit(p))
@@ -218,8 +265,9 @@ def contains_any(text: Column, phrases: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(p.lower())) for p in phrases), F.lit(False))
 
 
-def is_question(text: Column) -> Column:
-    return F.trim(text).endswith("?") | F.trim(text).rlike(r"(?i)^(what|how|can|is|do|does|who|when|why|will|are)\b")
+def is_question(text: Column, first: list[str] = QUESTION) -> Column:
+    """Ends with a question mark or begins with one of the words."""
+    return F.trim(text).endswith("?") | F.trim(text).rlike(rf"(?i)^({'|'.join(first)})\b")
 
 
 def safe_json(text: Column, schema: str) -> Column:

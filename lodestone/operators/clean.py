@@ -12,9 +12,83 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.functions.store import cut
 
-# Lines that are furniture of a page, anywhere in the line.
-BOILERPLATE = [r"cookie", r"all rights reserved", r"terms (?:of use|and conditions)", r"privacy policy", r"skip to (?:main )?content", r"back to top", r"share this", r"©|\(c\) \d{4}", r"^page \d+ of \d+$"]
-IRRELEVANT = [r"google-analytics|gtag\(|fbq\(", r"^\s*$"]
+# Lines that are furniture of a page, and those that say nothing.
+BOILERPLATE = [
+    r"(?i)we use cookies",
+    r"(?i)all rights reserved",
+    r"(?i)^\W*(©|copyright)\b",
+    r"(?i)^(home|plans|faq|partners|claims|customer login|accept)$",
+    r"(?i)privacy policy\s*\|",
+    r"(?i)limited period offer",
+    r"(?i)^(exported by|internal only|contains customer details)",
+    r"^-{3,}$",
+    r"(?i)^\(?superseded by .*retained for reference\)?$",
+]
+IRRELEVANT = [r"\bwindow\.dataLayer\b", r"^\s*$"]
+# Flags of a record, and facts that records may contradict each other in, with the number of groups.
+RECORD_FLAGS = {
+    "zero_premium_value": r"(?i)premium[^.\n]*:\s*0\b|annual premium excl gst:\s*0\b",
+    "placeholder_value": r"(?i)pending approval|tbd|to be confirmed",
+    "explicit_outdated_statement": r"(?i)THIS LINE IS OUTDATED|legacy text",
+}
+FACTS = {
+    "essential_entry_age": (r"(?i)essential[^.\n]{0,80}?entry age (\d{2})\s*(?:to|-)\s*(\d{2})", 2),
+    "network_hospitals": (r"(?i)(\d[\d,]{3,6})\+?\s*network hospitals", 1),
+    "claim_tat_days": (r"(?i)average of (\d+) working days", 1),
+    "members": (r"(?i)(\d\.\d) million members", 1),
+}
+# Categories and their keywords; the weight of a question mark is damped.
+CATEGORIES = {
+    "waiting_periods": ["waiting period", "30 days", "36 months", "24 months", "12 months", "survival period", "initial waiting"],
+    "exclusions": ["exclusion", "not covered", "excluded", "cosmetic", "infertility", "self-inflicted", "war", "experimental"],
+    "claims": ["claim", "cashless", "reimbursement", "pre-authorisation", "discharge", "settle", "network hospital", "documents"],
+    "eligibility_underwriting": ["entry age", "underwrit", "medical examination", "medical test", "bmi", "loading", "accept", "decline", "refer", "hba1c", "tobacco", "smoker", "ppme", "pre-policy"],
+    "qualification_rules": ["lead", "qualified", "referred", "not eligible", "voice agent", "tele-sales", "capture"],
+    "premium_pricing": ["premium", "rate", "gst", "discount", "pay monthly", "frequency", "annual premium", "cost", "price", "zone"],
+    "objection_handling": ["objection", "approved response", "do not:", "reframe", "competitor", "discuss with my spouse"],
+    "compliance": ["disclosure", "solicitation", "prohibited", "must not", "recorded for quality", "do-not-call", "rebating", "section 41"],
+    "product": ["sum insured", "floater", "room rent", "restoration", "rider", "maternity", "add-on", "plan", "cover", "benefit", "feature"],
+    "policy_terms": ["means", "definition", "grace period", "free look", "free-look", "renewal", "renewab", "cancellation", "nomination", "grievance", "portab"],
+    "partnership": ["partner", "commission", "outlet", "posp", "corporate agent"],
+    "forms": ["field ", "proposal form", "required)", "optional)"],
+    "customer_service": ["ticket", "resolution:", "issue:"],
+    "company": ["irdai", "licensed", "head office", "branches", "since 2011", "members", "settlement ratio", "about"],
+    "faq": ["?"],
+}
+DAMP = {"faq": 0.4}
+# What the name of a record's file adds to a category. Names of particular products are left to the caller.
+PRIORS = [
+    (r"underwriting_rules", "eligibility_underwriting", 2.0),
+    (r"objection", "objection_handling", 4.0),
+    (r"compliance", "compliance", 4.0),
+    (r"plan_rates", "premium_pricing", 4.0),
+    (r"proposal_form", "forms", 5.0),
+    (r"customer_service", "customer_service", 3.0),
+    (r"partners", "partnership", 3.0),
+    (r"policy_wording", "policy_terms", 1.5),
+    (r"faq", "faq", 1.0),
+    (r"plans\.html|brochure", "product", 1.5),
+    (r"index\.html", "company", 1.5),
+    (r"bancassurance|philippines", "product", 1.2),
+    (r"indonesia|cicilan", "product", 1.2),
+]
+# Kinds of cover that a text names, and the intents of a category.
+PRODUCTS = {
+    "essential": r"(?i)\bessential\b",
+    "family_shield": r"(?i)\bfamily shield\b",
+    "senior_care": r"(?i)\bsenior care\b",
+    "critical_illness_rider": r"(?i)\bcritical illness\b",
+    "hospital_cash_rider": r"(?i)\bhospital cash\b",
+    "copay_waiver_rider": r"(?i)\bco-payment waiver\b",
+    "opd_rider": r"\bOPD\b",
+    "credit_life": r"(?i)\bcredit life\b",
+}
+INTENTS = {
+    "product": ["product"], "premium_pricing": ["product", "faq"], "policy_terms": ["policy"], "waiting_periods": ["policy", "faq"],
+    "exclusions": ["policy"], "claims": ["policy", "faq"], "eligibility_underwriting": ["qualification"], "qualification_rules": ["qualification"],
+    "objection_handling": ["objection"], "compliance": ["compliance"], "faq": ["faq"], "partnership": ["product"], "forms": ["qualification"],
+    "customer_service": ["faq"], "company": ["product", "faq"],
+}
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -23,7 +97,8 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def any_of(text: Column, patterns: list[str]) -> Column:
-    return text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+    """Whether one of the patterns is found, each with its own regard to case."""
+    return text.rlike("|".join(f"(?:{p})" for p in patterns))
 
 
 def repeated_lines(lines: DataFrame, threshold: int = 2, min_chars: int = 25) -> DataFrame:
@@ -62,7 +137,7 @@ def cleaning_stats(lines: DataFrame) -> DataFrame:
 
 
 def record_ids(records: DataFrame, market: str, category: str, order: list[str]) -> DataFrame:
-    """Adds record_id kb_<market>_<category>_<nnn>, numbered within market and category in document order. Records are dealt by
+    """Adds record_id kb_<market in small letters>_<category>_<nnn>, numbered within market and category in document order. Records are dealt by
     ranges of that order and numbered within each, after those of the ranges before, so that a large category takes many tasks."""
     dealt = cut(records.repartitionByRange(market, category, *order).withColumn("_range", F.spark_partition_id()))
     group = [F.col(market).alias("_m"), F.col(category).alias("_c"), F.col("_range").alias("_r")]
@@ -71,7 +146,7 @@ def record_ids(records: DataFrame, market: str, category: str, order: list[str])
     own = dealt.withColumn("_n", F.row_number().over(W.partitionBy(market, category, "_range").orderBy(*order)))
     same = F.col(market).eqNullSafe(F.col("_m")) & F.col(category).eqNullSafe(F.col("_c")) & (F.col("_range") == F.col("_r"))
     n = F.col("_n") + F.col("_before")
-    return own.join(counts, same).withColumn("record_id", F.format_string("kb_%s_%s_%03d", F.col(market), F.col(category), n)).select(*records.columns, "record_id")
+    return own.join(counts, same).withColumn("record_id", F.format_string("kb_%s_%s_%03d", F.lower(market), F.col(category), n)).select(*records.columns, "record_id")
 
 
 def versioned(records: DataFrame, previous: DataFrame, id_col: str = "record_id", hash_col: str = "content_hash") -> DataFrame:
@@ -110,20 +185,22 @@ def document_flags(docs: DataFrame, text: str, file: str, date: str, before: str
     return docs.withColumn("flags", F.array_compact(F.array(F.when(stale, "contains_outdated_text"), F.when(older, "older_edition")))).withColumn("superseded", older)
 
 
-def record_flags(text: Column, rules: dict[str, str]) -> Column:
+def record_flags(text: Column, rules: dict[str, str] = RECORD_FLAGS) -> Column:
     """Names of the patterns that the text has, in the rules' order."""
     return F.array_compact(F.array(*(F.when(text.rlike(p), n) for n, p in rules.items())))
 
 
-def facts(records: DataFrame, id_col: str, text: Column, patterns: dict[str, tuple[str, int]]) -> DataFrame:
-    """patterns: fact -> (pattern, number of groups). (id, fact, value) of all matches; a value is its groups joined by -."""
-    out = None
-    for fact, (pattern, n) in patterns.items():
+def facts(records: DataFrame, id_col: str, text: Column, patterns: dict[str, tuple[str, int]] = FACTS) -> DataFrame:
+    """patterns: fact -> (pattern, number of groups). (id, fact, value) of all matches; a value is its groups joined by -. The
+    records are read once, whatever the number of patterns."""
+
+    def found(fact: str, pattern: str, n: int) -> Column:
         groups = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in range(1, n + 1)))
-        value = F.transform(groups, lambda x: F.array_join(F.filter(F.array(*(x[f"g{g}"] for g in range(1, n + 1))), lambda v: v != ""), "-"))
-        rows = records.select(F.col(id_col).alias("id"), F.lit(fact).alias("fact"), F.explode(value).alias("value"))
-        out = rows if out is None else out.union(rows)
-    return out
+        value = lambda x: F.array_join(F.filter(F.array(*(x[f"g{g}"] for g in range(1, n + 1))), lambda v: v != ""), "-")
+        return F.transform(groups, lambda x: F.struct(F.lit(fact).alias("fact"), value(x).alias("value")))
+
+    every = F.flatten(F.array(*(F.coalesce(found(f, p, n), F.array().cast("array<struct<fact:string,value:string>>")) for f, (p, n) in patterns.items())))
+    return records.select(F.col(id_col).alias("id"), F.explode(every).alias("x")).select("id", "x.fact", "x.value")
 
 
 def conflicts(found: DataFrame, shown: int = 3) -> DataFrame:
@@ -138,6 +215,13 @@ def conflicts(found: DataFrame, shown: int = 3) -> DataFrame:
     return by_value.join(many, "fact", "left_semi")
 
 
+def conflict_flags(found: DataFrame) -> DataFrame:
+    """(id, flags): conflicting_fact:<fact> for each record that states a fact of which records state more than one value."""
+    some = found.distinct()
+    many = cut(some.groupBy("fact", "value").agg(F.lit(1)).groupBy("fact").agg(F.count("*").alias("values")).where("values > 1").select("fact"))
+    return some.join(many, "fact", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set(F.concat(F.lit("conflicting_fact:"), "fact"))).alias("flags"))
+
+
 def keyword_score(title: Column, text: Column, keywords: list[str]) -> Column:
     """Counts keywords in title and text: the first occurrence 1, each of four more 0.3, twice that if the title has it."""
     return _keyword_score(F.lower(F.concat(title, F.lit("\n"), text)), F.lower(title), keywords)
@@ -153,7 +237,7 @@ def _keyword_score(whole: Column, head: Column, keywords: list[str]) -> Column:
     return reduce(lambda a, b: a + b, map(score, keywords), F.lit(0.0))
 
 
-def classify(records: DataFrame, title: Column, text: Column, categories: dict[str, list[str]], fallback: str, damp: dict[str, float] | None = None, file: Column | None = None, priors: list[tuple[str, str, float]] = ()) -> DataFrame:
+def classify(records: DataFrame, title: Column, text: Column, categories: dict[str, list[str]] = CATEGORIES, fallback: str = "faq", damp: dict[str, float] | None = None, file: Column | None = None, priors: list[tuple[str, str, float]] = ()) -> DataFrame:
     """Adds category, subcategory and category_score. Ties go to the category named first; without a hit it is `fallback`.
     priors: (pattern, category, weight) in turn add the weight to the category of a record whose file has the pattern."""
 
@@ -175,11 +259,11 @@ def classify(records: DataFrame, title: Column, text: Column, categories: dict[s
     return out.withColumn("category", F.when(best.neg < 0, best["name"]).otherwise(fallback)).withColumn("subcategory", sub).withColumn("category_score", -best.neg + 0.0).drop("_s")
 
 
-def tags(text: Column, patterns: dict[str, str]) -> Column:
+def tags(text: Column, patterns: dict[str, str] = PRODUCTS) -> Column:
     return F.array_compact(F.array(*(F.when(text.rlike(p), n) for n, p in patterns.items())))
 
 
-def intents(category: Column, table: dict[str, list[str]], extra: Column | None = None) -> Column:
+def intents(category: Column, table: dict[str, list[str]] = INTENTS, extra: Column | None = None) -> Column:
     """Sorted, distinct intents of a category and, where given, of the tags."""
     known = F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     own = F.coalesce(known[category], F.array().cast("array<string>"))

@@ -15,7 +15,7 @@ from lodestone.functions.text import words
 
 THRESHOLD, COOLDOWN, TTL, DUPLICATE, RECENT, DISCLOSE_BY = 0.65, 45.0, 60.0, 0.6, 6, 8.0
 # Priority of a signal's kind; others have 10.
-PRIORITY = {"compliance_gap": 100, "rising_frustration": 90, "payment_difficulty": 80, "missed_cross_sell": 60, "buying_signal": 70, "callback_need": 50}
+PRIORITY = {"compliance_gap": 100, "rising_frustration": 90, "payment_difficulty": 70, "missed_cross_sell": 60, "callback_need": 50, "buying_signal": 40, "topic_shift": 20}
 # Fixed values: (speaker, kind, confidence, pattern).
 RULES = [
     ("customer", "missed_cross_sell", 0.82, r"(?i)\b(second|another|other)\s+(car|vehicle|bike|motor|mobil)\b|\b(wife'?s? car|husband'?s? car|mobil (?:isteri|istri|suami)|motor dinas)\b|\b(parents?|father|mother|asawa|anak|spouse|kids?)\b.{0,40}\b(cover|policy|insured)\b|\bcritical illness\b"),

@@ -18,6 +18,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _noted_lines(spark, d) -> DataFrame:
+    """The lines of the documents, each behind a line that a rule of cleaning may ask for."""
+    return clean.lines_of(_t(spark, d, "documents").select("doc_id", F.expr(T.NOTED).alias("text")), "doc_id", "text")
+
+
 def _index(spark, d) -> search.Index:
     return search.Index(_t(spark, d, "documents"), "doc_id", F.col("text"))
 
@@ -85,7 +90,7 @@ def citations(spark, d):
 
 
 def cleaning_counts(spark, d):
-    return clean.cleaning_stats(clean.clean_lines(clean.lines_of(_t(spark, d, "documents"), "doc_id", "text")))
+    return clean.cleaning_stats(clean.clean_lines(_noted_lines(spark, d)))
 
 
 def tagged_docs(spark, d):
@@ -100,16 +105,16 @@ def outdated_docs(spark, d):
 
 
 def repeated_lines(spark, d):
-    return clean.repeated_lines(clean.lines_of(_t(spark, d, "documents"), "doc_id", "text")).select("norm", "n_docs")
+    return clean.repeated_lines(_noted_lines(spark, d)).select("norm", "n_docs")
 
 
 def clean_lines(spark, d):
-    out = clean.clean_lines(clean.lines_of(_t(spark, d, "documents"), "doc_id", "text"))
+    out = clean.clean_lines(_noted_lines(spark, d))
     return out.groupBy("id").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("kept", "repeated", "boilerplate", "irrelevant"))).withColumnRenamed("id", "doc_id")
 
 
 def cleaned_documents(spark, d):
-    out = clean.cleaned_documents(clean.clean_lines(clean.lines_of(_t(spark, d, "documents"), "doc_id", "text")))
+    out = clean.cleaned_documents(clean.clean_lines(_noted_lines(spark, d)))
     return out.select(F.col("id").alias("doc_id"), F.md5("text").alias("text_md5"), "raw_chars", "clean_chars")
 
 
@@ -157,6 +162,23 @@ def classify_docs(spark, d):
     return out.select("doc_id", "category", "subcategory", F.round("category_score", 6).alias("category_score"), F.array_join(clean.intents(F.col("category"), T.INTENTS), ",").alias("intents"))
 
 
+def record_quality(spark, d):
+    """The flags of each noted text, and those of the facts that others contradict."""
+    noted = _t(spark, d, "documents").select("doc_id", F.expr(T.NOTED).alias("text"))
+    facts = clean.conflict_flags(clean.facts(noted, "doc_id", F.col("text")))
+    both = noted.join(facts, F.col("doc_id") == F.col("id"), "left")
+    flags = F.concat(clean.record_flags(F.col("text")), F.coalesce("flags", F.array().cast("array<string>")))
+    return both.select("doc_id", F.array_join(flags, ",").alias("flags")).where("flags <> ''")
+
+
+def kb_categories(spark, d):
+    """Category, kinds of cover and intents of each noted text, its first line being the title, with the weights of its file."""
+    noted = _t(spark, d, "documents").select("doc_id", F.expr(T.NOTED).alias("text"), F.expr(T.FILE).alias("file"))
+    out = clean.classify(noted, F.split_part("text", F.lit("\n"), F.lit(1)), F.col("text"), damp=clean.DAMP, file=F.col("file"), priors=clean.PRIORS)
+    faq = F.when(F.col("file") == "faq.md", F.array(F.lit("faq"))).otherwise(F.array().cast("array<string>"))
+    return out.select("doc_id", "category", "subcategory", F.round("category_score", 6).alias("category_score"), F.array_join(clean.tags(F.col("text")), ",").alias("products"), F.array_join(clean.intents(F.col("category"), extra=faq), ",").alias("intents"))
+
+
 def record_ids(spark, d):
     return clean.record_ids(_t(spark, d, "documents"), "lang", "source", ["doc_id"]).select("doc_id", "record_id")
 
@@ -289,7 +311,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, search_confidence, filter_fallback, boosted_topk, verdict_tally, citations, cleaning_counts, tagged_docs, outdated_docs, cosine_topk, hybrid_fusion, repeated_lines, clean_lines, cleaned_documents, exact_dups, near_dups, near_dup_keepers, pii_counts, pii_mask,
-        pii_kinds, quality_flags, fact_conflicts, classify_docs, record_ids, content_digest, version_bump, manifest_counts, manifest, sample_per_category, normalized_text, text_shape, html_text,
+        pii_kinds, quality_flags, fact_conflicts, record_quality, classify_docs, kb_categories, record_ids, content_digest, version_bump, manifest_counts, manifest, sample_per_category, normalized_text, text_shape, html_text,
         html_boilerplate, normalized_terms, document_dates, page_dates, record_lookup, sentence_chunks, sentence_counts, table_to_text, csv_grouped, tail_leads, retrieval_verdict, query_expansion, embedding_cache, explained_hits,
     )
 }

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.functions.text import DATE_FORMS, MONTHS, STOP_WORDS, TERMS
-from lodestone.operators.clean import BOILERPLATE, IRRELEVANT
+from lodestone.functions.text import DATE_FORMS, STOP_WORDS, TERMS
 from lodestone.plans import tables as T
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
-def _any(patterns) -> str:
-    return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
-
-
 def _tokens(text: str) -> str:
     found = f"list_filter(regexp_extract_all(lower(coalesce({text}, '')), '[a-z0-9]+(?:[-''][a-z0-9]+)?'), lambda t: length(t) >= 2 AND t NOT IN ({_STOP}))"
     return f"list_transform({found}, lambda t: CASE WHEN length(t) > 4 AND t LIKE '%ies' THEN left(t, length(t) - 3) || 'y' WHEN length(t) > 3 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN left(t, length(t) - 1) ELSE t END)"
@@ -35,11 +30,15 @@ scores AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY bm25 DESC, doc_id) AS rank FROM scores)"""
 
 _NORM = "trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
+#: The notes, and the patterns of lines that go, as they stand in the definition.
+_FURNITURE = r"(?:(?i)we use cookies)|(?:(?i)all rights reserved)|(?:(?i)^\W*(©|copyright)\b)|(?:(?i)^(home|plans|faq|partners|claims|customer login|accept)$)|(?:(?i)privacy policy\s*\|)|(?:(?i)limited period offer)|(?:(?i)^(exported by|internal only|contains customer details))|(?:^-{3,}$)|(?:(?i)^\(?superseded by .*retained for reference\)?$)"
+_NOTED = T.NOTED.replace("CAST(chr(10) AS STRING)", "chr(10)")
 _LINES = f"""
-raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no FROM documents),
+noted AS (SELECT doc_id, {_NOTED} AS text FROM documents),
+raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no FROM noted),
 lines AS (
   SELECT *, trim(regexp_replace(lower(line), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS norm,
-         CASE WHEN regexp_matches(line, '{_any(BOILERPLATE)}') THEN 'boilerplate' WHEN regexp_matches(line, '{_any(IRRELEVANT)}') THEN 'irrelevant' END AS own FROM raw),
+         CASE WHEN regexp_matches(line, '{_FURNITURE}') THEN 'boilerplate' WHEN regexp_matches(line, '\\bwindow\\.dataLayer\\b|^\\s*$') THEN 'irrelevant' END AS own FROM raw),
 often AS (SELECT norm FROM lines WHERE length(norm) > 25 GROUP BY norm HAVING count(DISTINCT doc_id) >= 2),
 firsts AS (SELECT norm, min({{'d': doc_id, 'l': line_no}}) AS first FROM lines WHERE own IS NULL AND norm IN (SELECT norm FROM often) GROUP BY norm),
 marked AS (SELECT l.*, coalesce(own, CASE WHEN first IS NOT NULL AND first <> {{'d': doc_id, 'l': line_no}} THEN 'repeated' END, 'kept') AS status FROM lines l LEFT JOIN firsts USING (norm))"""
@@ -78,13 +77,25 @@ def _rewrites(text: str, rules=T.REWRITES) -> str:
     return text
 
 
-def _date_rules() -> list[tuple[str, str]]:
-    """Dates to ISO: numbers get a zero in front, those of two digits lose it again."""
-    rules = [(r"\b(0?[1-9]|[12]\d|3[01])/(0?[1-9]|1[0-2])/(\d{4})\b", "$3-0$2-0$1")]
-    for i, m in enumerate(MONTHS, 1):
-        rules.append((rf"\b{m.capitalize()}[a-z]*\s+(\d{{1,2}}),\s+(\d{{4}})\b", f"$2-{i:02d}-0$1"))
-        rules.append((rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?[ -]{m}[a-z]*,?[ -](\d{{4}})\b", f"$2-{i:02d}-0$1"))
-    return [*rules, (r"\b(\d{4})-0?(\d{2})-0?(\d{2})\b", "$1-$2-$3")]
+_MONTHS = "['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec']"
+
+
+def _each(text: str, pattern: str, of: str) -> str:
+    """The text with each match m of the pattern replaced by `of`."""
+    return f"array_to_string(list_transform(list_zip(string_split_regex({text}, '{pattern}'), list_transform(regexp_extract_all({text}, '{pattern}'), lambda m: {of})), lambda x: x[1] || coalesce(x[2], '')), '')"
+
+
+def _dates() -> list[tuple[str, str, str]]:
+    """(name, pattern, replacement of m) of the three forms, one after the other."""
+    a, b, c = r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", r"\b([A-Z][a-z]{2,8})\s+(\d{1,2}),\s+(\d{4})\b", r"\b(\d{1,2})(?:st|nd|rd|th)?[\s-]([A-Za-z]{3,9}),?[\s-](\d{4})\b"
+    g = lambda p, i: f"regexp_extract(m, '{p}', {i})"
+    two = lambda x: f"lpad(({x})::INT::VARCHAR, 2, '0')"
+    month = lambda x: f"list_position({_MONTHS}, lower(left({x}, 3)))"
+    return [
+        ("t1", a, f"CASE WHEN {g(a, 1)}::INT BETWEEN 1 AND 31 AND {g(a, 2)}::INT BETWEEN 1 AND 12 THEN {g(a, 3)} || '-' || {two(g(a, 2))} || '-' || {two(g(a, 1))} ELSE m END"),
+        ("t2", b, f"CASE WHEN {month(g(b, 1))} > 0 THEN {g(b, 3)} || '-' || {two(month(g(b, 1)))} || '-' || {two(g(b, 2))} ELSE m END"),
+        ("t3", c, f"CASE WHEN {month(g(c, 2))} > 0 THEN {g(c, 3)} || '-' || {two(month(g(c, 2)))} || '-' || {two(g(c, 1))} ELSE m END"),
+    ]
 
 
 def _first_date(table: str, key: str, text: str) -> str:
@@ -92,14 +103,13 @@ def _first_date(table: str, key: str, text: str) -> str:
     rows = []
     for i, (p, year, month, day) in enumerate(DATE_FORMS):
         part = lambda g: f"regexp_extract(h, '{p}', {g})"  # noqa: B023, E731
-        at = f"strpos('{''.join(MONTHS)}', lower(left({part(month)}, 3)))"
-        number = part(month) if i < 2 else f"(({at} + 2) // 3)::VARCHAR"
+        number = part(month) if i < 2 else f"list_position({_MONTHS}, lower(left({part(month)}, 3)))::VARCHAR"
         last = f"lpad({part(day)}, 2, '0')" if day else "'01'"
         rows.append(f"{{'p': strpos(regexp_replace(h, '{p}', chr(1)), chr(1)), 'f': {i}, 'd': {part(year)} || '-' || lpad({number}, 2, '0') || '-' || {last}}}")
     return f"SELECT {key}, list_sort(list_filter([{', '.join(rows)}], lambda x: x.p > 0))[1].d AS date FROM (SELECT {key}, left({text}, 600) AS h FROM {table})"
 
 
-_SPACE = "trim(regexp_replace(regexp_replace(translate(text, ' ’–—', ' ''--'), '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), ' ')"
+_SPACE = r"regexp_replace(regexp_replace(regexp_replace(translate(text, chr(160) || chr(8217) || chr(8211) || chr(8212), ' ''--'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\A\s+|\s+\z', '', 'g')"
 
 ORACLES = {
     "bm25_topk": f"WITH {_INDEX} SELECT item_id, doc_id, rank::INT AS rank, bm25 FROM ranked WHERE rank <= 5 AND bm25 > 0",
@@ -133,7 +143,7 @@ xs AS (SELECT lang, id, unnest(sh) AS t FROM s), xu AS (SELECT lang, id, unnest(
 cs AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM xs a JOIN xs b ON a.lang = b.lang AND a.t = b.t AND a.id < b.id GROUP BY ALL),
 cu AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM xu a JOIN xu b ON a.lang = b.lang AND a.t = b.t AND a.id < b.id GROUP BY ALL),
 p AS (SELECT coalesce(cs.a, cu.a) AS a, coalesce(cs.b, cu.b) AS b, coalesce(cs.c, 0) AS c, coalesce(cu.c, 0) AS u FROM cs FULL JOIN cu ON cs.a = cu.a AND cs.b = cu.b),
-j AS (SELECT p.a, p.b, p.c / (len(x.sh) + len(y.sh) - p.c) AS js, CASE WHEN p.u = 0 THEN 0 ELSE p.u / (len(x.un) + len(y.un) - p.u) END AS ju, least(x.k, y.k) / greatest(x.k, y.k) AS r FROM p JOIN s x ON x.id = p.a JOIN s y ON y.id = p.b)
+j AS (SELECT p.a, p.b, p.c / (len(x.sh) + len(y.sh) - p.c) AS js, CASE WHEN p.u = 0 THEN 0 ELSE p.u / (len(x.un) + len(y.un) - p.u) END AS ju, CASE WHEN least(len(x.un), len(y.un)) = 0 THEN 0 ELSE least(len(x.un), len(y.un)) / greatest(len(x.un), len(y.un)) END AS r FROM p JOIN s x ON x.id = p.a JOIN s y ON y.id = p.b)
 SELECT a, b, round(CASE WHEN r < 0.5 THEN js ELSE greatest(js, 0.9 * ju) END, 6) AS similarity FROM j WHERE round(CASE WHEN r < 0.5 THEN js ELSE greatest(js, 0.9 * ju) END, 6) >= 0.55""",
     "pii_counts": r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[\w.+-]+@[\w-]+\.[\w.-]+'))::BIGINT AS emails, list_transform(regexp_extract_all(text, '\b(?:[0-9][ -]?){12,15}[0-9]\b'), lambda r: reverse(regexp_replace(r, '[^0-9]', '', 'g'))) AS runs FROM documents),
 l AS (SELECT doc_id, emails, len(list_filter(runs, lambda r: list_sum(list_transform(range(1, length(r) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(r, i, 1)::INT ELSE substr(r, i, 1)::INT * 2 - CASE WHEN substr(r, i, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0))::BIGINT AS cards FROM c)
@@ -196,10 +206,66 @@ CASE WHEN contains(text, '|') THEN 'table' END], lambda x: x IS NOT NULL), ',')
 SELECT doc_id, array_to_string(list_filter([CASE WHEN stale THEN 'contains_outdated_text' END, CASE WHEN older THEN 'older_edition' END], lambda x: x IS NOT NULL), ',') AS flags, older AS superseded FROM t""",
 }
 ORACLES |= {
-    "normalized_terms": f"""SELECT doc_id, md5({_rewrites("t", [*_date_rules(), *TERMS, ("ACME PLUS", "Acme Plus")])}) AS text_md5
-FROM (SELECT doc_id, {_SPACE.replace("translate(text,", f"translate({T.PHRASED},")} AS t FROM documents)""",
+    "normalized_terms": f"""WITH t0 AS (SELECT doc_id, {_SPACE.replace("translate(text,", f"translate({T.PHRASED},")} AS t FROM documents)"""
+    + "".join(f", {n} AS (SELECT doc_id, {_each('t', p, of)} AS t FROM t{i})" for i, (n, p, of) in enumerate(_dates()))
+    + f" SELECT doc_id, md5({_rewrites('t', [*TERMS, ('ACME PLUS', 'Acme Plus')])}) AS text_md5 FROM t3",
     "document_dates": _first_date("documents", "doc_id", T.DATED_TEXT),
     "page_dates": f"""WITH p AS (SELECT page_id, {T.DATED_PAGE} AS html FROM pages), f AS ({_first_date("p", "page_id", "regexp_replace(html, '<[^>]*>', ' ', 'g')")})
 SELECT page_id, CASE WHEN contains(html, 'last updated on ') THEN regexp_replace(regexp_extract(html, 'last updated on (\\d{{2}}/\\d{{2}}/\\d{{4}})', 1), '(..)/(..)/(....)', '\\3-\\2-\\1') ELSE date END AS date FROM p JOIN f USING (page_id)""",
     "record_lookup": "SELECT doc_id, lang, source, md5(text) AS text_md5 FROM documents WHERE doc_id = 17",
 }
+
+#: The categories, their keywords and intents, the weights of files and the kinds of cover, as they stand in the definition.
+_KEYWORDS = """waiting_periods: waiting period|30 days|36 months|24 months|12 months|survival period|initial waiting
+exclusions: exclusion|not covered|excluded|cosmetic|infertility|self-inflicted|war|experimental
+claims: claim|cashless|reimbursement|pre-authorisation|discharge|settle|network hospital|documents
+eligibility_underwriting: entry age|underwrit|medical examination|medical test|bmi|loading|accept|decline|refer|hba1c|tobacco|smoker|ppme|pre-policy
+qualification_rules: lead|qualified|referred|not eligible|voice agent|tele-sales|capture
+premium_pricing: premium|rate|gst|discount|pay monthly|frequency|annual premium|cost|price|zone
+objection_handling: objection|approved response|do not:|reframe|competitor|discuss with my spouse
+compliance: disclosure|solicitation|prohibited|must not|recorded for quality|do-not-call|rebating|section 41
+product: sum insured|floater|room rent|restoration|rider|maternity|add-on|plan|cover|benefit|feature
+policy_terms: means|definition|grace period|free look|free-look|renewal|renewab|cancellation|nomination|grievance|portab
+partnership: partner|commission|outlet|posp|corporate agent
+forms: field |proposal form|required)|optional)
+customer_service: ticket|resolution:|issue:
+company: irdai|licensed|head office|branches|since 2011|members|settlement ratio|about
+faq: ?"""
+_PRIOR = {"eligibility_underwriting": "CASE WHEN file = 'underwriting_rules.md' THEN 2.0 ELSE 0 END", "faq": "CASE WHEN file = 'faq.md' THEN 1.0 ELSE 0 END", "product": "CASE WHEN file = 'brochure_2023.md' THEN 1.5 ELSE 0 END", "policy_terms": "CASE WHEN file = 'policy_wording.md' THEN 1.5 ELSE 0 END"}
+
+
+def _kb_scores() -> str:
+    part = "(CASE WHEN {n} > 0 THEN (1.0 + 0.3 * least({n} - 1, 4.0)) * CASE WHEN contains(title, '{k}') THEN 2.0 ELSE 1.0 END ELSE 0.0 END)"
+    out = []
+    for i, line in enumerate(_KEYWORDS.split("\n")):
+        name, _, kws = line.partition(": ")
+        total = " + ".join(part.format(k=k, n=f"((length(whole) - length(replace(whole, '{k}', ''))) // {len(k)})") for k in kws.split("|"))
+        out.append(f"{{'neg': -round((({total}) + {_PRIOR.get(name, '0')})::DOUBLE * {0.4 if name == 'faq' else 1.0}::DOUBLE, 6), 'ord': {i}, 'name': '{name}'}}")
+    return ", ".join(out)
+
+
+ORACLES |= {
+    "record_quality": rf"""WITH t AS (SELECT doc_id, {_NOTED} AS text FROM documents),
+f AS (SELECT doc_id, 'essential_entry_age' AS fact, unnest(list_transform(list_zip(regexp_extract_all(text, '(?i)essential[^.\n]{{0,80}}?entry age (\d{{2}})\s*(?:to|-)\s*(\d{{2}})', 1), regexp_extract_all(text, '(?i)essential[^.\n]{{0,80}}?entry age (\d{{2}})\s*(?:to|-)\s*(\d{{2}})', 2)), lambda x: x[1] || '-' || x[2])) AS value FROM t
+  UNION ALL SELECT doc_id, 'network_hospitals', unnest(regexp_extract_all(text, '(?i)(\d[\d,]{{3,6}})\+?\s*network hospitals', 1)) FROM t
+  UNION ALL SELECT doc_id, 'claim_tat_days', unnest(regexp_extract_all(text, '(?i)average of (\d+) working days', 1)) FROM t
+  UNION ALL SELECT doc_id, 'members', unnest(regexp_extract_all(text, '(?i)(\d\.\d) million members', 1)) FROM t),
+c AS (SELECT doc_id, list_sort(list_distinct(list('conflicting_fact:' || fact))) AS conflicts FROM f WHERE fact IN (SELECT fact FROM f GROUP BY fact HAVING count(DISTINCT value) > 1) GROUP BY doc_id),
+x AS (SELECT doc_id, list_concat(list_filter([
+  CASE WHEN regexp_matches(text, '(?i)premium[^.\n]*:\s*0\b|annual premium excl gst:\s*0\b') THEN 'zero_premium_value' END,
+  CASE WHEN regexp_matches(text, '(?i)pending approval|tbd|to be confirmed') THEN 'placeholder_value' END,
+  CASE WHEN regexp_matches(text, '(?i)THIS LINE IS OUTDATED|legacy text') THEN 'explicit_outdated_statement' END], lambda x: x IS NOT NULL), coalesce(conflicts, [])) AS flags FROM t LEFT JOIN c USING (doc_id))
+SELECT doc_id, array_to_string(flags, ',') AS flags FROM x WHERE len(flags) > 0""",
+    "kb_categories": rf"""WITH n AS (SELECT doc_id, {_NOTED} AS text, {T.FILE} AS file FROM documents),
+t AS (SELECT *, lower(split_part(text, chr(10), 1)) AS title, lower(split_part(text, chr(10), 1) || chr(10) || text) AS whole FROM n),
+s AS (SELECT *, list_sort([{_kb_scores()}]) AS s FROM t),
+b AS (SELECT doc_id, text, file, CASE WHEN s[1].neg < 0 THEN s[1].name ELSE 'faq' END AS category, CASE WHEN -s[2].neg >= 0.6::DOUBLE * -s[1].neg AND -s[2].neg > 1 THEN s[2].name END AS subcategory, round(-s[1].neg + 0.0, 6) AS category_score FROM s),
+i AS (SELECT *, CASE category WHEN 'product' THEN ['product'] WHEN 'premium_pricing' THEN ['product', 'faq'] WHEN 'policy_terms' THEN ['policy'] WHEN 'waiting_periods' THEN ['policy', 'faq'] WHEN 'exclusions' THEN ['policy'] WHEN 'claims' THEN ['policy', 'faq']
+  WHEN 'eligibility_underwriting' THEN ['qualification'] WHEN 'qualification_rules' THEN ['qualification'] WHEN 'objection_handling' THEN ['objection'] WHEN 'compliance' THEN ['compliance'] WHEN 'faq' THEN ['faq'] WHEN 'partnership' THEN ['product']
+  WHEN 'forms' THEN ['qualification'] WHEN 'customer_service' THEN ['faq'] WHEN 'company' THEN ['product', 'faq'] END AS own FROM b)
+SELECT doc_id, category, subcategory, category_score,
+ array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)\bessential\b') THEN 'essential' END, CASE WHEN regexp_matches(text, '(?i)\bfamily shield\b') THEN 'family_shield' END, CASE WHEN regexp_matches(text, '(?i)\bsenior care\b') THEN 'senior_care' END,
+  CASE WHEN regexp_matches(text, '(?i)\bcritical illness\b') THEN 'critical_illness_rider' END, CASE WHEN regexp_matches(text, '(?i)\bhospital cash\b') THEN 'hospital_cash_rider' END, CASE WHEN regexp_matches(text, '(?i)\bco-payment waiver\b') THEN 'copay_waiver_rider' END,
+  CASE WHEN regexp_matches(text, '\bOPD\b') THEN 'opd_rider' END, CASE WHEN regexp_matches(text, '(?i)\bcredit life\b') THEN 'credit_life' END], lambda x: x IS NOT NULL), ',') AS products,
+ array_to_string(list_sort(list_distinct(list_concat(own, CASE WHEN file = 'faq.md' THEN ['faq'] ELSE [] END))), ',') AS intents FROM i""",
+}

@@ -81,21 +81,23 @@ def slot_fill(spark, d):
 
 
 def qualification(spark, d):
-    """Slots made of customers: balance as age, segment as members, and a condition for some."""
-    k = F.col("c_custkey")
-    cond = F.when(k % 11 == 0, "cancer").when(k % 7 == 0, "diabetes").when(k % 13 == 0, "obesity").otherwise("none")
-    age = F.when(k % 17 == 0, F.lit(None).cast("string")).otherwise((15 + F.abs(F.floor(F.col("c_acctbal") / 100)) % 75).cast("string"))
-    slots = F.map_from_arrays(F.array(*map(F.lit, ("name", "age", "city", "members", "conditions", "sum_insured"))), F.array("c_name", age, F.when(k % 2 == 0, "Pune").otherwise("Agra"), F.col("c_mktsegment"), cond, F.when(k % 5 == 0, "25 lakh").otherwise("5 lakh")))
+    """Slots made of customers: balance as age, segment as members, and for some a condition, an occupation, a conflict of ages or
+    a wish that their market has a rule for."""
+    k, no = F.col("c_custkey"), F.lit(None).cast("string")
+    cond = F.when(k % 11 == 0, "cancer").when(k % 37 == 0, "heart attack").when(k % 7 == 0, "diabetes").when(k % 13 == 0, "obesity").when(k % 23 == 0, "credit life").when(k % 29 == 0, "credit life of a home loan").otherwise("none")
+    age = F.when(k % 17 == 0, no).when(k % 43 == 0, "unknown").otherwise((15 + F.abs(F.floor(F.col("c_acctbal") / 100)) % 75).cast("string"))
+    values = {"name": F.col("c_name"), "age": age, "city": F.when(k % 2 == 0, "Pune").otherwise("Agra"), "members": F.col("c_mktsegment"), "conditions": cond, "sum_insured": F.when(k % 5 == 0, "25 lakh").otherwise("5 lakh"), "occupation": F.when(k % 31 == 0, "Mining").otherwise(no), "age_conflict": F.when(k % 19 == 0, "stated age 40 vs DOB year 1950").otherwise(no)}
+    slots = F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*values.values()))
     market = F.when(k % 3 == 0, "PH").when(k % 3 == 1, "ID").otherwise("IN")
     # inline() makes the slots, and then the outcome, once for each row.
     rows = _t(spark, d, "customer").select("c_custkey", F.inline(F.array(F.struct(market.alias("market"), slots.alias("slots")))))
     q = rows.select("c_custkey", "market", F.inline(F.array(dialogue.qualify(F.col("slots"), F.col("market")))))
-    return q.select("c_custkey", "market", "status", "plan", "zone", "medical", F.array_join("reasons", "|").alias("reasons"))
+    return q.select("c_custkey", "market", "status", "plan", "zone", "medical", F.array_join("reasons", "|").alias("reasons"), F.md5(F.array_join("disclaimers", "|")).alias("disclaimers_md5"))
 
 
 def turn_routes(spark, d):
     t = _t(spark, d, "conversations")
-    return t.select("conv_id", "turn", dialogue.route(F.col("text"), ["enheit"], ["tion of", "keit"]).alias("route"), X.is_question(F.col("text")).alias("question"))
+    return t.select("conv_id", "turn", dialogue.route(F.col("text"), ["enheit"], ["tion of", "keit"]).alias("route"), X.is_question(F.col("text"), X.ASKED).alias("question"))
 
 
 def call_history(spark, d):
@@ -108,11 +110,30 @@ def call_flags(spark, d):
     return dialogue.call_flags(c, "conv_id", {"has_system": F.col("role") == "system", "long_turn": F.length("text") > 500})
 
 
+def _scripted(spark, d):
+    """The calls with scripted lines before their own turns: conv_id, turn, role, text."""
+    own = _t(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    script = F.array(*(F.array(*(F.struct(F.lit(i - 100).cast("long").alias("turn"), F.lit(who).alias("role"), F.lit(said).alias("text")) for i, (who, said) in enumerate(lines))) for lines, _ in T.SCRIPTS))
+    calls = own.select("conv_id").distinct()
+    return own.union(calls.select("conv_id", F.inline(F.get(script, (F.col("conv_id") % len(T.SCRIPTS)).cast("int")))))
+
+
+def _scripted_nudges(spark, d):
+    lines = live.with_clock(_scripted(spark, d), "conv_id", "turn", "text").withColumn("speaker", live.speaker_of(F.col("role")))
+    return live.nudges(live.signals(lines, "conv_id", "turn", "text"), "conv_id", ["turn", "seq"])
+
+
+def scripted_nudges(spark, d):
+    """The nudges of the calls with scripted lines, under the default rules."""
+    n = _scripted_nudges(spark, d)
+    return n.select("call", "id", "kind", "confidence", "priority", F.round("created_t", 6).alias("created_t"), F.round("expires_t", 6).alias("expires_t"), F.md5("evidence").alias("evidence_md5"), "suppressed", "reason")
+
+
 def scenario_outcomes(spark, d):
-    """The scripted calls under the default rules."""
-    s = live.signals(live.scripted(spark, T.SCENARIOS), "call", "turn", "text")
-    expected = spark.createDataFrame(list(T.EXPECTED.items()), "call string, kinds array<string>")
-    out = live.outcomes(live.nudges(s, "call", ["turn", "seq"]), expected)
+    """Whether each call gave the nudges that its script should give; none at all where none is expected."""
+    expected = F.get(F.array(*(F.array(*map(F.lit, kinds)).cast("array<string>") for _, kinds in T.SCRIPTS)), (F.col("conv_id") % len(T.SCRIPTS)).cast("int"))
+    calls = _t(spark, d, "conversations").select("conv_id").distinct().select(F.col("conv_id").cast("string").alias("call"), expected.alias("kinds"))
+    out = live.outcomes(_scripted_nudges(spark, d), calls)
     return out.select("call", F.array_join("kinds", ",").alias("kinds"), F.array_join("emitted", ",").alias("emitted"), "passed")
 
 
@@ -122,20 +143,56 @@ def masked_turns(spark, d):
     return m.select(F.col("call").alias("conv_id"), "turn", F.md5("json").alias("json_md5"), F.md5("line").alias("line_md5"), F.array_join("kinds", ",").alias("kinds"))
 
 
-QUERIES = {f.__name__: f for f in (scenario_outcomes, masked_turns, turn_clock, live_signals, call_nudges, nudge_cooldown, active_nudges, latency_summary, controller_stats, precision_proxy, signal_dedup, slot_fill, qualification, turn_routes, call_history, call_flags)}
+QUERIES = {f.__name__: f for f in (scripted_nudges, scenario_outcomes, masked_turns, turn_clock, live_signals, call_nudges, nudge_cooldown, active_nudges, latency_summary, controller_stats, precision_proxy, signal_dedup, slot_fill, qualification, turn_routes, call_history, call_flags)}
+
 
-_CLOCK = r"""
-c AS (SELECT *, round(least(12.0, greatest(2.0, len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '')) * 0.38::DOUBLE)), 6) AS dur, CASE WHEN lower(role) IN ('customer', 'cust', 'user') THEN 'customer' ELSE 'agent' END AS speaker FROM conversations),
+def _clock(turns: str) -> str:
+    return rf"""c AS (SELECT *, round(least(12.0, greatest(2.0, len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '')) * 0.38::DOUBLE)), 6) AS dur, CASE WHEN lower(role) IN ('customer', 'cust', 'user') THEN 'customer' ELSE 'agent' END AS speaker FROM {turns}),
 l AS (SELECT *, round(sum(dur) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 6) AS t_end FROM c)"""
-_RULE_ROWS = " UNION ALL ".join(f"SELECT conv_id, turn, '{k}' AS kind, {c}::DOUBLE AS confidence, t_end FROM m WHERE speaker = '{s}' AND regexp_matches(text, '{p}')" for s, k, c, p in T.LIVE)
-_SIGNALS = f"""WITH {_CLOCK},
-m AS (SELECT *, bool_or(speaker = 'agent' AND regexp_matches(coalesce(text, ''), '{T.DISCLOSED}')) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS told FROM l),
-s AS ({_RULE_ROWS} UNION ALL SELECT conv_id, turn, 'compliance_gap', 0.9::DOUBLE, t_end FROM m WHERE speaker = 'agent' AND NOT told AND t_end >= 8)"""
+
+
+def _signals(rules: str, disclosed: str) -> str:
+    """rules: rows (seq, speaker, kind, confidence, pattern). The signals of l."""
+    return f"""m AS (SELECT *, bool_or(speaker = 'agent' AND regexp_matches(coalesce(text, ''), '{disclosed}')) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS told FROM l),
+rules(seq, who, kind, confidence, pattern) AS (VALUES {rules}),
+s AS (SELECT conv_id, turn, seq, kind, confidence::DOUBLE AS confidence, text AS evidence, t_end FROM m JOIN rules ON speaker = who AND regexp_matches(text, pattern)
+  UNION ALL SELECT conv_id, turn, 99, 'compliance_gap', 0.9::DOUBLE, 'No disclosure heard.', t_end FROM m WHERE speaker = 'agent' AND NOT told AND t_end >= 8)"""
+
+
+#: The controller as a recursion over a call's signals in order; `shown` holds what it has let pass.
+_CONTROL = r"""
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, seq) AS n, list_distinct(list_filter(string_split_regex(lower(evidence), '\s+'), lambda x: x <> '')) AS w FROM s),
+r AS (
+  SELECT conv_id, 0::BIGINT AS n, NULL::VARCHAR AS kind, NULL::DOUBLE AS confidence, NULL::DOUBLE AS t_end, NULL::VARCHAR AS evidence, NULL::VARCHAR AS reason, CAST([] AS STRUCT(kind VARCHAR, t DOUBLE, w VARCHAR[])[]) AS shown FROM (SELECT DISTINCT conv_id FROM n)
+  UNION ALL SELECT conv_id, n, kind, confidence, t_end, evidence, reason, CASE WHEN reason IS NULL THEN list_append(shown, {'kind': kind, 't': t_end, 'w': w}) ELSE shown END FROM (
+    SELECT n.conv_id, n.n, n.kind, n.confidence, n.t_end, n.evidence, n.w, r.shown,
+      CASE WHEN n.confidence < 0.65 THEN 'below_threshold'
+           WHEN len(list_filter(r.shown, lambda e: e.kind = n.kind AND n.t_end - e.t < 45)) > 0 THEN 'cooldown'
+           WHEN len(list_filter(r.shown[-6:], lambda e: e.kind = n.kind AND len(e.w) > 0 AND len(n.w) > 0 AND len(list_intersect(e.w, n.w)) / len(list_distinct(list_concat(e.w, n.w))) > 0.6)) > 0 THEN 'duplicate_evidence' END AS reason
+    FROM r JOIN n ON n.conv_id = r.conv_id AND n.n = r.n + 1)),
+control AS (SELECT conv_id::VARCHAR AS call, 'N' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INT, '0') AS id, kind, confidence, t_end, evidence, reason, reason IS NOT NULL AS suppressed FROM r WHERE n > 0)"""
+_SIGNALS = f"WITH {_clock('conversations')}, " + _signals(", ".join(f"({i}, '{s}', '{k}', {c}, '{p}')" for i, (s, k, c, p) in enumerate(T.LIVE)), T.DISCLOSED)
+#: The scripts and the default rules, as they stand in the definition.
+_SCRIPTED = r"""script(no, turn, role, text) AS (VALUES
+  (0, -100, 'agent', 'Good day, this call is being recorded.'), (0, -99, 'customer', 'It is for me alone.'), (0, -98, 'customer', 'There is a second car in the family, too.'),
+  (1, -100, 'agent', 'Good day, approval is guaranteed with us, no exclusions and no questions asked, today and any other day of the year, as long as you like and as we have always said to all who asked.'), (1, -99, 'customer', 'Is that so?'), (1, -98, 'agent', 'It is.'),
+  (2, -100, 'agent', 'Good day, this call is being recorded.'), (2, -99, 'customer', 'I am 42 years old.'), (2, -98, 'agent', 'How old are you?'), (2, -97, 'customer', 'This is ridiculous.'),
+  (3, -100, 'agent', 'Good day, this call is being recorded.'), (3, -99, 'customer', 'hm, well, one moment'), (3, -98, 'customer', 'perhaps next year'),
+  (4, -100, 'agent', 'Selamat siang, panggilan ini direkam.'), (4, -99, 'customer', 'Mahal banget, gaji belum ada.'), (4, -98, 'customer', 'Today is not a good time.'), (4, -97, 'customer', 'And it is too expensive, mahal banget.')),
+turns AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, script.turn, script.role, script.text FROM (SELECT DISTINCT conv_id FROM conversations) JOIN script ON conv_id % 5 = no)"""
+_DEFAULT = r"""
+  (0, 'customer', 'missed_cross_sell', 0.82, '(?i)\b(second|another|other)\s+(car|vehicle|bike|motor|mobil)\b|\b(wife''?s? car|husband''?s? car|mobil (?:isteri|istri|suami)|motor dinas)\b|\b(parents?|father|mother|asawa|anak|spouse|kids?)\b.{0,40}\b(cover|policy|insured)\b|\bcritical illness\b'),
+  (1, 'customer', 'buying_signal', 0.78, '(?i)\b(how much|magkano|berapa|premium|quote|send (me )?the (summary|quote)|I''ll take|let''s proceed|sige po)\b'),
+  (2, 'customer', 'rising_frustration', 0.88, '(?i)\b(this is ridiculous|useless|stupid bot|waste (of )?time|already told you|hindi niyo ba maintindihan|kesal|capek banget)\b|\b(annoyed|frustrated|angry|fed up|irritat)\b|!{2,}'),
+  (3, 'customer', 'payment_difficulty', 0.80, '(?i)\b(cannot pay|can''t pay|no money|gaji belum|dendanya|mahal banget|too expensive|hindi afford)\b'),
+  (4, 'customer', 'callback_need', 0.75, '(?i)\b(call me back|callback|tawag(?:an)? (?:mo|ninyo)|hubungi (?:saya|aku)|not a good time)\b'),
+  (5, 'agent', 'compliance_gap', 0.93, '(?i)\b(guaranteed|100%\s*covered|no exclusions|approved|sure claim|no questions asked)\b|\b(day one|from day 1).{0,20}(pre-existing|PED)\b')"""
+_SCRIPT_NUDGES = f"WITH RECURSIVE {_SCRIPTED}, {_clock('turns')}, " + _signals(_DEFAULT, "(?i)this call is being recorded|nire-record|panggilan ini direkam|subject matter of solicitation") + f", {_CONTROL}"
 _EV = "ev AS (SELECT event_id, user_id AS call, event_type AS kind, epoch_us(ts) / 1e6 AS t, round(least(1.0, value / 100), 6) AS confidence FROM events)"
-_PRI = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in live.PRIORITY.items()) + " ELSE 10 END"
+_PRI = "CASE kind WHEN 'compliance_gap' THEN 100 WHEN 'rising_frustration' THEN 90 WHEN 'payment_difficulty' THEN 70 WHEN 'missed_cross_sell' THEN 60 WHEN 'callback_need' THEN 50 WHEN 'buying_signal' THEN 40 WHEN 'topic_shift' THEN 20 ELSE 10 END"
 _AGE = "(15 + abs(floor(c_acctbal / 100))::BIGINT % 75)"
 ORACLES = {
-    "turn_clock": f"WITH {_CLOCK} SELECT conv_id, turn, speaker, round(t_end - dur, 6) AS t_start, t_end FROM l",
+    "turn_clock": f"WITH {_clock('conversations')} SELECT conv_id, turn, speaker, round(t_end - dur, 6) AS t_start, t_end FROM l",
     "live_signals": f"{_SIGNALS} SELECT conv_id, turn, kind, confidence, count(*) AS n, max(t_end) AS t_end FROM s GROUP BY ALL",
     "nudge_cooldown": f"""WITH RECURSIVE {_EV}, e AS (SELECT *, row_number() OVER (PARTITION BY call, kind ORDER BY t, event_id) AS n FROM ev WHERE confidence >= 0.65),
 r AS (SELECT call, kind, n, event_id, t AS last, true AS emitted FROM e WHERE n = 1
@@ -152,24 +209,39 @@ UNION ALL SELECT 'kind', suppressed, kind, NULL, count(*) FROM x GROUP BY suppre
     "signal_dedup": f"{_SIGNALS} SELECT conv_id, turn, kind, confidence FROM s",
     "slot_fill": r"""WITH s AS (SELECT conv_id, turn, 'last_word' AS slot, regexp_extract(trim(text), '([a-zA-Z_0-9]+)[^a-zA-Z_0-9]*$', 1) AS value FROM conversations UNION ALL SELECT conv_id, turn, 'thing', regexp_extract(trim(text), '(?i)\b((?:the|der|les)) ', 1) FROM conversations)
 SELECT conv_id, slot, arg_max(value, turn) AS value FROM s WHERE value <> '' GROUP BY conv_id, slot""",
-    "qualification": f"""WITH c AS (SELECT *, CASE WHEN c_custkey % 17 <> 0 THEN {_AGE} END AS age, CASE WHEN c_custkey % 11 = 0 THEN 'cancer' WHEN c_custkey % 7 = 0 THEN 'diabetes' WHEN c_custkey % 13 = 0 THEN 'obesity' ELSE 'none' END AS cond,
-  CASE c_custkey % 3 WHEN 0 THEN 'PH' WHEN 1 THEN 'ID' ELSE 'IN' END AS market, CASE WHEN c_custkey % 2 = 0 THEN 'A' ELSE 'B' END AS z, c_custkey % 5 = 0 AS large,
+    "qualification": f"""WITH c AS (SELECT *, CASE WHEN c_custkey % 17 = 0 THEN NULL WHEN c_custkey % 43 = 0 THEN 'unknown' ELSE {_AGE}::VARCHAR END AS said,
+  CASE WHEN c_custkey % 11 = 0 THEN 'cancer' WHEN c_custkey % 37 = 0 THEN 'heart attack' WHEN c_custkey % 7 = 0 THEN 'diabetes' WHEN c_custkey % 13 = 0 THEN 'obesity' WHEN c_custkey % 23 = 0 THEN 'credit life' WHEN c_custkey % 29 = 0 THEN 'credit life of a home loan' ELSE 'none' END AS cond,
+  CASE c_custkey % 3 WHEN 0 THEN 'PH' WHEN 1 THEN 'ID' ELSE 'IN' END AS market, CASE WHEN c_custkey % 2 = 0 THEN 'A' ELSE 'B' END AS z, c_custkey % 5 = 0 AS large, c_custkey % 31 = 0 AS mining, c_custkey % 19 = 0 AS conflict,
   regexp_matches(lower(c_mktsegment), 'spouse|wife|husband|child|kids|son|daughter|family|2a') AS fam FROM customer),
-p AS (SELECT *, CASE WHEN age >= 61 THEN 'Senior' WHEN fam THEN 'Family' ELSE 'Single' END AS pl FROM c)
+p AS (SELECT *, try_cast(said AS INT) AS age, CASE WHEN try_cast(said AS INT) >= 61 THEN 'Senior' WHEN fam THEN 'Family' ELSE 'Single' END AS pl FROM c),
+r AS (SELECT *, CASE
+  WHEN said IS NULL THEN 'need' WHEN age IS NULL THEN 'number'
+  WHEN market = 'PH' THEN CASE WHEN age < 18 THEN 'ph18' WHEN age > 65 THEN 'ph65' WHEN cond = 'credit life' THEN 'phcl' WHEN age >= 60 THEN 'ph60' ELSE 'phok' END
+  WHEN market = 'ID' THEN CASE WHEN age < 21 OR age > 55 THEN 'idno' ELSE 'idok' END
+  WHEN conflict THEN 'conflict' WHEN age < 18 THEN 'in18' WHEN age > 80 THEN 'in80'
+  WHEN cond = 'heart attack' AND age >= 61 THEN 'cardiac' WHEN cond IN ('cancer', 'heart attack') THEN 'decline' WHEN cond = 'obesity' OR mining THEN 'refer' ELSE 'inok' END AS rule,
+  CASE WHEN age >= 61 THEN 'senior plan with medical examination' ELSE 'age in range for ' || pl || CASE WHEN age > 45 THEN '|medical examination by age' ELSE '' END END AS base FROM p)
 SELECT c_custkey, market,
- CASE WHEN age IS NULL THEN 'Incomplete' WHEN market = 'PH' THEN CASE WHEN age < 18 OR age > 65 THEN 'Not Eligible' WHEN age >= 60 THEN 'Referred' ELSE 'Qualified' END
-  WHEN market = 'ID' THEN CASE WHEN age < 21 OR age > 55 THEN 'Not Eligible' ELSE 'Qualified' END
-  WHEN age < 18 OR age > 80 OR cond = 'cancer' THEN 'Not Eligible' WHEN cond = 'obesity' THEN 'Referred' ELSE 'Qualified' END AS status,
- CASE WHEN age IS NULL THEN NULL WHEN market = 'PH' THEN 'Term' WHEN market = 'ID' THEN 'Loan' WHEN age < 18 OR age > 80 THEN NULL ELSE pl END AS plan,
- CASE WHEN market = 'IN' AND age IS NOT NULL THEN z END AS zone,
- CASE WHEN market <> 'IN' OR age IS NULL OR age < 18 OR age > 80 THEN false WHEN cond IN ('cancer', 'obesity') THEN age > 45 ELSE age > 45 OR cond = 'diabetes' OR large END AS medical,
- CASE WHEN age IS NULL THEN 'still need: age' WHEN market = 'PH' THEN CASE WHEN age < 18 THEN 'minimum age 18' WHEN age > 65 THEN 'maximum age 65' WHEN age >= 60 THEN 'age 60 to 65 is referred' ELSE 'age in range' END
-  WHEN market = 'ID' THEN CASE WHEN age < 21 OR age > 55 THEN 'age 21 to 55 only' ELSE 'age in range' END
-  WHEN age < 18 THEN 'entry age is 18' WHEN age > 80 THEN 'maximum entry age is 80' WHEN cond = 'cancer' THEN 'declared condition' WHEN cond = 'obesity' THEN 'needs an underwriter'
-  ELSE 'age in range' || CASE WHEN age > 45 THEN '|medical examination by age' ELSE '' END || CASE WHEN cond = 'diabetes' THEN '|loading' ELSE '' END || CASE WHEN large THEN '|medical examination by sum' ELSE '' END END AS reasons FROM p""",
-    "turn_routes": r"SELECT conv_id, turn, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN contains(lower(text), 'enheit') THEN 'do_not_call' WHEN contains(lower(text), 'tion of') OR contains(lower(text), 'keit') THEN 'escalate' ELSE 'answer' END AS route, trim(text) LIKE '%?' OR regexp_matches(trim(text), '(?i)^(what|how|can|is|do|does|who|when|why|will|are)\b') AS question FROM conversations",
+ CASE WHEN rule IN ('need', 'number') THEN 'Incomplete' WHEN rule IN ('ph18', 'ph65', 'phcl', 'idno', 'in18', 'in80', 'decline') THEN 'Not Eligible' WHEN rule IN ('ph60', 'conflict', 'cardiac', 'refer') THEN 'Referred' ELSE 'Qualified' END AS status,
+ CASE WHEN rule = 'phcl' THEN 'Credit Life' WHEN rule LIKE 'ph%' THEN 'Term' WHEN rule LIKE 'id%' THEN 'Loan' WHEN rule IN ('cardiac', 'decline', 'refer', 'inok') THEN pl END AS plan,
+ CASE WHEN market = 'IN' AND rule NOT IN ('need', 'number') THEN z END AS zone,
+ CASE WHEN rule IN ('cardiac', 'decline', 'refer') THEN age > 45 WHEN rule = 'inok' THEN age > 45 OR cond = 'diabetes' OR large ELSE false END AS medical,
+ CASE rule WHEN 'need' THEN 'still need: age' WHEN 'number' THEN 'age is not a number' WHEN 'ph18' THEN 'minimum age 18' WHEN 'ph65' THEN 'maximum age 65' WHEN 'phcl' THEN 'credit life requires a loan' WHEN 'ph60' THEN 'age 60 to 65 is referred'
+  WHEN 'phok' THEN 'age in range' WHEN 'idok' THEN 'age in range' WHEN 'idno' THEN 'age 21 to 55 only' WHEN 'conflict' THEN 'age conflicts with date of birth' WHEN 'in18' THEN 'entry age is 18' WHEN 'in80' THEN 'maximum entry age is 80'
+  WHEN 'cardiac' THEN base || '|cardiac history is referred' WHEN 'decline' THEN base || '|declared condition' WHEN 'refer' THEN base || '|needs an underwriter'
+  ELSE base || CASE WHEN cond = 'diabetes' THEN '|loading' ELSE '' END || CASE WHEN large THEN '|medical examination by sum' ELSE '' END END AS reasons,
+ md5(CASE WHEN rule IN ('need', 'number') THEN '' WHEN market = 'PH' THEN 'Indicative only. Final offer is the signed policy illustration from a licensed advisor.' WHEN market = 'ID' THEN 'Angka indikatif. Persetujuan final setelah survey cabang.'
+  WHEN rule = 'conflict' THEN 'Eligibility is preliminary and subject to underwriting.' ELSE 'Eligibility is preliminary and subject to underwriting; this is not an approval.|Any premium mentioned is indicative, exclusive of 18% GST, and subject to underwriting.' END) AS disclaimers_md5 FROM r""",
+    "turn_routes": r"SELECT conv_id, turn, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN contains(lower(text), 'enheit') THEN 'do_not_call' WHEN contains(lower(text), 'tion of') OR contains(lower(text), 'keit') THEN 'escalate' ELSE 'answer' END AS route, trim(text) LIKE '%?' OR regexp_matches(trim(text), '(?i)^(what|how|can|is|do|does|who|when|why|will|are|magkano|ano|pwede|boleh|berapa|apakah)\b') AS question FROM conversations",
     "call_history": "SELECT conv_id, turn, md5(concat_ws(chr(10), lag(text, 2) OVER w, lag(text, 1) OVER w, text)) AS history_md5 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "call_flags": "SELECT conv_id, bool_or(role = 'system') AS has_system, bool_or(length(text) > 500) AS long_turn FROM conversations GROUP BY conv_id",
 }
-_EXPECTED = ", ".join(f"('{k}', '{','.join(v)}')" for k, v in T.EXPECTED.items())
-ORACLES["scenario_outcomes"] = f"SELECT call, kinds, kinds AS emitted, true AS passed FROM (VALUES {_EXPECTED}) v(call, kinds)"
+ORACLES |= {
+    "call_nudges": f"{_SIGNALS.replace('WITH', 'WITH RECURSIVE', 1)}, {_CONTROL} SELECT call, id, kind, ({_PRI})::INT AS priority, round(t_end, 6) AS created_t, suppressed, reason FROM control",
+    "scripted_nudges": f"{_SCRIPT_NUDGES} SELECT call, id, kind, confidence, ({_PRI})::INT AS priority, round(t_end, 6) AS created_t, round(t_end + 60, 6) AS expires_t, md5(evidence) AS evidence_md5, suppressed, reason FROM control",
+    "scenario_outcomes": f"""{_SCRIPT_NUDGES},
+e(no, kinds) AS (VALUES (0, ['missed_cross_sell']), (1, ['compliance_gap']), (2, ['rising_frustration']), (3, CAST([] AS VARCHAR[])), (4, ['callback_need', 'payment_difficulty'])),
+o AS (SELECT DISTINCT conv_id::VARCHAR AS call, kinds FROM conversations JOIN e ON conv_id % 5 = no),
+g AS (SELECT call, list_sort(list_distinct(list(kind))) AS emitted FROM control WHERE NOT suppressed GROUP BY call)
+SELECT call, array_to_string(kinds, ',') AS kinds, coalesce(array_to_string(emitted, ','), '') AS emitted, CASE WHEN len(kinds) = 0 THEN coalesce(len(emitted), 0) = 0 ELSE len(list_filter(kinds, lambda k: NOT list_contains(coalesce(emitted, []), k))) = 0 END AS passed FROM o LEFT JOIN g USING (call)""",
+}

@@ -20,15 +20,14 @@ LIVE = [
     ("agent", "compliance_gap", 0.93, _WORD % "thing|nicht|pour"),
 ]
 DISCLOSED = _WORD % "this|sich|avec"
-#: Scripted calls: (speaker, seconds, text) in turn, and the kinds of nudge that each should give.
-SCENARIOS = {
-    "second_car": [("agent", 6, "Good day, this call is being recorded."), ("customer", 5, "It is for me alone."), ("customer", 6, "There is a second car in the family, too.")],
-    "undisclosed": [("agent", 5, "Good day, approval is guaranteed with us."), ("customer", 4, "Is that so?"), ("agent", 4, "It is.")],
-    "upset": [("agent", 5, "Good day, this call is being recorded."), ("customer", 4, "I am 42 years old."), ("agent", 3, "How old are you?"), ("customer", 5, "This is ridiculous.")],
-    "noise": [("agent", 5, "Good day, this call is being recorded."), ("customer", 4, "hm, well, one moment"), ("customer", 4, "perhaps next year")],
-    "salary": [("agent", 5, "Selamat siang, panggilan ini direkam."), ("customer", 5, "Mahal banget, gaji belum ada."), ("customer", 4, "Today is not a good time.")],
-}
-EXPECTED = {"second_car": ["missed_cross_sell"], "undisclosed": ["compliance_gap"], "upset": ["rising_frustration"], "noise": [], "salary": ["callback_need", "payment_difficulty"]}
+#: What is said before a call, by its number: (speaker, text) in turn, and the kinds of nudge that this should give.
+SCRIPTS = [
+    ([("agent", "Good day, this call is being recorded."), ("customer", "It is for me alone."), ("customer", "There is a second car in the family, too.")], ["missed_cross_sell"]),
+    ([("agent", "Good day, approval is guaranteed with us, no exclusions and no questions asked, today and any other day of the year, as long as you like and as we have always said to all who asked."), ("customer", "Is that so?"), ("agent", "It is.")], ["compliance_gap"]),
+    ([("agent", "Good day, this call is being recorded."), ("customer", "I am 42 years old."), ("agent", "How old are you?"), ("customer", "This is ridiculous.")], ["rising_frustration"]),
+    ([("agent", "Good day, this call is being recorded."), ("customer", "hm, well, one moment"), ("customer", "perhaps next year")], []),
+    ([("agent", "Selamat siang, panggilan ini direkam."), ("customer", "Mahal banget, gaji belum ada."), ("customer", "Today is not a good time."), ("customer", "And it is too expensive, mahal banget.")], ["callback_need", "payment_difficulty"]),
+]
 _M = "'January,February,March,April,May,June,July,August,September,October,November,December'"
 
 
@@ -47,7 +46,18 @@ DATED_PAGE = f"concat('<p>', {dated('page_id')}, '</p>', html, CASE WHEN page_id
 #: Terms in their many forms, put before a text by its number.
 PHRASES = [
     "Cash-less hospitalization upto Rs. 5 lacs, 3 lac more for 10 % of members", "copayments, co payments and a co-pay; PEDs or pre existing conditions of 2 yrs", "TAT of the PPME and u/s 80D; hospitalized on 3/4/2024",
-    "ACME PLUS with no claim bonus, life-time renewability, health check ups on Mar 7, 2024", "sum assured of Rs 2,50,000 L on 21st March 2024", "upto 1 yr",
+    "ACME PLUS with no claim bonus, life-time renewability, health check ups on Mar 7, 2024", "sum assured of Rs 2,50,000 L on 21st March 2024", "upto 1 yr, dial 1800-022-055 or 1234-012-34 on 45/3/2024, 12-Smarch-2020 or 7-dec-2021",
 ]
 PHRASED = "concat(CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PHRASES)) + " END, ' ', text)"
 PLANS = ["Acme Plus"]
+#: Lines that the rules of cleaning, flags, facts, categories and kinds of cover ask for, put before a text by its number.
+NOTES = [
+    "We use cookies to make this page better", "All Rights Reserved by the owners of this page", "Copyright 2024 of the owners", "Customer Login", "Privacy Policy | Imprint",
+    "Limited period offer: annual premium excl gst: 0 for the floater plan", "Internal only: 30 days of waiting period, TBD", "-----", "(Superseded by the newer edition, retained for reference)",
+    "call window.dataLayer.push here", "window.datalayer is another name for it", "Essential plans: entry age 18 to 60, family shield too; about 8,900+ network hospitals",
+    "The essential cover has an entry age 18-65; about 9,500 network hospitals. Rate pending approval", "Claims take an average of 7 working days; 1.2 million members; critical illness and OPD",
+    "Claims take an average of 10 working days; 1.2 million members; hospital cash, senior care", "THIS LINE IS OUTDATED: co-payment waiver and credit life, legacy text?", "Annual premium for zone A: 0, paid monthly; objection and approved response",
+]
+NOTED = "concat(CASE doc_id % 17 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(NOTES)) + " END, CAST(chr(10) AS STRING), text)"
+#: The file that a record is said to come from, by its number.
+FILE = "concat(CASE doc_id % 5 WHEN 0 THEN 'underwriting_rules' WHEN 1 THEN 'faq' WHEN 2 THEN 'brochure_2023' WHEN 3 THEN 'policy_wording' ELSE source END, '.md')"

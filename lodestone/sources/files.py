@@ -16,158 +16,276 @@ from pyspark.sql import types as T
 
 from lodestone.functions import pii
 from lodestone.functions.store import cut
+from lodestone.functions.text import FIELD_NAMES
 
 SECTION = "struct<headings array<string>, text string, locator string, kind string>"
-DOCUMENT = f"path string, source_type string, status string, error string, title string, sections array<{SECTION}>, fingerprint string"
+DOCUMENT = f"path string, source_type string, status string, error string, title string, sections array<{SECTION}>, raw_chars long, head string, updated string, version string, fingerprint string"
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_SKIP = {"script", "style", "noscript", "nav", "header", "footer", "aside", "template"}
-_BLOCK = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "ul", "ol", "section", "article", "main", "br", "body"}
+#: An open element of the second kind ends where one of the first begins, at the latest within an element of the third.
+_ENDS = [({"p", "ul", "ol", "table", "div", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6"}, {"p"}, {"td", "th", "li", "div", "section", "article", "main", "body"}), ({"li"}, {"li"}, {"ul", "ol"}), ({"tr"}, {"tr", "td", "th"}, {"table"}), ({"td", "th"}, {"td", "th"}, {"tr", "table"})]
+# The furniture of a page, by tag, class and role.
+PRUNED_TAGS = {"nav", "header", "footer", "script", "style", "noscript", "aside"}
+PRUNED_CLASSES = {"cookie-banner", "promo", "site-header", "site-footer", "breadcrumbs", "share", "social"}
+PRUNED_ROLES = {"navigation"}
+# A line of a PDF that is a heading.
+PDF_HEADING = re.compile(r"(SECTION [A-Z]\b.*|[A-Z]\.\d+\s.*|[A-Z][A-Z &-]{6,}$)")
+
+
+def heading_name(h: str) -> str:
+    """functions.text.standardize_heading() of one string, for loaders."""
+    for old, new in (("\u00a0", " "), ("\u2019", "'"), ("\u2013", "-"), ("\u2014", "-")):
+        h = h.replace(old, new)
+    h = re.sub(r" ?\n ?", "\n", re.sub(r"[ \t]+", " ", h)).strip()
+    h = re.sub(r"(?i)^section\s+[a-z]\s*-\s*", "", h)
+    if re.match(r"(?:[A-Z]|\d+)(?:\.\d+)*[.)\s-]", h):
+        h = re.sub(r"(?i)^(?:section\s+)?(?:[a-z]|\d+)(?:\.\d+)*[.)\s-]+\s*", "", h)
+    h = h.strip(" :-")
+    return h.title() if h.isupper() else " ".join(w if w.isupper() and len(w) <= 5 else w[:1].upper() + w[1:] for w in h.split(" "))
+
+
+def field_name(name: str) -> str:
+    """functions.text.standardize_field_name() of one string, with blanks for underscores."""
+    snake = re.sub(r"[-_ ]+", "_", re.sub(r"(?<!^)(?=[A-Z])", "_", name).lower())
+    return FIELD_NAMES.get(snake.replace("_", ""), FIELD_NAMES.get(snake, snake)).replace("_", " ")
+
+
+class Element:
+    """A page's element: its tag, attributes and content, strings and elements in order."""
+
+    def __init__(self, tag: str, attrs: dict[str, str], inside: Element | None = None):
+        self.tag, self.attrs, self.inside, self.content = tag, attrs, inside, []
+
+    def all(self) -> Iterator[Element]:
+        """The elements within, each before its own."""
+        todo = self.content[::-1]
+        while todo:
+            if isinstance(x := todo.pop(), Element):
+                yield x
+                todo += x.content[::-1]
+
+    def strings(self) -> Iterator[str]:
+        todo = self.content[::-1]
+        while todo:
+            if isinstance(x := todo.pop(), Element):
+                todo += x.content[::-1]
+            else:
+                yield x
+
+    def text(self) -> str:
+        """The strings within, stripped, with a blank between."""
+        return " ".join(t for x in self.strings() if (t := x.strip()))
+
+    def first(self, *tags: str) -> Element | None:
+        return next((x for x in self.all() if x.tag in tags), None)
 
+    def above(self, *tags: str) -> bool:
+        x = self.inside
+        while x is not None and x.tag not in tags:
+            x = x.inside
+        return x is not None
 
-class _Page(HTMLParser):
-    """Headings, paragraphs, lists and tables of a page, in order; also of pages with tags left open."""
 
-    def __init__(self):
+class _Tree(HTMLParser):
+    """Builds the tree; furniture is left out, with all that is within. Elements left open end where the next of their kind begins."""
+
+    def __init__(self, pruned: bool = True):
         super().__init__(convert_charrefs=True)
-        self.title, self.stack, self.out, self.text = "", [], [], []
-        self.skip, self.in_title, self.heading, self.row, self.table = 0, False, 0, None, None
-
-    def _flush(self, kind: str = "prose") -> None:
-        text = re.sub(r"\s+", " ", "".join(self.text)).strip()
-        self.text = []
-        if not text:
-            return
-        if self.heading:
-            self.stack = [h for h in self.stack if h[0] < self.heading] + [(self.heading, text)]
-        elif self.row is not None:
-            self.row.append(text)
-        else:
-            self.out.append(([h for _, h in self.stack], text, kind))
+        self.top = self.now = Element("", {})
+        self.out: Element | None = None  # the outermost element that is left out
+        self.pruned, self.title = pruned, None
 
     def handle_starttag(self, tag, attrs):
-        if tag in _SKIP:
-            self._flush()
-            self.skip += 1
-        elif tag == "title":
-            self.in_title = True
-        elif tag in ("td", "th"):
-            self._flush()
-        elif tag in _BLOCK:
-            self._flush("list" if tag == "li" else "prose")
-            if tag == "table":
-                self.table = []
-            elif tag == "tr" and self.table is not None:
-                self.row = []
-            elif re.fullmatch("h[1-6]", tag):
-                self.heading = int(tag[1])
+        for begins, ends, most in _ENDS:
+            if tag in begins:
+                x = self.now
+                while x.inside is not None and x.tag not in most | ends:
+                    x = x.inside
+                while x.inside is not None and x.tag in ends:
+                    self._close(x)
+                    x = self.now
+        own = Element(tag, {k: v or "" for k, v in attrs}, self.now)
+        furniture = tag in PRUNED_TAGS or own.attrs.get("role") in PRUNED_ROLES or not PRUNED_CLASSES.isdisjoint(own.attrs.get("class", "").split())
+        if self.out is None and not (self.pruned and furniture):
+            self.now.content.append(own)
+        if tag not in _VOID:
+            self.now = own
+            if self.out is None and self.pruned and furniture:
+                self.out = own
+        if tag == "title" and self.title is None:
+            self.title = own
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.handle_endtag(tag)
+
+    def _close(self, x: Element) -> None:
+        y = self.now
+        while y is not x.inside:
+            if y is self.out:
+                self.out = None
+            y = y.inside
+        self.now = x.inside
 
     def handle_endtag(self, tag):
-        if tag in _SKIP:
-            self.skip = max(0, self.skip - 1)
-        elif tag == "title":
-            self.in_title = False
-        elif tag in ("td", "th"):
-            self._flush()
-        elif tag == "tr" and self.row is not None:
-            self._flush()
-            self.table.append(self.row)
-            self.row = None
-        elif tag == "table" and self.table is not None:
-            self.out.append(([h for _, h in self.stack], table_text(self.table), "table"))
-            self.table = self.row = None
-        elif tag in _BLOCK:
-            self._flush("list" if tag == "li" else "prose")
-            if re.fullmatch("h[1-6]", tag):
-                self.heading = 0
+        x = self.now
+        while x.inside is not None and x.tag != tag:
+            x = x.inside
+        if x.inside is not None:
+            self._close(x)
 
     def handle_data(self, data):
-        if self.in_title:
-            self.title += data
-        elif not self.skip:
-            self.text.append(data)
+        if self.out is None or self.now.tag == "title":
+            self.now.content.append(data)
 
 
 def table_text(rows: list[list[str]]) -> str:
-    """`first - header: value; ...`; a row of another length is joined by bars; the header row is no line."""
+    """`first - header: value; ...` a row; one of another length than the header, or under a header of one cell, is joined by bars.
+    Rows without cells are left out."""
     if not rows:
         return ""
     head = rows[0]
-    return "\n".join(f"{r[0]} - {'; '.join(f'{h}: {v}' for h, v in zip(head[1:], r[1:]))}." if len(r) == len(head) > 1 else " | ".join(r) for r in rows[1:])
+    return "\n".join(f"{r[0]} - {'; '.join(f'{h}: {v}' for h, v in zip(head[1:], r[1:]))}." if len(r) == len(head) > 1 else " | ".join(r) for r in rows[1:] if r)
 
 
 def html_sections(html: str, path: str = "") -> tuple[str, list[tuple]]:
-    page = _Page()
-    page.feed(html or "")
-    page.close()
-    page._flush()
-    title = page.title.split("|")[0].strip()
+    """A section for what stands under a heading (h1 to h4): paragraphs and outer lists, an item a line; and one for each table.
+    Furniture is pruned; of the rest `main`, else `body`, else all is read. Text in neither is left out."""
+    tree = _Tree()
+    tree.feed(html or "")
+    tree.close()
+    title = tree.title.text().split("|")[0].strip() if tree.title is not None else path.rpartition("/")[2].rpartition(".")[0]
+    root = tree.top.first("main") or tree.top.first("body") or tree.top
     faq = "faq" in path.lower()
-    return title, [(h, t, "", "faq" if faq and len(h) >= 3 else k) for h, t, k in page.out if t]
+    out, stack, lines, kind, locator = [], [], [], "prose", ""
+
+    def done() -> None:
+        nonlocal lines, kind
+        if lines:
+            out.append((list(stack), "\n".join(lines).strip(), locator or " > ".join(stack), kind))
+        lines, kind = [], "prose"
+
+    for x in root.all():
+        if x.tag in ("h1", "h2", "h3", "h4"):
+            done()
+            name = heading_name(x.text())
+            # Levels that are missing leave no gap: a page's first h2 stays above the others.
+            stack[:] = [h for h in [*stack[: int(x.tag[1]) - 1], name] if h]
+            locator = x.attrs.get("id") or name
+            kind = "faq" if faq and x.tag == "h3" and stack else kind
+        elif x.tag == "p" and not x.above("li"):
+            lines += [t] if (t := x.text()) else []
+        elif x.tag in ("ul", "ol") and not x.above("ul", "ol"):
+            items = [f"- {i.text()}" for i in x.content if isinstance(i, Element) and i.tag == "li"]
+            lines += items
+            kind = "list" if items and kind == "prose" else kind
+        elif x.tag == "table":
+            done()
+            rows = [[c.text() for c in r.all() if c.tag in ("td", "th")] for r in x.all() if r.tag == "tr"]
+            if text := table_text(rows):
+                out.append((list(stack), text, "table", "table"))
+    done()
+    return title, out
 
 
 def markdown_sections(text: str) -> tuple[str, list[tuple]]:
-    title, path, out, buffer, table = "", [], [], [], []
+    """A section for what stands under a heading, and one for each table, which comes before the lines that it interrupts."""
+    title, path, out, lines, table = "", [], [], [], []
 
-    def flush():
+    def done() -> None:
+        where = " > ".join(path)
         if table:
-            cells = [[c.strip() for c in r.strip().strip("|").split("|")] for r in table if not re.fullmatch(r"[\s|:-]+", r)]
-            out.append(([h for _, h in path], table_text(cells), "", "table"))
-            table.clear()
-        if body := "\n".join(buffer).strip():
-            out.append(([h for _, h in path], body, "", "prose"))
-        buffer.clear()
+            cells = [[c.strip() for c in r.strip("|").split("|")] for r in table if not re.match(r"\|?\s*-+", r)]
+            out.append((list(path), table_text(cells).strip(), where, "table"))
+        if lines:
+            out.append((list(path), re.sub(r"\n{2,}", "\n", "\n".join(lines)).strip(), where, "prose"))
+        table.clear(), lines.clear()
 
     for line in text.splitlines():
-        if m := re.match(r"(#{1,6})\s+(.*)", line):
-            flush()
-            level, name = len(m[1]), m[2].strip()
+        bare = line.strip()
+        if line.startswith("#"):
+            done()
+            name = heading_name(line.lstrip("#").strip())
+            level = len(line) - len(line.lstrip("#"))
             if level == 1:
-                title, path[:] = title or name, []
+                title, path = name, []
             else:
-                path[:] = [h for h in path if h[0] < level] + [(level, name)]
-        elif line.lstrip().startswith("|"):
-            if buffer:
-                flush()
-            table.append(line)
-        else:
-            if table:
-                flush()
-            buffer.append(line)
-    flush()
-    return title, [s for s in out if s[1]]
+                path = [*path[: level - 2], name]
+        elif bare.startswith("|"):
+            table.append(bare)
+        elif bare:
+            lines.append(line.rstrip())
+        elif table:
+            done()
+        elif lines:
+            lines.append("")
+    done()
+    return title, out
 
 
 def text_sections(text: str) -> tuple[str, list[tuple]]:
+    """Paragraphs, under the last line in capitals that stood alone or above one."""
     heading, out = [], []
-    for part in re.split(r"\n\s*\n|^-{5,}\s*$", text, flags=re.M):
-        lines = part.strip().splitlines()
-        if lines and len(lines[0]) < 80 and lines[0].upper() == lines[0] != lines[0].lower():
-            heading, lines = [lines[0].strip()], lines[1:]
-        if body := "\n".join(lines).strip():
-            out.append((list(heading), body, "", "prose"))
-    return (out[0][0][0] if out and out[0][0] else ""), out
+    parts = [p.strip() for p in re.split(r"\n\s*\n|\n-----\n", text) if p.strip()]
+    for part in parts:
+        first, _, rest = part.partition("\n")
+        if first.isupper() and len(first) < 80:
+            heading, part = [heading_name(first)], rest.strip()
+            if not rest:
+                continue
+        out.append((list(heading), part, " > ".join(heading), "prose"))
+    return (parts[0].splitlines()[0].title() if parts else ""), out
 
 
 def csv_text(text: str) -> tuple[str, list[tuple]]:
-    rows = list(csv.DictReader(io.StringIO(text)))
+    """A section for each value of the first column, a line a row; names in one form."""
+    rows = csv.DictReader(io.StringIO(text))
     groups: dict[str, list[str]] = {}
     for i, r in enumerate(rows, 2):
-        cells = "; ".join(f"{k.replace('_', ' ')}: {v.strip()}" for k, v in r.items() if k and isinstance(v, str) and v.strip())
-        groups.setdefault(next(iter(r.values())) or "", []).append(f"(row {i}) {cells}.")
-    return "", [([k], "\n".join(v), "", "table") for k, v in groups.items()]
+        cells = "; ".join(f"{field_name(k)}: {v}" for k, v in r.items() if v not in (None, ""))
+        groups.setdefault(r[rows.fieldnames[0]] or "", []).append(f"(row {i}) {cells}.")
+    if not groups:
+        raise ValueError("the table has no rows")
+    return "", [([k], "\n".join(v), f"rows for {k}", "table") for k, v in groups.items()]
 
 
-def form_text(text: str) -> tuple[str, list[tuple]]:
+def form_text(text: str) -> tuple[str, list[tuple], str]:
+    """A section for each of the form's, a line a field; and the form's version."""
     form = json.loads(text)
     out = []
     for s in form.get("sections", []):
         lines = []
         for f in s.get("fields", []):
-            more = [f" Options: {', '.join(map(str, f['options']))}."] if f.get("options") else []
-            more += [f" {f['help']}"] if f.get("help") else []
-            lines.append(f"- {f.get('label') or f.get('name')} ({'required' if f.get('required') else 'optional'}, {f.get('type', 'text')}).{''.join(more)}")
-        out.append(([s.get("title", "")], "\n".join(lines), "", "form"))
-    return form.get("form_name", ""), [s for s in out if s[1]]
+            more = f" Options: {', '.join(map(str, f['options']))}." if f.get("options") else ""
+            more += f" {f['help']}." if f.get("help") else ""
+            lines.append(f"Field {field_name(f.get('name', '')).replace(' ', '_')} ({f.get('type', 'text')}, {'required' if f.get('required') else 'optional'}): {f.get('label', '')}.{more}")
+        out.append(([s.get("title", "")], "\n".join(lines), s.get("title", ""), "form"))
+    return form.get("form_name", ""), out, str(form.get("version", "1.0"))
+
+
+def pdf_lines(pages: list[str]) -> tuple[str, list[tuple]]:
+    """Pages of lines to sections: a heading's lines on a page are one text. A numbered heading stands in its own text, too."""
+    path, out = [], []
+    for n, page in enumerate(pages, 1):
+        held: list[str] = []
+
+        def done() -> None:
+            if held:
+                out.append((list(path), " ".join(held), f"page {n}", "prose"))  # noqa: B023
+            held.clear()  # noqa: B023
+
+        for line in filter(None, map(str.strip, page.splitlines())):
+            if PDF_HEADING.match(line) and len(line) < 90:
+                done()
+                if line.startswith("SECTION"):
+                    path = [heading_name(line)]
+                    continue
+                path = [*path[:1], heading_name(line.partition(" ")[2] or line)]
+            held.append(line)
+        done()
+    if not out:
+        raise ValueError("no text can be taken from it")
+    return "\n".join(pages).strip().splitlines()[0].title()[:80], out
 
 
 def pdf_sections(raw: bytes) -> tuple[str, list[tuple]]:
@@ -175,42 +293,47 @@ def pdf_sections(raw: bytes) -> tuple[str, list[tuple]]:
         import pypdf  # an optional package
     except ImportError as e:
         raise ValueError("no PDF parser is installed") from e
-    heading, out = [], []
-    for n, page in enumerate(pypdf.PdfReader(io.BytesIO(raw)).pages, 1):
-        for line in (page.extract_text() or "").splitlines():
-            if re.match(r"(?:SECTION\s+[A-Z]|\d+(?:\.\d+)*[.)]?\s+[A-Z])", line) and len(line) < 90:
-                heading = [line.strip()]
-            elif line.strip():
-                out.append((list(heading), line.strip(), f"page {n}", "prose"))
-    return "", out
+    return pdf_lines([page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(raw)).pages])
 
 
+_utf8 = lambda raw: raw.decode("utf-8-sig", "replace").replace("\r\n", "\n").replace("\r", "\n")
+#: By extension: the type of source and what reads it: (title, sections) and, where the file says it, its version.
 LOADERS = {
-    "html": lambda raw, path: html_sections(raw.decode("utf8", "replace"), path),
-    "htm": lambda raw, path: html_sections(raw.decode("utf8", "replace"), path),
-    "md": lambda raw, path: markdown_sections(raw.decode("utf8", "replace")),
-    "txt": lambda raw, path: text_sections(raw.decode("utf8", "replace")),
-    "csv": lambda raw, path: csv_text(raw.decode("utf-8-sig", "replace")),
-    "json": lambda raw, path: form_text(raw.decode("utf8", "replace")),
-    "pdf": lambda raw, path: pdf_sections(raw),
+    "html": ("html", lambda raw, path: html_sections(_utf8(raw), path)),
+    "htm": ("html", lambda raw, path: html_sections(_utf8(raw), path)),
+    "md": ("markdown", lambda raw, path: markdown_sections(_utf8(raw))),
+    "txt": ("text", lambda raw, path: text_sections(_utf8(raw))),
+    "csv": ("csv", lambda raw, path: csv_text(_utf8(raw))),
+    "json": ("json_form", lambda raw, path: form_text(_utf8(raw))),
+    "pdf": ("pdf", lambda raw, path: pdf_sections(raw)),
 }
 
 
 def load(path: str, raw: bytes) -> dict:
-    """One document's row; never raises."""
-    ext = path.rpartition(".")[2].lower()
-    row = {"path": path, "source_type": ext, "status": "ok", "error": None, "title": path.rpartition("/")[2].rpartition(".")[0], "sections": []}
+    """One document's row; never raises. `head` is what its version and date are looked for in, `updated` the day of a page's last update, `version`
+    the form's own."""
+    stem, _, ext = path.rpartition("/")[2].rpartition(".")
+    kind, loader = LOADERS.get(ext.lower(), ("text", None))
+    named = stem if kind in ("html", "text") else stem.replace("_", " ").title()
+    row = {"path": path, "source_type": kind, "status": "ok", "error": None, "title": named, "sections": [], "raw_chars": 0, "head": None, "updated": None, "version": None}
     try:
-        if ext not in LOADERS:
-            raise ValueError(f"unknown extension {ext}")
-        title, sections = LOADERS[ext](raw, path)
+        if loader is None:
+            raise ValueError(f"unsupported file type .{ext}")
+        title, sections, *version = loader(raw, path)
         row["title"] = title or row["title"]
         row["sections"] = [dict(zip(("headings", "text", "locator", "kind"), s)) for s in sections]
-        if not sections:
-            row["status"] = "failed" if ext == "pdf" else "empty"
-            row["error"] = "no text"
+        row["raw_chars"] = len(raw) if kind in ("json_form", "pdf") else len(_utf8(raw))
+        row["version"] = version[0] if version else None
+        if kind not in ("csv", "json_form"):
+            whole = "\n".join(s[1] for s in sections) if kind in ("html", "pdf") else _utf8(raw)
+            # A page's foot often has its date.
+            row["head"] = (f"{whole} {_utf8(raw)[-1500:]}" if kind == "html" else whole)[:800]
+        if kind == "html" and (m := re.search(r"last updated on (\d{2})/(\d{2})/(\d{4})", _utf8(raw))):
+            row["updated"] = f"{m[3]}-{m[2]}-{m[1]}"
+        if not any(s[1].strip() for s in sections):
+            row |= {"status": "empty", "error": "no content after extraction"}
     except Exception as e:  # noqa: BLE001  whatever is wrong with a file becomes its row
-        row |= {"status": "failed", "error": f"{type(e).__name__}: {e}"}
+        row |= {"status": "failed", "error": f"{type(e).__name__}: {e}", "sections": []}
     return row
 
 
@@ -238,7 +361,7 @@ def read_documents(spark: SparkSession, roots: list[tuple[str, str, str]], skip:
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = pd.DataFrame([load(p, bytes(c)) for p, c in zip(b["path"], b["content"])], columns=["path", "source_type", "status", "error", "title", "sections"])
+            rows = pd.DataFrame([load(p, bytes(c)) for p, c in zip(b["path"], b["content"])], columns=["path", "source_type", "status", "error", "title", "sections", "raw_chars", "head", "updated", "version"])
             yield rows.assign(fingerprint=b["fp"].to_numpy(), **{c: b[c].to_numpy() for c in ("market", "language", "root")})
 
     return found.withColumn("fp", F.substring(F.sha1("content"), 1, 12)).mapInPandas(parsed, f"{DOCUMENT}, market string, language string, root int")

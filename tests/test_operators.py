@@ -84,6 +84,28 @@ def test_near_duplicates_match_brute_force(spark):
     assert {(r.a, r.b) for r in dedup.near_duplicates(df, "id", "t", "m").collect()} == want and want
 
 
+def test_near_duplicates_compare_lengths_by_distinct_words(spark):
+    rows = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha beta gamma delta " * 5), (3, "a b c d e f"), (4, "a b c d e f g")], "id long, t string").withColumn("m", F.lit("m"))
+    got = {(r.a, r.b): r.similarity for r in dedup.near_duplicates(rows, "id", "t", "m").collect()}
+    assert got == {(1, 2): 0.9, (3, 4): 0.8}
+
+
+def test_true_tables(spark):
+    assert live.PRIORITY["payment_difficulty"] == 70 and live.PRIORITY["buying_signal"] == 40 and live.PRIORITY["topic_shift"] == 20
+    gone = ["We use cookies here", "x All rights reserved", "©owner", "* Copyright 2024", "FAQ", "Privacy policy | x", "limited period offer!", "Exported by y", "-----", "(Superseded by z, retained for reference)", "window.dataLayer = 1", "  "]
+    stay = ["a cookie jar", "back to top", "see the faq", "--", "we were superseded by y", "window.datalayer", "© 2024", "gtag(1)"]
+    lines = spark.createDataFrame([(1, "\n".join(gone + stay))], "id long, t string")
+    got = {r.line: r.status for r in clean.clean_lines(clean.lines_of(lines, "id", "t")).collect()}
+    assert [x for x in gone + stay if got[x] == "kept"] == stay
+    assert clean.record_ids(spark.createDataFrame([("IN", "faq", 1)], "m string, c string, o int"), "m", "c", ["o"]).first()["record_id"] == "kb_in_faq_001"
+
+
+def test_conflicting_facts_are_flagged_on_their_records(spark):
+    rows = spark.createDataFrame([(1, "about 8,900 network hospitals, average of 7 working days"), (2, "9,500+ network hospitals"), (3, "average of 7 working days"), (4, None)], "id long, t string")
+    got = {r.id: r.flags for r in clean.conflict_flags(clean.facts(rows, "id", F.col("t"))).collect()}
+    assert got == {1: ["conflicting_fact:network_hospitals"], 2: ["conflicting_fact:network_hospitals"]}
+
+
 def test_chunk_packer_overlap():
     unit = lambda n, c: " ".join([c] * n)
     assert chunk.pack([unit(100, "a"), unit(72, "b"), unit(80, "c")]) == [unit(100, "a"), unit(72, "b"), unit(72, "b") + " " + unit(80, "c")]
@@ -105,11 +127,104 @@ def test_loaders_never_raise(tmp_path, spark):
     (tmp_path / "e.xyz").write_text("?")
     (tmp_path / "f.txt").write_text(" \n")
     (tmp_path / "_g.txt").write_text("hidden")
+    (tmp_path / "h.csv").write_text("plan,x\n")
+    (tmp_path / "i.html").write_text("<div>in no paragraph</div>")
     got = {r.path.rpartition("/")[2]: r for r in files.read_documents(spark, [(str(tmp_path), "M", "en")]).collect()}
-    assert {k: r.status for k, r in got.items()} == {"a.html": "ok", "b.md": "ok", "c.csv": "ok", "d.json": "failed", "e.xyz": "failed", "f.txt": "empty"}
-    assert got["a.html"].title == "T" and [s.text for s in got["a.html"].sections] == ["one", "two", "r - x: 1."]
+    assert {k: r.status for k, r in got.items()} == {"a.html": "ok", "b.md": "ok", "c.csv": "ok", "d.json": "failed", "e.xyz": "failed", "f.txt": "empty", "h.csv": "failed", "i.html": "empty"}
+    assert got["a.html"].title == "T" and [s.text for s in got["a.html"].sections] == ["one\ntwo", "r - x: 1."]
     assert [s.text for s in got["c.csv"].sections] == ["(row 2) plan: A; x: 1.\n(row 4) plan: A; x: 3.", "(row 3) plan: B; x: 2."]
-    assert got["b.md"].sections[1].text == "a - v: 1."
+    assert [(s.text, s.kind) for s in got["b.md"].sections] == [("a - v: 1.", "table"), ("text", "prose")]
+    assert got["c.csv"].title == "C" and got["h.csv"].error.startswith("ValueError") and got["i.html"].title == "i"
+
+
+def test_html_goes_by_headings(spark):
+    page = """<html><head><title>Our plans | A site</title><style>p {}</style></head><body>
+<div class="site-header x"><p>Top</p></div><div role="navigation"><ul><li>Home</li></ul></div><header><h1>Not me</h1></header>
+<main><p>Before any heading</p><h1 id="top">1. OUR COVER</h1><div class="cookie-banner"><p>We use cookies<div>and more</div></p></div>
+<p>One <b>bold</b> word<p>Left open<ul><li>first<ul><li>inner</li></ul></li><li><p>in an item</p></li></ul>loose text<div>in a div</div>
+<h3>Is it so?</h3><p>It is.</p><span class="promo">Buy</span>
+<table><tr><th>Feature<th>A<th>B</tr><tr><td>Room<td>1<td>2</tr><tr><td>short</td></tr><tr></tr></table><p>After the table</p>
+<h2>Second</h2><ol><li>x</ol><aside><p>no</p></aside><h4></h4><p>Under nothing</p></main><p>Outside</p><footer><p>Foot last updated on 05/06/2024</p></footer></body></html>"""
+    title, got = files.html_sections(page, "pages/faq.html")
+    assert title == "Our plans"
+    assert got == [
+        ([], "Before any heading", "", "prose"),
+        (["Our Cover"], "One bold word\nLeft open\n- first inner\n- in an item", "top", "list"),
+        (["Our Cover", "Is It So?"], "It is.", "Is It So?", "faq"),
+        (["Our Cover", "Is It So?"], "Room - A: 1; B: 2.\nshort", "table", "table"),
+        (["Our Cover", "Is It So?"], "After the table", "Is It So?", "prose"),
+        (["Our Cover", "Second"], "- x", "Second", "list"),
+        (["Our Cover", "Second"], "Under nothing", "Our Cover > Second", "prose"),
+    ]
+    assert files.load("x/faq.html", page.encode())["updated"] == "2024-06-05"
+    assert files.html_sections("<p>no body</p></div></p>", "a/b.html") == ("b", [([], "no body", "", "prose")])
+    assert files.html_sections("<div role=navigation><p>x", "b.html")[1] == [] and files.html_sections(None)[1] == []
+    assert files.html_sections("<nav><div><p>x</nav><p>y<br>z</p>")[1] == [([], "y z", "", "prose")]
+    assert files.html_sections("<table><tr><td>only</td></tr><tr><td>a</td></tr></table>")[1] == [([], "a", "table", "table")]
+
+
+def test_html_against_a_plain_reader():
+    """Random well-formed pages, read by the standard library's XML tree."""
+    import xml.etree.ElementTree as ET
+
+    rng = random.Random(8)
+
+    def block(depth):
+        kind = rng.choice(["p", "p", "h1", "h2", "h3", "h4", "ul", "table", "div", "nav", "promo"])
+        if kind in ("div", "nav") and depth < 3:
+            return f"<{kind}>" + "".join(block(depth + 1) for _ in range(rng.randint(0, 3))) + f"</{kind}>"
+        if kind == "promo":
+            return "<div class='a promo'><p>buy</p></div>"
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>i{rng.randrange(99)}</li>" for _ in range(rng.randint(0, 3))) + "</ul>"
+        if kind == "table":
+            w = rng.randint(1, 3)
+            return "<table>" + "".join("<tr>" + "".join(f"<td>c{rng.randrange(99)}</td>" for _ in range(w)) + "</tr>" for _ in range(rng.randint(1, 3))) + "</table>"
+        return f"<{kind if kind[0] in 'ph' else 'p'}>t{rng.randrange(999)} <b>x</b></{kind if kind[0] in 'ph' else 'p'}>"
+
+    def plain(root):
+        out, stack, held = [], [], []
+        done = lambda: (out.append((list(stack), "\n".join(held))) if held else None, held.clear())
+        words = lambda e: " ".join(t.strip() for t in e.itertext() if t.strip())
+
+        def walk(e):
+            for c in e:
+                if c.tag == "nav" or "promo" in c.get("class", "").split():
+                    continue
+                if c.tag[0] == "h" and c.tag != "html":
+                    done()
+                    stack[:] = [*stack[: int(c.tag[1]) - 1], files.heading_name(words(c))]
+                elif c.tag == "p":
+                    held.append(words(c))
+                elif c.tag == "ul":
+                    held.extend(f"- {words(i)}" for i in c)
+                elif c.tag == "table":
+                    done()
+                    if text := files.table_text([[words(x) for x in r] for r in c]):
+                        out.append((list(stack), text))
+                    continue
+                walk(c) if c.tag not in ("ul", "p") else None
+
+        walk(root)
+        done()
+        return out
+
+    for _ in range(200):
+        page = "<main>" + "".join(block(0) for _ in range(rng.randint(0, 12))) + "</main>"
+        assert [(h, t) for h, t, _, _ in files.html_sections(page)[1]] == plain(ET.fromstring(page)), page
+
+
+def test_other_loaders_by_section():
+    md = files.markdown_sections("# 1. TOP\nintro\n## a part\nline  \n| k | v |\n|---|:-:|\n| a | 1 |\n| b |\nafter\n\n\nmore\n#### deep\ny\n## 2. next\n\nz\n")
+    assert md == ("Top", [([], "intro", "", "prose"), (["A Part"], "a - v: 1.\nb", "A Part", "table"), (["A Part"], "line\nafter", "A Part", "prose"), (["A Part"], "more", "A Part", "prose"), (["A Part", "Deep"], "y", "A Part > Deep", "prose"), (["Next"], "z", "Next", "prose")])
+    assert files.text_sections("My title\nhere\n\nHEAD ONE\nbody\nb2\n\nHEAD TWO\n \npara\n-----\nq") == ("My Title", [([], "My title\nhere", "", "prose"), (["Head One"], "body\nb2", "Head One", "prose"), (["Head Two"], "para", "Head Two", "prose"), (["Head Two"], "q", "Head Two", "prose")])
+    assert files.csv_text("plan,sum_insured_rs,x\nA,1,\nB,,2\n")[1] == [(["A"], "(row 2) plan: A; sum insured: 1.", "rows for A", "table"), (["B"], "(row 3) plan: B; x: 2.", "rows for B", "table")]
+    form = '{"form_name": "F", "version": 2, "sections": [{"title": "T", "fields": [{"name": "dateOfBirth", "type": "date", "required": true, "label": "Birth", "options": [1, 2], "help": "h"}, {"name": "x"}]}]}'
+    assert files.form_text(form) == ("F", [(["T"], "Field date_of_birth (date, required): Birth. Options: 1, 2. h.\nField x (text, optional): .", "T", "form")], "2")
+    pdf = files.pdf_lines(["SECTION A - COVER\nA.1 Room rent\nx y\nEXCLUSIONS LIST\nz", "w", " \n"])
+    assert pdf == ("Section A - Cover", [(["Cover", "Room Rent"], "A.1 Room rent x y", "page 1", "prose"), (["Cover", "List"], "EXCLUSIONS LIST z", "page 1", "prose"), (["Cover", "List"], "w", "page 2", "prose")])
+    with pytest.raises(ValueError):
+        files.pdf_lines(["", " "])
 
 
 def test_files_come_in_order_of_root_and_path(tmp_path, spark):
@@ -157,12 +272,19 @@ def test_qualification_and_version(spark):
     assert q({"name": "x"}, "IN").status == "Incomplete"
     assert q({"name": "x", "age": "62", "city": "Pune", "conditions": "heart attack"}, "IN").status == "Referred"
     assert q({"name": "x", "age": "60 yrs"}, "PH").status == "Referred"
+    cardiac = q({"name": "x", "age": "62", "city": "Pune", "conditions": "heart attack"}, "IN")
+    assert cardiac.reasons == ["senior plan with medical examination", "cardiac history is referred"] and cardiac.medical and len(cardiac.disclaimers) == 2
+    assert q({"name": "x", "age": "50", "city": "Agra", "health": "cancer"}, "IN").reasons == ["age in range for Single", "medical examination by age", "declared condition"]
+    assert q({"name": "x", "age": "50", "city": "Agra", "age_conflict": "y"}, "IN").disclaimers == dialogue.DISCLAIMERS["conflict"]
+    life = {"name": "x", "age": "40", "members": "credit life at Bank of Isles"}
+    lent = spark.createDataFrame([(life,)], "s map<string,string>").select(dialogue.qualify(F.col("s"), F.lit("PH"), ["bank of isles"]).alias("q")).first()["q"]
+    assert q(life, "PH").status == "Not Eligible" and lent.status == "Qualified" and q(life, "PH").plan == "Credit Life"
     assert clean.kb_version("2024-05-01", "b", ("2024.05.01-2", "a")) == "2024.05.01-3" and clean.kb_version("2024-05-01", "a", None) == "2024.05.01-1"
     s = spark.createDataFrame([("My name is Ann Lee, I am 45 years, born 1960, two kids",)], "t string").select(dialogue.extract_slots(F.col("t"), as_of_year=2024).alias("s")).first()["s"]
     assert s["name"] == "Ann Lee" and s["age"] == "45" and "age_conflict" in s
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "turn_clock", "table_to_text", "normalized_terms", "document_dates", "page_dates", "scenario_outcomes"])
+@pytest.mark.parametrize("name", ["bm25_topk", "turn_clock", "table_to_text", "normalized_terms", "document_dates", "page_dates", "scenario_outcomes", "scripted_nudges", "call_nudges", "clean_lines", "record_quality", "kb_categories"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
 

@@ -10,6 +10,9 @@ def one(spark, value, of):
 
 def test_dates_become_iso(spark):
     assert one(spark, "on 5/3/2024, Mar 7, 2024 and 21st March 2024; 45/3/2024", X.normalize_dates) == "on 2024-03-05, 2024-03-07 and 2024-03-21; 45/3/2024"
+    assert one(spark, "call 1800-022-055 or 1234-012-34", X.normalize_dates) == "call 1800-022-055 or 1234-012-34"
+    assert one(spark, "12 Mar 2024 Apr 2025, 7-dec-2021, Smarch 1, 2020, 31/13/2024, 01/12/2024", X.normalize_dates) == "2024-03-12 Apr 2025, 2021-12-07, Smarch 1, 2020, 31/13/2024, 2024-12-01"
+    assert one(spark, None, X.normalize_dates) is None
     assert one(spark, "none", X.first_date) is None
     assert one(spark, "from 31/12/2023 to 1/1/2024", X.first_date) == "2023-12-31"
 
@@ -32,6 +35,30 @@ def test_terms(spark):
     assert one(spark, "PEDs of 2 yrs, peds", X.normalize_terms) == "pre-existing disease of 2 years, peds" and one(spark, None, of) is None
 
 
+def test_white_space_at_the_edges(spark):
+    assert one(spark, "\n abc \t d \n e\n ", X.normalize_whitespace) == "abc d\ne"
+    assert one(spark, "\u00a0it\u2019s \u2013 so\u2014", X.normalize_whitespace) == "it's - so-"
+
+
+def test_versions(spark):
+    for text, version in (("Plan v2.1 of", "2.1"), ("Version 3", "1.0"), ("VERSION 2024.3,", "2024.3"), ("version 1.2.3", "1.2.3"), ("", "1.0"), ("x" * 800 + " v2.1", "1.0"), ("rev2.1", "1.0")):
+        assert one(spark, text, X.version_of) == version
+
+
+def test_questions_on_a_call(spark):
+    call = lambda t: X.is_question(t, X.ASKED)
+    assert one(spark, "magkano po", call) and not one(spark, "magkano po", X.is_question) and one(spark, " Berapa ", call) and one(spark, "so?", X.is_question)
+
+
+def test_loaders_name_things_like_the_columns(spark):
+    from lodestone.sources.files import field_name, heading_name
+
+    for h in ("3. Pre-existing disease (PED) grid", "SECTION A - COVER", "A Plan for you", "a plan for you", "ROOM RENT - DON'T", "2.1) Claims: ", "section B - x", "", "OPD cover", "12", "Section 4. what \u2013 now"):
+        assert one(spark, h, X.standardize_heading) == heading_name(h), h
+    for n in ("dateOfBirth", "Some-Field", "member_name", "memberName", "sum_insured_rs", "Sum Insured", "mobile_no", "mobileNo", "fullName", "DOB", "annual_premium_rs_excl_gst", "x__y"):
+        assert one(spark, n, X.standardize_field_name).replace("_", " ") == field_name(n), n
+
+
 def test_rules_apply_in_order(spark):
     assert one(spark, "a b", lambda t: X.rewrite(t, [("a", "b"), ("b b", "c")])) == "c"
 
@@ -39,7 +66,10 @@ def test_rules_apply_in_order(spark):
 def test_headings_and_names(spark):
     assert one(spark, "3. Pre-existing disease (PED) grid", X.standardize_heading) == "Pre-existing Disease (PED) Grid"
     assert one(spark, "SECTION A - COVER", X.standardize_heading) == "Cover"
+    assert one(spark, "a plan for you", X.standardize_heading) == "A Plan For You" and one(spark, "A plan for you", X.standardize_heading) == "Plan For You"
+    assert one(spark, "PRE-EXISTING DISEASE", X.standardize_heading) == "Pre-Existing Disease"
     assert one(spark, "dateOfBirth", X.standardize_field_name) == "date_of_birth"
+    assert one(spark, "sum_insured_rs", X.standardize_field_name) == "sum_insured" and one(spark, "membername", X.standardize_field_name) == "membername"
     assert one(spark, "Some-Field", X.standardize_field_name) == "some_field"
     assert one(spark, "/A b.html", X.slug) == "a_b_html"
 
