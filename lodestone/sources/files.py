@@ -357,14 +357,20 @@ def in_file_order(found: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, roots: list[tuple[str, str, str]], skip: list[str] = ()) -> DataFrame:
     """roots: (path, market, language). One row per file that discover() finds. Each task reads and parses its own files."""
-    found = discover(spark, roots, skip)
+    return parse_documents(discover(spark, roots, skip))
+
+
+def parse_documents(found: DataFrame) -> DataFrame:
+    """found: path, content, market, language, root. One row per file, read by what its path ends in."""
+    made = ["path", "source_type", "status", "error", "title", "sections", "raw_chars", "head", "updated", "version"]
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = pd.DataFrame([load(p, bytes(c)) for p, c in zip(b["path"], b["content"])], columns=["path", "source_type", "status", "error", "title", "sections", "raw_chars", "head", "updated", "version"])
+            rows = pd.DataFrame([load(p, bytes(c)) for p, c in zip(b["path"], b["content"])], columns=made)
             yield rows.assign(fingerprint=b["fp"].to_numpy(), **{c: b[c].to_numpy() for c in ("market", "language", "root")})
 
-    return found.withColumn("fp", F.substring(F.sha1("content"), 1, 12)).mapInPandas(parsed, f"{DOCUMENT}, market string, language string, root int")
+    rows = found.select("path", "content", "market", "language", "root", F.substring(F.sha1("content"), 1, 12).alias("fp"))
+    return rows.mapInPandas(parsed, f"{DOCUMENT}, market string, language string, root int")
 
 
 @F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("n_sections", "n_lists", "n_tables"))]))
