@@ -81,6 +81,40 @@ def boosted_topk(spark, d):
     return out.select("item_id", F.col("id").alias("doc_id"), "rank", "score")
 
 
+def _kb(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Records made of documents, with fields by number, and questions made of items, with what they ask for."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.expr(T.NOTED).alias("content"), F.col("lang").alias("market"), F.expr(T.KIND).alias("category"), "doc_id")
+    tags = F.when(F.col("doc_id") % 4 == 1, F.array(F.lit("faq"))).otherwise(F.array().cast("array<string>"))
+    intents = F.when(F.col("doc_id") % 6 == 0, F.array(F.lit("faq"), F.lit("product"))).otherwise(F.array(F.lit("policy")))
+    records = docs.select("id", "title", "content", "market", "category", clean.tags(F.col("content")).alias("products"), tags.alias("tags"), intents.alias("intent_types"))
+    exclude = F.when(F.expr(T.EXCLUDED), F.array(F.lit("c2"), F.lit("c3")))
+    return records, _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.expr(T.QUESTION).alias("text"), *(F.expr(v).alias(n) for n, v in T.WANTED.items()), exclude.alias("exclude"))
+
+
+def kb_search(spark, d):
+    """The three best records for each question, with filters, boosts and explanation."""
+    records, asked = _kb(spark, d)
+    records = cut(records)
+    hits, _ = search.search(search.Index(records, "id", F.concat_ws("\n", "title", "title", "content")), records, asked, k=3)
+    return hits.select("query_id", "rank", F.col("id").alias("doc_id"), "score", "bm25", F.md5(F.regexp_replace("explanation", "; bm25=.*", "")).alias("explanation_md5"))
+
+
+def kb_answers(spark, d):
+    """How sure the search is of each question's first hit."""
+    records, asked = _kb(spark, d)
+    records = cut(records)
+    return search.search(search.Index(records, "id", F.concat_ws("\n", "title", "title", "content")), records, asked, k=3)[1].drop("expanded")
+
+
+def kb_search_hybrid(spark, d):
+    """The same with the vectors of records and questions of one number."""
+    records, asked = _kb(spark, d)
+    records, e = cut(records), _t(spark, d, "embeddings")
+    index = search.Index(records, "id", F.concat_ws("\n", "title", "title", "content"))
+    hits, answers = search.search(index, records, asked, k=3, vectors=e.select(F.col("vec_id").alias("id"), "embedding"), query_vectors=e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+    return hits.join(answers, "query_id").select("query_id", "rank", F.col("id").alias("doc_id"), F.round("score", 5).alias("score"), F.round("cosine", 5).alias("cosine"), "mode", F.round("confidence", 2).alias("confidence"), "n_hits")
+
+
 def verdict_tally(spark, d):
     return search.tally(retrieval_verdict(spark, d))
 
@@ -310,7 +344,7 @@ def explained_hits(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, search_confidence, filter_fallback, boosted_topk, verdict_tally, citations, cleaning_counts, tagged_docs, outdated_docs, cosine_topk, hybrid_fusion, repeated_lines, clean_lines, cleaned_documents, exact_dups, near_dups, near_dup_keepers, pii_counts, pii_mask,
+        bm25_topk, search_confidence, filter_fallback, boosted_topk, kb_search, kb_answers, kb_search_hybrid, verdict_tally, citations, cleaning_counts, tagged_docs, outdated_docs, cosine_topk, hybrid_fusion, repeated_lines, clean_lines, cleaned_documents, exact_dups, near_dups, near_dup_keepers, pii_counts, pii_mask,
         pii_kinds, quality_flags, fact_conflicts, record_quality, classify_docs, kb_categories, record_ids, content_digest, version_bump, manifest_counts, manifest, sample_per_category, normalized_text, text_shape, html_text,
         html_boilerplate, normalized_terms, document_dates, page_dates, record_lookup, sentence_chunks, sentence_counts, table_to_text, csv_grouped, tail_leads, retrieval_verdict, query_expansion, embedding_cache, explained_hits,
     )

@@ -269,3 +269,58 @@ SELECT doc_id, category, subcategory, category_score,
   CASE WHEN regexp_matches(text, '\bOPD\b') THEN 'opd_rider' END, CASE WHEN regexp_matches(text, '(?i)\bcredit life\b') THEN 'credit_life' END], lambda x: x IS NOT NULL), ',') AS products,
  array_to_string(list_sort(list_distinct(list_concat(own, CASE WHEN file = 'faq.md' THEN ['faq'] ELSE [] END))), ',') AS intents FROM i""",
 }
+
+#: All records against all questions, by the definition: no candidates are looked for.
+_SYNONYMS = """price=premium;cost=premium;costs=premium;cheap=premium,discount;expensive=premium;kids=children;kid=children;child=children;parents=senior care;father=senior care;mother=senior care;elderly=senior care;old=age;
+hospital list=network hospitals;reject=rejected,non-disclosure;sugar=diabetes;bp=hypertension;blood pressure=hypertension;smoke=tobacco;smoking=tobacco;cancel=free-look,cancellation;refund=free-look;pregnancy=maternity;
+pregnant=maternity;baby=maternity,newborn;dental=dental treatment;teeth=dental treatment;eye=cataract;cataract=specific illness;pay=payment;emi=monthly;installment=monthly;tax=section 80d;switch=portability;port=portability;
+transfer=portability;human=escalation;agent=advisor;manager=escalation;icu=room rent;room=room rent;bariatric=obesity,weight-control;abroad=outside india;overseas=outside india;foreign=outside india;singapore=outside india;
+dubai=outside india;usa=outside india;ambulance=road ambulance;ayurveda=ayush;homeopathy=ayush;second opinion=escalation;after how long=waiting period,maternity;difference between=family shield,essential,comparison;
+magkano=premium;aso=beneficiary;cicilan=angsuran,installment;dp=down payment;denda=late fee;jatuh tempo=due date;tenor=term"""
+_WIDER = ", ".join(f"CASE WHEN regexp_matches(lower(t), '\\b{k.strip()}\\b') THEN [{', '.join(repr(x) for x in v.split(','))}] ELSE [] END" for k, _, v in (x.partition("=") for x in _SYNONYMS.replace("\n", "").split(";")))
+_AS_SQL = lambda x: x.replace("AS STRING", "AS VARCHAR")
+
+
+def _searched(hybrid: bool) -> str:
+    base = "0.5 * bm25_norm + 0.5 * least(1.0, greatest(0.0, coalesce(cos, 0)))" if hybrid else "bm25_norm"
+    vectors = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), vn AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) + 1e-9 AS n FROM e)," if hybrid else ""
+    cos = "list_sum(list_transform(list_zip(qv.v, dv.v), lambda x: x[1] * x[2])) / (qv.n * dv.n)" if hybrid else "NULL"
+    join = "LEFT JOIN vn qv ON qv.vec_id = a.query_id LEFT JOIN vn dv ON dv.vec_id = a.doc_id" if hybrid else ""
+    sure = "0.4 * round(coverage, 6) + 0.2 * least(1.0, bm25 / 12.0) + 0.4 * greatest(0.0, coalesce(cos, 0))" if hybrid else "0.65 * round(coverage, 6) + 0.35 * least(1.0, bm25 / 12.0)"
+    return rf"""WITH {vectors}
+rec AS (SELECT doc_id, source AS title, {_NOTED} AS content, lang, 'c' || (doc_id % 6) AS category, doc_id % 4 = 1 AS faq, CASE WHEN doc_id % 6 = 0 THEN ['faq', 'product'] ELSE ['policy'] END AS intents FROM documents),
+r2 AS (SELECT *, list_filter([CASE WHEN regexp_matches(content, '(?i)\bessential\b') THEN 'essential' END, CASE WHEN regexp_matches(content, '(?i)\bfamily shield\b') THEN 'family_shield' END, CASE WHEN regexp_matches(content, '(?i)\bsenior care\b') THEN 'senior_care' END,
+  CASE WHEN regexp_matches(content, '(?i)\bcritical illness\b') THEN 'critical_illness_rider' END], lambda x: x IS NOT NULL) AS products FROM rec),
+tok AS (SELECT doc_id, {_tokens("title || chr(10) || title || chr(10) || content")} AS tokens FROM rec),
+posts AS (SELECT doc_id, len(tokens) AS dl, term, count(*) AS tf FROM (SELECT doc_id, tokens, unnest(tokens) AS term FROM tok) GROUP BY doc_id, len(tokens), term),
+sizes AS (SELECT count(*) AS n_docs, avg(len(tokens)) AS avgdl FROM tok),
+df AS (SELECT term, count(*) AS df, ln(any_value(n_docs) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM posts, sizes GROUP BY term),
+idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM df) ELSE raw END AS idf FROM df),
+q0 AS (SELECT item_id AS query_id, {_AS_SQL(T.QUESTION)} AS said, {", ".join(f"{v} AS w_{n}" for n, v in T.WANTED.items())}, {T.EXCLUDED} AS without FROM benchmark),
+q1 AS (SELECT *, {_rewrites("said", TERMS)} AS t FROM q0),
+q2 AS (SELECT *, list_filter(flatten([{_WIDER}]), lambda x: true) AS wider FROM q1),
+q3 AS (SELECT *, t || CASE WHEN len(wider) > 0 THEN ' ' || array_to_string(list_filter(list_transform(range(1, len(wider) + 1), lambda i: CASE WHEN list_position(wider, wider[i]) = i THEN wider[i] END), lambda x: x IS NOT NULL), ' ') ELSE '' END AS expanded FROM q2),
+q4 AS (SELECT *, {_tokens("expanded")} AS qt, trim(said) LIKE '%?' OR regexp_matches(trim(said), '(?i)^(what|how|can|is|do|does|who|when|why|will|are)\b') AS question,
+  list_filter([CASE WHEN regexp_matches(said, '(?i)\bessential\b') THEN 'essential' END, CASE WHEN regexp_matches(said, '(?i)\bfamily (?:shield|floater|plan)\b') THEN 'family_shield' END, CASE WHEN regexp_matches(said, '(?i)\bsenior|parents?\b') THEN 'senior_care' END,
+  CASE WHEN regexp_matches(said, '(?i)\bcritical illness\b') THEN 'critical_illness_rider' END], lambda x: x IS NOT NULL) AS named FROM q3),
+qterm AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(qt) AS term FROM q4) GROUP BY ALL),
+b AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25 FROM qterm JOIN idf USING (term) JOIN posts USING (term), sizes GROUP BY query_id, doc_id),
+a0 AS (SELECT q.query_id, r.doc_id, coalesce((w_market IS NULL OR lang = w_market) AND (w_category IS NULL OR category = w_category) AND (w_intent IS NULL OR list_contains(intents, w_intent)) AND (w_product IS NULL OR list_contains(products, w_product)), false) AND NOT (without AND category IN ('c2', 'c3')) AS ok,
+  CASE WHEN len(list_intersect(named, products)) > 0 THEN 0.08 ELSE 0 END + CASE WHEN question AND faq THEN 0.05 ELSE 0 END AS boost FROM q4 q, r2 r),
+a1 AS (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS passed FROM a0),
+a AS (SELECT a1.*, coalesce(bm25, 0) AS bm25 FROM a1 LEFT JOIN b USING (query_id, doc_id) WHERE ok OR NOT passed),
+n AS (SELECT a.*, CASE WHEN max(bm25) OVER (PARTITION BY query_id) > 0 THEN bm25 / max(bm25) OVER (PARTITION BY query_id) ELSE 0 END AS bm25_norm, {cos} AS cos FROM a {join}),
+s AS (SELECT *, round({base} + boost, 6) AS score FROM n),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 3),
+hit AS (SELECT top.*, list_filter(list_transform(range(1, len(qt) + 1), lambda i: CASE WHEN list_position(qt, qt[i]) = i AND list_contains(tokens, qt[i]) THEN qt[i] END), lambda x: x IS NOT NULL) AS matched FROM top JOIN q4 USING (query_id) JOIN tok USING (doc_id) WHERE score > 0),
+w AS (SELECT DISTINCT query_id, term, greatest(coalesce(idf, (SELECT max(idf) FROM idf)), 0.1) AS w FROM qterm LEFT JOIN idf USING (term)),
+cov AS (SELECT h.query_id, sum(CASE WHEN p.term IS NOT NULL THEN w ELSE 0 END) / sum(w) AS coverage FROM hit h JOIN w USING (query_id) LEFT JOIN posts p ON p.doc_id = h.doc_id AND p.term = w.term WHERE h.rank = 1 GROUP BY h.query_id),
+conf AS (SELECT q.query_id, q.said, CASE WHEN h.doc_id IS NULL THEN 0 ELSE round({sure.replace("coverage", "coalesce(coverage, 0)")}, 3) END AS c, (SELECT count(*) FROM hit x WHERE x.query_id = q.query_id) AS n_hits FROM q4 q LEFT JOIN hit h ON h.query_id = q.query_id AND h.rank = 1 LEFT JOIN cov ON cov.query_id = q.query_id),
+answers AS (SELECT query_id, n_hits, CASE WHEN regexp_matches(said, '(?i)\b(stock price|share price|ceo|cfo|motor insurance|car insurance)\b') THEN least(c, 0.29) ELSE c END AS confidence FROM conf)"""
+
+
+ORACLES |= {
+    "kb_search": f"{_searched(False)} SELECT query_id, rank::INT AS rank, doc_id, score, bm25, md5('matched terms: ' || CASE WHEN len(matched) > 0 THEN array_to_string(matched, ', ') ELSE 'none' END) AS explanation_md5 FROM hit",
+    "kb_answers": f"{_searched(False)} SELECT query_id, 'bm25' AS mode, n_hits, confidence, CASE WHEN confidence >= 0.55 THEN 'high' WHEN confidence >= 0.30 THEN 'medium' ELSE 'low' END AS tier, confidence >= 0.55 AS grounded FROM answers",
+    "kb_search_hybrid": f"{_searched(True)} SELECT query_id, rank::INT AS rank, doc_id, round(score, 5) AS score, round(cos, 5) AS cosine, 'hybrid' AS mode, round(confidence, 2) AS confidence, n_hits FROM hit JOIN answers USING (query_id)",
+}

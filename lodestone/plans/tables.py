@@ -61,3 +61,15 @@ NOTES = [
 NOTED = "concat(CASE doc_id % 17 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(NOTES)) + " END, CAST(chr(10) AS STRING), text)"
 #: The file that a record is said to come from, by its number.
 FILE = "concat(CASE doc_id % 5 WHEN 0 THEN 'underwriting_rules' WHEN 1 THEN 'faq' WHEN 2 THEN 'brochure_2023' WHEN 3 THEN 'policy_wording' ELSE source END, '.md')"
+#: Questions, by number: each asks in a way that a rule of the search is for, behind the first words of an item.
+QUESTIONS = ["What does the essential plan cost for kids?", "Is a critical illness of my parents covered?", "copay upto 2 lacs", "Who is the CEO, and what is the share price?", "family floater with maternity", "how do I cancel", "old age cover", ""]
+QUESTION = "concat(CASE item_id % 8 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(QUESTIONS)) + " END, CASE WHEN item_id % 8 IN (0, 7) THEN '' ELSE concat(' ', split_part(text, ' ', 1), ' ', split_part(text, ' ', 2), ' ', split_part(text, ' ', 3), ' ', split_part(text, ' ', 4)) END)"
+#: What the questions ask for, and the fields of the records, by number.
+WANTED = {
+    "market": "CASE item_id % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'xx' END",
+    "category": "CASE WHEN item_id % 7 = 1 THEN 'c1' END",
+    "intent": "CASE WHEN item_id % 7 = 2 THEN 'faq' END",
+    "product": "CASE WHEN item_id % 7 = 3 THEN 'essential' END",
+}
+EXCLUDED = "item_id % 7 = 4"
+KIND = "concat('c', CAST(doc_id % 6 AS STRING))"

@@ -284,14 +284,14 @@ def test_qualification_and_version(spark):
     assert s["name"] == "Ann Lee" and s["age"] == "45" and "age_conflict" in s
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "turn_clock", "table_to_text", "normalized_terms", "document_dates", "page_dates", "scenario_outcomes", "scripted_nudges", "call_nudges", "clean_lines", "record_quality", "kb_categories"])
+@pytest.mark.parametrize("name", ["bm25_topk", "turn_clock", "table_to_text", "normalized_terms", "document_dates", "page_dates", "scenario_outcomes", "scripted_nudges", "call_nudges", "clean_lines", "record_quality", "kb_categories", "kb_search", "kb_answers", "kb_search_hybrid"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
 
     from lodestone.plans import registry
 
     d, db = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "part", "pages"):
+    for t in ("documents", "benchmark", "conversations", "part", "pages", "embeddings"):
         db.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
     got, want = registry.QUERIES[name](spark, d), db.sql(registry.ORACLES[name])
     cols = sorted(got.columns)
