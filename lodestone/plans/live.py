@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.operators import dialogue, live
+from lodestone.functions.store import cut
+from lodestone.operators import dialogue, live, search
+from lodestone.plans import kb
 from lodestone.plans import tables as T
 from lodestone.sources import files
 
@@ -137,13 +139,43 @@ def scenario_outcomes(spark, d):
     return out.select("call", F.array_join("kinds", ",").alias("kinds"), F.array_join("emitted", ",").alias("emitted"), "passed")
 
 
+def _spoken(spark, d):
+    """What customers say: conv_id, turn, text, market."""
+    t = _t(spark, d, "conversations").withColumn("turn", F.col("turn").cast("long"))
+    return t.where("role = 'user'").select("conv_id", "turn", F.expr(T.SPOKEN).alias("text"), F.expr(T.MARKET).alias("market"))
+
+
+def call_replay(spark, d):
+    """Every customer's turn with the agent's reply and state, where a search has found a document by the turn's number."""
+    docs = _t(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Question. Approved response: "), "text")).otherwise(F.col("text")).alias("hit"), "source")
+    turns = _spoken(spark, d).withColumn("tier", F.expr(T.TIER)).withColumn("doc_id", F.when((F.col("conv_id") + F.col("turn")) % 5 != 0, F.col("conv_id") * 3 + F.col("turn")))
+    found = turns.join(docs, "doc_id", "left").withColumn("cited", F.when(F.col("source").isNotNull(), F.array("source", F.lit("b"), F.lit("c"), F.lit("d"))))
+    out = dialogue.replay(found, "conv_id")
+    slots = F.array_join(F.transform(F.array_sort(F.map_entries("slots")), lambda e: F.concat_ws("=", e.key, e.value)), "|")
+    return out.select("conv_id", "turn", "route", F.md5(slots).alias("slots_md5"), "status", "plan", "ask", F.md5("reply").alias("reply_md5"), F.array_join("citations", ",").alias("citations"), "action", "lead", "end_reason")
+
+
+def call_answers(spark, d):
+    """The same with a search over the documents for each turn."""
+    records, _ = kb._kb(spark, d)
+    records, turns = cut(records), cut(_spoken(spark, d).withColumn("query_id", F.col("conv_id") * 1_000_000 + F.col("turn")))
+    index = search.Index(records, "id", F.concat_ws("\n", "title", "title", "content"))
+    hits, answers = search.search(index, records, turns.select("query_id", "text"), k=4)
+    said = hits.join(records.select("id", "title", "content"), "id")
+    cites = F.transform(F.array_sort(F.collect_list(F.struct("rank", X.citation(F.col("title"), F.col("id").cast("string"), F.lit(None).cast("string")).alias("c")))), lambda x: x.c)
+    best = said.groupBy("query_id").agg(cites.alias("cited"), F.max(F.when(F.col("rank") == 1, F.col("content"))).alias("hit"))
+    found = turns.join(answers.select("query_id", "tier"), "query_id", "left").join(best, "query_id", "left")
+    out = dialogue.replay(found, "conv_id")
+    return out.select("conv_id", "turn", "route", "status", "ask", F.md5("reply").alias("reply_md5"), F.array_join("citations", ",").alias("citations"), "action", "lead", "end_reason")
+
+
 def masked_turns(spark, d):
     """Every turn as masked JSON and as a masked line."""
     m = files.masked_transcripts(_t(spark, d, "conversations"), "conv_id", "turn", "role", "text")
     return m.select(F.col("call").alias("conv_id"), "turn", F.md5("json").alias("json_md5"), F.md5("line").alias("line_md5"), F.array_join("kinds", ",").alias("kinds"))
 
 
-QUERIES = {f.__name__: f for f in (scripted_nudges, scenario_outcomes, masked_turns, turn_clock, live_signals, call_nudges, nudge_cooldown, active_nudges, latency_summary, controller_stats, precision_proxy, signal_dedup, slot_fill, qualification, turn_routes, call_history, call_flags)}
+QUERIES = {f.__name__: f for f in (call_replay, call_answers, scripted_nudges, scenario_outcomes, masked_turns, turn_clock, live_signals, call_nudges, nudge_cooldown, active_nudges, latency_summary, controller_stats, precision_proxy, signal_dedup, slot_fill, qualification, turn_routes, call_history, call_flags)}
 
 
 def _clock(turns: str) -> str:
@@ -245,3 +277,58 @@ o AS (SELECT DISTINCT conv_id::VARCHAR AS call, kinds FROM conversations JOIN e
 g AS (SELECT call, list_sort(list_distinct(list(kind))) AS emitted FROM control WHERE NOT suppressed GROUP BY call)
 SELECT call, array_to_string(kinds, ',') AS kinds, coalesce(array_to_string(emitted, ','), '') AS emitted, CASE WHEN len(kinds) = 0 THEN coalesce(len(emitted), 0) = 0 ELSE len(list_filter(kinds, lambda k: NOT list_contains(coalesce(emitted, []), k))) = 0 END AS passed FROM o LEFT JOIN g USING (call)""",
 }
+
+#: The state of a call as a recursion over its turns: a map of slots that each turn writes on.
+_L = {"IN": ("do not call|don''t call|stop calling|remove my number|dnc", "human|real person|agent|advisor|manager|supervisor|customer care|speak to someone|connect me"), "PH": ("huwag niyo na akong tawagan|do not call|stop calling|don''t call|dnc", "tao|human|agent|advisor|manager|branch|kausapin|real person|supervisor"), "ID": ("jangan telepon|jangan hubungi|do not call|stop calling|dnc", "orang|petugas|manusia|agen|cabang|supervisor|human|manager|cs")}
+_ZONE_A = "mumbai|delhi|noida|gurgaon|gurugram|bengaluru|bangalore|chennai|hyderabad|kolkata|pune|ahmedabad|navi mumbai|thane|faridabad|ghaziabad"
+_by = lambda f: f"CASE market WHEN 'PH' THEN {f('PH')} WHEN 'ID' THEN {f('ID')} ELSE {f('IN')} END"
+_text = lambda key: _by(lambda m: "'" + dialogue.LOCALES[m][key].replace("'", "''") + "'")
+_ask = _by(lambda m: "CASE " + " ".join(f"WHEN coalesce({k}, '') = '' THEN '" + q.replace("'", "''") + "'" for k, q in dialogue.LOCALES[m]["ask"].items()) + " END")
+_pick = lambda s: f"nullif(trim(regexp_extract(t, '{s}', 1)), '')"
+_SLOTS = ["name", "age", "city", "members", "conditions", "sum_insured", "callback_time", "age_conflict"]
+ORACLES["call_replay"] = rf"""WITH RECURSIVE u AS (SELECT c.conv_id, c.turn::BIGINT AS turn, trim({T.SPOKEN}, ' ') AS t, {T.MARKET} AS market, {T.TIER} AS tier, CASE WHEN (conv_id + turn) % 5 <> 0 THEN conv_id * 3 + turn END AS doc_id FROM conversations c WHERE role = 'user'),
+h AS (SELECT u.*, CASE WHEN d.doc_id % 2 = 0 THEN 'Question. Approved response: ' || text ELSE text END AS hit, CASE WHEN source IS NOT NULL THEN [source, 'b', 'c'] ELSE [] END AS cited FROM u LEFT JOIN documents d USING (doc_id)),
+r1 AS (SELECT *, CASE WHEN t = '' THEN 'empty' WHEN regexp_matches(lower(t), {_by(lambda m: f"'{_L[m][0]}'")}) THEN 'do_not_call' WHEN regexp_matches(lower(t), {_by(lambda m: f"'{_L[m][1]}'")}) THEN 'escalate' ELSE 'answer' END AS route FROM h),
+f0 AS (SELECT *, {_pick(r"(?i)\b(?:my name is|nama saya|ako si|this is|i am|i''m|name is)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)")} AS f_name,
+  coalesce({_pick(r"(?i)\b(?:i(?:''| a)?m|age(?: is)?|umur(?: saya)?|edad(?: ko)?)\s*(\d{2})\b")}, {_pick(r"(?i)\b(\d{2})\s*(?:years?|yrs?|yo|tahun)\b")}) AS f_age,
+  trim(regexp_replace({_pick(r"(?i)\b(?:in|from|live in|living in|based in|sa|di)\s+([a-zA-Z]+(?:\s+[a-zA-Z]+)?)")}, '(?i)\bcity\b', '', 'g')) AS c0,
+  CASE WHEN regexp_matches(t, '(?i)\b(?:wife|husband|spouse|child|children|son|daughter|kids|family|asawa|anak|istri|suami)\b') THEN t END AS f_members,
+  CASE WHEN regexp_matches(t, '(?i)\b(?:diabet|hypertens|blood pressure|bp\b|asthma|thyroid|cancer|smok|tobacco|insulin)\b') THEN t WHEN regexp_matches(t, '(?i)\b(no (health )?issue|healthy|none|nothing|fit|wala naman|tidak ada)\b') THEN 'none' END AS f_conditions,
+  {_pick(r"(?i)\b(\d+\s*lakh)")} AS f_sum_insured, {_pick(r"(?i)\b((?:call me back|callback|call you back|tawag|hubungi).{0,40})")} AS f_callback_time,
+  try_cast(regexp_extract(t, '(?i)\b(?:born|dob|date of birth).*?((?:19|20)\d{{2}})\b', 1) AS INT) AS born FROM r1),
+f1 AS (SELECT *, CASE WHEN c0 <> '' AND lower(c0) NOT IN ('the', 'a', 'my', 'this', 'our') THEN array_to_string(list_transform(string_split(c0, ' '), lambda x: upper(left(x, 1)) || lower(substr(x, 2))), ' ') END AS f_city,
+  CASE WHEN abs(2024 - born - f_age::INT) >= 3 THEN 'stated age ' || f_age || ' vs DOB year ' || born END AS f_age_conflict, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM f0),
+st AS (
+  SELECT conv_id, 0::BIGINT AS n, {", ".join(f"NULL::VARCHAR AS {k}" for k in _SLOTS)} FROM (SELECT DISTINCT conv_id FROM f1)
+  UNION ALL SELECT f1.conv_id, f1.n, {", ".join(f"CASE WHEN route IN ('answer', 'escalate') THEN coalesce(f_{k}, st.{k}) ELSE st.{k} END" for k in _SLOTS)} FROM st JOIN f1 ON f1.conv_id = st.conv_id AND f1.n = st.n + 1),
+s AS (SELECT f1.*, st.* EXCLUDE (conv_id, n), {_ask} AS ask, try_cast(st.age AS INT) AS a, lower(coalesce(st.conditions, '')) AS cond, lower(coalesce(st.members, '')) || ' ' || lower(coalesce(st.conditions, '')) AS blob,
+  CASE WHEN regexp_matches(lower(coalesce(st.city, '')), '{_ZONE_A}') THEN 'A' ELSE 'B' END AS zone, regexp_matches(lower(coalesce(st.members, 'self')), 'spouse|wife|husband|child|kids|son|daughter|family|2a') AS fam, regexp_matches(replace(coalesce(sum_insured, ''), ',', ''), '(?i)25\s*lakh|2500000') AS large
+  FROM f1 JOIN st ON st.conv_id = f1.conv_id AND st.n = f1.n),
+q0 AS (SELECT *, CASE WHEN a >= 61 THEN 'Senior' WHEN fam THEN 'Family' ELSE 'Single' END AS pl, regexp_matches(cond, 'cancer|chemotherapy|malignant|heart attack|bypass|angioplasty|myocardial|chronic kidney|ckd|dialysis') AS declined, a >= 61 AND regexp_matches(cond, 'heart attack|bypass|angioplasty') AS cardiac,
+  regexp_matches(cond, 'insulin|type 1|type1|complication|retinopathy|neuropathy|nephropathy|bmi|obesity|hazardous|mining|offshore|stunt|armed forces') AS referred,
+  regexp_matches(cond, 'diabetes|diabetic|hypertension|blood pressure|bp|asthma|thyroid|tobacco|smok') AND cond NOT IN ('', 'none', 'no', 'nil', 'healthy', 'na') AS loading FROM s),
+q1 AS (SELECT *, CASE WHEN coalesce(name, '') = '' OR coalesce(age, '') = '' OR (market = 'IN' AND coalesce(city, '') = '') THEN 'need'
+  WHEN market = 'PH' THEN CASE WHEN a < 18 THEN 'ph18' WHEN a > 65 THEN 'ph65' WHEN contains(blob, 'credit life') AND NOT contains(blob, 'loan') THEN 'phcl' WHEN a >= 60 THEN 'ph60' ELSE 'phok' END
+  WHEN market = 'ID' THEN CASE WHEN a < 21 OR a > 55 THEN 'idno' ELSE 'idok' END
+  WHEN age_conflict IS NOT NULL THEN 'conflict' WHEN a < 18 THEN 'in18' WHEN a > 80 THEN 'in80' WHEN declared THEN CASE WHEN cardiac THEN 'cardiac' ELSE 'decline' END WHEN referred THEN 'refer' ELSE 'inok' END AS rule,
+  CASE WHEN a >= 61 THEN 'senior plan with medical examination' ELSE 'age in range for ' || pl || CASE WHEN a > 45 THEN '; medical examination by age' ELSE '' END END AS base FROM (SELECT *, declined AS declared FROM q0)),
+q2 AS (SELECT *, CASE WHEN rule = 'need' THEN 'Incomplete' WHEN rule IN ('ph18', 'ph65', 'phcl', 'idno', 'in18', 'in80', 'decline') THEN 'Not Eligible' WHEN rule IN ('ph60', 'conflict', 'cardiac', 'refer') THEN 'Referred' ELSE 'Qualified' END AS status,
+  CASE WHEN rule = 'phcl' THEN 'Credit Life' WHEN rule LIKE 'ph%' THEN 'Term' WHEN rule LIKE 'id%' THEN 'Loan' WHEN rule IN ('cardiac', 'decline', 'refer', 'inok') THEN pl END AS plan,
+  CASE rule WHEN 'ph18' THEN 'minimum age 18' WHEN 'ph65' THEN 'maximum age 65' WHEN 'phcl' THEN 'credit life requires a loan' WHEN 'ph60' THEN 'age 60 to 65 is referred' WHEN 'phok' THEN 'age in range' WHEN 'idok' THEN 'age in range' WHEN 'idno' THEN 'age 21 to 55 only'
+    WHEN 'conflict' THEN 'age conflicts with date of birth' WHEN 'in18' THEN 'entry age is 18' WHEN 'in80' THEN 'maximum entry age is 80' WHEN 'cardiac' THEN base || '; cardiac history is referred' WHEN 'decline' THEN base || '; declared condition' WHEN 'refer' THEN base || '; needs an underwriter'
+    WHEN 'inok' THEN base || CASE WHEN loading THEN '; loading' ELSE '' END || CASE WHEN large THEN '; medical examination by sum' ELSE '' END END AS reasons,
+  CASE WHEN rule = 'need' THEN '' WHEN market = 'PH' THEN 'Indicative only. Final offer is the signed policy illustration from a licensed advisor.' WHEN market = 'ID' THEN 'Angka indikatif. Persetujuan final setelah survey cabang.'
+    WHEN rule = 'conflict' THEN 'Eligibility is preliminary and subject to underwriting.' ELSE 'Eligibility is preliminary and subject to underwriting; this is not an approval. Any premium mentioned is indicative, exclusive of 18% GST, and subject to underwriting.' END AS said,
+  t LIKE '%?' OR regexp_matches(t, '(?i)^(what|how|can|is|do|does|who|when|why|will|are|magkano|ano|pwede|boleh|berapa|apakah)\b') OR regexp_matches(lower(t), 'expensive|employer|reject|waiting|object') AS about FROM q1),
+k AS (SELECT *, CASE WHEN route <> 'answer' THEN route WHEN about AND tier = 'low' THEN 'refuse' WHEN about AND hit IS NOT NULL THEN 'hit' WHEN (callback_time IS NOT NULL OR regexp_matches(t, '(?i)call me back|callback|send me a summary|pakicall|hubungi aku')) AND name IS NOT NULL THEN 'callback'
+  WHEN status <> 'Incomplete' AND ask IS NULL THEN 'outcome' WHEN ask IS NOT NULL THEN 'ask' ELSE 'close' END AS step, trim(regexp_replace(string_split(hit, 'Approved response:')[-1], '\s+', ' ', 'g')) AS one FROM q2),
+e AS (SELECT *, CASE step WHEN 'empty' THEN 'I did not catch that. Could you say that again?' WHEN 'do_not_call' THEN {_text("stopped")} WHEN 'escalate' THEN {_text("escalated")} WHEN 'refuse' THEN {_text("unavailable")}
+  WHEN 'hit' THEN concat_ws(' ', CASE WHEN length(one) <= 420 THEN one ELSE regexp_replace(left(one, 420), ' [^ ]*\z', '') || '.' END, ask)
+  WHEN 'callback' THEN trim('I will schedule a callback (' || coalesce(callback_time, 'a time you prefer') || ') and save a lead summary for a licensed advisor. ' || said)
+  WHEN 'outcome' THEN 'Based on what you have shared, preliminary status is ' || status || ' for ' || coalesce(plan, 'a suitable plan') || '. ' || reasons || '. ' || said || ' I can create a lead and arrange a callback with a licensed advisor. What time works for you?'
+  WHEN 'ask' THEN ask ELSE {_text("closing")} END AS reply, CASE step WHEN 'do_not_call' THEN 'dnc' WHEN 'escalate' THEN 'escalated' WHEN 'close' THEN 'completed' END AS reason FROM k)
+SELECT conv_id, turn, route, md5(array_to_string(list_sort(list_filter([{", ".join(f"'{k}=' || {k}" for k in _SLOTS)}], lambda x: x IS NOT NULL)), '|')) AS slots_md5, CASE WHEN route = 'answer' THEN status END AS status, CASE WHEN route = 'answer' THEN plan END AS plan,
+ CASE WHEN route = 'answer' THEN ask END AS ask, md5(reply) AS reply_md5, CASE WHEN step IN ('hit', 'callback', 'outcome', 'ask', 'close') AND tier <> 'low' THEN array_to_string(cited, ',') ELSE '' END AS citations,
+ CASE step WHEN 'do_not_call' THEN 'mark_dnc' WHEN 'escalate' THEN 'escalate' WHEN 'callback' THEN 'schedule_callback' WHEN 'outcome' THEN 'create_lead' WHEN 'close' THEN 'end' END AS action,
+ CASE step WHEN 'do_not_call' THEN 'DNC' WHEN 'escalate' THEN 'Escalated' WHEN 'callback' THEN status WHEN 'outcome' THEN status END AS lead,
+ last_value(reason IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS end_reason FROM e"""

@@ -73,3 +73,9 @@ WANTED = {
 }
 EXCLUDED = "item_id % 7 = 4"
 KIND = "concat('c', CAST(doc_id % 6 AS STRING))"
+#: What customers say, by call and turn, before their own words; and their market.
+SAID = ["My name is Ann Lee", "I am 45 years old", "I live in Navi Mumbai city", "cover for my wife and two kids, please", "no health issue", "how much is it, is it too expensive?", "call me back on Monday", "diabetes? I was born in 1950, age 40, and want 25 lakh", "stop calling, jangan telepon", "connect me to a human", "waiting for cancer or bp, my age is 70", ""]
+_SPOKEN = "CASE (conv_id * 5 + turn * 7) % 12 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(SAID)) + " END"
+SPOKEN = f"CASE WHEN (conv_id * 5 + turn * 7) % 12 = 11 THEN ' ' ELSE concat({_SPOKEN}, CASE WHEN (conv_id * 5 + turn * 7) % 12 = 5 THEN '' ELSE concat('. ', substr(coalesce(text, ''), 1, 40)) END) END"
+MARKET = "CASE conv_id % 4 WHEN 0 THEN 'PH' WHEN 1 THEN 'ID' ELSE 'IN' END"
+TIER = "CASE (conv_id + turn) % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END"
