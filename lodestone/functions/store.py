@@ -5,21 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as Parquet in the folder that spark.checkpoint.dir names, read again. Where that is unset it is a temporary folder, if
-    all runs in one process (local tests)."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
+def folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where that is unset it is a temporary one, if all runs in one process (local
+    tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
-        folder = _LOCAL[app] = _LOCAL.get(app) or tempfile.mkdtemp(prefix="lodestone-")
-    path = f"{folder}/lodestone-{uuid.uuid4().hex}"
+        named = _LOCAL[app] = _LOCAL.get(app) or tempfile.mkdtemp(prefix="lodestone-")
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as Parquet in folder(), read again. The folder's owner cleans it up."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

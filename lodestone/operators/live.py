@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.functions.store import cut
 from lodestone.functions.text import words
 
 THRESHOLD, COOLDOWN, TTL, DUPLICATE, RECENT, DISCLOSE_BY = 0.65, 45.0, 60.0, 0.6, 6, 8.0
@@ -170,18 +171,44 @@ def controller_stats(rows: DataFrame, kind: str, suppressed: Column, reason: Col
     return g.select(level.alias("level"), "suppressed", "kind", "reason", "n").where("level <> 'reason' OR suppressed")
 
 
-def latency_summary(samples: DataFrame, by: str, ms: str, bins: int | None = None) -> DataFrame:
-    """(by, count, p50_ms, p95_ms, max_ms, mean_ms), to a tenth. Nearest rank: place round(p (n - 1)), halves to even.
+def quantile_values(samples: DataFrame, by: str, value: str, shares: list[float], bins: int = 4096) -> DataFrame:
+    """(by, n, share, x): the value at place round(share (n - 1)) of each group's sorted values, halves to even. Exact, without a
+    sort or a window over a group.
 
-    Ranks come from counts of equal values, so a component's samples are sorted as distinct values and never as one array.
+    Each round cuts the range that holds a place into bins of equal width, counts the values in each, and goes on with the bin that
+    holds it, until its values are all equal. So a round is one scan and a sum in each task first, however many values a group has.
+    Null values are left out; -0.0 counts as 0.0.
     """
-    n = samples.where(F.col(ms).isNotNull()).groupBy(by, ms).agg(F.count("*").alias("c"))
-    w = W.partitionBy(by).orderBy(ms)
-    ranked = n.withColumn("_to", F.sum("c").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.sum("c").over(W.partitionBy(by)))
-    at = lambda p: F.min(F.when(F.col("_to") > F.bround(F.lit(p) * (F.col("_n") - 1)), F.col(ms)))
-    out = ranked.groupBy(by).agg(F.max("_n").alias("count"), *(F.bround(at(p / 100), 1).alias(f"p{p}_ms") for p in (50, 95)), F.bround(F.max(ms), 1).alias("max_ms"))
-    mean = samples.where(F.col(ms).isNotNull()).groupBy(by).agg(F.bround(F.avg(ms), 1).alias("mean_ms"))
-    return out.join(mean, by)
+    rows = samples.select(F.col(by).alias("g"), (F.col(value).cast("double") + 0.0).alias("v")).where("v IS NOT NULL")
+    rows = cut(rows)
+    ends = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    place = F.explode(F.array(*(F.struct(F.lit(float(s)).alias("share"), F.bround(F.lit(float(s)) * (F.col("n") - 1)).cast("long").alias("at")) for s in shares)))
+    # lo and hi are values of the group; `at` is the place among those from lo to hi.
+    open_ = cut(ends.select("g", "n", place.alias("p"), "lo", "hi").select("g", "n", "p.share", "p.at", "lo", "hi"))
+    done = None
+    while True:
+        found = open_.where("lo = hi").select("g", "n", "share", F.col("lo").alias("x"))
+        done = found if done is None else done.union(found)
+        open_ = open_.where("lo < hi")
+        if open_.isEmpty():
+            return done.select(F.col("g").alias(by), "n", "share", "x")
+        left = rows.join(open_.withColumnRenamed("g", "g_"), F.col("g").eqNullSafe(F.col("g_")) & F.col("v").between(F.col("lo"), F.col("hi")))
+        # Half the range first, so that it can't overflow; the last value is in the last bin.
+        step = F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins)
+        counts = left.groupBy("g_", "n", "share", "at", F.least(step, F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        before = F.sum("m").over(W.partitionBy("g_", "share").orderBy("bin")) - F.col("m")
+        at = counts.withColumn("before", before).where((F.col("before") <= F.col("at")) & (F.col("at") < F.col("before") + F.col("m")))
+        open_ = cut(at.select(F.col("g_").alias("g"), "n", "share", (F.col("at") - F.col("before")).alias("at"), "lo", "hi"))
+
+
+def latency_summary(samples: DataFrame, by: str, ms: str) -> DataFrame:
+    """(by, count, p50_ms, p95_ms, max_ms, mean_ms), to a tenth. Nearest rank: place round(p (n - 1)), halves to even. Groups without
+    a value are left out."""
+    places = quantile_values(samples, by, ms, [0.5, 0.95]).withColumnRenamed(by, "_g")
+    at = lambda s: F.bround(F.max(F.when(F.col("share") == s, F.col("x"))), 1)
+    ranks = cut(places.groupBy("_g").agg(at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms")))
+    sums = samples.where(F.col(ms).isNotNull()).groupBy(by).agg(F.count("*").alias("count"), F.bround(F.max(ms), 1).alias("max_ms"), F.bround(F.avg(ms), 1).alias("mean_ms"))
+    return sums.join(ranks, F.col(by).eqNullSafe(F.col("_g"))).select(by, "count", "p50_ms", "p95_ms", "max_ms", "mean_ms")
 
 
 def precision_proxy(results: DataFrame, noisy: Column, emitted: Column) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import pii
 from lodestone.functions import text as X
-from lodestone.functions.store import cut
-from lodestone.operators import chunk, clean, dedup, search
+from lodestone.functions.store import cut, folder
+from lodestone.operators import build, chunk, clean, dedup, search
 from lodestone.plans import tables as T
 from lodestone.sources import files
 
@@ -213,6 +215,27 @@ def kb_categories(spark, d):
     return out.select("doc_id", "category", "subcategory", F.round("category_score", 6).alias("category_score"), F.array_join(clean.tags(F.col("text")), ",").alias("products"), F.array_join(clean.intents(F.col("category"), extra=faq), ",").alias("intents"))
 
 
+def _sources(spark, d) -> DataFrame:
+    """The noted documents as read text files, and the pages as files to read."""
+    t = _t(spark, d, "documents").select("doc_id", "lang", F.expr(T.NOTED).alias("text"), F.expr(T.FILE).alias("file"))
+    section = F.struct(F.array().cast("array<string>").alias("headings"), F.col("text").alias("text"), F.lit("").alias("locator"), F.when(F.col("doc_id") % 4 == 1, "faq").otherwise("prose").alias("kind"))
+    no = F.lit(None).cast("string")
+    docs = t.select(
+        F.concat(F.lit("documents/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit("_"), "file").alias("path"), F.lit("text").alias("source_type"), F.lit("ok").alias("status"), no.alias("error"), F.regexp_replace("file", r"\.md$", "").alias("title"),
+        F.array(section).alias("sections"), F.length("text").cast("long").alias("raw_chars"), F.substring("text", 1, 800).alias("head"), no.alias("updated"), no.alias("version"), F.substring(F.sha1("text"), 1, 12).alias("fingerprint"),
+        F.upper("lang").alias("market"), F.col("lang").alias("language"), F.lit(0).alias("root"),
+    )
+    page = F.concat(F.lit("pages/"), F.lpad(F.col("page_id").cast("string"), 12, "0"), F.lit(".html"))
+    pages = _t(spark, d, "pages").select(page.alias("path"), F.coalesce("html", F.lit("")).cast("binary").alias("content"), F.lit("WEB").alias("market"), F.lit("en").alias("language"), F.lit(1).alias("root"))
+    return docs.unionByName(files.parse_documents(pages))
+
+
+def kb_build(spark, d):
+    """The records of a knowledge base built of documents and pages."""
+    made = build.build(spark, _sources(spark, d), f"{folder(spark)}/kb-{uuid.uuid4().hex}", "2024-05-01")
+    return made.table("records").select("record_id", "path", "chunk_index", "category", "subcategory", "version", "superseded", F.array_join("products", ",").alias("products"), F.array_join("pii_types", ",").alias("pii_types"), F.array_join("quality_flags", ";").alias("flags"), F.md5("title").alias("title_md5"), F.md5("content").alias("content_md5"))
+
+
 def record_ids(spark, d):
     return clean.record_ids(_t(spark, d, "documents"), "lang", "source", ["doc_id"]).select("doc_id", "record_id")
 
@@ -345,7 +368,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, search_confidence, filter_fallback, boosted_topk, kb_search, kb_answers, kb_search_hybrid, verdict_tally, citations, cleaning_counts, tagged_docs, outdated_docs, cosine_topk, hybrid_fusion, repeated_lines, clean_lines, cleaned_documents, exact_dups, near_dups, near_dup_keepers, pii_counts, pii_mask,
-        pii_kinds, quality_flags, fact_conflicts, record_quality, classify_docs, kb_categories, record_ids, content_digest, version_bump, manifest_counts, manifest, sample_per_category, normalized_text, text_shape, html_text,
+        pii_kinds, quality_flags, fact_conflicts, record_quality, classify_docs, kb_categories, kb_build, record_ids, content_digest, version_bump, manifest_counts, manifest, sample_per_category, normalized_text, text_shape, html_text,
         html_boilerplate, normalized_terms, document_dates, page_dates, record_lookup, sentence_chunks, sentence_counts, table_to_text, csv_grouped, tail_leads, retrieval_verdict, query_expansion, embedding_cache, explained_hits,
     )
 }

@@ -324,3 +324,27 @@ ORACLES |= {
     "kb_answers": f"{_searched(False)} SELECT query_id, 'bm25' AS mode, n_hits, confidence, CASE WHEN confidence >= 0.55 THEN 'high' WHEN confidence >= 0.30 THEN 'medium' ELSE 'low' END AS tier, confidence >= 0.55 AS grounded FROM answers",
     "kb_search_hybrid": f"{_searched(True)} SELECT query_id, rank::INT AS rank, doc_id, round(score, 5) AS score, round(cos, 5) AS cosine, 'hybrid' AS mode, round(confidence, 2) AS confidence, n_hits FROM hit JOIN answers USING (query_id)",
 }
+
+#: Sentences and their windows: a mark that no text has is put where a sentence ends; the packer is a recursion over windows.
+_UNITS = r"""
+par AS (SELECT doc_id, text, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda p: trim(p, ' ')), lambda p: p <> '') AS p FROM documents),
+units AS (SELECT doc_id, text, flatten(list_transform(p, lambda p: CASE WHEN p LIKE '- %' OR p LIKE '(row%' THEN [p] ELSE list_filter(list_transform(string_split(regexp_replace(p, '([.!?])\s+([A-Z0-9"''(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> '') END)) AS u FROM par)"""
+_N_WORDS = r"len(list_filter(string_split_regex({}, '\s+'), lambda w: w <> ''))"
+ORACLES |= {
+    "sentence_counts": f"WITH {_UNITS} SELECT doc_id, len(u)::BIGINT AS n_sentences, md5(array_to_string(u, '|')) AS sentences_md5 FROM units",
+    "sentence_chunks": f"""WITH RECURSIVE {_UNITS},
+sized AS (SELECT doc_id, text, u, list_transform(u, lambda x: {_N_WORDS.format("x")}) AS z, {_N_WORDS.format("coalesce(text, '')")} AS n FROM units),
+whole AS (SELECT doc_id, coalesce(text, '') AS content, 1::BIGINT AS nth FROM sized WHERE n <= 220),
+summed AS (SELECT *, list_transform(range(0, len(z) + 1), lambda i: coalesce(list_sum(z[1:i]), 0)) AS before FROM sized WHERE n > 220),
+win AS (
+  SELECT doc_id, 0::BIGINT AS first, 0::BIGINT AS stop, 0::BIGINT AS nth FROM summed
+  UNION ALL SELECT doc_id, f, greatest(stop + 1, len(list_filter(before, lambda b: b <= before[f + 1] + 140)) - 1), nth + 1 FROM (
+    SELECT s.doc_id, s.before, s.z, w.stop, w.nth, w.stop - CASE WHEN w.stop > 0 AND s.z[w.stop] < 73 THEN 1 ELSE 0 END AS f FROM win w JOIN summed s USING (doc_id) WHERE w.stop < len(s.u))),
+cuts AS (SELECT doc_id, nth, CASE WHEN len(list_filter(u[first + 1:stop], lambda x: x LIKE '- %' OR x LIKE '(row%')) > 0 THEN array_to_string(u[first + 1:stop], chr(10)) ELSE array_to_string(u[first + 1:stop], ' ') END AS content FROM win JOIN summed USING (doc_id) WHERE nth > 0),
+kept AS (SELECT *, {_N_WORDS.format("content")} AS words FROM (SELECT doc_id, content, nth FROM whole UNION ALL SELECT doc_id, content, nth FROM cuts))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1 AS chunk_index, words::BIGINT AS n_words, floor(words * 1.3)::BIGINT AS token_estimate, md5(content) AS content_md5 FROM kept WHERE words >= 4""",
+    "explained_hits": f"""WITH {_INDEX}, top AS (SELECT item_id, doc_id FROM ranked WHERE rank = 1 AND bm25 > 0),
+m AS (SELECT top.*, {_tokens("b.text")} AS q, tokens FROM top JOIN benchmark b USING (item_id) JOIN tok USING (doc_id)),
+x AS (SELECT *, list_filter(list_transform(range(1, len(q) + 1), lambda i: CASE WHEN list_position(q, q[i]) = i AND list_contains(tokens, q[i]) THEN q[i] END), lambda t: t IS NOT NULL) AS matched FROM m)
+SELECT item_id, doc_id, 'matched terms: ' || CASE WHEN len(matched) > 0 THEN array_to_string(matched, ', ') ELSE 'none' END AS explanation FROM x""",
+}

@@ -54,6 +54,18 @@ def test_percentiles_are_nearest_rank(spark):
     assert got == {"a": 5.0, "b": 1.0, "c": 3.0, "d": 3.0}
 
 
+def test_quantiles_by_refinement(spark):
+    rng = random.Random(6)
+    groups = {"even": [float(i) for i in range(1000)], "far": [1e-300, 1.0, 1e300, -1e308, 1e308, 5.0], "ties": [3.0] * 500 + [4.0] * 499, "one": [7.0], "odd": [rng.gauss(0, 1) ** 9 for _ in range(777)], "tiny": [1 + i * 2.0**-52 for i in range(40)], None: [0.0, -0.0, 2.0]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("none", None), ("even", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    for bins in (2, 256):
+        got = {(r.g, r.share): (r.n, r.x) for r in live.quantile_values(df, "g", "v", [0.0, 0.5, 0.95, 1.0], bins).collect()}
+        assert got == {(g, s): (len(vs), sorted(vs)[round(s * (len(vs) - 1))]) for g, vs in groups.items() for s in (0.0, 0.5, 0.95, 1.0)}
+    assert live.latency_summary(df.limit(0), "g", "v").count() == 0
+
+
 def test_filter_fallback(spark):
     rows = spark.createDataFrame([("q", 1, "x"), ("q", 2, "y"), ("r", 1, "y")], "q string, id long, m string")
     assert search.with_fallback(rows, ["q"], F.col("m") == "x").orderBy("q", "id").select("q", "id").collect() == [("q", 1), ("r", 1)]
