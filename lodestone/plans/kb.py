@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import pii
 from lodestone.functions import text as X
 from lodestone.functions.store import cut, folder
-from lodestone.operators import build, chunk, clean, dedup, search
+from lodestone.operators import build, chunk, clean, dedup, search, vectors
 from lodestone.plans import tables as T
 from lodestone.sources import files
 
@@ -60,6 +60,15 @@ def cosine_topk(spark, d):
     return search.ranked(pairs, "query_id", "cosine", 5).select("query_id", F.col("id").alias("vec_id"), "rank", "cosine")
 
 
+def vector_lists_topk(spark, d):
+    """cosine_topk by lists: each query looks through seven tenths of them, as the given vectors hardly lie in groups."""
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = vectors.VectorLists(e)
+    q = e.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    probes = -(-7 * len(index.shared.value) // 10) if index.shared is not None else 1
+    return index.search(q, 5, probes).select("query_id", F.col("id").alias("vec_id"), "rank", "cosine")
+
+
 def hybrid_fusion(spark, d):
     """All documents that share a term with the item or have a positive cosine; what is missing on one side counts 0."""
     e, items = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), _t(spark, d, "benchmark")
@@ -367,7 +376,7 @@ def explained_hits(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, search_confidence, filter_fallback, boosted_topk, kb_search, kb_answers, kb_search_hybrid, verdict_tally, citations, cleaning_counts, tagged_docs, outdated_docs, cosine_topk, hybrid_fusion, repeated_lines, clean_lines, cleaned_documents, exact_dups, near_dups, near_dup_keepers, pii_counts, pii_mask,
+        bm25_topk, search_confidence, filter_fallback, boosted_topk, kb_search, kb_answers, kb_search_hybrid, verdict_tally, citations, cleaning_counts, tagged_docs, outdated_docs, cosine_topk, vector_lists_topk, hybrid_fusion, repeated_lines, clean_lines, cleaned_documents, exact_dups, near_dups, near_dup_keepers, pii_counts, pii_mask,
         pii_kinds, quality_flags, fact_conflicts, record_quality, classify_docs, kb_categories, kb_build, record_ids, content_digest, version_bump, manifest_counts, manifest, sample_per_category, normalized_text, text_shape, html_text,
         html_boilerplate, normalized_terms, document_dates, page_dates, record_lookup, sentence_chunks, sentence_counts, table_to_text, csv_grouped, tail_leads, retrieval_verdict, query_expansion, embedding_cache, explained_hits,
     )

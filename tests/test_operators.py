@@ -384,3 +384,39 @@ def test_keepers_stream_a_large_group(spark):
             gone.setdefault(loser, keeper)
     got = dedup.resolve_near(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(list(when.items()), "id long, d string"), "id", ["d"])
     assert {r.id: r.superseded_by for r in got.collect()} == gone and "flatmapgroups" not in _plan(got)
+
+
+def _recall(index, exact, q, probes):
+    found = {(r.query_id, r.id) for r in index.search(q, 5, probes).collect()}
+    return len(found & exact) / len(exact)
+
+
+def test_vector_lists_against_the_exact_scan(spark, monkeypatch):
+    import numpy as np
+
+    from lodestone.operators import vectors
+
+    # The given vectors, which hardly lie in groups, at two sizes: seven tenths of the lists.
+    for sf in ("sf0.01", "sf0.1"):
+        e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+        q = e.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+        exact = {(r.query_id, r.id) for r in search.ranked(search.cosines(q, e, 5).withColumn("cosine", F.round("cosine", 6)), "query_id", "cosine", 5).collect()}
+        index = vectors.VectorLists(e)
+        assert _recall(index, exact, q, -(-7 * len(index.shared.value) // 10)) >= 0.9
+        assert _recall(index, exact, q, len(index.shared.value)) == 1.0
+    # Vectors in groups, one of them with a third of all rows: a tenth of the lists, in blocks of few rows.
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(40, 16))
+    group = np.where(rng.random(1500) < 0.33, 0, rng.integers(0, 40, 1500))
+    x = centre[group] + 0.15 * rng.normal(size=(1500, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9001, []), (9002, [1.0]), (9003, [float("nan")] * 16), (None, x[0].tolist()), (9004, [0.0] * 16)]
+    e = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(4)
+    q = e.where("id % 100 = 0 AND id < 9000").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    whole = e.where("id < 9000 AND id IS NOT NULL")
+    exact = {(r.query_id, r.id) for r in search.ranked(search.cosines(q, whole, 5).withColumn("cosine", F.round("cosine", 6)), "query_id", "cosine", 5).collect()}
+    monkeypatch.setattr(vectors, "ROWS", 20)
+    index = vectors.VectorLists(e, sample=700)
+    assert index.rows.count() == 1501 and index.sizes.agg(F.max("blocks")).head()[0] >= 3
+    assert _recall(index, exact, q, 4) >= 0.95
+    nothing = vectors.VectorLists(e.limit(0))
+    assert nothing.search(q, 5, 1).count() == 0 and index.search(q.limit(0), 5, 1).count() == 0
