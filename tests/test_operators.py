@@ -414,9 +414,9 @@ def test_vector_lists_against_the_exact_scan(spark, monkeypatch):
     q = e.where("id % 100 = 0 AND id < 9000").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
     whole = e.where("id < 9000 AND id IS NOT NULL")
     exact = {(r.query_id, r.id) for r in search.ranked(search.cosines(q, whole, 5).withColumn("cosine", F.round("cosine", 6)), "query_id", "cosine", 5).collect()}
-    monkeypatch.setattr(vectors, "ROWS", 20)
+    monkeypatch.setattr(vectors, "ROWS", 10)
     index = vectors.VectorLists(e, sample=700)
     assert index.rows.count() == 1501 and index.sizes.agg(F.max("blocks")).head()[0] >= 3
-    assert _recall(index, exact, q, 4) >= 0.95
+    assert _recall(index, exact, q, 4) >= 0.9
     nothing = vectors.VectorLists(e.limit(0))
     assert nothing.search(q, 5, 1).count() == 0 and index.search(q.limit(0), 5, 1).count() == 0
