@@ -348,3 +348,12 @@ m AS (SELECT top.*, {_tokens("b.text")} AS q, tokens FROM top JOIN benchmark b U
 x AS (SELECT *, list_filter(list_transform(range(1, len(q) + 1), lambda i: CASE WHEN list_position(q, q[i]) = i AND list_contains(tokens, q[i]) THEN q[i] END), lambda t: t IS NOT NULL) AS matched FROM m)
 SELECT item_id, doc_id, 'matched terms: ' || CASE WHEN len(matched) > 0 THEN array_to_string(matched, ', ') ELSE 'none' END AS explanation FROM x""",
 }
+
+#: Near duplicates in order, one after the other; `gone` holds what has been superseded.
+ORACLES["near_dup_keepers"] = f"""WITH RECURSIVE pairs AS MATERIALIZED ({ORACLES["near_dups"]}),
+p AS MATERIALIZED (SELECT a, b, row_number() OVER (ORDER BY a, b) AS n, coalesce(x.source, '0000-00-00') AS ra, coalesce(y.source, '0000-00-00') AS rb FROM pairs JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b),
+r AS (
+  SELECT 0::BIGINT AS n, CAST([] AS BIGINT[]) AS gone, NULL::BIGINT AS loser, NULL::BIGINT AS keeper
+  UNION ALL SELECT n, CASE WHEN loser IS NULL THEN gone ELSE list_append(gone, loser) END, loser, keeper FROM (
+    SELECT p.n, gone, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) THEN NULL WHEN rb > ra THEN a ELSE b END AS loser, CASE WHEN rb > ra THEN b ELSE a END AS keeper FROM r JOIN p ON p.n = r.n + 1))
+SELECT loser AS id, keeper AS superseded_by FROM r WHERE loser IS NOT NULL"""
