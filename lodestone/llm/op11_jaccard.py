@@ -28,8 +28,8 @@ SHINGLE, PERCENT = 3, 90
 COUNTERS, SEGMENT = 1 << 24, 1 << 18
 #: Words of 64 bits of a sketch.
 SKETCH = 16
-#: Rounds of comparing a bucket's sets to one of them; sets that meet in a task; the nearest that a set is compared to in turn.
-STARS, BLOCK, NEAREST = 2, 2048, (2, 64, None)
+#: Sets that meet in a task; the nearest that a set is compared to, in turn.
+BLOCK, NEAREST = 2048, (8, None)
 #: Digests that a task remembers, so that copies next to each other give one row.
 SEEN = 1 << 16
 
@@ -229,53 +229,55 @@ class _Join:
         self.links = self.component = None
 
     def components(self) -> None:
+        """Tells the components of all links so far."""
         found = connected_components(self.links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         self.component = cut(found.select(F.col("node").alias("g"), F.col("component").alias("c")))
 
+    def stars(self) -> None:
+        """Names each linked set by its head's head: sets of one name are linked, though linked ones may have two names. That is
+        enough to leave out what needs no comparison, and takes one join."""
+        up = self.links.select(F.col("b").alias("g"), F.col("a").alias("up"))
+        above = self.links.select(F.col("b").alias("up"), F.col("a").alias("c"))
+        self.component = cut(up.join(above, "up", "left").select("g", F.coalesce("c", "up").alias("c")))
+
     def apart(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that no links connect so far."""
+        """The pairs that aren't known to be connected."""
         if self.component is None:
             return pairs
         of = lambda name, own: self.component.select(F.col("g").alias(name), F.col("c").alias(own))
         found = pairs.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
         return found.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    def verify(self, pairs: DataFrame) -> bool:
+    def verify(self, pairs: DataFrame) -> None:
         """Adds the similar ones of the pairs (a, b) to the links."""
         if pairs.isEmpty():
-            return False
+            return
         named = cut(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(self.classes.select("digest", "th"), "digest"))
-        texts = _few(self.docs.select("th", "text"), "th", named.select(F.col("th").alias("seed"))).join(named.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
-        sets = texts.select("text").mapInArrow(partial(_sets, self.k), "digest binary, hashes binary")
-        sets = cut(sets.join(named.select("digest"), "digest", "left_semi"))
+        # The filter lets some others pass, whose sets nothing asks for.
+        texts = _few(self.docs.select("th", "text"), "th", named.select(F.col("th").alias("seed"))).dropDuplicates(["th"])
+        sets = cut(texts.select("text").mapInArrow(partial(_sets, self.k), "digest binary, hashes binary"))
         of = lambda name: sets.select(F.col("digest").alias(name), F.col("hashes").alias("h" + name))
         found = cut(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(partial(_similar, self.percent), "a binary, b binary"))
         self.links = found if self.links is None else self.links.union(found)
-        if found.isEmpty():
-            return False
-        self.components()
-        return True
-
-    def settle(self, pairs: DataFrame) -> None:
-        """pairs: (a, b), distinct and written. First each set is compared to the least of its partners, then the pairs that are still
-        apart to each other."""
-        self.verify(cut(self.apart(pairs).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
-        self.verify(cut(self.apart(pairs)))
-
-    def star(self, rows: DataFrame, turn: int) -> DataFrame:
-        """rows: (token, grp, n, pos). Compares the members of each bucket's groups to the bucket's head, the least group in the order
-        of this turn. Returns the heads."""
-        order = F.struct(F.xxhash64("grp", F.lit(turn)).alias("o"), "grp", "n", "pos")
-        heads = cut(rows.groupBy("token").agg(F.min(order).alias("h")).select("token", F.col("h.grp").alias("head"), F.col("h.n").alias("hn"), F.col("h.pos").alias("hpos")))
+
+    def star(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """rows: (token, grp, n, pos). Compares each set to the least of those heads of its buckets that it may be similar to; a
+        bucket's head is its least group. Returns the heads and the pairs with other heads that no links connect."""
+        order = F.struct(F.xxhash64("grp").alias("o"), "grp", "n", "pos")
+        heads = rows.groupBy("token").agg(F.min(order).alias("h"), F.count("*").alias("groups"))
+        heads = cut(heads.select("token", F.col("h.grp").alias("head"), F.col("h.n").alias("hn"), F.col("h.pos").alias("hpos"), "groups"))
         n, hn = F.col("n"), F.col("hn")
         may = (100 * F.least(n, hn) >= self.percent * F.greatest(n, hn)) & (F.least(n - F.col("pos"), hn - F.col("hpos")) >= overlap(n, hn, self.percent))
         groups = cut(rows.join(heads, "token").where(may).select("head", "grp").distinct())
         first = self.members.groupBy("grp").agg(F.min(F.struct("digest", "n", "sketch")).alias("x"))
-        first = cut(first.join(groups.select(F.col("head").alias("grp")).distinct(), "grp", "left_semi").select(F.col("grp").alias("head"), F.col("x.digest").alias("a"), F.col("x.n").alias("na"), F.col("x.sketch").alias("sa")))
-        pairs = groups.join(first, "head").join(self.members.select("grp", F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "grp").where("a <> b")
-        near = pairs.mapInArrow(partial(_near, self.percent), "a binary, b binary").distinct()
-        self.settle(cut(near))
-        return heads
+        first = first.join(groups.select(F.col("head").alias("grp")).distinct(), "grp", "left_semi").select(F.col("grp").alias("head"), F.col("x.digest").alias("a"), F.col("x.n").alias("na"), F.col("x.sketch").alias("sa"))
+        pairs = groups.join(cut(first), "head").join(self.members.select("grp", F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "grp").where("a <> b")
+        near = cut(pairs.mapInArrow(partial(_near, self.percent), "a binary, b binary").distinct())
+        # A head comes before its sets in the order of heads, so that these links have no circle.
+        self.verify(cut(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
+        if self.links is not None:
+            self.stars()
+        return heads, cut(self.apart(near))
 
     def mixed(self, rows: DataFrame) -> DataFrame:
         """rows: (token, grp, n, pos). The members of the buckets with more than one component, with that, and sizes of the bucket."""
@@ -285,9 +287,7 @@ class _Join:
         else:
             held = held.withColumn("comp", F.col("g"))
         held = cut(held)
-        some = cut(held.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token"))
-        held = cut(held.join(some, "token"))
-        sizes = held.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("all"), F.max(F.struct("m", "comp")).alias("most"))
+        sizes = held.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("all"), F.max(F.struct("m", "comp")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
         return held.join(cut(sizes.select("token", "all", F.col("most.m").alias("m"), F.col("most.comp").alias("largest"))), "token")
 
     def rest(self, held: DataFrame, nearest: int | None) -> tuple[DataFrame, DataFrame]:
@@ -321,8 +321,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Copies and texts with equal sets are one set from the start, and no copies are paired. Which n-grams are rare is told by
     counters of a fixed number, which order them and change no result. In each bucket of sets that share a prefix n-gram all are
-    compared to one head, in several turns; then what lies outside the bucket's largest component to the others, nearest
-    sketches first, in blocks of a bounded size. So no link between components is lost, and pairs become rows only if
+    compared to one head; then what lies outside the bucket's largest component to the others, nearest sketches first, in blocks
+    of a bounded size. So no link between components is lost, and pairs become rows only if
     size, place and sketch allow a link that isn't there yet. Sketches that differ by b bits belong to sets that differ by b or more.
     """
     assert shingle >= 1 and 0 < percent <= 100 and counters & (counters - 1) == 0
@@ -343,29 +343,27 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tokens = cut(places.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x < y").select("token"))
     buckets = _few(places, "token", tokens.select(F.col("token").alias("seed"))).join(tokens, "token", "left_semi").distinct()
     # A group of several sets is a bucket of its own: its members have all of a prefix in common.
-    many = members.groupBy("grp").agg(F.min("digest").alias("x"), F.max("digest").alias("y"), F.max("n").alias("n")).where("x < y")
+    many = cut(members.groupBy("grp").agg(F.min("digest").alias("x"), F.max("digest").alias("y"), F.max("n").alias("n")).where("x < y").select("grp", "n"))
     buckets = cut(buckets.select("token", "grp", "n", F.col("pos").cast("int")).union(many.select(F.xxhash64("grp", F.lit("group")), "grp", "n", F.lit(0))))
     join = _Join(got, classes, members, shingle, percent)
-    heads = join.star(buckets, 0).select("token", F.col("head").alias("grp"))
-    # A head with one set has met all others of its bucket.
-    single = members.groupBy("grp").agg(F.count("*").alias("m")).where("m = 1").select("grp")
-    left = cut(buckets.join(cut(heads.join(single, "grp", "left_semi")), ["token", "grp"], "left_anti"))
+    heads, pending = join.star(buckets)
+    # A head with one set has met all others of its bucket, and in a bucket of two groups nothing is left to compare then.
+    several = heads.join(many.select(F.col("grp").alias("head")).distinct(), "head", "left_semi").select(F.col("token").alias("t"))
+    open_ = heads.join(cut(several), F.col("token") == F.col("t"), "left").where("groups > 2 or t is not null")
+    open_ = cut(open_.select("token", F.when(F.col("t").isNull(), F.col("head")).alias("met")))
+    left = cut(buckets.join(open_, "token").where("met is null or grp <> met").select("token", "grp", "n", "pos"))
     held = cut(join.mixed(left))
-    for turn in range(1, STARS):
-        outside = held.where("comp <> largest").select("token", "grp", "n", "pos").distinct()
-        if outside.isEmpty():
-            break
-        join.star(cut(outside), turn)
-        held = cut(join.mixed(left.join(held.select("token").distinct(), "token", "left_semi")))
     for nearest in NEAREST:
-        if held.isEmpty():
-            break
         pairs, more = join.rest(held, nearest)
-        join.settle(pairs)
+        # The first time with what the heads have left.
+        join.verify(cut(join.apart(pairs if pending is None else pairs.union(pending).distinct())))
+        pending = None
         if more.isEmpty():
             break
+        join.components()
         held = cut(join.mixed(left.join(more, "token", "left_semi")))
-    if join.component is not None:
+    if join.links is not None:
+        join.components()
         classes = classes.join(join.component.withColumnRenamed("g", "digest"), "digest", "left").withColumn("c", F.coalesce("c", "digest"))
         classes = cut(classes)
         least = cut(classes.groupBy("c").agg(F.min("first").alias("component_id")))
