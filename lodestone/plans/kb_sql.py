@@ -322,7 +322,7 @@ answers AS (SELECT query_id, n_hits, CASE WHEN regexp_matches(said, '(?i)\b(stoc
 ORACLES |= {
     "kb_search": f"{_searched(False)} SELECT query_id, rank::INT AS rank, doc_id, score, bm25, md5('matched terms: ' || CASE WHEN len(matched) > 0 THEN array_to_string(matched, ', ') ELSE 'none' END) AS explanation_md5 FROM hit",
     "kb_answers": f"{_searched(False)} SELECT query_id, 'bm25' AS mode, n_hits, confidence, CASE WHEN confidence >= 0.55 THEN 'high' WHEN confidence >= 0.30 THEN 'medium' ELSE 'low' END AS tier, confidence >= 0.55 AS grounded FROM answers",
-    "kb_search_hybrid": f"{_searched(True)} SELECT query_id, rank::INT AS rank, doc_id, round(score, 5) AS score, round(cos, 5) AS cosine, 'hybrid' AS mode, round(confidence, 2) AS confidence, n_hits FROM hit JOIN answers USING (query_id)",
+    "kb_search_hybrid": f"{_searched(True)} SELECT query_id, rank::INT AS rank, doc_id, round(score, 3) AS score, round(cos, 4) AS cosine, 'hybrid' AS mode, round(confidence, 2) AS confidence, n_hits FROM hit JOIN answers USING (query_id)",
 }
 
 #: Sentences and their windows: a mark that no text has is put where a sentence ends; the packer is a recursion over windows.
