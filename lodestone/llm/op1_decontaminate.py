@@ -8,7 +8,6 @@ are marked again and again, found by running Karp-Rabin, so that reordered passa
 
 import heapq
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial, reduce
 
@@ -26,6 +25,8 @@ COVERAGE = 0.5
 BITS = 1 << 25
 #: Bytes of a filter that are merged at once.
 SEGMENT = 1 << 16
+#: Pairs of places that are compared at once, and how many words further in a step.
+PAIRS, STEP = 1 << 14, 64
 _WORD = re.compile(r"\w+")
 
 
@@ -79,23 +80,37 @@ def _matches(p, t, free_p, free_t, length) -> list[tuple[int, int, int]]:
         return []
     open_p, open_t = (np.flatnonzero(np.convolve(f, np.ones(length, int), "valid") == length) for f in (free_p, free_t))
     hp, ht = rolling(p + np.uint64(1), length), rolling(t + np.uint64(1), length)
-    at = defaultdict(list)
-    for i in open_p.tolist():
-        at[int(hp[i])].append(i)
-    near = open_t[np.isin(ht[open_t], hp[open_p])]
-    out = []
-    for j in near.tolist():
-        for i in at[int(ht[j])]:
-            if i and j and p[i - 1] == t[j - 1] and free_p[i - 1] and free_t[j - 1]:
-                continue
-            n = 0
-            while i + n < len(p) and j + n < len(t) and p[i + n] == t[j + n] and free_p[i + n] and free_t[j + n]:
-                n += 1
-            if n >= length:
-                out.append((n, i, j))
+    by_hash = open_p[np.argsort(hp[open_p], kind="stable")]
+    first, last = (np.searchsorted(hp[by_hash], ht[open_t], side) for side in ("left", "right"))
+    near = first < last
+    open_t, first, many = open_t[near], first[near], (last - first)[near]
+    whole, at, out = np.r_[0, np.cumsum(many)], 0, []
+    while at < len(open_t):
+        # Places of the text, with those of the item that have their hash: a bounded number of pairs at once.
+        upto = max(at + 1, int(np.searchsorted(whole, whole[at] + PAIRS, "right")) - 1)
+        n, shift = many[at:upto], first[at:upto] - (whole[at:upto] - whole[at])
+        i, j = by_hash[np.arange(n.sum()) + np.repeat(shift, n)], np.repeat(open_t[at:upto], n)
+        goes_back = (i > 0) & (j > 0) & (p[i - 1] == t[j - 1]) & free_p[i - 1] & free_t[j - 1]
+        out += _extended(p, t, free_p, free_t, i[~goes_back], j[~goes_back], length)
+        at = upto
     return out
 
 
+def _extended(p, t, free_p, free_t, i, j, length) -> list[tuple[int, int, int]]:
+    """(length, i, j) of the pairs of places from which at least `length` unmarked words agree; all pairs go on together."""
+    n, going = np.zeros(len(i), int), np.arange(len(i))
+    while len(going):
+        x, y = ((k[going] + n[going])[:, None] + np.arange(STEP) for k in (i, j))
+        inside = (x < len(p)) & (y < len(t))
+        x, y = np.minimum(x, len(p) - 1), np.minimum(y, len(t) - 1)
+        same = inside & (p[x] == t[y]) & free_p[x] & free_t[y]
+        run = np.where(same.all(axis=1), STEP, same.argmin(axis=1))
+        n[going] += run
+        going = going[run == STEP]
+    enough = n >= length
+    return list(zip(n[enough].tolist(), i[enough].tolist(), j[enough].tolist()))
+
+
 def _item_seeds(k: int, batches):
     for b in batches:
         items, found, times, sizes = [], [], [], []
@@ -169,7 +184,8 @@ def leaks(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: s
     equal item and item text; null ids and items are kept as they are. Only the named columns are read. Empty tables give no
     rows. Texts of any length are read whole. Any number of documents may hold an item: seeds meet in a join
     that Spark splits where skewed, and no pair of documents is made. A seed that many documents hold meets each item that has
-    it once: what the join gives is bounded by the documents' seeds times the items that share one.
+    it once: what the join gives is bounded by the documents' seeds times the items that share one. A pair whose words repeat
+    takes time with the product of the item's words and the text's, in blocks of a bounded size.
     """
     spark = docs.sparkSession
     got = docs.select(F.xxhash64(id_col, text_col).alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -188,9 +204,10 @@ def leaks(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def decontaminate(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows that leak a test item; a row with a null id goes only with its own text."""
+    """docs without the rows that leak a test item; a row with a null id goes only with its own text. Both sides of the last join
+    have a shuffle of their own, so that Spark splits a row that is repeated often."""
     row = fresh(docs, "row")
-    found = leaks(docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text")), tests, "row", "text", **options).select(F.col("row").alias(row)).distinct()
+    found = leaks(docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text")), tests, "row", "text", **options).select(F.col("row").alias(row))
     return docs.join(found, F.xxhash64(id_col, text_col) == F.col(row), "left_anti")
 
 

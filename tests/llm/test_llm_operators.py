@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -567,3 +568,14 @@ def test_frequent_terms_have_a_byte_budget(spark):
     assert len(frequent(df, ["x"])[0]) == 200 and all(len(t) < 256 for t in frequent(df, ["x"])[0])
     some = frequent(df, ["x"], most_bytes=300)[0]
     assert 0 < sum(map(len, some)) <= 300
+
+
+def test_tiles_of_repetitive_texts():
+    """A word that fills the item and the text meets itself everywhere; the tiles are still those of plain greedy."""
+    began = time.time()
+    assert op1.tiles([b"a"] * 200, [b"a"] * 32_000) == [(0, 0, 200)]
+    assert sorted(op1.tiles([b"a"] * 60 + [b"b"] + [b"a"] * 40, [b"a"] * 5_000)) == [(0, 0, 60), (61, 60, 40)]
+    two = [b"a", b"b"] * 100
+    assert op1.tiles(two, [b"b"] + two * 50) == [(0, 1, 200)]
+    assert op1.tiles([str(i).encode() for i in range(20_000)], [b"x"] + [str(i).encode() for i in range(20_000)]) == [(0, 1, 20_000)]
+    assert time.time() - began < 20
