@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import pii
 from lodestone.functions import text as X
 from lodestone.functions.store import cut, folder
-from lodestone.operators import build, chunk, clean, dedup, search, vectors
+from lodestone.operators import build, chunk, clean, dedup, phrases, search, vectors
 from lodestone.plans import tables as T
 from lodestone.sources import files
 
@@ -373,11 +373,36 @@ def explained_hits(spark, d):
     return top.join(b, "item_id").join(docs, "doc_id").select("item_id", "doc_id", F.regexp_replace(search.explanation(F.col("q"), F.col("r"), F.col("bm25")), "; bm25=.*", "").alias("explanation"))
 
 
+def _openings(words: int) -> Column:
+    """The first words of an item, with what lies between them; empty where it has fewer."""
+    return F.regexp_extract("text", rf"[\p{{L}}\p{{N}}_]+(?:[^\p{{L}}\p{{N}}_]+[\p{{L}}\p{{N}}_]+){{{words - 1}}}", 0)
+
+
+def phrase_hits(spark, d):
+    """How often each document has the first three words of an item, and where first."""
+    items = _t(spark, d, "benchmark")
+    return phrases.hits(_t(spark, d, "documents"), "doc_id", "text", items.select(_openings(3).alias("phrase")))
+
+
+def phrase_labels(spark, d):
+    """Documents by the groups of items whose first two or three words they have."""
+    items, label = _t(spark, d, "benchmark"), F.concat(F.lit("g"), F.col("item_id") % 4)
+    table = items.select(label.alias("label"), F.explode(F.array(_openings(2), _openings(3))).alias("phrase"))
+    return phrases.labels(_t(spark, d, "documents"), "doc_id", "text", table)
+
+
+def expanded_turns(spark, d):
+    """What is said in calls, with the words that the table of synonyms adds."""
+    table = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(search.SYNONYMS.items())], "phrase string, words array<string>, place int")
+    turns = _t(spark, d, "conversations").select("conv_id", "turn", F.expr(T.SPOKEN).alias("said"))
+    return phrases.expanded(turns, "said", table).select("conv_id", "turn", F.md5("expanded").alias("expanded_md5"), (F.col("said") != F.col("expanded")).alias("grown"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, search_confidence, filter_fallback, boosted_topk, kb_search, kb_answers, kb_search_hybrid, verdict_tally, citations, cleaning_counts, tagged_docs, outdated_docs, cosine_topk, vector_lists_topk, hybrid_fusion, repeated_lines, clean_lines, cleaned_documents, exact_dups, near_dups, near_dup_keepers, pii_counts, pii_mask,
         pii_kinds, quality_flags, fact_conflicts, record_quality, classify_docs, kb_categories, kb_build, record_ids, content_digest, version_bump, manifest_counts, manifest, sample_per_category, normalized_text, text_shape, html_text,
-        html_boilerplate, normalized_terms, document_dates, page_dates, record_lookup, sentence_chunks, sentence_counts, table_to_text, csv_grouped, tail_leads, retrieval_verdict, query_expansion, embedding_cache, explained_hits,
+        html_boilerplate, normalized_terms, document_dates, page_dates, record_lookup, sentence_chunks, sentence_counts, table_to_text, csv_grouped, tail_leads, retrieval_verdict, query_expansion, embedding_cache, explained_hits, phrase_hits, phrase_labels, expanded_turns,
     )
 }

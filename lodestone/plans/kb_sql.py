@@ -357,3 +357,41 @@ r AS (
   UNION ALL SELECT n, CASE WHEN loser IS NULL THEN gone ELSE list_append(gone, loser) END, loser, keeper FROM (
     SELECT p.n, gone, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) THEN NULL WHEN rb > ra THEN a ELSE b END AS loser, CASE WHEN rb > ra THEN b ELSE a END AS keeper FROM r JOIN p ON p.n = r.n + 1))
 SELECT loser AS id, keeper AS superseded_by FROM r WHERE loser IS NOT NULL"""
+
+_PIECE = r"'[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'"
+
+
+def _found(texts: str, key: str) -> str:
+    """texts: (key, t); p: (phrase). found: (key, phrase, run, n, first_at)."""
+    return rf"""pc AS (SELECT DISTINCT phrase, regexp_replace(regexp_replace(lower(phrase), '^[^\p{{L}}\p{{N}}_]+', ''), '[^\p{{L}}\p{{N}}_]+$', '') AS run FROM p WHERE phrase IS NOT NULL),
+cand AS (SELECT {key}, phrase, run, lower(t) AS t FROM {texts} JOIN pc ON run <> '' AND contains(lower(t), run)),
+cut_ AS (SELECT {key}, phrase, run, regexp_extract_all(t, {_PIECE}) AS l, len(regexp_extract_all(run, {_PIECE})) AS m FROM cand),
+at_ AS (SELECT {key}, phrase, run, l, list_filter(range(1, len(l) - m + 2), lambda i: array_to_string(l[i:i + m - 1], '') = run) AS a FROM cut_),
+found AS (SELECT {key}, phrase, run, len(a)::BIGINT AS n, (1 + len(list_filter(l[1:a[1] - 1], lambda w: regexp_matches(w, '^[\p{{L}}\p{{N}}_]'))))::INT AS first_at FROM at_ WHERE len(a) > 0)"""
+
+
+def _opening(words: int) -> str:
+    return rf"regexp_extract(text, '[\p{{L}}\p{{N}}_]+(?:[^\p{{L}}\p{{N}}_]+[\p{{L}}\p{{N}}_]+){{{words - 1}}}')"
+
+
+#: Synonyms, as literals of the SQL's own, in their order.
+_SYNONYMS = """('price', 'premium'), ('cost', 'premium'), ('costs', 'premium'), ('cheap', 'premium|discount'), ('expensive', 'premium'), ('kids', 'children'), ('kid', 'children'), ('child', 'children'),
+('parents', 'senior care'), ('father', 'senior care'), ('mother', 'senior care'), ('elderly', 'senior care'), ('old', 'age'), ('hospital list', 'network hospitals'), ('reject', 'rejected|non-disclosure'),
+('sugar', 'diabetes'), ('bp', 'hypertension'), ('blood pressure', 'hypertension'), ('smoke', 'tobacco'), ('smoking', 'tobacco'), ('cancel', 'free-look|cancellation'), ('refund', 'free-look'),
+('pregnancy', 'maternity'), ('pregnant', 'maternity'), ('baby', 'maternity|newborn'), ('dental', 'dental treatment'), ('teeth', 'dental treatment'), ('eye', 'cataract'), ('cataract', 'specific illness'),
+('pay', 'payment'), ('emi', 'monthly'), ('installment', 'monthly'), ('tax', 'section 80d'), ('switch', 'portability'), ('port', 'portability'), ('transfer', 'portability'), ('human', 'escalation'), ('agent', 'advisor'), ('manager', 'escalation'), ('icu', 'room rent'),
+('room', 'room rent'), ('bariatric', 'obesity|weight-control'), ('abroad', 'outside india'), ('overseas', 'outside india'), ('foreign', 'outside india'), ('singapore', 'outside india'), ('dubai', 'outside india'),
+('usa', 'outside india'), ('ambulance', 'road ambulance'), ('ayurveda', 'ayush'), ('homeopathy', 'ayush'), ('second opinion', 'escalation'), ('after how long', 'waiting period|maternity'),
+('difference between', 'family shield|essential|comparison'), ('magkano', 'premium'), ('aso', 'beneficiary'), ('cicilan', 'angsuran|installment'), ('dp', 'down payment'), ('denda', 'late fee'),
+('jatuh tempo', 'due date'), ('tenor', 'term')"""
+ORACLES |= {
+    "phrase_hits": f"WITH p AS (SELECT {_opening(3)} AS phrase FROM benchmark), d AS (SELECT doc_id, text AS t FROM documents), {_found('d', 'doc_id')} SELECT doc_id, phrase, n, first_at FROM found",
+    "phrase_labels": f"""WITH o AS (SELECT 'g' || (item_id % 4) AS label, unnest([{_opening(2)}, {_opening(3)}]) AS phrase FROM benchmark), p AS (SELECT phrase FROM o), d AS (SELECT doc_id, text AS t FROM documents), {_found('d', 'doc_id')},
+s AS (SELECT doc_id, label, count(DISTINCT run) AS score FROM found JOIN (SELECT DISTINCT * FROM o) USING (phrase) GROUP BY ALL)
+SELECT doc_id, label, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label)::INT AS rank FROM s""",
+    "expanded_turns": f"""WITH y AS (SELECT phrase, string_split(words, '|') AS words, row_number() OVER () AS place FROM (VALUES {_SYNONYMS}) v(phrase, words)), said AS (SELECT conv_id, turn, {T.SPOKEN} AS t FROM conversations),
+hit AS (SELECT conv_id, turn, unnest(words) AS word, 100 * place + generate_subscripts(words, 1) AS place FROM said JOIN y ON regexp_matches(lower(t), '(^|[^\\p{{L}}\\p{{N}}_])' || phrase || '($|[^\\p{{L}}\\p{{N}}_])')),
+once AS (SELECT conv_id, turn, word, min(place) AS place FROM hit GROUP BY ALL),
+more AS (SELECT conv_id, turn, string_agg(word, ' ' ORDER BY place) AS more FROM once GROUP BY ALL)
+SELECT conv_id, turn, md5(t || coalesce(' ' || more, '')) AS expanded_md5, more IS NOT NULL AS grown FROM said LEFT JOIN more USING (conv_id, turn)""",
+}

@@ -296,7 +296,7 @@ def test_qualification_and_version(spark):
     assert s["name"] == "Ann Lee" and s["age"] == "45" and "age_conflict" in s
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "turn_clock", "table_to_text", "normalized_terms", "document_dates", "page_dates", "scenario_outcomes", "scripted_nudges", "call_nudges", "clean_lines", "record_quality", "kb_categories", "kb_search", "kb_answers", "kb_search_hybrid"])
+@pytest.mark.parametrize("name", ["bm25_topk", "turn_clock", "table_to_text", "normalized_terms", "document_dates", "page_dates", "scenario_outcomes", "scripted_nudges", "call_nudges", "clean_lines", "record_quality", "kb_categories", "kb_search", "kb_answers", "kb_search_hybrid", "phrase_hits", "phrase_labels", "expanded_turns"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
 
