@@ -87,3 +87,20 @@ def test_pii_precedence_and_mask():
     assert pii.masked(text) == ("mail [EMAIL], card [CARD], [POLICY_NO], [NAME]", ["CARD", "EMAIL", "NAME", "POLICY_NO"])
     assert pii.masked(None) == (None, []) and pii.masked("") == ("", [])
     assert pii.find("2024-01-15 and 15-01-2024") == []
+
+
+def test_a_question_s_word_ends_by_the_letters_named(spark):
+    rows = spark.createDataFrame([("Doó ción",), ("Do we",), ("does_it",), ("Is",), ("Sure?",)], "t string")
+    got = rows.select(X.is_question(F.col("t")).alias("a"), X.is_question(F.col("t"), letters=X.ASCII_LETTERS).alias("b")).collect()
+    assert [r.a for r in got] == [False, True, False, True, True] and [r.b for r in got] == [True, True, False, True, True]
+
+
+def test_turn_routes_matches_its_sql_on_accents(spark, tmp_path):
+    import duckdb
+
+    from lodestone.plans import live
+
+    spark.createDataFrame([(1, 0, "Doó ción"), (1, 1, "Isña. Raado"), (2, 0, "how so"), (2, 1, None)], "conv_id long, turn long, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert sorted(map(tuple, live.turn_routes(spark, str(tmp_path)).collect())) == sorted(db.execute(live.ORACLES["turn_routes"]).fetchall())
