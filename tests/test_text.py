@@ -104,3 +104,11 @@ def test_turn_routes_matches_its_sql_on_accents(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
     assert sorted(map(tuple, live.turn_routes(spark, str(tmp_path)).collect())) == sorted(db.execute(live.ORACLES["turn_routes"]).fetchall())
+
+
+def test_rounded_again_agrees_with_sql(spark):
+    import duckdb
+
+    values = [i / 1000 for i in range(1001)]
+    got = [r.x for r in spark.createDataFrame([(v,) for v in values], "v double").select(X.rounded(F.col("v"), 2).alias("x")).collect()]
+    assert got == [r[0] for r in duckdb.execute("select round(v, 2) from (select unnest(?::double[]) as v)", [values]).fetchall()]
