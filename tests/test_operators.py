@@ -420,3 +420,18 @@ def test_vector_lists_against_the_exact_scan(spark, monkeypatch):
     assert _recall(index, exact, q, 4) >= 0.9
     nothing = vectors.VectorLists(e.limit(0))
     assert nothing.search(q, 5, 1).count() == 0 and index.search(q.limit(0), 5, 1).count() == 0
+
+
+def test_near_duplicates_move_no_pairs_of_frequent_words(spark, monkeypatch):
+    """Texts that share their words but are no near copies: pairs become rows only where their sketches allow it."""
+    import random
+
+    rng, seen, real = random.Random(3), [], dedup._candidates
+    words = [f"word{i}" for i in range(400)]
+    texts = [" ".join(rng.sample(words, 120)) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t.replace(t.split()[0], "other", 1)) for i, t in enumerate(texts[:20])] + [(2000 + i, "one two") for i in range(3)]
+    monkeypatch.setattr(dedup, "LEAST_BLOCK", 64)
+    monkeypatch.setattr(dedup, "_candidates", lambda *a: seen.append(real(*a).count()) or real(*a))
+    df = spark.createDataFrame(rows, "id long, t string").withColumn("m", F.lit("x"))
+    found = {(r.a, r.b) for r in dedup.near_duplicates(df, "id", "t", "m").collect()}
+    assert found == {(i, 1000 + i) for i in range(20)} and seen[0] <= 40
