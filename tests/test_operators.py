@@ -435,3 +435,9 @@ def test_near_duplicates_move_no_pairs_of_frequent_words(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id long, t string").withColumn("m", F.lit("x"))
     found = {(r.a, r.b) for r in dedup.near_duplicates(df, "id", "t", "m").collect()}
     assert found == {(i, 1000 + i) for i in range(20)} and seen[0] <= 40
+
+
+def test_retrieval_verdict_makes_one_index(spark, monkeypatch):
+    made, real = [], kb.search.Index.scores
+    monkeypatch.setattr(kb.search.Index, "scores", lambda self, *a: made.append(self) or real(self, *a))
+    assert kb.retrieval_verdict(spark, "/root/testdata/sf0.001").count() > 0 and len(made) == 1
