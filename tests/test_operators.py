@@ -441,3 +441,28 @@ def test_retrieval_verdict_makes_one_index(spark, monkeypatch):
     made, real = [], kb.search.Index.scores
     monkeypatch.setattr(kb.search.Index, "scores", lambda self, *a: made.append(self) or real(self, *a))
     assert kb.retrieval_verdict(spark, "/root/testdata/sf0.001").count() > 0 and len(made) == 1
+
+
+def test_the_best_scores_are_found_without_moving_pairs(spark, monkeypatch):
+    """What scores() leaves for the k best of each class is what all pairs give, copies and ties included, and no pair is written."""
+    rng, written, real = random.Random(5), [], search.cut
+    words = ["common", *(f"w{i}" for i in range(30))]
+    texts = [" ".join(rng.choices(words, [40] + [1] * 30, k=rng.randint(1, 12))) for _ in range(400)]
+    texts += texts[:100] + ["", "common"]
+    docs = spark.createDataFrame([(i, t, f"k{i % 3}") for i, t in enumerate(texts)], "id long, text string, kind string").repartition(3)
+    items = spark.createDataFrame([(f"q{i}", " ".join(rng.choices(words, k=6)), i % 2) for i in range(40)] + [("none", "absent", 0)], "q string, text string, want int")
+    classes = spark.createDataFrame([(w, f"k{k}", (w + k) % 2) for w in range(2) for k in range(2)], "want int, kind string, class int")
+    index = search.Index(docs, "id", F.col("text"))
+    every = index.scores(items, "q", F.col("text")).withColumn("bm25", F.round("bm25", 6)).join(docs, "id").join(items.drop("text"), "q").join(classes, ["want", "kind"]).collect()
+    monkeypatch.setattr(search, "cut", lambda df: written.append(real(df)) or written[-1])
+    found = {c: index.scores(items, "q", F.col("text"), 3, *c).collect() for c in ((), (docs.select("id", "kind"), classes))}
+    assert max(w.count() for w in written) < len(every) / 4
+    plain = index.scores(items, "q", F.col("text")).withColumn("bm25", F.round("bm25", 6)).collect()
+    first = lambda rows, key, of: {k: sorted((of(r), r.id) for r in rows if key(r) == k)[:3] for k in {*map(key, rows)}}
+    assert first(found[()], lambda r: r.q, lambda r: -r.bm25) == first(plain, lambda r: r.q, lambda r: -r.bm25)
+    top, named = {}, {(r.q, r.id): r["class"] for r in every}
+    for r in every:
+        top[r.q] = max(top.get(r.q, 0.0), r.bm25)
+    share = lambda r: -round(r.bm25 / top[r.q], 6) if top[r.q] > 0 else 0.0
+    some = next(v for c, v in found.items() if c)
+    assert first(some, lambda r: (r.q, named[r.q, r.id]), share) == first(every, lambda r: (r.q, r["class"]), share)
