@@ -112,3 +112,26 @@ def test_rounded_again_agrees_with_sql(spark):
     values = [i / 1000 for i in range(1001)]
     got = [r.x for r in spark.createDataFrame([(v,) for v in values], "v double").select(X.rounded(F.col("v"), 2).alias("x")).collect()]
     assert got == [r[0] for r in duckdb.execute("select round(v, 2) from (select unnest(?::double[]) as v)", [values]).fetchall()]
+
+
+def test_a_text_is_computed_once_in_replacements(spark):
+    """Replacements one after the other don't double the work of those before, and guarded patterns find what the plain ones do."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from lodestone.functions import text as X
+
+    # \s of Java is trimmed at both ends, a single blank stays, and a tab is one blank.
+    said = " \t\u000b a  b\tc \n d\n\n e 31/12/2024 on Mar 7, 2024, 3rd May 2021 \f\r"
+    df = spark.createDataFrame([(said,)], "t string")
+    out = df.select(X.normalize_dates(X.normalize_whitespace(F.col("t"))).alias("x"))
+    assert out.head().x == "a b c\nd\n\ne 2024-12-31 on 2024-03-07, 2021-05-03"
+    assert out._jdf.queryExecution().analyzed().toString().count("translate(") == 1
+    for p in [p for p, _ in X.TERMS] + [r"\bab|cd", r"\b(\d)?x", r"\bx?y", "plain"]:
+        assert X._guarded(p).endswith(p)
+    assert [X._guarded(p) for p in (r"\bab|cd", r"\b(\d)?x", r"\bx?y")] == [r"\bab|cd", r"\b(\d)?x", r"\bx?y"]
+    assert X._guarded(r"(?i)\byrs?\b") == r"(?=[yY])(?i)\byrs?\b"
+    norm = lambda t: re.sub(" +", " ", re.sub("[^a-z0-9 ]+", " ", t.lower())).strip(" ")
+    texts = ["a b", "  A--b  ", "é x.\ny", "", "a . b", ". a", "a\t b\n"]
+    assert [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.norm_text(F.col("t")).alias("n")).collect()] == [norm(t) for t in texts]
