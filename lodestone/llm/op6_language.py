@@ -8,9 +8,9 @@ languages are labelled word by word. A document's language is the one with the g
 from __future__ import annotations
 
 import random
+import zlib
 from collections import Counter
-from functools import partial
-from zlib import crc32
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,8 @@ FEATURES, TRAIN_WORDS, STEPS = 1 << 16, 32, 40
 LANGUAGES = 1000
 #: Characters of a word; longer ones are pieces that are words of the same sequence.
 PIECE = 40
-#: Words whose scores a worker keeps.
-KEPT = 1 << 18
+#: Words whose scores a worker keeps, and words whose features are told at once.
+KEPT, TOGETHER = 1 << 18, 1 << 14
 
 
 def features(word: str, lexicon: frozenset, size: int = FEATURES) -> list[int]:
@@ -41,7 +41,67 @@ def features(word: str, lexicon: frozenset, size: int = FEATURES) -> list[int]:
     found += [w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
     if word in lexicon:
         found.append(f"l{word}")
-    return [crc32(f.encode("utf8", "surrogatepass")) % size for f in found]
+    return [zlib.crc32(f.encode("utf8", "surrogatepass")) % size for f in found]
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """CRC-32's steps by byte, and which code points are letters."""
+    step = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        step = np.where(step & 1, (step >> 1) ^ np.uint32(0xEDB88320), step >> 1)
+    return step, np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def features_of(words: list[str], lexicon: frozenset, size: int = FEATURES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """features() of many words, one after the other, where each word's begin, and whether it has a letter. A run of characters has
+    the CRC of the one that is a character shorter, carried on."""
+    crc, alpha = _tables()
+    text = "".join(f"<{w}>" for w in words)
+    data, points = np.frombuffer(text.encode("utf8", "surrogatepass"), np.uint8), np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = np.r_[np.flatnonzero(data & 0xC0 != 0x80), len(data)]
+    width = np.diff(edge)
+    wide = width.max(initial=1) > 1
+    n = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    first = np.cumsum(n) - n
+
+    def on(state: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The states of CRC-32 after one more character each."""
+        out = crc[(state ^ data[edge[at]]) & 255] ^ (state >> 8)
+        k, more = 1, np.flatnonzero(width[at] > 1) if wide else ()
+        while len(more):
+            out[more] = crc[(out[more] ^ data[edge[at[more]] + k]) & 255] ^ (out[more] >> 8)
+            k += 1
+            more = more[width[at[more]] > k]
+        return out
+
+    begin = lambda mark, rows: np.full(rows, zlib.crc32(mark) ^ 0xFFFFFFFF, np.uint32)
+    known = np.fromiter((w in lexicon for w in words), bool, len(words))
+    count = 7 + 2 * n - 3 + known
+    starts = np.cumsum(count) - count
+    out = np.empty(count.sum(), np.uint32)
+    state = on(begin(b"p", len(n)), first)
+    for i in (1, 2, 3):
+        longer = np.flatnonzero(n > i)
+        state[longer] = on(state[longer], first[longer] + i)
+        out[starts + i - 1] = state
+    for i in (2, 3, 4, 5):
+        state, taken = begin(b"s", len(n)), np.minimum(n, i)
+        for j in range(i):
+            some = np.flatnonzero(taken > j)
+            state[some] = on(state[some], (first + n - taken + j)[some])
+        out[starts + i + 1] = state
+    place, start = np.arange(len(points)) - np.repeat(first, n), np.repeat(starts + 7, n)
+    two = np.flatnonzero(place < np.repeat(n - 1, n))
+    state = on(on(begin(b"", len(two)), two), two + 1)
+    out[start[two] + place[two]] = state
+    more = place[two] < np.repeat(n - 2, n)[two]
+    three = two[more]
+    out[(start + np.repeat(n - 1, n))[three] + place[three]] = on(state[more], three + 2)
+    out ^= np.uint32(0xFFFFFFFF)
+    named = np.flatnonzero(known)
+    out[(starts + count - 1)[named]] = [zlib.crc32(f"l{words[i]}".encode("utf8", "surrogatepass")) for i in named.tolist()]
+    return (out % np.uint32(size)).astype(np.int64), starts, np.logical_or.reduceat(alpha[points], first)
 
 
 def words_of(text: str) -> list[str]:
@@ -52,10 +112,6 @@ def words_of(text: str) -> list[str]:
     return [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
 
 
-def has_letter(word: str) -> bool:
-    return any(c.isalpha() for c in word)
-
-
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """scores: (sequences, words, labels). Posteriors of the labels, zero beyond a length, and summed posteriors of
     neighbours' labels (labels, labels)."""
@@ -160,17 +216,19 @@ class Labeller:
         self.emit, self.letters = np.ones((1024, self.k)), np.zeros(1024, bool)
 
     def ids(self, words: list[str]) -> np.ndarray:
-        get = self.number.get
-        for w in set(words).difference(self.number):
-            if self.n == len(self.emit):
-                self.emit, self.letters = np.concatenate([self.emit, np.ones_like(self.emit)]), np.concatenate([self.letters, np.zeros_like(self.letters)])
-            if has_letter(w):
-                self.letters[self.n] = True
-                score = self.model["weights"][features(w, self.model["lexicon"], len(self.model["weights"]))].sum(axis=0).astype(np.float64)
-                self.emit[self.n] = np.exp(score - score.max())
-            self.number[w] = self.n
-            self.n += 1
-        return np.fromiter(map(get, words), np.int64, len(words))
+        fresh, weights = list(set(words).difference(self.number)), self.model["weights"]
+        while self.n + len(fresh) > len(self.emit):
+            self.emit, self.letters = np.concatenate([self.emit, np.ones_like(self.emit)]), np.concatenate([self.letters, np.zeros_like(self.letters)])
+        for at in range(0, len(fresh), TOGETHER):
+            some = fresh[at : at + TOGETHER]
+            found, starts, letters = features_of(some, self.model["lexicon"], len(weights))
+            score = np.add.reduceat(weights[found], starts, axis=0).astype(np.float64)
+            own = slice(self.n, self.n + len(some))
+            self.letters[own] = letters
+            self.emit[own] = np.where(letters[:, None], np.exp(score - score.max(axis=1, keepdims=True)), 1.0)
+            self.number.update(zip(some, range(self.n, self.n + len(some))))
+            self.n += len(some)
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(words of each text, posteriors of the labels of every word in turn, whether it has a letter)."""

@@ -579,3 +579,13 @@ def test_tiles_of_repetitive_texts():
     assert op1.tiles(two, [b"b"] + two * 50) == [(0, 1, 200)]
     assert op1.tiles([str(i).encode() for i in range(20_000)], [b"x"] + [str(i).encode() for i in range(20_000)]) == [(0, 1, 20_000)]
     assert time.time() - began < 20
+
+
+def test_word_features_of_many_words_at_once():
+    """The labeller took the features of each distinct word by itself, in Python."""
+    lexicon = frozenset({"haus", "für", "x"})
+    words = ["a", "haus", "für", "x", "12", "--", "日本語", "\ud800z", "😀", "ß9é", "ab" * 20, "x" * 3]
+    got, starts, letters = op6.features_of(words, lexicon)
+    ends = [*starts[1:].tolist(), len(got)]
+    assert [got[i:j].tolist() for i, j in zip(starts.tolist(), ends)] == [op6.features(w, lexicon) for w in words]
+    assert letters.tolist() == [any(c.isalpha() for c in w) for w in words]
