@@ -466,3 +466,29 @@ def test_the_best_scores_are_found_without_moving_pairs(spark, monkeypatch):
     share = lambda r: -round(r.bm25 / top[r.q], 6) if top[r.q] > 0 else 0.0
     some = next(v for c, v in found.items() if c)
     assert first(some, lambda r: (r.q, named[r.q, r.id]), share) == first(every, lambda r: (r.q, r["class"]), share)
+
+
+def test_repeated_lines_are_told_apart_and_only_once_moved(spark):
+    """Lines were shuffled with their texts and norms several times; rows with one id and rows without one stay as they are."""
+    long, other = "this line is in several of the documents", "and another that only two of them have"
+    rows = [(3, f"{long}\nown three"), (1, f"{other}\n{long.upper()}!\n{long}"), (1, f"{long}\nx"), (None, f"{other}\nwe use cookies, {long}"), (2, f"we use cookies, {long}\n{long}")]
+    lines = clean.lines_of(spark.createDataFrame(rows, "id int, t string"), "id", "t")
+    at = lambda got: sorted((r.id is not None, r.id or 0, r.line_no, r.line, r.status) for r in got.collect())
+
+    def want(threshold):
+        all_lines = lines.collect()
+        docs, first = {}, {}
+        for r in all_lines:
+            docs.setdefault(r.norm, set()).add(r.id)
+            if "cookies" not in r.line:
+                key = (r.id is not None, r.id or 0, r.line_no)
+                first[r.norm] = min(first.get(r.norm, key), key)
+        status = lambda r: "boilerplate" if "cookies" in r.line else "repeated" if len(r.norm) > 25 and len(docs[r.norm]) >= threshold and (r.id is not None, r.id or 0, r.line_no) != first[r.norm] else "kept"
+        return sorted((r.id is not None, r.id or 0, r.line_no, r.line, status(r)) for r in all_lines)
+
+    for threshold in (1, 2, 3, 4):
+        got = clean.clean_lines(lines, threshold)
+        assert at(got) == want(threshold) and sorted(got.columns) == sorted([*lines.columns, "status"])
+    plan = clean.cleaned_documents(clean.clean_lines(lines))._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan[: plan.find("Initial Plan") if "Initial Plan" in plan else None].splitlines() if "Exchange" in x]
+    assert len(moved) <= 3 and not any("norm" in x for x in moved)
