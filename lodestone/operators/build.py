@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import pii
 from lodestone.functions import text as X
-from lodestone.functions.store import cut
+from lodestone.functions.store import cut, kept, place, scratch
 from lodestone.operators import chunk, clean, dedup
 from lodestone.operators.search import Index
 
@@ -38,25 +38,44 @@ def numbered(rows: DataFrame, order: list, name: str = "n") -> DataFrame:
     return dealt.withColumn(name, own - 1).join(starts, F.col("_range") == F.col("_of")).withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_range", "_of", "_before")
 
 
-def cleaned_sections(docs: DataFrame, threshold: int = REPEATED) -> tuple[DataFrame, DataFrame]:
-    """docs: n and sections. (n, section, headings, locator, kind, text) of the sections with text, without furniture and in normal
-    form; and one row of counts of lines by status."""
-    found = docs.select("n", F.posexplode("sections").alias("section", "s"))
-    lines = found.select(F.col("n").alias("id"), "section", F.posexplode(F.split(F.coalesce("s.text", F.lit("")), "\n")).alias("at", "line"))
-    lines = lines.select("id", F.struct("section", "at").alias("line_no"), "line", X.norm_line(F.col("line")).alias("norm"))
-    marked = cut(clean.clean_lines(lines, threshold).select("id", "line_no", "line", "status"))
-    kept = marked.where("status = 'kept'").groupBy("id", "line_no.section").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    texts = kept.select(F.col("id").alias("n"), "section", X.normalize_text(F.array_join(F.transform("l", lambda x: x.line), "\n")).alias("text")).where("text <> ''")
-    rest = found.select("n", "section", "s.headings", "s.locator", "s.kind")
-    return rest.join(texts, ["n", "section"]), clean.cleaning_stats(marked)
+def cleaned_sections(docs: DataFrame, numbers: DataFrame, threshold: int = REPEATED) -> tuple[DataFrame, DataFrame]:
+    """docs: row, sections and further columns; numbers: (row, n). docs' rows with n for each section that has text without
+    furniture: (n, section, headings, locator, kind, text in normal form, the further columns); and one row of counts of lines by status.
 
-
-def dated_documents(docs: DataFrame, sections: DataFrame) -> DataFrame:
-    """docs with doc_version, doc_date, flags, superseded and clean_chars, from their head and what is left of their sections."""
+    Lines are told by their keys and never moved. Whether each of a section's lines stays is told to its text, which moves once.
+    """
+    found = docs.select(*(c for c in docs.columns if c != "sections"), F.posexplode("sections").alias("section", "s"))
+    split = F.split(F.coalesce("s.text", F.lit("")), "\n")
+    lines = found.select("row", "section", F.posexplode(split).alias("at", "line")).withColumn("norm", X.norm_line(F.col("line")))
+    keys = cut(clean.keyed(lines).drop("line", "norm"))
+    keys = cut(keys.join(numbers, "row").select("row", F.struct("n", "row").alias("id"), F.struct("section", "at").alias("line_no"), "own", "_key"))
+    repeats = cut(clean.repeats_of(keys, threshold).select("id", "line_no"))
+    marks = keys.select("id", "line_no", F.col("own").isNotNull().alias("gone")).union(repeats.select("id", "line_no", F.lit(True)))
+    # A line that repeats comes twice, the second time as gone: the last of each place says what it is.
+    marks = marks.groupBy("id", "line_no.section").agg(F.array_sort(F.collect_list(F.struct("line_no.at", "gone"))).alias("m"))
+    last = F.filter("m", lambda x, i: ~F.get(F.col("m"), i + 1)["at"].eqNullSafe(x["at"]))
+    marks = cut(marks.select(F.col("id.row").alias("row"), F.col("id.n").alias("n"), "section", F.transform(last, lambda x: x["gone"]).alias("gone")))
+    stays = F.filter(F.zip_with(split, "gone", lambda line, gone: F.when(~gone, line)), lambda x: x.isNotNull())
+    # inline() makes the normal form once for a row, though it is asked for twice.
+    text = F.inline(F.array(F.struct(X.normalize_text(F.array_join(stays, "\n")).alias("text"))))
+    rows = found.join(marks, ["row", "section"]).select("*", text).where("text <> ''")
+    count = lambda s: F.count_if(F.coalesce("own", F.lit("")) == s)
+    counts = keys.agg(F.count("*").alias("lines"), count("boilerplate").alias("boilerplate"), count("irrelevant").alias("irrelevant")).crossJoin(repeats.agg(F.count("*").alias("repeated")))
+    counts = counts.withColumn("kept", F.col("lines") - F.col("boilerplate") - F.col("irrelevant") - F.col("repeated"))
+    return rows.select("n", "section", "s.headings", "s.locator", "s.kind", "text", *(c for c in docs.columns if c not in ("row", "sections"))), counts
+
+
+def dated(docs: DataFrame) -> DataFrame:
+    """docs with doc_version and doc_date, from their head."""
     version = F.coalesce("version", F.when(F.col("head").isNotNull(), X.version_of(F.col("head"))), F.lit("1.0"))
+    return docs.withColumns({"doc_version": version, "doc_date": F.coalesce("updated", X.first_date(F.col("head")))}).drop("head", "updated", "version")
+
+
+def flagged_documents(docs: DataFrame, sections: DataFrame) -> DataFrame:
+    """dated() documents with flags, superseded and clean_chars, from what is left of their sections."""
     left = sections.groupBy("n").agg(F.max(F.regexp_extract("text", STALE, 0)).alias("stale"), F.sum(F.length("text")).alias("clean_chars"))
-    known = docs.join(left, "n", "left").withColumns({"doc_version": version, "doc_date": F.coalesce("updated", X.first_date(F.col("head"))), "clean_chars": F.coalesce("clean_chars", F.lit(0)), "stale": F.coalesce("stale", F.lit(""))})
-    return clean.document_flags(known, "stale", "path", "doc_date").drop("stale", "head", "updated", "version")
+    known = docs.join(left, "n", "left").withColumns({"clean_chars": F.coalesce("clean_chars", F.lit(0)), "stale": F.coalesce("stale", F.lit(""))})
+    return clean.document_flags(known, "stale", "path", "doc_date").drop("stale")
 
 
 def piece_key(title: Column, kind: Column, file: Column, text: Column) -> Column:
@@ -65,12 +84,21 @@ def piece_key(title: Column, kind: Column, file: Column, text: Column) -> Column
     return F.sha1(F.concat(*(F.concat(F.length(x).cast("string"), F.lit(":"), x) for x in parts)))
 
 
+def _once(titled: DataFrame) -> DataFrame:
+    """(key, title, kind, path, text) of titled's sections, each key once, the first one's: only those with a key that came before are
+    told, by number, and no text is moved where Spark finds these few."""
+    places = titled.select("key", F.struct("n", "section").alias("place"))
+    several = cut(places.groupBy("key").agg(F.count("*").alias("times"), F.min("place").alias("first")).where("times > 1").select("key", "first"))
+    later = cut(places.join(several, "key").where("place <> first").select("place.*"))
+    return titled.join(later, ["n", "section"], "left_anti").select("key", "title", "kind", "path", "text")
+
+
 def pieces_of(sections: DataFrame) -> DataFrame:
     """sections: key, title, kind, path, text, each key once. (key, piece, content, pii_types, category, subcategory, products,
     intent_types, token_estimate): chunks with personal data masked, by category."""
-    cuts = chunk.chunks(sections, "key", "text", "kind").select(F.col("id").alias("key"), F.col("chunk_index").alias("piece"), F.trim("content").alias("content"), "token_estimate")
-    masked = cuts.withColumn("m", pii.mask("content")).select("key", "piece", "token_estimate", F.col("m.masked").alias("content"), F.col("m.kinds").alias("pii_types"))
-    rows = cut(masked).join(sections.select("key", "title", "kind", "path"), "key")
+    own = ["title", "kind", "path"]
+    cuts = chunk.chunks(sections, "key", "text", "kind", also=own).select(F.col("id").alias("key"), F.col("chunk_index").alias("piece"), F.trim("content").alias("content"), "token_estimate", "also")
+    rows = cuts.withColumn("m", pii.mask("content")).select("key", "piece", "token_estimate", F.col("m.masked").alias("content"), F.col("m.kinds").alias("pii_types"), *(f"also.{c}" for c in own))
     named = clean.classify(rows, F.col("title"), F.col("content"), damp=clean.DAMP, file=F.col("path"), priors=clean.PRIORS)
     products = clean.tags(F.concat(F.col("title"), F.lit("\n"), F.col("content")))
     faq = F.when(F.col("kind") == "faq", F.array(F.lit("faq"))).otherwise(F.array().cast("array<string>"))
@@ -88,8 +116,9 @@ def superseded_records(records: DataFrame) -> DataFrame:
     names = records.select(F.col("n").alias("keeper"), F.col("record_id").alias("keeper_id"))
     exact = dedup.exact_duplicates(dated, "n", "content", ["_date", "doc_version"]).where("is_duplicate").select(F.col("id").alias("n"), "keeper")
     exact = cut(exact.join(names, "keeper").select("n", F.concat(F.lit("exact_duplicate_of:"), "keeper_id").alias("flag"), F.lit(0).alias("at"), F.lit(-1).cast("long").alias("other")))
-    left = cut(dated.join(exact.select("n"), "n", "left_anti"))
-    pairs = cut(dedup.near_duplicates(left, "n", "content", "market", "path"))
+    # No two texts of those left are equal.
+    left = dated.join(exact.select("n"), "n", "left_anti")
+    pairs = cut(dedup.near_duplicates(left, "n", "content", "market", "path", distinct=True))
     near = dedup.resolve_near(pairs, left, "n", ["_date", "doc_version"], superseded="superseded", every=True)
     alike = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "similarity")
     near = near.select(F.col("id").alias("n"), F.col("superseded_by").alias("keeper")).join(names, "keeper").withColumns({"x": F.least("n", "keeper"), "y": F.greatest("n", "keeper")}).join(alike, ["x", "y"])
@@ -99,18 +128,23 @@ def superseded_records(records: DataFrame) -> DataFrame:
 
 
 def records_of(docs: DataFrame, sections: DataFrame, pieces: DataFrame, previous: DataFrame | None) -> DataFrame:
-    """The records of the sections' pieces, with ids, versions against the previous records, duplicates and flags."""
-    dated = docs.select("n", "path", "market", "language", "source_type", "doc_version", "doc_date", "flags", "superseded")
-    rows = sections.select("n", "section", "key", "title", "kind", "locator").join(pieces, "key").join(dated, "n")
-    rows = rows.withColumn("chunk_index", (F.row_number().over(W.partitionBy("n").orderBy("section", "piece")) - 1).cast("int")).withColumnRenamed("n", "doc")
-    rows = cut(clean.record_ids(cut(numbered(rows, ["doc", "chunk_index"])), "market", "category", ["n"]))
+    """The records of the sections' pieces, with ids, versions against the previous records, duplicates and flags. They are numbered
+    without their texts, which then move to their numbers once."""
+    dated = docs.select(F.col("n").alias("doc"), "path", "market", "language", "source_type", "doc_version", "doc_date", "flags", "superseded")
+    placed = sections.select(F.col("n").alias("doc"), "section", "key", "title", "kind", "locator")
+    names = placed.select("doc", "section", "key").join(pieces.select("key", "piece", "category"), "key").join(dated.select("doc", "market"), "doc")
+    names = names.withColumn("chunk_index", (F.row_number().over(W.partitionBy("doc").orderBy("section", "piece")) - 1).cast("int"))
+    names = cut(clean.record_ids(cut(numbered(names, ["doc", "chunk_index"])), "market", "category", ["n"]).drop("market", "category"))
+    rows = names.join(placed.drop("key"), ["doc", "section"]).join(dated, "doc").join(pieces, ["key", "piece"])
     rows = rows.withColumn("content_hash", X.content_hash(F.col("title"), F.col("content")))
     rows = clean.versioned(rows, previous) if previous is not None else rows.withColumn("version", F.lit("1.0"))
     rows = cut(rows)
-    lost = superseded_records(rows)
+    spark, at = rows.sparkSession, place(rows.sparkSession)
+    with scratch(spark):
+        lost = kept(superseded_records(rows), at)
     conflicts = clean.conflict_flags(clean.facts(rows, "n", F.col("content"))).select(F.col("id").alias("n"), F.col("flags").alias("conflicts"))
     none = F.array().cast("array<string>")
-    out = rows.join(cut(lost), "n", "left").join(cut(conflicts), "n", "left")
+    out = rows.join(lost, "n", "left").join(cut(conflicts), "n", "left")
     flags = F.concat("flags", F.coalesce("dup_flags", none), clean.record_flags(F.col("content")), F.coalesce("conflicts", none))
     return out.withColumns({"quality_flags": flags, "superseded": F.col("superseded") | F.coalesce("lost", F.lit(False))}).select(RECORD)
 
@@ -171,37 +205,41 @@ def build(spark: SparkSession, docs: DataFrame, folder: str, today: str) -> Buil
     """
     old, name = current(spark, folder), f"build-{uuid.uuid4().hex}"
     at = f"{folder}/{name}"
-    docs = cut(numbered(docs.withColumns({"_parts": F.split("path", "/"), "title": X.normalize_text(F.col("title"))}), ["root", "_parts"]).drop("_parts"))
-    sections, lines = cleaned_sections(docs.where("status = 'ok'").select("n", "sections"))
-    sections, lines = cut(sections), cut(lines)
-    dated = dated_documents(docs.drop("sections"), sections)
-    dated.write.parquet(f"{at}/documents")
-    dated = spark.read.parquet(f"{at}/documents")
-    titled = sections.join(docs.select("n", F.col("title").alias("of"), "path"), "n").withColumn("title", X.title_path(F.col("of"), F.coalesce("headings", F.array().cast("array<string>"))))
-    titled = cut(titled.withColumn("key", piece_key(F.col("title"), F.col("kind"), F.col("path"), F.col("text"))).select("n", "section", "key", "title", "kind", "locator", "path", "text"))
-    wanted = titled.select("key", "title", "kind", "path", "text").dropDuplicates(["key"])
-    if old is None:
-        pieces = pieces_of(cut(wanted))
-    else:
-        # A section that the old build cut into no piece is cut again, into none.
-        known = cut(old.table("pieces").join(wanted.select("key"), "key", "left_semi"))
-        fresh = cut(wanted.join(known.select("key").distinct(), "key", "left_anti"))
-        pieces = known.union(pieces_of(fresh).select(known.columns))
-    pieces.write.parquet(f"{at}/pieces")
-    pieces = spark.read.parquet(f"{at}/pieces")
-    records = records_of(dated, titled, pieces, old.table("records").select("record_id", "content_hash") if old else None)
-    records.write.parquet(f"{at}/records")
-    records = spark.read.parquet(f"{at}/records")
+    # What a step has written for itself goes with the step.
+    with scratch(spark) as shared:
+        with scratch(spark) as cleaned:
+            with scratch(spark):
+                docs = dated(docs.withColumn("title", X.normalize_text(F.col("title"))))
+                docs = cut(docs.withColumn("row", F.monotonically_increasing_id()))
+                numbers = cut(numbered(docs.select("row", "root", F.split("path", "/").alias("_parts")), ["root", "_parts"]).select("row", "n"))
+                sections, lines = cleaned_sections(docs.where("status = 'ok'").select("row", "sections", F.col("title").alias("of"), "path"), numbers)
+                titled = sections.withColumn("title", X.title_path(F.col("of"), F.coalesce("headings", F.array().cast("array<string>"))))
+                titled = titled.withColumn("key", piece_key(F.col("title"), F.col("kind"), F.col("path"), F.col("text"))).select("n", "section", "key", "title", "kind", "locator", "path", "text")
+                titled = kept(titled, f"{cleaned}/titled")
+                documents = kept(flagged_documents(docs.drop("sections").join(numbers, "row").drop("row"), titled), f"{at}/documents")
+                lines = lines.head().asDict()
+            wanted, taken = _once(titled), 0
+            if old is None:
+                pieces = pieces_of(wanted)
+            else:
+                # A section that the old build cut into no piece is cut again, into none.
+                known = cut(old.table("pieces").join(wanted.select("key"), "key", "left_semi"))
+                fresh = cut(wanted.join(known.select("key").distinct(), "key", "left_anti"))
+                pieces, taken = known.union(pieces_of(fresh).select(known.columns)), known.count()
+            pieces = kept(pieces, f"{at}/pieces")
+            titled = kept(titled.drop("path", "text"), f"{shared}/titled")
+        with scratch(spark):
+            records = kept(records_of(documents, titled, pieces, old.table("records").select("record_id", "content_hash") if old else None), f"{at}/records")
     active = records.where("NOT superseded")
-    Index(active, "record_id", F.concat_ws("\n", "title", "title", "content")).save(f"{at}/index")
-    digest = (clean.content_digest(records).head() or {"digest": ""})["digest"] or ""
+    with scratch(spark):
+        Index(active, "record_id", F.concat_ws("\n", "title", "title", "content")).save(f"{at}/index")
+        digest = (clean.content_digest(records).head() or {"digest": ""})["digest"] or ""
     last = (old.manifest["kb_version"], old.manifest["content_digest"]) if old else None
     counts = lambda rows, c: {r[0]: r[1] for r in rows.groupBy(c).count().orderBy(c).limit(1000).collect()}
-    taken = known.count() if old else 0
     found = {
         "kb_version": clean.kb_version(today, digest, last), "content_digest": digest, "records": records.count(), "active": active.count(),
-        "documents": counts(dated, "status"), "superseded_documents": dated.where("superseded").count(), "categories": counts(active, "category"), "markets": counts(active, "market"),
-        "pieces_taken_over": taken, "pieces_made": pieces.count() - taken, "lines": lines.head().asDict(), "masked": records.where(F.size("pii_types") > 0).count(),
+        "documents": counts(documents, "status"), "superseded_documents": documents.where("superseded").count(), "categories": counts(active, "category"), "markets": counts(active, "market"),
+        "pieces_taken_over": taken, "pieces_made": pieces.count() - taken, "lines": lines, "masked": records.where(F.size("pii_types") > 0).count(),
     }
     spark.createDataFrame([(json.dumps(found),)], "value string").coalesce(1).write.text(f"{at}/manifest")
     publish(spark, folder, name)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import store
 from lodestone.operators import build as B
 from lodestone.sources import files
 
@@ -117,3 +118,27 @@ def test_numbers_go_on_over_ranges(spark):
     rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k")).repartition(13)
     got = [r.n for r in B.numbered(rows, ["k"]).orderBy("k").select("n").collect()]
     assert got == list(range(5000))
+
+
+def test_a_build_leaves_nothing_but_itself(spark, tmp_path, monkeypatch):
+    """What the steps write for themselves is deleted with them, and texts are written three times on the way."""
+    text = "A line of a document that is long enough to be told apart by its key, with the number {} in it.\nThe same line stands in each of the documents, and stays in the first."
+    write(tmp_path / "in", "a.txt", text.format(1))
+    write(tmp_path / "in", "b.txt", text.format(2))
+    shared, whole, real = tmp_path / "shared", [], store.kept
+
+    def kept(df, path):
+        out = real(df, path)
+        if "/lodestone-" in path and any("long enough to be told" in str(r) for r in out.collect()):
+            whole.append(out.columns)
+        return out
+
+    shared.mkdir()
+    monkeypatch.setattr(store, "folder", lambda spark: str(shared))
+    monkeypatch.setattr(store, "kept", kept)
+    monkeypatch.setattr(B, "kept", kept)
+    got = B.build(spark, docs_of(spark, tmp_path / "in"), str(tmp_path / "kb"), "2024-05-01")
+    assert [r.content.count("same line stands") for r in got.table("records").orderBy("n").collect()] == [1, 0]
+    assert list(shared.iterdir()) == [] and got.manifest["lines"] == {"lines": 4, "boilerplate": 0, "irrelevant": 0, "repeated": 1, "kept": 3}
+    # The documents read, their sections and the records; what near duplicates are told by has no text.
+    assert len(whole) == 3
