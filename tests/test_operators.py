@@ -492,3 +492,14 @@ def test_repeated_lines_are_told_apart_and_only_once_moved(spark):
     plan = clean.cleaned_documents(clean.clean_lines(lines))._jdf.queryExecution().executedPlan().toString()
     moved = [x for x in plan[: plan.find("Initial Plan") if "Initial Plan" in plan else None].splitlines() if "Exchange" in x]
     assert len(moved) <= 3 and "norm#" not in plan
+
+
+def test_explained_hits_move_no_texts(spark):
+    """Few hits go to the documents, whose texts stay where they are, also where a table of the documents' size would be moved."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200k")
+    try:
+        plan = kb.explained_hits(spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
