@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as X
 from lodestone.operators import chunk, clean, dedup, dialogue, live, search
 from lodestone.plans import kb
 from lodestone.sources import files
@@ -503,3 +504,62 @@ def test_explained_hits_move_no_texts(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_near_duplicates_lose_no_pair_of_sizes_and_blocks(spark, monkeypatch):
+    """Copies changed by little or much, longer and shorter, over many blocks, against brute force."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{int(rng.paretovariate(0.6))}x" for _ in range(4000)]
+    texts = []
+    for _ in range(60):
+        text = [rng.choice(words) for _ in range(rng.choice([2, 5, 12, 40, 120]))]
+        texts.append(text)
+        for share in (0.05, 0.2, 0.35):
+            other = [w if rng.random() > share else rng.choice(words) for w in text]
+            texts += [other, text[: max(1, int(len(text) * (1 - share)))], text + other[: int(len(text) * share)]]
+    texts = ["K" + " ".join(t) + "İ\n é?" for t in texts] + ["", "?!", None]
+    monkeypatch.setattr(dedup, "LEAST_BLOCK", 8)
+    df = spark.createDataFrame([*enumerate(texts)], "id long, t string").withColumn("m", F.lit("x"))
+    norm = [r.n for r in df.orderBy("id").select(X.norm_text(F.coalesce("t", F.lit(""))).alias("n")).collect()]
+    assert norm == [b" ".join(dedup._words(t)).decode() for t in texts]
+    sets = {}
+    for i, t in enumerate(norm):
+        w = t.split()
+        if w and t not in norm[:i]:
+            sets[i] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))}, {x for x in w if len(x) > 2}
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    want = {}
+    for a in sets:
+        for b in (b for b in sets if b > a):
+            s, (na, nb) = jaccard(sets[a][0], sets[b][0]), sorted((len(sets[a][1]), len(sets[b][1])))
+            s = round(s if na == 0 or na < 0.5 * nb else max(s, 0.9 * jaccard(sets[a][1], sets[b][1])), 6)
+            if s >= 0.55:
+                want[a, b] = s
+    assert {(r.a, r.b): r.similarity for r in dedup.near_duplicates(df, "id", "t", "m").collect()} == want and len(want) > 100
+
+
+def test_near_duplicates_look_at_few_pairs(monkeypatch):
+    """Pairs that share no rare word are not even looked at, though all texts share their frequent words."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, looked, real = np.random.default_rng(7), [], dedup._alike
+    often = [f"often{i}" for i in range(60)]
+    texts = [" ".join([*rng.choice(often, 40, replace=False), *(f"rare{x}" for x in rng.integers(0, 100_000, 40))]) for _ in range(1000)]
+    texts += [t.replace(t.split()[3], "other") for t in texts[:20]]
+
+    class Shared:
+        value = {}
+
+    for kind, (token, _) in dedup._sets(pa.array(texts[:1000])).items():
+        found, n = np.unique(token, return_counts=True)
+        Shared.value[kind] = found[n > 2], n[n > 2]
+    columns = [pa.array([x] * len(texts)) for x in ("x",)] + [pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)]
+    rows = pa.RecordBatch.from_arrays(columns, ["market", "id", "parent", "text"])
+    t = pa.Table.from_batches([b for b in dedup._sketched(Shared, {"sh": 0.55, "un": 0.61}, [rows]) if b.column("kind")[0].as_py() == "un"])
+    side = dedup._Side(t, 8)
+    monkeypatch.setattr(dedup, "_alike", lambda left, right, p, q, x: looked.append(len(p)) or real(left, right, p, q, x))
+    pairs = {(int(a), int(b)) for p, q in dedup._near(side, side, 0.61, True) for a, b in zip(p, q) if a != b}
+    assert pairs >= {(i, 1000 + i) for i in range(20)} and sum(looked) < 20_000  # of 519,690
