@@ -563,3 +563,37 @@ def test_near_duplicates_look_at_few_pairs(monkeypatch):
     monkeypatch.setattr(dedup, "_alike", lambda left, right, p, q, x: looked.append(len(p)) or real(left, right, p, q, x))
     pairs = {(int(a), int(b)) for p, q in dedup._near(side, side, 0.61, True) for a, b in zip(p, q) if a != b}
     assert pairs >= {(i, 1000 + i) for i in range(20)} and sum(looked) < 20_000  # of 519,690
+
+
+def test_best_scores_leave_out_pairs_that_cannot_be_among_them(monkeypatch):
+    """The k best by rare terms are those of all pairs, for two classes of records, and few pairs are scored by all terms."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.operators import scoring
+
+    rng, scored, real = np.random.default_rng(3), [], scoring.Best._by_all_pairs
+    words, n = np.array([f"t{x}" for x in range(3000)]), 12_000
+    share = 1 / np.arange(1, 3001) ** 0.8
+    draw = lambda m: words[rng.choice(3000, m, p=share / share.sum())]
+    tokens = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([draw(40).tolist() for _ in range(n)])], ["id", "tokens"])
+    posts = pa.Table.from_batches(scoring.counted(iter([tokens]))).append_column("kind", pa.array(np.arange(n, dtype=np.int32) % 3))
+    queries = [sorted(set(draw(8).tolist())) for _ in range(200)]
+    weight = {w: float(np.log(1 / min(0.9, x)) / 2) for w, x in zip(words, 40 * share / share.sum())}
+    table = np.array([[0, 1, 0], [0, 0, -1], [-1, -1, -1]], np.int16)
+    block = scoring.Block.of(pa.array(range(200)), queries, [[weight[t] for t in q] for q in queries], 40.0, want=np.arange(200) % 3, by_kind=table)
+
+    class Shared:
+        value = [block]
+
+    monkeypatch.setattr(scoring.Best, "_by_all_pairs", lambda self, b, *a: scored.append(b.num_rows) or real(self, b, *a))
+    got = {}
+    for b in scoring.best(Shared, iter(posts.combine_chunks().to_batches()), 3):
+        for q, i, v in zip(*(c.to_pylist() for c in b.columns)):
+            got.setdefault((q, int(table[q % 3, i % 3])), []).append((-v, i))
+    scores, shared = block.scored(posts.combine_chunks().to_batches()[0])
+    for q in range(200):
+        for c in range(2):
+            own = [(-round(float(scores[q, i]), 6) + 0.0, i) for i in np.flatnonzero(shared[q] & (table[q % 3][np.arange(n) % 3] == c))]
+            assert sorted(got.get((q, c), []))[:3] == sorted(own)[:3]
+    assert sum(scored) < n // 3
