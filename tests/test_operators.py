@@ -597,3 +597,10 @@ def test_best_scores_leave_out_pairs_that_cannot_be_among_them(monkeypatch):
             own = [(-round(float(scores[q, i]), 6) + 0.0, i) for i in np.flatnonzero(shared[q] & (table[q % 3][np.arange(n) % 3] == c))]
             assert sorted(got.get((q, c), []))[:3] == sorted(own)[:3]
     assert sum(scored) < n // 3
+
+
+def test_expand_asks_for_the_query_once(spark):
+    rows = spark.createDataFrame([("old price",), ("cold",), (None,)], "said string")
+    expanded = search.expand(F.upper("said"), {"old": ["age"], "price": ["premium"], "x": ["y"]})
+    assert [r[0] for r in rows.select(expanded).collect()] == ["OLD PRICE age premium", "COLD", None]
+    assert str(expanded).count("said") == 1
